@@ -228,8 +228,12 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
         (F.count("*") / len(parts)).cast("int").alias("copies"),
     )
     empty = F.array().cast("array<struct<first:int,behind:int>>")
-    last = lambda a: F.element_at(a, -1)
-    step = lambda a, x: F.when((F.size(a) > 0) & (F.coalesce(F.get(a, F.size(a) - 1)["behind"], F.lit(-1)) >= x["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["behind"], x["behind"]).alias("behind"))))).otherwise(F.concat(a, F.array(x)))
+
+    def step(a, x):
+        last = F.get(a, F.size(a) - 1)
+        joined = F.struct(last["first"].alias("first"), F.greatest(last["behind"], x["behind"]).alias("behind")).cast("struct<first:int,behind:int>")
+        return F.when(F.coalesce(last["behind"] >= x["first"], F.lit(False)), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined))).otherwise(F.concat(a, F.array(x)))
+
     return merged.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", F.aggregate("spans", empty, step).alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
