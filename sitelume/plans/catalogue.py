@@ -2,5 +2,516 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelume.functions import signatures, urls
+from sitelume.functions import text as tx
+from sitelume.functions.html import parse_html
+from sitelume.operators import backlinks, duplicates, graph, links, merge, rules, scoring, site
+from sitelume.plans import adapters as ad
+from sitelume.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_WITH = f"WITH {ad.CTE_PAGES}, {ad.CTE_LINKS}"
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Integers as long, so that types are those of the oracle."""
+    return df.select(*(F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes))
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: longs(f(spark, sf_dir))
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = ad.crawl_pages(spark, sf_dir)
+    return links.with_degrees(pages, links.edges(ad.crawl_links(spark, sf_dir), ad.HOME))
+
+
+# ---- URLs
+
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_QUERY = "array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND split_part(x, '=', 1) <> 'utm_source')), '&')"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '{_URL}', 1)) AS s, lower(regexp_extract(url, '{_URL}', 2)) AS h, regexp_extract(url, '{_URL}', 3) AS f, regexp_extract(url, '{_URL}', 4) AS q FROM pages),
+n AS (SELECT *, CASE WHEN f IN ('', '/') THEN '/' ELSE regexp_replace(f, '/+$', '') END AS g, {_QUERY} AS r FROM p)
+SELECT page_id, s || '://' || h || g || CASE WHEN r <> '' THEN '?' || r ELSE '' END AS normal FROM n""")
+def url_normalize(spark, sf_dir):
+    return ad.table(spark, sf_dir, "pages").select("page_id", urls.normalize("url").alias("normal"))
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '{_URL}', 2)) AS h, lower(regexp_extract(url, '{_URL}', 1)) AS s FROM pages)
+SELECT page_id, h AS host, s || '://' || h AS origin, regexp_replace(h, '^www\.', '') AS bare,
+  array_to_string(list_reverse(string_split(regexp_replace(h, '^www\.', ''), '.')), '.') AS rev, h = 'www.example.com' AS same,
+  h = 'example.com' OR h LIKE '%.example.com' AS target FROM p""")
+def url_host_parts(spark, sf_dir):
+    bare = urls.bare_domain("url")
+    return ad.table(spark, sf_dir, "pages").select(
+        "page_id", urls.host("url").alias("host"), F.lower(urls.origin("url")).alias("origin"), bare.alias("bare"), urls.reverse_domain(bare).alias("rev"),
+        urls.same_host("url", F.lit("https://WWW.example.com/x")).alias("same"), urls.is_target("url", F.lit("https://www.example.com/")).alias("target"),
+    )
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, string_split(lower(regexp_extract(url, '{_URL}', 2)), '.') AS l FROM pages)
+SELECT array_to_string(l[-2:], '.') AS domain, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY 1""")
+def registered_domain(spark, sf_dir):
+    return ad.table(spark, sf_dir, "pages").groupBy(urls.registered_domain("url").alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*["'']([^"'']+)["'']', 1)) AS href FROM pages)
+SELECT page_id, href, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href AS resolved, CAST(count(*) AS BIGINT) AS n FROM l WHERE href LIKE '/%' GROUP BY ALL
+UNION ALL SELECT page_id, href, href, CAST(count(*) AS BIGINT) FROM l WHERE regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') GROUP BY ALL""")
+def html_links(spark, sf_dir):
+    pages = ad.table(spark, sf_dir, "pages").select("page_id", "url", F.explode(tx.html_hrefs("html")).alias("href"))
+    return pages.filter(~urls.skipped("href")).groupBy("page_id", "href", urls.resolve("url", "href").alias("resolved")).agg(F.count("*").alias("n"))
+
+
+# ---- page content
+
+
+@query(f"SELECT page_id, {ad.SQL_TITLE} AS title, {ad.SQL_LANGUAGE} AS language, CAST(length({ad.SQL_TITLE}) AS BIGINT) AS title_length, CAST(strlen(html) AS BIGINT) AS html_bytes FROM pages")
+def html_metadata(spark, sf_dir):
+    title = tx.html_title("html")
+    return ad.table(spark, sf_dir, "pages").select("page_id", title.alias("title"), tx.html_language("html").alias("language"), F.length(title).alias("title_length"), F.octet_length("html").alias("html_bytes"))
+
+
+_H1 = r"regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '(?s)<[^>]*>', ' ', 'g')"
+
+
+@query(rf"""
+SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)) AS BIGINT) AS n_h1,
+  regexp_replace(regexp_replace({ad._unescaped(_H1)}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS h1 FROM pages""")
+def html_headings(spark, sf_dir):
+    h1 = tx.html_headings("html", 1)
+    return ad.table(spark, sf_dir, "pages").select("page_id", F.size(h1).alias("n_h1"), F.coalesce(F.get(h1, F.lit(0)), F.lit("")).alias("h1"))
+
+
+@query(f"SELECT page_id, CAST({ad.sql_words(ad.SQL_VISIBLE)} AS BIGINT) AS words FROM pages")
+def text_word_count(spark, sf_dir):
+    return ad.table(spark, sf_dir, "pages").select("page_id", tx.words(tx.visible_text("html")).alias("words"))
+
+
+@query(f"""
+SELECT page_id, {ad.SQL_TITLE} AS title, {ad.SQL_LANGUAGE} AS language, CAST({ad.sql_words(ad.SQL_VISIBLE)} AS BIGINT) AS words,
+  CAST(len(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\shref\\s*=\\s*["'']([^"'']+)["'']', 1)) AS BIGINT) AS n_links, CAST(0 AS BIGINT) AS n_images, CAST(strlen(html) AS BIGINT) AS html_bytes FROM pages""")
+def html_parse(spark, sf_dir):
+    """The tree parser's struct, held against the regex forms."""
+    p = F.col("p")
+    parsed = ad.table(spark, sf_dir, "pages").select("page_id", parse_html("html", "url").alias("p"))
+    return parsed.select("page_id", p["title"].alias("title"), p["language"].alias("language"), p["word_count"].alias("words"), F.size(p["links"]).alias("n_links"), F.size(p["images"]).alias("n_images"), p["raw_html_size"].alias("html_bytes"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, sha256(text) AS key FROM documents), g AS (SELECT key, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1)
+SELECT doc_id AS url, 'duplicate_content' AS type, 'high' AS severity, CAST(n AS BIGINT) AS group_size FROM h JOIN g USING (key)""")
+def content_hash_duplicates(spark, sf_dir):
+    return duplicates.issues(ad.table(spark, sf_dir, "documents"), tx.sha256("text"), "duplicate_content", "high", "doc_id")
+
+
+@query(f"""
+{_WITH} SELECT url, 'duplicate_title' AS type, 'medium' AS severity, CAST(n AS BIGINT) AS group_size
+FROM crawl_pages JOIN (SELECT title, count(*) AS n FROM crawl_pages WHERE title <> '' GROUP BY 1 HAVING count(*) > 1) USING (title)""")
+def duplicate_titles_raw(spark, sf_dir):
+    return duplicates.titles(ad.crawl_pages(spark, sf_dir))
+
+
+_DUPLICATES = " UNION ALL ".join(
+    f"SELECT url, CAST({seq} AS BIGINT) AS seq, 'medium' AS severity, '{label}' AS message, n || ' pages' AS detail FROM (SELECT url, lower(trim({c})) AS k FROM crawl_pages) JOIN (SELECT lower(trim({c})) AS k, count(*) AS n FROM crawl_pages WHERE trim({c}) <> '' GROUP BY 1 HAVING count(*) > 1) USING (k)"
+    for seq, label, c in ((15, "Duplicate title", "title"), (16, "Duplicate meta description", "description"))
+)
+
+
+@query(f"{_WITH} {_DUPLICATES}")
+def duplicate_titles_folded(spark, sf_dir):
+    return rules.duplicate_findings(ad.crawl_pages(spark, sf_dir))
+
+
+_SIGNATURES = {"Alpha": ["the", "ZZZ"], "Beta": ["<nav", "class="], "Gamma": ["</html>"], "Delta": ["qqqqqq"]}
+
+
+@query("""
+WITH t AS (SELECT page_id, lower(html) AS h FROM pages),
+k AS (SELECT page_id, (CASE WHEN contains(h, 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(h, 'zzz') THEN 1 ELSE 0 END) AS a, (CASE WHEN contains(h, '<nav') THEN 1 ELSE 0 END) + (CASE WHEN contains(h, 'class=') THEN 1 ELSE 0 END) AS b, (CASE WHEN contains(h, '</html>') THEN 1 ELSE 0 END) AS g FROM t)
+SELECT page_id, array_to_string(list_filter([CASE WHEN a > 0 THEN 'Alpha' END, CASE WHEN b > 0 THEN 'Beta' END, CASE WHEN g > 0 THEN 'Gamma' END], lambda x: x IS NOT NULL), ',') AS names,
+  CASE WHEN a > 0 THEN 'Alpha' WHEN b > 0 THEN 'Beta' WHEN g > 0 THEN 'Gamma' ELSE 'Custom / Unknown' END AS first,
+  CASE WHEN greatest(a, b, g) = 0 THEN 'Custom / Unknown' WHEN a = greatest(a, b, g) THEN 'Alpha' WHEN b = greatest(a, b, g) THEN 'Beta' ELSE 'Gamma' END AS best FROM k""")
+def signature_detection(spark, sf_dir):
+    low = signatures.searched("html")
+    found = signatures.hits(low, _SIGNATURES)
+    return ad.table(spark, sf_dir, "pages").select("page_id", F.array_join(signatures.names(found), ",").alias("names"), signatures.first_name(found).alias("first"), signatures.best_name(low, F.lit(""), _SIGNATURES).alias("best"))
+
+
+_VENDORS = {**signatures.TRACKING, **signatures.PLATFORMS}
+_HAS = lambda ps: " OR ".join(f"contains(h, '{p.lower()}')" for p in ps)
+
+
+@query("WITH t AS (SELECT lower(html) AS h FROM pages) " + " UNION ALL ".join(f"SELECT '{n}' AS vendor, CAST(count(*) FILTER (WHERE {_HAS(ps)}) AS BIGINT) AS n FROM t" for n, ps in _VENDORS.items()))
+def vendor_counts(spark, sf_dir):
+    """Pages by detected tracking vendor and platform, with the full tables."""
+    low = signatures.searched("html")
+    found = F.concat(signatures.names(signatures.hits(low, signatures.TRACKING)), signatures.names(signatures.hits(low, signatures.PLATFORMS)))
+    counts = ad.table(spark, sf_dir, "pages").select(F.explode(found).alias("vendor")).groupBy("vendor").agg(F.count("*").alias("n"))
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, _VENDORS))).alias("vendor"))
+    return every.join(counts, "vendor", "left").select("vendor", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# ---- rules
+
+
+def _case(rows: list[tuple[str, ...]], columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT url, {', '.join(values)} FROM crawl_pages WHERE {cond}" for cond, *values in rows).replace("SELECT url,", f"SELECT url{columns},", 0)
+
+
+_TECHNICAL = [
+    ("status >= 400", "'http_' || status AS type", "CASE WHEN status >= 500 THEN 'critical' ELSE 'high' END AS severity"), ("title = ''", "'missing_title'", "'high'"),
+    ("length(title) > 60", "'title_too_long'", "'medium'"), ("title <> '' AND length(title) < 30", "'title_too_short'", "'low'"), ("description = ''", "'missing_meta_description'", "'medium'"),
+    ("length(description) > 160", "'meta_description_too_long'", "'low'"), ("n_h1 = 0", "'missing_h1'", "'high'"), ("n_h1 > 1", "'multiple_h1'", "'medium'"), ("canonical = ''", "'missing_canonical'", "'medium'"),
+    ("words < 200", "'thin_content'", "'medium'"), ("robots LIKE '%noindex%'", "'noindex'", "'info'"), ("robots LIKE '%nofollow%'", "'nofollow'", "'info'"), ("language = ''", "'missing_html_language'", "'low'"), ("viewport = ''", "'missing_viewport'", "'low'"),
+]
+
+
+@query(f"{_WITH} {_case(_TECHNICAL, '')} UNION ALL SELECT url, 'image_missing_alt', 'low' FROM (SELECT url, unnest(range(n_null)) FROM crawl_pages)")
+def technical_issues(spark, sf_dir):
+    return rules.technical_issues(ad.crawl_pages(spark, sf_dir))
+
+
+@query(f"{_WITH} SELECT url, 'redirect' AS type, 'info' AS severity FROM crawl_pages WHERE status BETWEEN 300 AND 399 UNION ALL SELECT url, 'request_error', 'critical' FROM crawl_pages WHERE status = 500")
+def fetch_issues(spark, sf_dir):
+    pages = ad.crawl_pages(spark, sf_dir)
+    return rules.fetch_issues(pages.select("url", F.when(F.col("status_code") != 500, F.col("status_code")).alias("status_code")))
+
+
+@query(f"""
+{_WITH} SELECT url, 'redirect_target' AS type, 'info' AS severity, final_url AS target FROM crawl_pages WHERE status = 301
+UNION ALL SELECT url, 'blocked_by_noindex', 'high', '' FROM crawl_pages WHERE status = 200 AND robots LIKE '%noindex%'
+UNION ALL SELECT url, 'non_self_canonical', 'medium', canonical FROM crawl_pages WHERE status = 200 AND canonical NOT IN ('', url)
+UNION ALL SELECT url, 'canonical_to_different_url', 'medium', canonical FROM crawl_pages WHERE canonical NOT IN ('', url)""")
+def indexability_issues(spark, sf_dir):
+    return rules.indexability_issues(ad.crawl_pages(spark, sf_dir))
+
+
+@query(f"""
+WITH e AS (SELECT '{ad.HOME}p/' || page_id AS page_url, 0 AS pos, 'en' AS lang, true AS valid, page_id FROM pages
+  UNION ALL SELECT '{ad.HOME}p/' || page_id, 1, 'de', page_id % 11 <> 0, page_id FROM pages
+  UNION ALL SELECT '{ad.HOME}p/' || page_id, 2, CASE WHEN page_id % 8 = 0 THEN 'en' WHEN page_id % 9 = 0 THEN '' ELSE 'fr' END, true, page_id FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_url, lang, valid ORDER BY pos) AS n FROM e)
+SELECT page_url, CAST(pos AS BIGINT) AS pos, CASE WHEN lang = '' THEN 'hreflang_missing_language' WHEN NOT valid THEN 'hreflang_invalid_url' ELSE 'duplicate_hreflang_language' END AS type, 'medium' AS severity
+FROM r WHERE lang = '' OR NOT valid OR n > 1""")
+def hreflang_validation(spark, sf_dir):
+    return rules.hreflang_issues(ad.hreflang(spark, sf_dir))
+
+
+# ---- the audit
+
+_MISSING = "(n_null + n_blank)"
+_CHECKS = [  # seq, evaluated, passes, severity, message, detail
+    (1, "true", "status >= 200 AND status < 400", "CASE WHEN status >= 500 THEN 'critical' ELSE 'high' END", "'HTTP ' || status", "''"),
+    (2, "true", "trim(title) <> ''", "'critical'", "'Missing title'", "''"),
+    (3, "trim(title) <> ''", "length(trim(title)) BETWEEN 30 AND 60", "CASE WHEN length(trim(title)) > 60 THEN 'medium' ELSE 'notice' END", "CASE WHEN length(trim(title)) > 60 THEN 'Long title' ELSE 'Short title' END", "length(trim(title)) || ' characters'"),
+    (4, "true", "trim(description) <> ''", "'medium'", "'Missing meta description'", "''"),
+    (5, "trim(description) <> ''", "length(trim(description)) BETWEEN 70 AND 160", "'notice'", "CASE WHEN length(trim(description)) > 160 THEN 'Long meta description' ELSE 'Short meta description' END", "length(trim(description)) || ' characters'"),
+    (6, "true", "n_h1 = 1", "CASE WHEN n_h1 = 0 THEN 'critical' ELSE 'medium' END", "CASE WHEN n_h1 = 0 THEN 'No H1' ELSE 'Multiple H1s' END", "n_h1 || ' H1s'"),
+    (7, "true", "words >= 300", "CASE WHEN words < 100 THEN 'medium' ELSE 'notice' END", "CASE WHEN words < 100 THEN 'Very low word count' ELSE 'Low word count' END", "words || ' words'"),
+    (8, "true", "canonical <> ''", "'medium'", "'Missing canonical'", "''"),
+    (9, "n_images > 0", f"{_MISSING} = 0", f"CASE WHEN {_MISSING} > greatest(2, n_images // 2) THEN 'medium' ELSE 'notice' END", f"{_MISSING} || ' images have no alt text'", f"{_MISSING} || '/' || n_images"),
+    (10, "true", "coalesce(links_out, 0) > 0", "'medium'", "'No internal links'", "''"),
+    (11, "true", "robots NOT LIKE '%noindex%'", "'critical'", "'Noindex directive'", "''"),
+    (12, "true", "n_schemas > 0", "'notice'", "'No structured data'", "''"),
+    (13, "true", "language <> ''", "'notice'", "'Missing HTML language'", "''"),
+    (14, "true", "viewport <> ''", "'notice'", "'Missing viewport'", "''"),
+]
+_AUDIT = f"""{_WITH}, linked AS (SELECT * FROM crawl_pages LEFT JOIN outs USING (url)),
+findings AS ({" UNION ALL ".join(f"SELECT url, CAST({k} AS BIGINT) AS seq, {s} AS severity, {m} AS message, {d} AS detail FROM linked WHERE ({w}) AND NOT ({ok})" for k, w, ok, s, m, d in _CHECKS)} UNION ALL {_DUPLICATES}),
+penalties AS (SELECT url, sum(CASE severity WHEN 'critical' THEN 5.0::DOUBLE WHEN 'high' THEN 4.0 WHEN 'medium' THEN 2.5 ELSE 1.0 END) AS penalty, count(*) AS n FROM findings GROUP BY 1),
+scores AS (SELECT url, greatest(0.0, least(100.0, 100 - (coalesce(penalty, 0) / 12.5::DOUBLE * 100)))::DOUBLE AS raw, coalesce(n, 0) AS n_issues FROM crawl_pages LEFT JOIN penalties USING (url))"""
+
+
+@query(f"{_AUDIT} SELECT * FROM findings")
+def audit_findings(spark, sf_dir):
+    return rules.audit_findings(_audited(spark, sf_dir))
+
+
+@query(f"{_AUDIT} SELECT url, round(raw, 9) AS raw, CAST(round_even(raw, 0) AS BIGINT) AS score, CAST(n_issues AS BIGINT) AS n_issues FROM scores")
+def audit_page_scores(spark, sf_dir):
+    pages = _audited(spark, sf_dir)
+    return scoring.page_scores(pages, rules.audit_findings(pages)).withColumn("raw", F.round("raw", 9))
+
+
+_EVALUATED = " + ".join(f"count(*) FILTER (WHERE {w})" for _, w, *_ in _CHECKS)
+_PASSED = " + ".join(f"count(*) FILTER (WHERE ({w}) AND ({ok}))" for _, w, ok, *_ in _CHECKS)
+
+
+@query(f"""{_AUDIT}, c AS (SELECT count(*) AS n, {_EVALUATED} AS checks, {_PASSED} AS passed, count(*) FILTER (WHERE status >= 400) AS bad, count(*) FILTER (WHERE robots LIKE '%noindex%') AS hidden FROM linked),
+f AS (SELECT {", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in scoring.WEIGHTS)}, count(*) AS total_issues FROM findings),
+s AS (SELECT round_even(avg(raw), 0) AS seo FROM scores)
+SELECT CAST(seo AS BIGINT) AS seo_score, CAST(round_even(greatest(0, least(100, 100 - least(35, bad / n * 35) - least(25, hidden / n * 25) - 25)), 0) AS BIGINT) AS site_health, CAST(n AS BIGINT) AS pages_crawled,
+  CAST(n + n // 30 AS BIGINT) AS pages_discovered, CAST(CASE WHEN n / (n + n // 30) * 100 >= 98 THEN 10 WHEN n / (n + n // 30) * 100 >= 95 THEN 9 ELSE 7 END AS BIGINT) AS crawl_coverage_score,
+  {", ".join(f"CAST({s} AS BIGINT) AS {s}" for s in [*scoring.WEIGHTS, "total_issues", "checks", "passed"])} FROM c, f, s""")
+def audit_summary(spark, sf_dir):
+    pages = _audited(spark, sf_dir)
+    site_row = ad.table(spark, sf_dir, "pages").agg((F.count("*") + F.floor(F.count("*") / 30)).alias("pages_discovered"), F.lit(False).alias("ssl_enabled"), F.lit("site.example.com").alias("hostname"), F.lit("Wix").alias("platform"))
+    return scoring.summary(pages, site_row)
+
+
+@query(f"{_AUDIT}, bands AS (SELECT CASE WHEN round_even(raw, 0) < 50 THEN 'score-red' WHEN round_even(raw, 0) < 90 THEN 'score-orange' ELSE 'score-green' END AS band FROM scores) SELECT band, CAST(count(*) AS BIGINT) AS n FROM bands GROUP BY 1")
+def score_bands(spark, sf_dir):
+    pages = _audited(spark, sf_dir)
+    return scoring.page_scores(pages, rules.audit_findings(pages)).groupBy(scoring.score_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+
+
+# ---- link graph
+
+
+@query(f"{_WITH} SELECT url, CAST(coalesce(links_in, 0) AS BIGINT) AS links_in, CAST(coalesce(links_out, 0) AS BIGINT) AS links_out FROM crawl_pages LEFT JOIN ins USING (url) LEFT JOIN outs USING (url)")
+def link_degrees(spark, sf_dir):
+    return _audited(spark, sf_dir).select("url", "links_in", "links_out")
+
+
+@query(f"{_WITH} SELECT url, 'orphan_page' AS type, 'high' AS severity FROM crawl_pages WHERE url NOT IN (SELECT target_url FROM crawl_links WHERE internal)")
+def orphan_pages(spark, sf_dir):
+    return links.orphans(ad.crawl_pages(spark, sf_dir), ad.crawl_links(spark, sf_dir))
+
+
+@query(f"{_WITH} SELECT CASE WHEN rel IN ('sponsored', 'sponsored nofollow') THEN 'sponsored' WHEN rel IN ('ugc', 'NOFOLLOW ugc') THEN 'ugc' WHEN rel = 'nofollow' THEN 'nofollow' ELSE 'dofollow' END AS kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE lower(rel) LIKE '%nofollow%') AS BIGINT) AS nofollow FROM crawl_links GROUP BY 1")
+def rel_classes(spark, sf_dir):
+    rows = ad.crawl_links(spark, sf_dir).select(links.classify_rel("rel").alias("kind"), *links.rel_flags("rel"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("nofollow").alias("nofollow"))
+
+
+_RANKS = "".join(f", r{k} AS MATERIALIZED (SELECT p.url, 0.15::DOUBLE / t.n + coalesce(sum(r.r * 0.85::DOUBLE / o.n), 0) AS r FROM crawl_pages p CROSS JOIN t LEFT JOIN edges e ON e.target_url = p.url LEFT JOIN r{k - 1} r ON r.url = e.source_url LEFT JOIN rows o ON o.url = e.source_url GROUP BY p.url, t.n)" for k in range(1, 21))
+
+
+@query(f"{_WITH}, t AS (SELECT count(*) AS n FROM crawl_pages), rows AS (SELECT source_url AS url, count(*) AS n FROM crawl_links WHERE internal GROUP BY 1), r0 AS (SELECT url, 1.0::DOUBLE / t.n AS r FROM crawl_pages, t){_RANKS} SELECT url, round(r, 9) AS pagerank FROM r20")
+def pagerank(spark, sf_dir):
+    return graph.pagerank(ad.crawl_pages(spark, sf_dir), ad.crawl_links(spark, sf_dir)).withColumn("pagerank", F.round("pagerank", 9))
+
+
+_BFS = f"{_WITH.replace('WITH', 'WITH RECURSIVE', 1)}, walk(url, depth) AS (SELECT '{ad.HOME}p/1', 0 UNION SELECT target_url, depth + 1 FROM walk JOIN edges ON source_url = walk.url WHERE depth < 6), reached AS (SELECT url, min(depth) AS depth FROM walk GROUP BY 1)"
+
+
+@query(f"{_BFS} SELECT url, CAST(depth AS BIGINT) AS depth FROM reached")
+def bfs_depth(spark, sf_dir):
+    return graph.bfs(links.edges(ad.crawl_links(spark, sf_dir), ad.HOME), _start(spark), 6)
+
+
+def _start(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(f"{ad.HOME}p/1").alias("url"))
+
+
+@query(f"""{_BFS}, k AS (SELECT url, depth, CAST(regexp_extract(url, '[0-9]+$') AS BIGINT) AS seq, depth * 10 AS priority FROM reached)
+SELECT url, CAST(depth AS BIGINT) AS depth, seq, CAST(priority AS BIGINT) AS priority, CAST(row_number() OVER (ORDER BY priority, seq) AS BIGINT) AS visit FROM k""")
+def frontier_priority(spark, sf_dir):
+    found = graph.bfs(links.edges(ad.crawl_links(spark, sf_dir), ad.HOME), _start(spark), 6)
+    return graph.frontier_order(found.withColumn("seq", F.regexp_extract("url", "[0-9]+$", 0).cast("long")))
+
+
+# ---- site and merging
+
+
+@query(f"""{_WITH}, c AS (SELECT platform, count(*) AS n, min(page_id) AS f FROM crawl_pages GROUP BY 1)
+SELECT (SELECT platform FROM c ORDER BY n DESC, f LIMIT 1) AS platform, (SELECT array_to_string(list_sort(list_distinct(flatten(list(tracking)))), ',') FROM crawl_pages) AS tracking,
+  round(avg(nullif(dom, 0)), 3) AS average_dom_loaded_seconds, round(avg(nullif(loaded, 0)), 3) AS average_fully_loaded_seconds, CAST(count(*) AS BIGINT) AS pages_crawled,
+  CAST(count(*) FILTER (WHERE status >= 400) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE robots LIKE '%noindex%') AS BIGINT) AS n_noindex,
+  CAST(count(*) FILTER (WHERE status = 200 AND robots NOT LIKE '%noindex%') AS BIGINT) AS pages_indexable FROM crawl_pages""")
+def site_rollup(spark, sf_dir):
+    return site.rollup(ad.crawl_pages(spark, sf_dir))
+
+
+@query(f"{_WITH} SELECT url, CAST(n_images AS BIGINT) AS n_images, CAST(n_null AS BIGINT) AS missing, CAST(n_blank AS BIGINT) AS blank FROM crawl_pages")
+def alt_counts(spark, sf_dir):
+    return site.alt_counts(ad.crawl_pages(spark, sf_dir))
+
+
+@query(f"""{_WITH}, r AS (SELECT url, max_by(title || '!', page_id) AS rich FROM (SELECT '{ad.HOME}p/' || (page_id // 2 * 2) AS url, title, page_id FROM crawl_pages) GROUP BY 1)
+SELECT p.url, coalesce(r.rich, p.title) AS title, p.canonical, r.rich AS extra FROM crawl_pages p LEFT JOIN r USING (url)""")
+def rich_merge(spark, sf_dir):
+    pages = ad.crawl_pages(spark, sf_dir).select("page_id", "url", "title", "canonical")
+    said = F.concat("title", F.lit("!"))
+    rich = pages.select(F.concat(F.lit(ad.HOME + "p/"), (F.floor(F.col("page_id") / 2) * 2).cast("string")).alias("url"), said.alias("title"), F.lit("x").alias("canonical"), said.alias("extra"), F.col("page_id").alias("line"))
+    return merge.rich_merge(pages.drop("page_id"), rich, "url", "line", {"title"})
+
+
+@query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def upsert_latest_page(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    return merge.latest(rows, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+@query("""
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, user_id FROM events)
+SELECT strftime(day, '%Y-%m-%d') AS day, CAST(count(DISTINCT user_id) AS BIGINT) AS discovered, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS views, CAST(count(*) AS BIGINT) AS lines FROM d GROUP BY 1""")
+def crawl_summary(spark, sf_dir):
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    return ad.table(spark, sf_dir, "events").groupBy(day).agg(F.count_distinct("user_id").alias("discovered"), F.count_if(F.col("event_type") == "view").alias("views"), F.count("*").alias("lines"))
+
+
+# ---- backlinks
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM customer), e AS (SELECT DISTINCT o_custkey AS node, 1 + o_orderkey % n AS pred FROM orders, n)
+SELECT c_custkey AS id, 'c' || c_custkey || '.example.com' AS referring_domain, 'https://c' || c_custkey || '.example.com/' AS source_url
+FROM customer WHERE c_custkey IN (SELECT pred FROM e WHERE node = 7)""")
+def referring_domains(spark, sf_dir):
+    return backlinks.referring_domains(*ad.domain_graph(spark, sf_dir), "https://www.C7.example.com/a")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM customer), e AS (SELECT DISTINCT o_custkey AS node, 1 + o_orderkey % n AS pred FROM orders, n)
+SELECT 'c' || node || '.example.com' AS domain, CAST(count(*) AS BIGINT) AS n, CAST(min(pred) AS BIGINT) AS least FROM e JOIN customer c ON c.c_custkey = node JOIN customer d ON d.c_custkey = pred GROUP BY 1""")
+def referring_domain_counts(spark, sf_dir):
+    vertices, edges = ad.domain_graph(spark, sf_dir)
+    targets = vertices.select(urls.reverse_domain("rev").alias("domain"))
+    return backlinks.many_referring_domains(vertices, edges, targets).groupBy("domain").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+
+
+_HITS = f"""WITH {ad.CTE_PAGES}, {ad.CTE_LINKS}, h AS (SELECT 'd' || (CAST(regexp_extract(source_url, '[0-9]+$') AS BIGINT) % 20) AS domain, CAST(regexp_extract(source_url, '[0-9]+$') AS BIGINT) AS seq, target_url FROM crawl_links WHERE NOT internal),
+m AS (SELECT domain, min(seq) AS seq FROM h GROUP BY 1)"""
+
+
+@query(f"{_HITS} SELECT domain, CAST(seq AS BIGINT) AS seq, target_url, CAST(count(*) AS BIGINT) AS n FROM h JOIN m USING (domain, seq) GROUP BY ALL")
+def backlink_confirm(spark, sf_dir):
+    rows = ad.crawl_links(spark, sf_dir)
+    seq = F.regexp_extract("source_url", "[0-9]+$", 0).cast("long")
+    found = backlinks.page_hits(rows.select("source_url", F.col("target_url").alias("url"), "rel"), F.lit("other.example.net")).withColumns({"seq": seq, "domain": F.concat(F.lit("d"), (seq % 20).cast("string"))})
+    return backlinks.first_hits(found, "domain", ["seq"]).groupBy("domain", "seq", "target_url").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_WITH}, s AS (SELECT 'g' || (page_id % 40) AS k, CASE status WHEN 200 THEN 'not_found' WHEN 404 THEN 'error' WHEN 500 THEN 'timeout' ELSE 'blocked' END AS s FROM crawl_pages)
+SELECT k, CASE WHEN bool_or(s = 'timeout') THEN 'timeout' WHEN bool_or(s = 'error') THEN 'error' WHEN bool_or(s = 'blocked') THEN 'blocked' ELSE 'not_found' END AS status FROM s GROUP BY 1""")
+def overall_status(spark, sf_dir):
+    c = F.col("status_code")
+    rows = ad.crawl_pages(spark, sf_dir).select(F.concat(F.lit("g"), (F.col("page_id") % 40).cast("string")).alias("k"), F.when(c == 200, "not_found").when(c == 404, "error").when(c == 500, "timeout").otherwise("blocked").alias("status"))
+    return site.resolved_status(rows, "k")
+
+
+_PUBLIC = f"""WITH a AS (SELECT page_id AS i, 'https://www.s' || (page_id % 40) || '.example.org/' || page_id AS source_url FROM pages WHERE page_id % 13 <> 0 AND page_id % 17 <> 0),
+x AS (SELECT source_url, 's' || (i % 40) || '.example.org' AS source_domain, CASE WHEN i % 3 = 0 THEN 'https://www.target.example/' ELSE 'http://shop.target.example/p?a=1&b=' END || (i % 50) AS target_url, 'Go to target & ' || (i % 20) AS anchor_text, {list(ad.RELS)!r}[i % 7 + 1] AS rel FROM a WHERE i % 3 <> 2
+  UNION ALL SELECT source_url, 's' || (i % 40) || '.example.org', 'https://target.example', 'bare', '' FROM a),
+y AS (SELECT DISTINCT *, CASE WHEN rel LIKE '%sponsored%' THEN 'sponsored' WHEN rel LIKE '%ugc%' THEN 'ugc' WHEN rel LIKE '%nofollow%' THEN 'nofollow' ELSE 'dofollow' END AS backlink_type FROM x)"""
+
+
+@query(f"{_PUBLIC} SELECT * FROM y")
+def public_backlinks(spark, sf_dir):
+    return backlinks.public_backlinks(ad.anchor_pages(spark, sf_dir), "target.example")
+
+
+@query(f"{_PUBLIC} SELECT CAST(count(*) AS BIGINT) AS total_backlinks, CAST(count(DISTINCT source_domain) AS BIGINT) AS referring_domains, {', '.join(f'''CAST(count(*) FILTER (WHERE backlink_type = '{k}') AS BIGINT) AS {k}''' for k in ('sponsored', 'ugc', 'nofollow', 'dofollow'))} FROM y")
+def public_backlink_totals(spark, sf_dir):
+    return backlinks.backlink_totals(backlinks.public_backlinks(ad.anchor_pages(spark, sf_dir), "target.example"))
+
+
+@query("""
+WITH r AS (SELECT 'd' || (page_id % 12) || '.example' AS domain, CASE WHEN page_id % 10 = 0 THEN 0 ELSE page_id % 3 END AS crawl_no, page_id AS row_no, url, page_id % 6 = 0 AS hit FROM pages),
+h AS (SELECT domain, min((crawl_no, row_no)) AS f FROM r WHERE hit GROUP BY 1), c AS (SELECT domain, count(*) AS n FROM r GROUP BY 1)
+SELECT domain, CASE WHEN f IS NULL THEN 'not_found' ELSE 'confirmed_historical' END AS status, CAST(n AS BIGINT) AS pages_available, CAST(r.crawl_no AS BIGINT) AS crawl_no, r.row_no, r.url, 'https://www.Target.example/' || r.row_no AS href
+FROM c LEFT JOIN h USING (domain) LEFT JOIN r ON r.domain = c.domain AND (r.crawl_no, r.row_no) = h.f""".replace("SELECT domain, CASE", "SELECT c.domain, CASE"))
+def historical_first_hit(spark, sf_dir):
+    return backlinks.historical_first_hits(ad.historical(spark, sf_dir), "target.example")
+
+
+@query("""
+WITH f AS (SELECT user_id % 8 AS query_no, (event_id * 7) % 1000 AS pos, 'https://s' || (event_id % 300) || '.example/' || event_type AS url, event_id FROM events),
+t AS (SELECT url, min((query_no, pos)) AS f FROM f WHERE pos < 400 AND NOT contains(url, '//s3.example/') GROUP BY 1)
+SELECT url, CAST(f[1] AS BIGINT) AS query_no, CAST(f[2] AS BIGINT) AS pos FROM (SELECT url, [struct_extract(f, 1), struct_extract(f, 2)] AS f FROM t)""")
+def candidate_discovery(spark, sf_dir):
+    e = ad.table(spark, sf_dir, "events")
+    found = e.select((F.col("user_id") % 8).alias("query_no"), ((F.col("event_id") * 7) % 1000).alias("pos"), F.concat(F.lit("https://s"), (F.col("event_id") % 300).cast("string"), F.lit(".example/"), F.col("event_type")).alias("url"))
+    return backlinks.candidates(found, "s3.example", 400)
+
+
+# ---- other profiles
+
+_LEGACY = [
+    ("title = ''", "'On-Page SEO' AS category", "'ERROR' AS severity", "'Missing title tag' AS issue"), ("title <> '' AND length(title) < 30", "'On-Page SEO'", "'WARNING'", "'Title tag too short'"), ("length(title) > 60", "'On-Page SEO'", "'WARNING'", "'Title tag too long'"),
+    ("description = ''", "'On-Page SEO'", "'ERROR'", "'Missing meta description'"), ("description <> '' AND length(description) < 70", "'On-Page SEO'", "'NOTICE'", "'Meta description too short'"), ("length(description) > 160", "'On-Page SEO'", "'WARNING'", "'Meta description too long'"),
+    ("n_h1 = 0", "'On-Page SEO'", "'ERROR'", "'Missing H1'"), ("n_h1 > 1", "'On-Page SEO'", "'WARNING'", "'Multiple H1 headings'"), ("words < 100", "'Content'", "'ERROR'", "'Very thin content'"), ("words BETWEEN 100 AND 299", "'Content'", "'WARNING'", "'Low word count'"),
+    ("canonical = ''", "'Indexability'", "'WARNING'", "'Missing canonical'"), ("n_schemas = 0", "'Structured Data'", "'NOTICE'", "'No JSON-LD structured data detected'"), ("status BETWEEN 400 AND 499", "'Crawlability'", "'ERROR'", "'4xx HTTP status'"),
+    ("status >= 500", "'Crawlability'", "'ERROR'", "'5xx HTTP status'"), ("status BETWEEN 300 AND 399", "'Crawlability'", "'WARNING'", "'Redirected URL'"), ("url NOT IN (SELECT source_url FROM crawl_links WHERE internal)", "'Internal Linking'", "'WARNING'", "'Page has no internal outgoing links'"),
+    (f"url <> '{ad.HOME}p/1' AND url NOT IN (SELECT target_url FROM crawl_links WHERE internal)", "'Internal Linking'", "'ERROR'", "'Potential orphan page'"), ("lower(trim(title)) IN (SELECT lower(trim(title)) FROM crawl_pages WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) > 1)", "'Duplicates'", "'WARNING'", "'Duplicate title tag'"),
+    ("lower(trim(description)) IN (SELECT lower(trim(description)) FROM crawl_pages WHERE trim(description) <> '' GROUP BY 1 HAVING count(*) > 1)", "'Duplicates'", "'WARNING'", "'Duplicate meta description'"), ("status = 500", "'Crawlability'", "'ERROR'", "'Broken URL / failed crawl'"),
+]
+_LEGACY_SQL = f"{_WITH}, issues AS ({_case(_LEGACY, '')} UNION ALL SELECT url, 'Images', 'WARNING', 'Image missing ALT text' FROM (SELECT url, unnest(range(n_null + n_blank)) FROM crawl_pages))"
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = ad.crawl_pages(spark, sf_dir)
+    return rules.legacy_issues(pages, ad.crawl_links(spark, sf_dir), f"{ad.HOME}p/1", pages.filter("status_code = 500").select("url")), pages
+
+
+@query(f"{_LEGACY_SQL} SELECT url, category, severity, issue FROM issues")
+def legacy_audit(spark, sf_dir):
+    return _legacy(spark, sf_dir)[0].drop("details")
+
+
+@query(f"{_LEGACY_SQL} SELECT category, severity, CAST(count(*) AS BIGINT) AS n FROM issues GROUP BY 1, 2")
+def legacy_categories(spark, sf_dir):
+    return scoring.category_counts(_legacy(spark, sf_dir)[0])
+
+
+@query(f"""{_LEGACY_SQL}, c AS (SELECT count(*) FILTER (WHERE severity = 'ERROR') AS e, count(*) FILTER (WHERE severity = 'WARNING') AS w, count(*) FILTER (WHERE severity = 'NOTICE') AS o FROM issues), n AS (SELECT count(*) AS n FROM crawl_pages)
+SELECT CAST(e AS BIGINT) AS errors, CAST(w AS BIGINT) AS warnings, CAST(o AS BIGINT) AS notices, CAST(n AS BIGINT) AS pages, CAST(round_even(greatest(0, least(100, 100 - (3 * e + 1.5 * w + 0.25 * o) / n * 10)), 0) AS BIGINT) AS health FROM c, n""")
+def legacy_health(spark, sf_dir):
+    return scoring.legacy_health(*_legacy(spark, sf_dir))
+
+
+_SHORT = ["status >= 400", "title = ''", "title <> '' AND length(title) < 30", "length(title) > 60", "description = ''", "description <> '' AND length(description) < 70", "length(description) > 160", "n_h1 = 0", "n_h1 > 1", "words < 300", "canonical = ''", "n_null + n_blank > 0", "n_schemas = 0", "coalesce(links_out, 0) < 3"]
+_SHORT_SQL = f"{_WITH}, k AS (SELECT status, canonical, {' + '.join(f'(CASE WHEN {c} THEN 1 ELSE 0 END)' for c in _SHORT)} AS n FROM crawl_pages LEFT JOIN outs USING (url))"
+
+
+@query(f"""{_SHORT_SQL} SELECT CAST(round_even(greatest(0, least(100, avg(greatest(0, 100 - 10 * n)))), 0) AS BIGINT) AS seo_score,
+  CAST(round_even(greatest(0, least(100, 100 - sum((CASE WHEN status >= 500 THEN 20 ELSE 0 END) + (CASE WHEN status >= 400 THEN 5 ELSE 0 END) + (CASE WHEN canonical = '' THEN 2 ELSE 0 END)))), 0) AS BIGINT) AS health FROM k""")
+def pipeline_scores(spark, sf_dir):
+    return scoring.pipeline_scores(rules.pipeline_issues(_audited(spark, sf_dir)))
+
+
+@query(f"""{_SHORT_SQL} SELECT CAST(round_even(greatest(0, least(100, sum(CASE WHEN n = 0 THEN 10 ELSE 0 END) / (10 * count(*)) * 100 - sum(n) / (10 * count(*)) * 25)), 0) AS BIGINT) AS seo_score,
+  CAST(round_even(greatest(0, least(100, 100 - 5 * sum((CASE WHEN status >= 500 THEN 2 ELSE 0 END) + (CASE WHEN canonical = '' THEN 1 ELSE 0 END)))), 0) AS BIGINT) AS health FROM k""")
+def template_scores(spark, sf_dir):
+    return scoring.template_scores(rules.pipeline_issues(_audited(spark, sf_dir)))
+
+
+# ---- files given as text
+
+_NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+@query("""
+WITH n AS (SELECT 'https://s.example/map' || (page_id % 5) || '.xml' AS sitemap_url, url FROM pages WHERE page_id % 5 < 4)
+SELECT sitemap_url, CAST(count(*) AS BIGINT) AS url_count FROM n GROUP BY 1""")
+def sitemap_expand(spark, sf_dir):
+    """Four of five sitemaps are listed by the index; locations are the pages' URLs."""
+    pages = ad.table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("https://s.example/map"), (F.col("page_id") % 5).cast("string"), F.lit(".xml"))
+    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    files = pages.groupBy(name.alias("url")).agg(F.concat(F.lit(f'<?xml version="1.0"?><urlset {_NS}>'), F.array_join(F.collect_list(loc), "\n"), F.lit("</urlset>")).alias("xml"))
+    listed = "".join(f"<sm:sitemap><sm:loc>https://s.example/map{k}.xml</sm:loc></sm:sitemap>" for k in range(4))
+    index = spark.range(1).select(F.lit("https://s.example/sitemap.xml").alias("url"), F.lit(f'<sm:sitemapindex xmlns:sm="x">{listed}</sm:sitemapindex>').alias("xml"))
+    every = files.unionByName(index).withColumn("status_code", F.lit(200))
+    seeds = spark.range(1).select(F.lit("https://s.example/sitemap.xml").alias("url"))
+    return readers.sitemap_counts(readers.expand_sitemaps(every, seeds))
+
+
+@query("SELECT page_id, page_id % 4 <> 1 AS allowed, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 2.0::DOUBLE END AS crawl_delay FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, true, NULL FROM pages WHERE page_id % 3 = 0")
+def robots_allowed(spark, sf_dir):
+    i = F.col("page_id")
+    asked = ad.table(spark, sf_dir, "pages").select(F.concat(F.lit("h"), (i % 3).cast("string")).alias("host"), F.concat(F.lit("https://h/"), F.when(i % 4 == 1, "private/").otherwise("open/"), i.cast("string")).alias("url"))
+    body = "User-agent: *\nCrawl-delay: 2\nDisallow: /private\n\nUser-agent: other\nDisallow: /\n"
+    robots = spark.range(3).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.when(F.col("id") == 0, 404).otherwise(200).alias("status_code"), F.lit(body).alias("body"))
+    return readers.robots_allowed(asked, robots, "sitelume").select(F.regexp_extract("url", "[0-9]+$", 0).cast("long").alias("page_id"), "allowed", "crawl_delay")
