@@ -26,6 +26,7 @@ MOST_REMOVED = 0.3  # share of a text's non-space characters
 MOST_SYMBOLS = 0.1  # of a line's non-space characters
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MOST_BOILERPLATE_WORDS = 25  # longer lines are prose that mentions such words
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|(?:licensed|released) under"
@@ -84,42 +85,42 @@ def fails(line: Column) -> Column:
     return punctuation | navigation | boilerplate
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with a column _q: the base figures, kept and the cleaned text (null text: null)."""
-    whole = F.col("text")
-    text = F.coalesce(whole, F.lit(""))
-
-    def verdict(x: Column) -> Column:
-        words, lines = x["words"], x["lines"]
-        full = F.filter(lines, lambda l: l.rlike("[^\\x20\\x09-\\x0D]"))
-        n_words, chars = F.size(words), letters(x["text"])
-        repeated = repeated_words(words)
-        clean = F.filter(lines, lambda l: ~F.coalesce(fails(l), F.lit(False)))
-        dup = _let(full, lambda f: F.size(f) - F.size(F.array_distinct(f)))
-        figures = F.struct(
-            n_words.alias("n_words"), chars.alias("word_chars"), symbols(x["text"]).alias("n_symbols"),
-            dup.alias("n_dup_lines"), repeated.alias("n_repeat_words"), F.array_join(clean, "\n").alias("clean"),
+def verdict(text: Column) -> Column:
+    """Struct of the base figures, clean (the text without failing lines), kept and base_failed, computed once."""
+
+    def figures(x: Column) -> Column:
+        full = F.filter(x["lines"], lambda l: l.rlike("[^\\x20\\x09-\\x0D]"))
+        clean = F.filter(x["lines"], lambda l: ~F.coalesce(fails(l), F.lit(False)))
+        return F.struct(
+            F.size(x["words"]).alias("n_words"), letters(x["text"]).alias("word_chars"), symbols(x["text"]).alias("n_symbols"),
+            _let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).alias("n_dup_lines"), repeated_words(x["words"]).alias("n_repeat_words"),
+            F.array_join(clean, "\n").alias("clean"),
         )
-        return _let(figures, lambda f: f.withField("clean_chars", letters(f["clean"])))
 
-    taken = F.struct(text.alias("text"), words_of(text).alias("words"), F.split(text, "\n", -1).alias("lines"))
-    out = docs.withColumn("_q", _let(taken, verdict))
-    q = F.col("_q")
-    failed = (q["n_words"] < LEAST_WORDS) | (100 * q["n_repeat_words"].cast("long") > MOST_REPEATED_PERCENT * q["n_words"].cast("long"))
-    kept = ~failed & (q["word_chars"] - q["clean_chars"] <= MOST_REMOVED * q["word_chars"])
-    return out.withColumn("_q", q.withField("base_failed", failed).withField("kept", kept).withField("clean", F.when(whole.isNotNull(), q["clean"])))
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < LEAST_WORDS) | (100 * q["n_repeat_words"].cast("long") > MOST_REPEATED_PERCENT * q["n_words"].cast("long"))
+        removed = q["word_chars"] - letters(q["clean"])
+        return F.struct(*(q[c].alias(c) for c in (*FIGURES, "clean")), removed.alias("removed_chars"), failed.alias("base_failed"), (~failed & (removed <= MOST_REMOVED * q["word_chars"])).alias("kept"))
+
+    taken = _let(text, lambda t: F.struct(t.alias("text"), words_of(t).alias("words"), F.split(t, "\n", -1).alias("lines")))
+    return _let(_let(taken, figures), judged)
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """Figures and verdict per document."""
     q = F.col("_q")
-    figures = [q[c].cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged(docs.select("doc_id", "text")).select(
-        "doc_id", *figures, q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), (q["word_chars"] - q["clean_chars"]).cast("long").alias("removed_chars")
-    )
+    judged = docs.select("doc_id", F.explode(F.array(verdict(F.coalesce("text", F.lit(""))))).alias("_q"))
+    return judged.select("doc_id", *(q[c].cast("long").alias(c) for c in FIGURES), q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), q["removed_chars"].cast("long").alias("removed_chars"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents with their cleaned text; n_chars, where there is one, follows the text."""
-    out = judged(docs).filter("_q.kept").withColumn("text", F.col("_q.clean")).drop("_q")
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    """The kept documents with their cleaned text; n_chars, where there is one, follows the text.
+
+    The verdict is exploded, empty for rejected documents: a filter would be pushed below the
+    projection and have the verdict computed twice.
+    """
+    judged = F.filter(F.array(verdict(F.coalesce("text", F.lit("")))), lambda q: q["kept"])
+    out = docs.select("*", F.explode(judged).alias("_q")).withColumn("text", F.col("_q.clean"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(docs.columns)
