@@ -1,19 +1,23 @@
 """Operator 10: substring dedup by sliding sentence spans.
 
 A text is cut into sentences (behind . ! ? or a line break). A long sentence is cut further at
-its commas and, failing those, behind words that a hash picks, so that the cuts depend on the
-words around them alone. From every sentence on, the shortest run of at least RUN sentences and
-LEAST_WORDS words is hashed; words are compared without case and punctuation. Runs are joined
-globally, and a sentence is removed if any run that covers it isn't the first of its kind, by
-(doc_id, position).
+its commas, colons and bars and, failing those, behind words that a hash picks, so that the cuts
+depend on the words around them alone. From every sentence on, the shortest run of at least RUN
+sentences and LEAST_WORDS words is hashed; words are compared without case (A to Z) and ASCII
+punctuation. Runs are joined globally, and a sentence is removed if any run that covers it isn't
+the first of its kind, by (doc_id, position).
+
+Sentences and hashes of a batch of texts are array operations over its bytes: a polynomial hash's
+running sums give the hash of any run of words by one difference.
 
 The first of each hash is a minimum, pre-aggregated before its shuffle, so a run that stands in a
 third of all documents costs each task one row. Only hashes that occur more than once take part
-in the join back; a hot hash is one row there, and the runs' side of it is left to adaptive
-skew splitting. What is gathered per document are its own removal spans.
+in the join back. The most frequent hashes are joined without a shuffle: at most MOST_HOT of them,
+found by a count in each batch, are resolved by a broadcast of that many rows; all others go by a
+shuffle in which no key is frequent. The split only decides how a run is joined, never whether.
 
-Runs are computed from the text in both branches (hashing again is cheaper than the table of
-runs would be on disk), deterministically, so a lost task gives the same rows again.
+Runs are computed from the text in every branch (hashing again is cheaper than the table of runs
+would be on disk), deterministically, so a lost task gives the same rows again.
 
 Defined cases: null and empty texts have no sentences; a text with fewer than RUN sentences or
 LEAST_WORDS words has no run. A repeated row (same id and text) counts once as an occurrence and
@@ -23,100 +27,162 @@ without doc_id comes after all others. Empty tables give no rows. Other columns
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelume.llm import common
+
 RUN = 3
 LEAST_WORDS = 12
 LONG = 16  # words of a sentence beyond which it is cut further
-SEED = 7
+BLOCK_BYTES = 2 << 20
+HOT = 1000  # occurrences from which a hash may be joined by broadcast
+MOST_HOT = 10_000
+HOT_IN_BLOCK = 4
 
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|\Z)")
-_CLAUSE = re.compile(r"[^,;:|]*(?:[,;:|]+\s*|\Z)")
-_TOKEN = re.compile(r"\S+\s*")
-_WORDS = re.compile(r"\w+")
 _LAST = 1 << 62  # stands for a missing doc_id in comparisons
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
+_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if _WORD[b] else 32 for b in range(256))
+#: 2 ends a sentence, 1 a clause.
+_END = np.array([2 * (b in b".!?\n") + (b in b",;:|") for b in range(256)], np.uint8)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse."""
+    if len(_powers[0]) <= n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n + 1, x, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0][: n + 1], _powers[1][: n + 1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _cut_ids(cut: np.ndarray) -> np.ndarray:
+    """Number of the piece of each word; cut: pieces end behind these words."""
+    return np.concatenate([[0], np.cumsum(cut[:-1])])
+
+
+def block_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text number, start and end (code points) of all runs of some texts."""
+    none = np.empty(0, np.int64)
+    raw = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(raw, np.uint8)
+    folded = raw.translate(_FOLD)
+    word = np.concatenate([[False], _WORD[data]])
+    edge = np.flatnonzero(word[1:] != word[:-1])  # the last byte is no word's, so edges come in pairs
+    start, behind = edge[::2], edge[1::2]
+    n = len(start)
+    if n < RUN:
+        return none, none, none, none
+    text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    of = np.searchsorted(text_at, start, side="right") - 1
+
+    # words one blank apart, and the running hash over them
+    joined = np.frombuffer(b" ".join(folded.split()) + b" ", np.uint8)
+    at = np.concatenate([[0], np.cumsum(behind - start + 1)])  # word k is joined[at[k] : at[k + 1]], blank included
+    power, inverse = _power(len(joined))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    spanned = lambda a, z: _mixed((total[at[z]] - total[at[a]]) * inverse[at[a]])
+
+    ends = _END[data]
+    of_kind = lambda k: np.concatenate([[0], np.cumsum(ends == k)])
+    next_start = np.append(start[1:], len(data))
+    sentence, clause = of_kind(2), of_kind(1)
+    cut = sentence[next_start] > sentence[behind]
+    comma = clause[next_start] > clause[behind]
+    words = np.arange(n)
+    picked = spanned(words, words + 1) % np.uint64(8) == 0
+    for further in (comma, picked):
+        ids = _cut_ids(cut)
+        cut = cut | ((np.bincount(ids)[ids] > LONG) & further)
+    cut[-1] = True
+    last = np.flatnonzero(cut)
+    first = np.concatenate([[0], last[:-1] + 1])
+    upto = np.append(first, n)  # sentence i is words upto[i] to upto[i + 1] - 1
+    i = np.arange(len(first))
+    j = np.maximum(np.searchsorted(upto, upto[i] + LEAST_WORDS), i + RUN)
+    i = i[j <= len(first)]
+    j = j[: len(i)]
+    same = of[upto[i]] == of[upto[j] - 1]
+    i, j = i[same], j[same]
+
+    # a run reaches up to the next sentence of its text, or the text's end
+    a, z = start[upto[i]], np.append(start, len(data))[upto[j]]
+    doc = of[upto[i]]
+    z = np.minimum(z, text_at[doc + 1] - 1)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = points[text_at[doc]]
+    return spanned(upto[i], upto[j]).view(np.int64), doc, points[a] - base, points[z] - base
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], tuple]]:
+    """(ids, texts, runs) of blocks of about BLOCK_BYTES, at least a text each."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        first = size = 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= BLOCK_BYTES or k == len(texts) - 1:
+                yield ids[first : k + 1], texts[first : k + 1], block_runs(texts[first : k + 1])
+                first, size = k + 1, 0
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return common.texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+
+
+def hot_hashes(docs: DataFrame) -> np.ndarray:
+    """At most MOST_HOT of the hashes that occur HOT times or more, the most frequent ones."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, (h, *_) in blocks(batches):
+            values, n = np.unique(h, return_counts=True)
+            many = n >= HOT_IN_BLOCK
+            yield pa.RecordBatch.from_arrays([pa.array(values[many]), pa.array(n[many].astype(np.int64))], names=["hash", "n"])
+
+    frequent = _keyed(docs).mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+    return np.array(sorted(r.hash for r in frequent.orderBy(F.desc("n"), "hash").limit(MOST_HOT).collect()), np.int64)
 
 
-def _pieces(pattern: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    for m in pattern.finditer(text, start, end):
-        if m.end() > m.start():
-            yield m.span()
-
-
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences; they tile the text."""
-    out = []
-    for a, z in _pieces(_SENTENCE, text, 0, len(text)):
-        words = _WORDS.findall(text[a:z].lower())
-        if len(words) <= LONG:
-            out.append((a, z, words))
-            continue
-        for b, y in _pieces(_CLAUSE, text, a, z):
-            words = _WORDS.findall(text[b:y].lower())
-            if len(words) <= LONG:
-                out.append((b, y, words))
-                continue
-            at, held = b, []
-            for c, x in _pieces(_TOKEN, text, b, y):
-                own = _WORDS.findall(text[c:x].lower())
-                held += own
-                if any(zlib.crc32(w.encode()) % 8 == 0 for w in own):
-                    out.append((at, x, held))
-                    at, held = x, []
-            if at < y:
-                out.append((at, y, held))
-    return out
-
-
-def runs(text: str | None) -> tuple[int, list[tuple[int, int, int]]]:
-    """Number of sentences, and (hash, start, end) of every run."""
-    import xxhash
-
-    found = [s for s in sentences(text or "") if s[2]]
-    out, end, words = [], 0, 0
-    hashes = [xxhash.xxh64_digest(" ".join(s[2]), SEED) for s in found]
-    for i in range(len(found)):
-        while end < len(found) and (end - i < RUN or words < LEAST_WORDS):
-            words += len(found[end][2])
-            end += 1
-        if end - i < RUN or words < LEAST_WORDS:
-            break
-        h = xxhash.xxh64_intdigest(b"".join(hashes[i:end]), SEED)
-        out.append((h - (1 << 64) if h >> 63 else h, found[i][0], found[end - 1][1]))
-        words -= len(found[i][2])
-    return len(found), out
-
-
-def _all_runs(docs: DataFrame) -> DataFrame:
-    """hash, doc (doc_id or _LAST), crc of the text, place (start << 32 | end)."""
+def all_runs(docs: DataFrame, hot: np.ndarray, take_hot: bool) -> DataFrame:
+    """hash, doc (doc_id or _LAST), crc of the text, place (start << 32 | end) of the hot or of the other runs."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, doc, crc, place = [], [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = runs(t)[1]
-                h += [x[0] for x in own]
-                doc += [d] * len(own)
-                crc += [zlib.crc32((t or "").encode()) - (1 << 31)] * len(own)
-                place += [a << 32 | z for _, a, z in own]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(crc, pa.int32()), pa.array(place, pa.int64())], names=["hash", "doc", "crc", "place"])
+        for ids, texts, (h, doc, a, z) in blocks(batches):
+            if len(hot):
+                mine = np.isin(h, hot) == take_hot
+                h, doc, a, z = h[mine], doc[mine], a[mine], z[mine]
+            crc = np.array([zlib.crc32(t) - (1 << 31) for t in texts], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(ids, np.int64)[doc]), pa.array(crc[doc]), pa.array(a << 32 | z)], names=["hash", "doc", "crc", "place"])
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    return keyed.mapInArrow(hashed, "hash long, doc long, crc int, place long")
+    return _keyed(docs).mapInArrow(hashed, "hash long, doc long, crc int, place long")
 
 
 def removal_spans(docs: DataFrame) -> DataFrame:
     """doc, crc, cut: the merged removal spans (start, end in code points) of each document that has any."""
     place = F.struct("doc", "crc", "place")
-    repeated = _all_runs(docs).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("hash", "first")
-    later = _all_runs(docs).join(repeated, "hash").filter(place != F.col("first")).select("doc", "crc", "place")
-    return later.distinct().groupBy("doc", "crc").agg(F.sort_array(F.collect_list("place")).alias("places")).select("doc", "crc", _merged(F.col("places")).alias("cut"))
+    hot = hot_hashes(docs)
+
+    def later(take_hot: bool) -> DataFrame:
+        runs = all_runs(docs, hot, take_hot)
+        repeated = runs.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("hash", "first")
+        side = F.broadcast(repeated) if take_hot else repeated  # at most MOST_HOT rows
+        return all_runs(docs, hot, take_hot).join(side, "hash").filter(place != F.col("first")).select("doc", "crc", "place")
+
+    found = later(False).union(later(True)) if len(hot) else later(False)
+    return found.distinct().groupBy("doc", "crc").agg(F.sort_array(F.collect_list("place")).alias("places")).select("doc", "crc", _merged(F.col("places")).alias("cut"))
 
 
 def _merged(places: Column) -> Column:
@@ -139,21 +205,10 @@ def _with_cuts(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, number of sentences, of removed ones, removed characters, and the spans as start:end."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32((t or "").encode()) - (1 << 31) for t in batch.column(1).to_pylist()]
-            ends = [[z for _, z, w in sentences(t or "") if w] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int32()), pa.array(ends, pa.list_(pa.int32()))], names=["doc_id", "_crc", "_ends"])
-
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, _crc int, _ends array<int>")
-    cuts = removal_spans(docs).select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), F.col("cut").alias("_cut"))
-    out = few.withColumn("_doc", F.coalesce("doc_id", F.lit(_LAST))).join(cuts, ["_doc", "_crc"], "left")
+    """Per row: doc_id, number of removal spans, removed characters, and the spans as start:end."""
     cut = F.coalesce("_cut", F.array().cast("array<struct<start:int,end:int>>"))
-    removed = F.aggregate(cut, F.lit(0), lambda n, s: n + F.size(F.filter("_ends", lambda e: (e > s["start"]) & (e <= s["end"]))))
-    return out.select(
-        "doc_id", F.size("_ends").cast("long").alias("n_sentences"), removed.cast("long").alias("n_removed"),
+    return _with_cuts(docs.select("doc_id", "text")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.size(cut).cast("long").alias("n_removed"),
         F.aggregate(cut, F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long").alias("removed_chars"),
         F.array_join(F.transform(cut, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed_spans"),
     )
