@@ -7,6 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_A_BATCH = 1000
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """docs, to be handed to Arrow functions in batches of ROWS_A_BATCH rows at most.
+
+    Texts are large: ten thousand at once, the default, cost hundreds of MB on both sides of the
+    pipe. The setting is the session's; a smaller one stays.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= ROWS_A_BATCH:
+        conf.set(key, str(ROWS_A_BATCH))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

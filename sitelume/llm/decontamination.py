@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelume.llm.common import texts
+
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 SHARD_WORDS = 1 << 20  # indexed words
@@ -201,7 +203,7 @@ _SPAN = pa.list_(pa.struct([("first", pa.int32()), ("behind", pa.int32())]))
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (merged, in words) and items (ids with occurring windows, sorted as strings)."""
     parts = blocks(items, block_bytes, window) or [Block([b"-"], np.array([[0] * (window - 1) + [1]], np.int32), np.array([1]), np.array([0, 0]), np.empty(0, np.int64), [])]
-    few = docs.select("doc_id", "text")
+    few = texts(docs).select("doc_id", "text")
     kind = dict(few.dtypes)["doc_id"]
 
     def passed(b: Block) -> DataFrame:
@@ -263,7 +265,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    names, out = docs.columns, docs
+    names, out = docs.columns, texts(docs)
     column = names.index("text")
     schema = to_arrow_schema(docs.schema)
     for b in blocks(items, block_bytes, window):

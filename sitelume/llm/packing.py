@@ -137,7 +137,7 @@ def tokenised(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) -> D
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(pieces, PIECES)
+    return common.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(pieces, PIECES)
 
 
 def pack(

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelume.llm.common import texts
+
 SAMPLE = 6000
 HASHED = 2048
 BINS = 12
@@ -159,7 +161,7 @@ def _features(docs: DataFrame) -> DataFrame:
             both = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in both], pa.list_(pa.float64())), pa.array([h for _, h in both], pa.list_(pa.int32()))], names=["doc_id", "stats", "hashed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, stats array<double>, hashed array<int>")
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counted, "doc_id long, stats array<double>, hashed array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float | None = None) -> Model:
@@ -184,5 +186,5 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = model.scores(np.array([x for x, _ in both]).reshape(-1, STATISTICS), [h for _, h in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    out = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

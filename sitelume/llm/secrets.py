@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sitelume.llm import automaton
+from sitelume.llm.common import texts
 
 PIECE = 2048
 BLOCK_BYTES = 8 << 20
@@ -153,4 +154,4 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array(map(text, found), pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs).select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelume.llm.common import checkpoint
+from sitelume.llm.common import checkpoint, texts
 from sitelume.llm.components import components
 
 SHINGLE = 3
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
 
 
 def _high(fp: Column) -> Column:

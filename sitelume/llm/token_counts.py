@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelume.llm import packing
+from sitelume.llm import common, packing
 
 RULES = ("most", "start", "end")
 
@@ -106,5 +106,5 @@ def attributed(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang", "te
             types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f).cast("string").alias(f) for f in fields))
+    few = common.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f).cast("string").alias(f) for f in fields))
     return few.mapInArrow(counted, "doc_id long, field string, section int, start long, length long, n_tokens long, n_crossing long")
