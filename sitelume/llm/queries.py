@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelume.llm import chat, decontamination, packing, pii, quality_model, quality_rules, secrets, sentence_spans, simhash, token_counts
+from sitelume.llm import chat, decontamination, oracles, packing, pii, quality_model, quality_rules, secrets, sentence_spans, simhash, token_counts
 from sitelume.llm.common import table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracles.ORACLE)
 
 
 def query(f):
