@@ -25,13 +25,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelume.llm.common import texts
+from sitelume.llm.common import checkpoint, texts
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -83,17 +84,23 @@ def block(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> B
     return Block(list(number), unique, (unique > 0).sum(axis=1), at, pairs[:, 1], list(names))
 
 
-def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> list[Block]:
-    """The query set in blocks of about block_bytes; each is bounded as it is collected."""
+def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> tuple[int, Iterator[Block]]:
+    """Number of blocks of about block_bytes, and the blocks one after the other; each is bounded as it is collected."""
     sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    out = []
-    for k in range(n):
-        part = sized if n == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        if (b := block([(r.item_id, r.text) for r in part.collect()], window)) is not None:
-            out.append(b)
-    return out
+
+    def each() -> Iterator[Block]:
+        for k in range(n):
+            part = sized if n == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            if (b := block([(r.item_id, r.text) for r in part.collect()], window)) is not None:
+                yield b
+
+    return n, each()
+
+
+#: A query set that nothing matches.
+_NOTHING = Block([b"-"], np.array([[1]], np.int32), np.array([1]), np.array([0, 0]), np.empty(0, np.int64), [])
 
 
 class _Shard:
@@ -202,7 +209,7 @@ _SPAN = pa.list_(pa.struct([("first", pa.int32()), ("behind", pa.int32())]))
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (merged, in words) and items (ids with occurring windows, sorted as strings)."""
-    parts = blocks(items, block_bytes, window) or [Block([b"-"], np.array([[0] * (window - 1) + [1]], np.int32), np.array([1]), np.array([0, 0]), np.empty(0, np.int64), [])]
+    n, parts = blocks(items, block_bytes, window)
     few = texts(docs).select("doc_id", "text")
     kind = dict(few.dtypes)["doc_id"]
 
@@ -215,19 +222,17 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
 
         return few.mapInArrow(found, f"doc_id {kind}, {_FOUND}")
 
-    if len(parts) == 1:
-        return passed(parts[0])
-    # several blocks: each row comes once per block; repeated rows are told apart by their number only
-    keyed = few.withColumn("_text", F.xxhash64("text"))
-    few = keyed.select(F.struct("doc_id", "_text").alias("doc_id"), "text")
+    if n == 1:
+        return passed(next(parts, _NOTHING))
+    # several blocks: each row comes once per pass; repeated rows are told apart by their number only
+    few = few.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text")
     kind = dict(few.dtypes)["doc_id"]
-    every = passed(parts[0])
-    for b in parts[1:]:
-        every = every.union(passed(b))
+    passes = [checkpoint(passed(b)) for b in parts] or [passed(_NOTHING)]  # a pass is done with before the next block is read
+    every = reduce(DataFrame.union, passes)
     merged = every.groupBy("doc_id", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / len(parts)).cast("int").alias("copies"),
+        (F.count("*") / len(passes)).cast("int").alias("copies"),
     )
     empty = F.array().cast("array<struct<first:int,behind:int>>")
 
@@ -268,7 +273,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
     names, out = docs.columns, texts(docs)
     column = names.index("text")
     schema = to_arrow_schema(docs.schema)
-    for b in blocks(items, block_bytes, window):
+    n, parts = blocks(items, block_bytes, window)
+    for b in parts:
 
         def cleaned(batches: Iterator[pa.RecordBatch], b: Block = b) -> Iterator[pa.RecordBatch]:
             for part, n_words, spans, _ in _shards(batches, b, column):
@@ -285,4 +291,5 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
         out = out.mapInArrow(cleaned, docs.schema)
+        out = out if n == 1 else checkpoint(out)
     return out

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
+BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
 
@@ -78,8 +79,8 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of the entries before each entry, and the total last."""
+def _sums(lengths: Column) -> Column:
+    """Sums of the entries before each entry, and the total last; copies the array at every step."""
     return F.aggregate(
         lengths,
         F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all")),
@@ -88,6 +89,20 @@ def _running(lengths: Column) -> Column:
     )
 
 
+def _running(lengths: Column) -> Column:
+    """_sums by blocks of BLOCK entries, so that a text with very many matches stays cheap."""
+
+    def summed(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        bases = _sums(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)))
+        return _let(bases, lambda base: F.concat(F.flatten(F.zip_with(blocks, F.slice(base, 1, F.size(blocks)), lambda x, at: F.transform(F.slice(_sums(x), 1, F.size(x)), lambda n: n + at))), F.slice(base, -1, 1)))
+
+    return _let(lengths, lambda x: F.when(F.size(x) <= BLOCK, _sums(x)).otherwise(summed(x)))
+
+
 def proposals(text: Column, d: Detector) -> Column:
     """Confirmed spans of one kind, in order: array of SPAN."""
     parts = F.struct(F.split(text, d.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)).alias("hit"))

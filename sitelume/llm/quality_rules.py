@@ -120,7 +120,7 @@ def clean(docs: DataFrame) -> DataFrame:
     projection and have the verdict computed twice.
     """
     judged = F.filter(F.array(verdict(F.coalesce("text", F.lit("")))), lambda q: q["kept"])
-    out = docs.select("*", F.explode(judged).alias("_q")).withColumn("text", F.col("_q.clean"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.explode(judged).alias("q"))
+    clean_text = F.col("q.clean")
+    n_chars = F.length(clean_text).cast(dict(docs.dtypes).get("n_chars", "long"))
+    return rows.select(*({"text": clean_text, "n_chars": n_chars}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

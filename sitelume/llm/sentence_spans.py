@@ -198,17 +198,17 @@ def _merged(places: Column) -> Column:
 
 
 def _with_cuts(docs: DataFrame) -> DataFrame:
-    """docs with _cut (null where nothing is removed)."""
-    cuts = removal_spans(docs).select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), F.col("cut").alias("_cut"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_crc", (F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int"))
-    return keyed.join(cuts, ["_doc", "_crc"], "left").drop("_doc", "_crc")
+    """row (the document's columns) and cut (null where nothing is removed)."""
+    crc = (F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), crc.alias("crc"))
+    return keyed.join(removal_spans(docs), ["doc", "crc"], "left").select("row", "cut")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, number of removal spans, removed characters, and the spans as start:end."""
-    cut = F.coalesce("_cut", F.array().cast("array<struct<start:int,end:int>>"))
+    cut = F.coalesce("cut", F.array().cast("array<struct<start:int,end:int>>"))
     return _with_cuts(docs.select("doc_id", "text")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size(cut).cast("long").alias("n_removed"),
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.size(cut).cast("long").alias("n_removed"),
         F.aggregate(cut, F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long").alias("removed_chars"),
         F.array_join(F.transform(cut, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("removed_spans"),
     )
@@ -216,8 +216,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs without the removal spans; a document that loses everything keeps an empty text."""
-    whole, cut = F.col("text"), F.col("_cut")
+    whole, cut = F.col("row.text"), F.col("cut")
     step = lambda a, s: F.struct(F.concat(a["out"], F.array(F.substring(whole, a["at"] + 1, s["start"] - a["at"]))).alias("out"), s["end"].alias("at"))
     left = F.aggregate(cut, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")), step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(whole, a["at"] + 1, F.length(whole)))), ""))
-    out = _with_cuts(docs).withColumn("text", F.when(cut.isNotNull(), left).otherwise(whole))
-    return out.select(docs.columns)
+    text = F.when(cut.isNotNull(), left).otherwise(whole)
+    return _with_cuts(docs).select(*((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -35,6 +35,12 @@ def test_pii_added_kinds(odd_docs):
     assert re.findall("[a-z_]+(?=:)", spans[12]) == ["iban", "iban", "short_card", "national_id"]
 
 
+def test_pii_many_matches(spark):
+    text = "é " + " x ".join(f"{i} 10.0.{i % 300}.1 a{i}@b.cd" for i in range(700))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    check_each(pii.digest(pii.find(docs)), docs, brute.pii)
+
+
 def test_pii_redact(odd_docs, odd_texts):
     out = {r["doc_id"]: r for r in rows(pii.redact(odd_docs))}
     assert out[0]["text"] is None and out[8]["text"] == odd_texts[8] and out[1]["fp"] == 1
@@ -80,6 +86,8 @@ def test_quality_clean(spark):
     docs = spark.createDataFrame([(1, text), (2, f"{menu}\n{text}\nAll rights reserved."), (3, "\n".join([menu, "## $$ %% x"] * 30 + [text[:300]]))], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in rows(quality_rules.clean(docs))}
     assert out == {1: text, 2: text}
+    odd = docs.selectExpr("doc_id", "text", "1 q", "2 row", "3 _q", "'x' kept", "4 n_chars")
+    assert [(r.q, r.row, r.kept, r.n_chars) for r in quality_rules.clean(odd).collect()] == [(1, 2, "x", len(text))] * 2
 
 
 @pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs"])
