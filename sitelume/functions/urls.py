@@ -187,7 +187,7 @@ def _without_dots(p: Column) -> Column:
             F.array().cast("array<string>"),
             lambda a, s: F.when(s == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s))),
         )
-        ended = lambda k: F.concat(F.array_join(k, "/"), F.when(x.rlike(r"(?:^|/)\.{1,2}$") & (F.element_at(k, -1) != ""), "/").otherwise(""))
+        ended = lambda k: F.concat(F.array_join(k, "/"), F.when(x.rlike(r"(?:^|/)\.{1,2}$"), "/").otherwise(""))
         return F.when(x.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), let(kept, ended)).otherwise(x)
 
     return let(p, resolved)

@@ -153,8 +153,10 @@ def warc_html(records: DataFrame) -> DataFrame:
 
 
 def warc_body(content: bytes | None) -> str | None:
+    if not content:
+        return None
     try:
-        raw = gzip.decompress(bytes(content or b""))
+        raw = gzip.decompress(bytes(content))
     except (OSError, EOFError):
         return None
     for _ in range(2):
