@@ -86,18 +86,20 @@ def evaluated(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 def duplicate_findings(pages: DataFrame) -> DataFrame:
     """url, seq, severity, message, detail of pages that share a folded title or description."""
 
-    def of(field: str, label: str, seq: int) -> DataFrame:
-        keyed = pages.select("url", folded(field).alias("key")).filter("key <> ''")
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")  # counted before the shuffle; a hot title is one row
-        return keyed.join(shared, "key").select("url", F.lit(seq).alias("seq"), F.lit("medium").alias("severity"), F.lit(label).alias("message"), _count(F.col("n"), "pages").alias("detail"))
+    asked = F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(label).alias("message"), folded(c).alias("key")) for seq, label, c in ((15, "Duplicate title", "title"), (16, "Duplicate meta description", "meta_description"))))
+    keyed = pages.select("url", F.explode(asked).alias("f")).select("url", "f.*").filter("key <> ''")
+    shared = keyed.groupBy("seq", "key").agg(F.count("*").alias("n")).filter("n > 1")  # counted before the shuffle; a hot title is one row
+    return keyed.join(shared, ["seq", "key"]).select("url", "seq", F.lit("medium").alias("severity"), "message", _count(F.col("n"), "pages").alias("detail"))
+
 
-    return of("title", "Duplicate title", 15).unionByName(of("meta_description", "Duplicate meta description", 16))
+def own_findings(judged: DataFrame) -> DataFrame:
+    """The findings array as rows. The outer form: for the inner one a filter on the array's size would be computed first, from all the rules again."""
+    return judged.select("url", F.explode_outer("findings").alias("f")).filter("f is not null").select("url", "f.*")
 
 
 def audit_findings(pages: DataFrame) -> DataFrame:
     """All findings of the audit, one row each."""
-    own = evaluated(pages, audit_rules()).select("url", F.explode("findings").alias("f")).select("url", "f.*")
-    return own.unionByName(duplicate_findings(pages))
+    return own_findings(evaluated(pages, audit_rules())).unionByName(duplicate_findings(pages))
 
 
 # ---- technical issues of a single page
@@ -127,7 +129,7 @@ def technical_issues(pages: DataFrame, headings: str = "h1s") -> DataFrame:
         issue(text("viewport") == "", "missing_viewport", "low"),
     )
     no_alt = F.transform(F.filter(images, lambda i: i["alt"].isNull()), lambda i: F.struct(F.lit("image_missing_alt").alias("type"), F.lit("low").alias("severity")))
-    return pages.select("url", F.explode(F.concat(F.filter(found, lambda x: x.isNotNull()), no_alt)).alias("i")).select("url", "i.*")
+    return pages.select("url", F.explode_outer(F.concat(F.filter(found, lambda x: x.isNotNull()), no_alt)).alias("i")).filter("i is not null").select("url", "i.*")
 
 
 def fetch_issues(fetches: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def indexability_issues(pages: DataFrame) -> DataFrame:
         issue((status == 200) & (canonical != "") & (canonical != F.col("url")), "non_self_canonical", "medium", text("canonical")),
         issue((canonical != "") & (ideal != "") & (ideal != F.col("url")), "canonical_to_different_url", "medium", ideal),
     )
-    return pages.select("url", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("url", "i.*")
+    return pages.select("url", F.explode_outer(F.filter(found, lambda x: x.isNotNull())).alias("i")).filter("i is not null").select("url", "i.*")
 
 
 def hreflang_issues(alternates: DataFrame) -> DataFrame:
@@ -201,7 +203,7 @@ def legacy_issues(pages: DataFrame, links: DataFrame, start_url: str, failed: Da
         issue(status.between(300, 399), "Crawlability", "WARNING", "Redirected URL", status.cast("string")),
     )
     no_alt = F.transform(F.filter(images, lambda i: strip(i["alt"]) == ""), lambda i: F.struct(F.lit("Images").alias("category"), F.lit("WARNING").alias("severity"), F.lit("Image missing ALT text").alias("issue"), text(i["url"]).alias("details")))
-    out = pages.select("url", F.explode(F.concat(F.filter(found, lambda x: x.isNotNull()), no_alt)).alias("i")).select("i.category", "i.severity", "i.issue", "url", "i.details")
+    out = pages.select("url", F.explode_outer(F.concat(F.filter(found, lambda x: x.isNotNull()), no_alt)).alias("i")).filter("i is not null").select("i.category", "i.severity", "i.issue", "url", "i.details")
 
     row = lambda df, category, severity, said, detail=None: df.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(said).alias("issue"), "url", (F.lit("") if detail is None else detail).alias("details"))
     for field, label in (("title", "Duplicate title tag"), ("meta_description", "Duplicate meta description")):

@@ -64,7 +64,7 @@ def summary(pages: DataFrame, site: DataFrame) -> DataFrame:
     Three aggregates of one row each are put side by side; nothing else leaves its task.
     """
     judged = rules.evaluated(pages, rules.audit_rules())
-    findings = judged.select("url", F.explode("findings").alias("f")).select("url", "f.*").unionByName(rules.duplicate_findings(pages))
+    findings = rules.own_findings(judged).unionByName(rules.duplicate_findings(pages))
     status, robots = number("status_code"), F.lower(text("robots"))
     totals = judged.agg(
         F.count("*").alias("pages_crawled"), F.coalesce(F.sum("checks"), F.lit(0)).alias("checks"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"),
