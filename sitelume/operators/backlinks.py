@@ -74,16 +74,38 @@ def investigate(pages: DataFrame, links: DataFrame, domains: DataFrame, target:
     starts = domains.select(F.explode(F.transform(urls.origins("domain"), urls.canonical_or_self)).alias("url"))
     order = graph.bfs(own, starts, max_depth=50).join(ok.select("url", "domain"), "url")
     place = F.row_number().over(Window.partitionBy("domain").orderBy("depth", F.startswith("url", F.lit("http:")), "url"))
-    visits = order.withColumn("seq", place).filter(F.col("seq") <= max_pages)
-    hits = page_hits(links, urls.bare_domain(F.lit(target))).select(F.col("source_url").alias("url")).distinct()
-    hit = visits.join(hits, "url").groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by("url", "seq").alias("hit_url"))
-    checked = visits.groupBy("domain").agg(F.count("*").alias("visited"))
-    return domains.join(checked, "domain", "left").join(hit, "domain", "left").select(
-        "domain", F.when(F.col("hit_seq").isNotNull(), "confirmed").otherwise("not_found").alias("status"),
-        F.coalesce("hit_seq", "visited", F.lit(0)).cast("long").alias("pages_checked"), "hit_url",
+    ranked = order.withColumn("seq", place)
+    visits = ranked.filter(F.col("seq") <= max_pages)
+    hits = page_hits(links, urls.bare_domain(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
+    hit = visits.join(hits, "url").groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by(F.struct("url", "n"), "seq").alias("hit"))
+    reached = ranked.groupBy("domain").agg(F.count("*").alias("reached"))
+    found = domains.join(reached, "domain", "left").join(hit, "domain", "left")
+    limited = F.least(F.coalesce("reached", F.lit(0)), F.lit(max_pages))
+    return found.select(
+        "domain", F.when(F.col("hit").isNotNull(), "confirmed").when(F.col("reached") > max_pages, "timeout").otherwise("not_found").alias("status"),
+        F.coalesce("hit_seq", limited).cast("long").alias("pages_checked"), F.col("hit.url").alias("hit_url"), F.coalesce("hit.n", F.lit(0)).alias("links_found"),
     )
 
 
+def layer2_summary(found: DataFrame) -> DataFrame:
+    """Overall status and totals of investigate()'s rows; no rows mean no_referring_domains."""
+    any_of = lambda s: F.coalesce(F.bool_or(F.col("status") == s), F.lit(False))
+    overall = F.when(F.count("*") == 0, "no_referring_domains").when(any_of("confirmed"), "confirmed").when(any_of("timeout"), "timeout").when(any_of("error"), "error").when(any_of("blocked"), "blocked").otherwise("not_found")
+    return found.agg(overall.alias("status"), F.count("*").alias("domains_investigated"), F.coalesce(F.sum("links_found"), F.lit(0)).alias("links_found"))
+
+
+def layer1(vertices: DataFrame | None, edges_t: DataFrame | None, target: str) -> tuple[str, DataFrame | None]:
+    """Status of the domain-graph lookup, and its rows if it succeeded."""
+    spark = vertices.sparkSession if vertices is not None else None
+    if vertices is None or edges_t is None:
+        return "graph_missing", None
+    if spark.range(1).select(urls.bare_domain(F.lit(target)) == "").first()[0]:
+        return "invalid_target", None
+    if vertex_id(vertices, target).isEmpty():
+        return "not_in_graph", None
+    return "success", referring_domains(vertices, edges_t, target)
+
+
 def public_backlinks(sources: DataFrame, target: str) -> DataFrame:
     """Distinct anchors to the target on pages outside it. sources: url, final_url, content_type, html."""
     kind = F.lower(F.coalesce("content_type", F.lit("")))

@@ -108,3 +108,10 @@ def admitted(candidates: DataFrame, seen: DataFrame, start_url: str, max_depth:
     first = ok.groupBy("url").agg(F.min(F.struct("seq", "depth")).alias("f")).select("url", "f.depth", "f.seq")
     room = max(0, max_pages - seen.count())
     return first.join(seen.select("url"), "url", "left_anti").orderBy("seq", "url").limit(room)
+
+
+def redirect_targets(fetches: DataFrame) -> DataFrame:
+    """url, depth, priority of the pages that 3xx fetches (url, status_code, location, depth) lead to."""
+    to = urls.normalize(urls.resolve("url", "location"))
+    moved = fetches.filter(F.col("status_code").between(300, 399) & (F.coalesce("location", F.lit("")) != ""))
+    return moved.select(to.alias("url"), (F.col("depth") + 1).alias("depth"), F.lit(-50).alias("priority")).filter("url <> ''")

@@ -39,6 +39,13 @@ def with_degrees(pages: DataFrame, graph: DataFrame) -> DataFrame:
     return joined.select(*pages.columns, F.coalesce("incoming", F.lit(0)).alias("links_in"), F.coalesce("outgoing", F.lit(0)).alias("links_out"))
 
 
+def flagged_degrees(links: DataFrame, start_url: str) -> DataFrame:
+    """url, incoming, outgoing by link rows as they are: flagged internal, or below the start URL."""
+    own = links.filter(F.coalesce("internal", F.lit(False)) | F.startswith(text("target_url"), F.lit(start_url)))
+    ends = own.select(F.explode(F.array(F.struct(text("target_url").alias("url"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(text("source_url").alias("url"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
+    return ends.groupBy("e.url").agg(F.sum("e.i").alias("incoming"), F.sum("e.o").alias("outgoing"))
+
+
 def orphans(pages: DataFrame, links: DataFrame, start_url: str | None = None) -> DataFrame:
     """Pages that no internal link names; the start page is exempt if given."""
     targets = links.filter("internal").select(F.col("target_url").alias("url")).distinct()

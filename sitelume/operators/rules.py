@@ -218,25 +218,28 @@ def legacy_issues(pages: DataFrame, links: DataFrame, start_url: str, failed: Da
     return out if failed is None else out.unionByName(row(failed, "Crawlability", "ERROR", "Broken URL / failed crawl"))
 
 
-def pipeline_issues(pages: DataFrame) -> DataFrame:
-    """url and the plain-text issues of the short profile, as an array."""
-    title, description = strip("title"), strip("meta_description")
+def pipeline_issues(pages: DataFrame, status_last: bool = False) -> DataFrame:
+    """url and the plain-text issues of the short profile, as an array; fields count as they are, not stripped."""
+    title, description = text("title"), text("meta_description")
     n_h1, status = F.size(items("h1s", "array<string>")), number("status_code")
-    issue = lambda when, said: F.when(when, F.lit(said))
-    found = F.array(
-        issue(status >= 400, "HTTP error"),
+    n_alt, n_links = alt_missing(items("images", IMAGES)), F.coalesce(F.col("links_out"), F.lit(0))
+    issue = lambda when, said: F.when(when, said if isinstance(said, Column) else F.lit(said))
+    http = issue(status >= 400, F.concat(F.lit("HTTP "), status.cast("string")))
+    others = [
         issue(title == "", "Missing title"),
         issue((title != "") & (F.length(title) < 30), "Short title"),
         issue(F.length(title) > 60, "Long title"),
         issue(description == "", "Missing meta description"),
         issue((description != "") & (F.length(description) < 70), "Short meta description"),
         issue(F.length(description) > 160, "Long meta description"),
-        issue(n_h1 == 0, "Missing H1"),
-        issue(n_h1 > 1, "Multiple H1"),
+        issue(n_h1 == 0, "No H1"),
+        issue(n_h1 > 1, _count(n_h1, "H1s")),
         issue(number("word_count") < 300, "Low word count"),
-        issue(~present("canonical"), "Missing canonical"),
-        issue(alt_missing(items("images", IMAGES)) > 0, "Missing image ALT"),
+        issue(n_alt > 0, _count(n_alt, "images without ALT")),
+        issue(n_links == 0, "No internal links"),
+        issue(n_links.between(1, 2), "Low internal links"),
+        issue(text("canonical") == "", "Missing canonical"),
         issue(F.size(items("schemas", "array<string>")) == 0, "No structured data"),
-        issue(F.coalesce(F.col("links_out"), F.lit(0)) < 3, "Low internal links"),
-    )
+    ]
+    found = F.array(*([*others, http] if status_last else [http, *others]))
     return pages.select("url", "status_code", "canonical", F.filter(found, lambda x: x.isNotNull()).alias("issues"))

@@ -321,6 +321,11 @@ def frontier_priority(spark, sf_dir):
     return graph.frontier_order(found.withColumn("seq", F.regexp_extract("url", "[0-9]+$", 0).cast("long")))
 
 
+@query(f"{_WITH}, f AS (SELECT * FROM crawl_links WHERE internal OR starts_with(target_url, '{ad.HOME}')), i AS (SELECT target_url AS url, count(*) AS incoming FROM f GROUP BY 1), o AS (SELECT source_url AS url, count(*) AS outgoing FROM f GROUP BY 1) SELECT url, CAST(coalesce(incoming, 0) AS BIGINT) AS incoming, CAST(coalesce(outgoing, 0) AS BIGINT) AS outgoing FROM i FULL JOIN o USING (url)")
+def flagged_degrees(spark, sf_dir):
+    return links.flagged_degrees(ad.crawl_links(spark, sf_dir), ad.HOME)
+
+
 # ---- site and merging
 
 
@@ -471,8 +476,17 @@ def legacy_health(spark, sf_dir):
     return scoring.legacy_health(*_legacy(spark, sf_dir))
 
 
-_SHORT = ["status >= 400", "title = ''", "title <> '' AND length(title) < 30", "length(title) > 60", "description = ''", "description <> '' AND length(description) < 70", "length(description) > 160", "n_h1 = 0", "n_h1 > 1", "words < 300", "canonical = ''", "n_null + n_blank > 0", "n_schemas = 0", "coalesce(links_out, 0) < 3"]
-_SHORT_SQL = f"{_WITH}, k AS (SELECT status, canonical, {' + '.join(f'(CASE WHEN {c} THEN 1 ELSE 0 END)' for c in _SHORT)} AS n FROM crawl_pages LEFT JOIN outs USING (url))"
+_SHORT = [
+    ("status >= 400", "'HTTP ' || status"), ("title = ''", "'Missing title'"), ("title <> '' AND length(title) < 30", "'Short title'"), ("length(title) > 60", "'Long title'"), ("description = ''", "'Missing meta description'"),
+    ("description <> '' AND length(description) < 70", "'Short meta description'"), ("length(description) > 160", "'Long meta description'"), ("n_h1 = 0", "'No H1'"), ("n_h1 > 1", "n_h1 || ' H1s'"), ("words < 300", "'Low word count'"),
+    ("n_null + n_blank > 0", "(n_null + n_blank) || ' images without ALT'"), ("coalesce(links_out, 0) = 0", "'No internal links'"), ("links_out BETWEEN 1 AND 2", "'Low internal links'"), ("canonical = ''", "'Missing canonical'"), ("n_schemas = 0", "'No structured data'"),
+]
+_SHORT_SQL = f"{_WITH}, k AS (SELECT url, status, canonical, list_filter([{', '.join(f'CASE WHEN {c} THEN {m} END' for c, m in _SHORT)}], lambda x: x IS NOT NULL) AS issues, len(issues) AS n FROM crawl_pages LEFT JOIN outs USING (url))"
+
+
+@query(f"{_SHORT_SQL} SELECT url, array_to_string(issues, '|') AS issues FROM k")
+def pipeline_issues(spark, sf_dir):
+    return rules.pipeline_issues(_audited(spark, sf_dir)).select("url", F.array_join("issues", "|").alias("issues"))
 
 
 @query(f"""{_SHORT_SQL} SELECT CAST(round_even(greatest(0, least(100, avg(greatest(0, 100 - 10 * n)))), 0) AS BIGINT) AS seo_score,

@@ -8,6 +8,8 @@ partitions. Tests hand in their own ``opener``; nothing here needs the network t
 from __future__ import annotations
 
 import re
+import socket
+import ssl
 import time
 import urllib.error
 import urllib.request
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sitelume.functions import urls
+
 RESULT = "url string, final_url string, status_code int, content_type string, content_length long, elapsed double, attempts int, error string, html string, headers map<string,string>"
 
 
@@ -102,7 +106,7 @@ class Client:
         return {"url": url, "final_url": None, "status_code": None, "content_type": None, "content_length": None, "elapsed": None, "attempts": self.options.retries + 1, "error": error, "html": None, "headers": None}
 
 
-def fetch(urls: DataFrame, options: FetchOptions = FetchOptions(), opener: Opener = open_url, partitions: int | None = None) -> DataFrame:
+def fetch(asked: DataFrame, options: FetchOptions = FetchOptions(), opener: Opener = open_url, partitions: int | None = None) -> DataFrame:
     """Results of a table of URLs (url), each fetched once; partitions share the rate."""
     n = partitions or options.concurrency
     each = replace(options, requests_per_second=max(0.001, options.requests_per_second / n))
@@ -113,7 +117,7 @@ def fetch(urls: DataFrame, options: FetchOptions = FetchOptions(), opener: Opene
             for url in rows["url"]:
                 yield pd.DataFrame([client.get(url)]).astype({"status_code": "Int64", "content_length": "Int64"})
 
-    return urls.select("url").distinct().repartition(n, "url").mapInPandas(run, RESULT)
+    return asked.select("url").distinct().repartition(n, "url").mapInPandas(run, RESULT)
 
 
 def with_other_scheme(url: str) -> str:
@@ -174,3 +178,40 @@ def rdap_created(documents: DataFrame) -> DataFrame:
     events = F.from_json("value", "events array<struct<eventAction:string,eventDate:string>>")["events"]
     of = lambda kind: F.get(F.filter(events, lambda e: e["eventAction"] == kind), F.lit(0))["eventDate"]
     return documents.select("domain", F.coalesce(of("registration"), of("creation")).alias("created"))
+
+
+def probe_resources(resources: DataFrame, fetched: DataFrame) -> DataFrame:
+    """page_url, url, status, content_type, elapsed, error of resources (page_url, resource_url) by a fetched corpus.
+
+    A resource that wasn't fetched, or has no response, has status 0.
+    """
+    asked = resources.select("page_url", urls.normalize(urls.resolve("page_url", "resource_url")).alias("url")).filter("url <> ''")
+    found = fetched.select("url", "status_code", "content_type", "elapsed", "error").withColumn("_found", F.lit(True))
+    return asked.join(found, "url", "left").select(
+        "page_url", "url", F.coalesce("status_code", F.lit(0)).alias("status"), "content_type", "elapsed", F.coalesce("error", F.when(F.col("_found").isNull(), "not_fetched")).alias("error")
+    )
+
+
+def resolve_host(host: str) -> list[str]:
+    return socket.gethostbyname_ex(host)[2]
+
+
+def read_certificate(host: str) -> dict[str, Any]:
+    with socket.create_connection((host, 443), timeout=5) as plain, ssl.create_default_context().wrap_socket(plain, server_hostname=host) as secure:
+        return secure.getpeercert()
+
+
+def site_metadata(host: str, server: str | None = None, resolver: Callable[[str], list[str]] = resolve_host, certificate: Callable[[str], dict[str, Any]] = read_certificate) -> dict[str, Any]:
+    """Addresses, server and certificate of a host; what fails is left out, a failed handshake disables ssl."""
+    out: dict[str, Any] = {"hostname": host, "ip_addresses": [], "server": server}
+    try:
+        out["ip_addresses"] = sorted(set(resolver(host)))
+    except OSError:
+        pass
+    try:
+        c = certificate(host)
+        names = lambda k: {key: value for part in c.get(k, ()) for key, value in part}
+        out["ssl"] = {"enabled": True, "subject": names("subject"), "issuer": names("issuer"), "valid_from": c.get("notBefore"), "valid_until": c.get("notAfter")}
+    except OSError as e:
+        out["ssl"] = {"enabled": False, "error": str(e)}
+    return out

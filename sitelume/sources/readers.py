@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -78,6 +79,12 @@ def vertices_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").try_cast("long").alias("id"), F.trim("rev").alias("rev")).filter("id is not null and rev is not null")
 
 
+def graph_dir(options: dict[str, str], exists: Callable[[str], bool]) -> str | None:
+    """The first existing folder of the domain graph: option graph.dir, environment, ./commoncrawl."""
+    named = (options.get("graph.dir"), os.environ.get("COMMON_CRAWL_GRAPH_DIR"), "commoncrawl")
+    return next((d for d in named if d and exists(d)), None)
+
+
 def graph_release(names: list[str]) -> str | None:
     """The last release by name among those with all three files. names: file names."""
     ends = (".graph", ".properties", "-vertices.txt.gz")

@@ -142,3 +142,8 @@ def merge_meta(spark: SparkSession, path: str, **changes: Any) -> dict:
 def persistence_summary(pages: DataFrame, links: DataFrame, failed: DataFrame) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name))
     return n(pages, "pages_saved").join(n(links, "links_saved")).join(n(failed, "failed_saved"))
+
+
+def with_pagerank(pages: DataFrame, ranks: DataFrame) -> DataFrame:
+    """pages with the pagerank column of ranks (url, pagerank)."""
+    return pages.drop("pagerank").join(ranks.select("url", "pagerank"), "url", "left")

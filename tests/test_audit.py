@@ -166,5 +166,14 @@ def test_profiles(spark):
     h = scoring.legacy_health(issues, pages).first()
     assert (h.errors, h.warnings, h.notices, h.health) == (4, 12, 0, 0)
     short = rules.pipeline_issues(pages)
-    assert [len(r.issues) for r in short.orderBy("url").collect()] == [4, 3, 1]
+    assert [r.issues for r in short.orderBy("url").collect()] == [["Short title", "Low word count", "2 images without ALT", "Low internal links"], ["HTTP 503", "Low internal links", "Missing canonical"], ["Low internal links"]]
+    assert rules.pipeline_issues(pages, status_last=True).orderBy("url").collect()[1].issues[-1] == "HTTP 503"
     assert tuple(scoring.pipeline_scores(short).first()) == (73, 73) and tuple(scoring.template_scores(short).first()) == (0, 85)
+
+
+def test_redirects_and_overlay(spark):
+    moved = spark.createDataFrame([("http://a.com/x", 301, "/y", 2), ("http://a.com/z", 200, "/y", 2), ("http://a.com/q", 302, None, 1)], "url string, status_code int, location string, depth int")
+    assert [tuple(r) for r in graph.redirect_targets(moved).collect()] == [("http://a.com/y", 3, -50)]
+    parsed = spark.createDataFrame([("u", "t", "d", 9, ["a"]), ("v", "t2", "d2", 8, ["b"])], "url string, title string, meta_description string, word_count int, h1s array<string>")
+    rendered = spark.createDataFrame([("u", "", "D", "one two", [], 1.5)], "url string, title string, meta_description string, body_text string, h1s array<string>, dom_loaded_seconds double")
+    assert sorted(tuple(r) for r in merge.overlay_pages(parsed, rendered).collect()) == [("u", "t", "D", 2, [], 1.5), ("v", "t2", "d2", 8, ["b"], None)]

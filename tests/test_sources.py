@@ -149,6 +149,7 @@ def test_referring_domains(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (1, 2), (2, 3)], "node long, pred long")
     assert sorted((r.id, r.referring_domain, r.source_url) for r in backlinks.referring_domains(vertices, edges, "http://www.T.com/x").collect()) == [(2, "a.com", "https://a.com/"), (3, "x.b.org", "https://x.b.org/")]
     assert backlinks.referring_domains(vertices, edges, "http://none.com").count() == 0
+    assert [backlinks.layer1(v, edges, t)[0] for v, t in ((None, "http://t.com"), (vertices, "t"), (vertices, "http://no.com"), (vertices, "http://t.com"))] == ["graph_missing", "invalid_target", "not_in_graph", "success"]
 
 
 def test_investigation(spark):
@@ -156,7 +157,8 @@ def test_investigation(spark):
     pages = [page("https://a.com/", "a.com"), page("https://a.com/1", "a.com"), page("https://a.com/2", "a.com"), page("https://b.com/", "b.com"), page("https://c.com/", "c.com", 404)]
     found = [("https://a.com/", "/1", "", ""), ("https://a.com/1", "/2", "", ""), ("https://a.com/2", "https://www.t.com/p", "x", "nofollow"), ("https://b.com/", "https://sub.t.com/", "", ""), ("https://b.com/", "mailto:q", "", "")]
     got = backlinks.investigate(spark.createDataFrame(pages, "url string, domain string, status_code int, content_type string"), spark.createDataFrame(found, "source_url string, url string, anchor string, rel string"), spark.createDataFrame([("a.com",), ("b.com",), ("c.com",)], "domain string"), "https://t.com")
-    assert {r.domain: (r.status, r.pages_checked, r.hit_url) for r in got.collect()} == {"a.com": ("confirmed", 3, "https://a.com/2"), "b.com": ("not_found", 1, None), "c.com": ("not_found", 0, None)}
+    assert {r.domain: (r.status, r.pages_checked, r.hit_url, r.links_found) for r in got.collect()} == {"a.com": ("confirmed", 3, "https://a.com/2", 1), "b.com": ("not_found", 1, None, 0), "c.com": ("not_found", 0, None, 0)}
+    assert tuple(backlinks.layer2_summary(got).first()) == ("confirmed", 3, 1) and tuple(backlinks.layer2_summary(got.limit(0)).first()) == ("no_referring_domains", 0, 0)
 
 
 def test_search_results(spark):
@@ -173,3 +175,19 @@ def test_page_hits(spark):
     rows = [("http://s.com/a", "//t.com/x#f", "one", "ugc"), ("http://s.com/a", "/y", "two", ""), ("http://s.com/a", "http://sub.t.com/", "three", "")]
     got = backlinks.page_hits(spark.createDataFrame(rows, "source_url string, url string, anchor string, rel string"), F.lit("t.com")).collect()
     assert [(r.target_url, r.ugc, r.nofollow) for r in got] == [("http://t.com/x", True, False)]
+
+
+def test_probes(spark):
+    resources = spark.createDataFrame([("http://a.com/p", "/s.js"), ("http://a.com/p", "x.css"), ("http://a.com/p", "data:x")], "page_url string, resource_url string")
+    fetched = spark.createDataFrame([("http://a.com/s.js", 200, "text/javascript", 0.5, None)], "url string, status_code int, content_type string, elapsed double, error string")
+    assert sorted((r.url, r.status, r.error) for r in fetch.probe_resources(resources, fetched).collect()) == [("http://a.com/s.js", 200, None), ("http://a.com/x.css", 0, "not_fetched")]
+
+    def fails(host):
+        raise OSError("no route")
+
+    meta = fetch.site_metadata("h", "nginx", lambda h: ["2.2.2.2", "1.1.1.1", "2.2.2.2"], lambda h: {"subject": ((("commonName", "h"),),), "issuer": (), "notAfter": "x"})
+    assert meta["ip_addresses"] == ["1.1.1.1", "2.2.2.2"] and meta["ssl"] == {"enabled": True, "subject": {"commonName": "h"}, "issuer": {}, "valid_from": None, "valid_until": "x"}
+    assert fetch.site_metadata("h", None, fails, fails)["ssl"] == {"enabled": False, "error": "no route"}
+    assert readers.graph_dir({"graph.dir": "/g"}, lambda d: d == "/g") == "/g" and readers.graph_dir({}, lambda d: False) is None
+    pages = spark.createDataFrame([("u", None), ("v", 0.5)], "url string, pagerank double")
+    assert sorted(tuple(r) for r in sinks.with_pagerank(pages, spark.createDataFrame([("u", 0.1)], "url string, pagerank double")).collect()) == [("u", 0.1), ("v", None)]
