@@ -17,15 +17,27 @@ DAMPING = 0.85
 CHECKPOINT_EVERY = 5
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a local one only in local mode without a setting."""
+def checkpoint(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; a local one only in local mode without a setting.
+
+    dealt: the result keeps the partitioning and order that the frame ends with. An adaptive plan
+    doesn't tell its own, so the checkpoint's plan is a fixed one.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    if not dealt:
+        return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    adaptive = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(key, adaptive)
 
 
 def pagerank(pages: DataFrame, links: DataFrame, iterations: int = 20, damping: float = DAMPING) -> DataFrame:
@@ -39,8 +51,10 @@ def pagerank(pages: DataFrame, links: DataFrame, iterations: int = 20, damping:
     internal = links.filter("internal").select(F.col("source_url").alias("src"), F.col("target_url").alias("dst"))
     out = internal.groupBy("src").agg(F.count("*").alias("n"))
     edge = internal.distinct().join(nodes.withColumnRenamed("url", "dst"), "dst", "left_semi").join(out, "src")
-    edge = checkpoint(edge.select("src", "dst", (F.lit(damping) / F.col("n")).alias("w")))
-    nodes = checkpoint(nodes)
+    # dealt by source once: the checkpoint keeps the partitioning, and a round shuffles scores and sums, never the edges
+    n_parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge = checkpoint(edge.select("src", "dst", (F.lit(damping) / F.col("n")).alias("w")).repartition(n_parts, "src").sortWithinPartitions("src"), dealt=True)
+    nodes = checkpoint(nodes.repartition(n_parts, "url").sortWithinPartitions("url"), dealt=True)
     total = nodes.count()
     if total == 0:
         return nodes.withColumn("pagerank", F.lit(0.0))
@@ -58,7 +72,8 @@ def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | No
 
     Depth is the distance. max_pages keeps the first ones by (depth, url), as a crawl's cap does.
     """
-    edge = checkpoint(graph.select("source", "target").distinct())
+    n_parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge = checkpoint(graph.select("source", "target").distinct().repartition(n_parts, "source").sortWithinPartitions("source"), dealt=True)
     frontier = checkpoint(starts.select("url").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, max_depth + 1):
