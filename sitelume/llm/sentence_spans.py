@@ -39,7 +39,7 @@ from sitelume.llm import common
 
 RUN = 3
 LEAST_WORDS = 12
-LONG = 16  # words of a sentence beyond which it is cut further
+LONG = 10  # words of a sentence beyond which it is cut further
 BLOCK_BYTES = 2 << 20
 HOT = 1000  # occurrences from which a hash may be joined by broadcast
 MOST_HOT = 10_000
