@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEVER_NULL = ""
@@ -17,6 +17,16 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def materialised(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """The kept columns and computed ones, each computed once per row.
+
+    A one-row generator stands between: filters on its output aren't pushed below it, where they
+    would have the expressions computed again for each of their uses.
+    """
+    row = F.struct(*kept, *(c.alias(name) for name, c in columns.items()))
+    return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
+
+
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")

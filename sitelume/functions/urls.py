@@ -43,8 +43,7 @@ def netloc(url: Column | str) -> Column:
 
 def host(url: Column | str) -> Column:
     """Lower-case host without user and port; empty where there is none."""
-    bare = F.regexp_replace(netloc(url), r"^.*@", "")
-    return F.lower(F.regexp_replace(bare, r":[0-9]*$", ""))
+    return F.lower(F.regexp_extract(text(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@:]*)", 1))
 
 
 def port(url: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
-from sitelume.functions.text import folded, strip, text
+from sitelume.functions.text import folded, materialised, strip, text
 
 
 def explode_links(pages: DataFrame) -> DataFrame:
@@ -16,11 +16,11 @@ def explode_links(pages: DataFrame) -> DataFrame:
 
 def edges(links: DataFrame, start_url: str) -> DataFrame:
     """Distinct (source, target) in normal form whose target is on the start URL's host. links: source_url, target_url."""
-    source = urls.normalize("source_url")
-    rows = links.filter(text("target_url") != "").select(source.alias("source"), strip("target_url").alias("ref")).filter("source <> ''")
-    target = urls.normalize(urls.resolve("source", "ref"))
-    home = F.lit(start_url)
-    return rows.select("source", target.alias("target")).filter("target <> ''").filter(urls.host("target") == urls.host(urls.normalize(home))).distinct()
+    home = urls.host(urls.normalize(F.lit(start_url)))
+    raw = links.filter(text("target_url") != "").select("source_url", "target_url").distinct()  # navigation repeats its links: fewer rows for the URL work, and dealt evenly
+    rows = materialised(raw, source=urls.normalize("source_url"), ref=strip("target_url")).filter("source <> ''")
+    both = materialised(rows, "source", target=urls.normalize(urls.resolve("source", "ref")))
+    return both.filter((F.col("target") != "") & (urls.host("target") == home)).distinct()
 
 
 def degrees(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
