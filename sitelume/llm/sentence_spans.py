@@ -177,7 +177,7 @@ def removal_spans(docs: DataFrame) -> DataFrame:
 
     def later(take_hot: bool) -> DataFrame:
         runs = all_runs(docs, hot, take_hot)
-        repeated = runs.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("hash", "first")
+        repeated = runs.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
         side = F.broadcast(repeated) if take_hot else repeated  # at most MOST_HOT rows
         return all_runs(docs, hot, take_hot).join(side, "hash").filter(place != F.col("first")).select("doc", "crc", "place")
 
