@@ -27,9 +27,13 @@ def materialised(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
     return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
 
 
+#: White space as strings are stripped of it: ASCII, separators, next line and the Unicode spaces.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(_SPACES))
 
 
 def folded(c: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def explode_links(pages: DataFrame) -> DataFrame:
 
 def edges(links: DataFrame, start_url: str) -> DataFrame:
     """Distinct (source, target) in normal form whose target is on the start URL's host. links: source_url, target_url."""
-    home = urls.host(urls.normalize(F.lit(start_url)))
+    home = urlsplit(urls.normal_form(start_url)).hostname or ""
     raw = links.filter(text("target_url") != "").select("source_url", "target_url").distinct()  # navigation repeats its links: fewer rows for the URL work, and dealt evenly
     rows = materialised(raw, source=urls.normalize("source_url"), ref=strip("target_url")).filter("source <> ''")
     both = materialised(rows, "source", target=urls.normalize(urls.resolve("source", "ref")))
