@@ -61,22 +61,30 @@ def coverage_band(score: Column) -> Column:
 def summary(pages: DataFrame, site: DataFrame) -> DataFrame:
     """One row of totals. site: one row of pages_discovered, ssl_enabled, hostname, platform.
 
-    Three aggregates of one row each are put side by side; nothing else leaves its task.
+    The rules are evaluated once per page row and summed up by URL, as rows of one URL share their
+    findings; the sums by URL give the scores and all totals.
     """
-    judged = rules.evaluated(pages, rules.audit_rules())
-    findings = rules.own_findings(judged).unionByName(rules.duplicate_findings(pages))
     status, robots = number("status_code"), F.lower(text("robots"))
-    totals = judged.agg(
-        F.count("*").alias("pages_crawled"), F.coalesce(F.sum("checks"), F.lit(0)).alias("checks"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"),
-        F.count_if(status >= 400).alias("n_failed"), F.count_if(F.contains(robots, F.lit("noindex"))).alias("n_noindex"),
+    one = lambda c: F.when(c, 1).otherwise(0)
+    named = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s))
+    own = rules.evaluated(pages, rules.audit_rules()).select(
+        "url", F.lit(1).alias("rows"), "checks", "passed", one(status >= 400).alias("n_failed"), one(F.contains(robots, F.lit("noindex"))).alias("n_noindex"),
+        F.aggregate("findings", F.lit(0.0), lambda a, f: a + weight(f["severity"])).alias("penalty"), F.size("findings").alias("total_issues"), *(named(s).alias(s) for s in WEIGHTS),
     )
-    counts = findings.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in WEIGHTS), F.count("*").alias("total_issues"))
-    scores = page_scores(pages, findings).agg(F.coalesce(banker(F.avg("raw")), F.lit(0)).alias("seo_score"))
-    one = totals.join(counts).join(scores).join(site.limit(1))  # one row each
+    severity = F.col("severity")
+    shared = rules.duplicate_findings(pages).select(
+        "url", *(F.lit(0).alias(c) for c in ("rows", "checks", "passed", "n_failed", "n_noindex")), weight(severity).alias("penalty"), F.lit(1).alias("total_issues"), *(one(severity == s).alias(s) for s in WEIGHTS)
+    )
+    counted = ("checks", "passed", "n_failed", "n_noindex", "total_issues", *WEIGHTS)
+    by_url = own.unionByName(shared).groupBy("url").agg(*(F.sum(c).alias(c) for c in ("rows", "penalty", *counted)))
+    total = by_url.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("pages_crawled"), (F.sum(F.col("rows") * raw_score(F.col("penalty"))) / F.sum("rows")).alias("mean"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted)
+    )
+    both = total.join(site.limit(1))  # one row each
     n = F.col("pages_crawled")
     found = F.greatest(F.coalesce(F.when(F.col("pages_discovered") != 0, F.col("pages_discovered")), n), n)
-    return one.select(
-        "seo_score", site_health(n, F.col("n_failed"), F.col("n_noindex"), F.col("ssl_enabled"), F.col("hostname"), F.col("platform")).alias("site_health"),
+    return both.select(
+        F.coalesce(banker(F.col("mean")), F.lit(0)).alias("seo_score"), site_health(n, F.col("n_failed"), F.col("n_noindex"), F.col("ssl_enabled"), F.col("hostname"), F.col("platform")).alias("site_health"),
         "pages_crawled", found.alias("pages_discovered"), coverage_score(n, found).alias("crawl_coverage_score"),
         *WEIGHTS, "total_issues", "checks", "passed",
     )

@@ -16,8 +16,15 @@ TRACKERS = ("Google Ads", "Meta Pixel", "TikTok Pixel")
 RELS = ("", "nofollow", "ugc", "sponsored nofollow", "NOFOLLOW ugc", "follow", "sponsored")
 
 
+SMALL_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Small pages tables, often a single row group and so a single task, are dealt to all cores first."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "pages" and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
+        return rows.repartition(spark.sparkContext.defaultParallelism, "page_id")
+    return rows
 
 
 def _pick(values: tuple[str, ...], k: Column) -> Column:
@@ -53,7 +60,7 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "pages").count()  # from the files' footers
+    n = spark.read.parquet(f"{sf_dir}/pages.parquet").count()  # from the files' footers
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
     k = F.col("l_linenumber").cast("long")
     src = (F.col("l_partkey") * F.col("l_partkey")) % n
