@@ -263,33 +263,68 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
+    return out
+
+
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_hit: float = MOST_HIT) -> DataFrame:
     """docs without the removal spans; documents hit in more than most_hit of their words are dropped.
 
-    n_chars, where there is one, follows a changed text. Blocks of the query set follow one another.
+    n_chars, where there is one, follows a changed text. Every block of the query set searches the
+    uncut texts; its spans go along with the row, and the last pass cuts them all and judges most_hit.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    names, out = docs.columns, texts(docs)
+    names = docs.columns
     column = names.index("text")
     schema = to_arrow_schema(docs.schema)
+    carried = "spans" + "_" * max(map(len, names))  # no column of the documents is called so
     n, parts = blocks(items, block_bytes, window)
-    for b in parts:
 
-        def cleaned(batches: Iterator[pa.RecordBatch], b: Block = b) -> Iterator[pa.RecordBatch]:
+    def searched(out: DataFrame, b: Block) -> DataFrame:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, _, spans, _ in _shards(batches, b, column):
+                both = [merged([*((x["first"], x["behind"]) for x in old), *s]) for old, s in zip(part.column(len(names)).to_pylist(), spans, strict=True)]
+                pairs = pa.array([[{"first": x, "behind": y} for x, y in s] for s in both], _SPAN)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pairs], names=[*names, carried])
+
+        return out.mapInArrow(found, out.schema)
+
+    def kept(part: pa.RecordBatch, n_words: list[int], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        hit = [sum(z - a for a, z in s) for s in spans]
+        stay = [k for k, h in enumerate(hit) if h <= most_hit * n_words[k]]
+        texts = part.column(column).to_pylist()
+        new = pa.array([cut(texts[k], spans[k]) if hit[k] else texts[k] for k in stay], pa.string())
+        rest = part.take(pa.array(stay, pa.int64()))
+        cols = [new.cast(schema.field(j).type) if j == column else rest.column(j) for j in range(len(names))]
+        if "n_chars" in names:
+            j = names.index("n_chars")
+            old = cols[j].to_pylist()
+            cols[j] = pa.array([len(t) if hit[k] else o for k, t, o in zip(stay, new.to_pylist(), old, strict=True)], schema.field(j).type)
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    if n == 1:
+        b = next(parts, _NOTHING)
+
+        def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, n_words, spans, _ in _shards(batches, b, column):
-                hit = [sum(z - a for a, z in s) for s in spans]
-                kept = [k for k, h in enumerate(hit) if h <= most_hit * n_words[k]]
-                texts = part.column(column).to_pylist()
-                new = pa.array([cut(texts[k], spans[k]) if hit[k] else texts[k] for k in kept], pa.string())
-                rest = part.take(pa.array(kept, pa.int64()))
-                cols = [new.cast(schema.field(j).type) if j == column else rest.column(j) for j in range(len(names))]
-                if "n_chars" in names:
-                    j = names.index("n_chars")
-                    old = cols[j].to_pylist()
-                    cols[j] = pa.array([len(t) if hit[k] else o for k, t, o in zip(kept, new.to_pylist(), old, strict=True)], schema.field(j).type)
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-        out = out.mapInArrow(cleaned, docs.schema)
-        out = out if n == 1 else checkpoint(out)
-    return out
+                yield kept(part, n_words, spans)
+
+        return texts(docs).mapInArrow(cleaned, docs.schema)
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n_words = [len(folded(t).split()) for t in part.column(column).to_pylist()]
+            yield kept(part, n_words, [[(x["first"], x["behind"]) for x in s] for s in part.column(len(names)).to_pylist()])
+
+    out = texts(docs).withColumn(carried, F.array().cast("array<struct<first:int,behind:int>>"))
+    for b in parts:
+        out = checkpoint(searched(out, b))  # a pass is done with before the next block is read
+    return out.mapInArrow(cut_all, docs.schema)

@@ -83,3 +83,19 @@ def test_clean(spark):
     out = {r.doc_id: r.asDict() for r in decontamination.clean(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()}
     assert set(out) == {1, 2, 4} and out[1] == {"doc_id": 1, "text": rest, "n_chars": 5, "lang": "en"}
     assert out[2]["text"] == f"{rest}. ! {rest}" and out[2]["n_chars"] == len(out[2]["text"]) and out[4]["text"] is None
+
+
+def test_clean_in_blocks(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage, own = words("shared", 14), words("own", 60)
+    items = [(k, f"{passage} {words(f'ask{k}x', 5)}") for k in range(12)]  # one context, many questions
+    docs = [(k, f"{own}. {text}. {own}", 7) for k, text in items] + [(50, own, 7), (51, None, None), (52, own + " " + items[3][1], 7)]
+    halves = [f"{words('left', 11)}", f"{words('right', 11)}", f"{words('mid', 11)}"]
+    items += [(20 + k, t) for k, t in enumerate(halves)]
+    docs += [(60, f"{halves[0]} {words('a', 5)} {halves[1]} {words('b', 5)} {halves[2]}", 7)] * 2  # each block's share is under a half
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string, spans int"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontamination.blocks(items, 150)[0] > 8
+    get = lambda **more: sorted(map(str, decontamination.clean(docs, items, **more).collect()))
+    whole = get()
+    assert get(block_bytes=150) == whole and not any("ask" in r or "doc_id=60" in r for r in whole) and len(whole) == 15
+    assert get(block_bytes=150, most_hit=1.0) == get(most_hit=1.0)
