@@ -1,8 +1,8 @@
 """Operator 6: chat formatting with typed content parts.
 
-A turn's content is plain text, or in the general interface a JSON array of typed parts. A visitor
-flattens the parts in order: text stays, an image, audio or document part becomes a placeholder,
-its reference is recorded as an attachment, and its expanded token count is added up.
+A turn's content is plain text or a JSON array of typed parts. A visitor flattens the parts of every
+turn in order: text stays (a plain text is one text part), an image, audio or document part becomes a
+placeholder, its reference is recorded as an attachment, and its expanded token count is added up.
 
 The format marks turns as <turn role="..."> text </turn>, with loss marks around the assistant's
 text. Inside texts and roles every control character of the format is escaped by a backslash, so
@@ -10,11 +10,13 @@ no text can end its turn, and reading back gives exactly the text that went in.
 
 Each turn is formatted where it is read. Turns are then dealt by conversation and sorted by turn
 within the partition, and a conversation's turns stream through its task one after the other with
-running digests: a conversation of any length holds one turn in memory.
+running digests: a conversation of any length holds one turn and its attachments in memory.
 
 Defined cases: a null text is empty; a null role is the empty role; a row without conv_id belongs
 to the conversation null. Turns without a number come first; ties and repeated rows keep the order
-of (role, text) and all count as turns. An empty table gives no rows. Other columns aren't read.
+of (role, text, attachments) and all count as turns. An empty table gives no rows. Other columns aren't
+read. A part's size that isn't a number from 0 to MOST_SIZE counts as absent; half a surrogate pair in
+a part becomes U+FFFD; JSON nested too deeply to be read stays plain text.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ TURN, CLOSE, LOSS, END_LOSS = "\\<turn:", "\\</turn>", "\\<loss>", "\\</loss>"
 #: An escaped backslash is doubled, so a single one always begins a mark.
 _MARK = re.compile(r"\\\\|\\<turn:|\\</turn>|\\<loss>|\\</loss>|\\>")
 LEARNED = "assistant"
+MOST_SIZE = 10**8
+DIGEST = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def escape(text: str) -> str:
@@ -67,6 +72,14 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, bool]]:
             held = []
 
 
+def _size(part: dict, key: str) -> float:
+    try:
+        n = float(part.get(key) or 0)
+    except (TypeError, ValueError, OverflowError):
+        return 0
+    return n if 0 <= n <= MOST_SIZE else 0
+
+
 @dataclass
 class Flattener:
     """Visitor over content parts."""
@@ -81,10 +94,12 @@ class Flattener:
         if content is None:
             return
         if isinstance(content, str):
-            self.text.append(content)
+            self.text.append(_HALF.sub("\ufffd", content))
         elif isinstance(content, list):
             for part in content:
                 self.visit(part)
+        elif not isinstance(content, dict):
+            self.visit(json.dumps(content))
         else:
             getattr(self, f"visit_{content.get('type')}", self.visit_other)(content)
 
@@ -92,20 +107,20 @@ class Flattener:
         self.visit(part.get("text"))
 
     def visit_image(self, part: dict) -> None:
-        tiles = -(-int(part.get("width") or 512) // 512) * -(-int(part.get("height") or 512) // 512)
+        tiles = -(-int(_size(part, "width") or 512) // 512) * -(-int(_size(part, "height") or 512) // 512)
         self._attach("image", part, tiles * self.tokens_per_image)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, round(float(part.get("seconds") or 0) * self.tokens_per_second)))
+        self._attach("audio", part, max(1, round(_size(part, "seconds") * self.tokens_per_second)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, int(part.get("pages") or 1) * self.tokens_per_page)
+        self._attach("document", part, int(_size(part, "pages") or 1) * self.tokens_per_page)
 
     def visit_other(self, part: dict) -> None:
         self.visit_text({"text": json.dumps(part, ensure_ascii=False, sort_keys=True)})
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        ref = str(part.get("url") or part.get("ref") or "")
+        ref = _HALF.sub("\ufffd", str(part.get("url") or part.get("ref") or ""))
         self.attachments.append({"kind": kind, "ref": ref, "place": len(self.attachments), "tokens": tokens})
         self.text.append(f"<{kind}:{len(self.attachments) - 1}>")
 
@@ -124,11 +139,15 @@ def flatten(turns: DataFrame) -> DataFrame:
                 if raw and raw.lstrip()[:1] == "[":
                     try:
                         content = json.loads(raw)
-                    except ValueError:
+                    except (ValueError, RecursionError):
                         content = raw
                     if not isinstance(content, list) or not all(isinstance(p, dict) and "type" in p for p in content):
                         content = raw
-                v.visit(content)
+                try:
+                    v.visit(content)
+                except RecursionError:
+                    v = Flattener()
+                    v.visit(raw)
                 texts.append("".join(v.text))
                 found.append(v.attachments)
             tokens = pa.array([sum(a["tokens"] for a in f) for f in found], pa.int64())
@@ -139,19 +158,22 @@ def flatten(turns: DataFrame) -> DataFrame:
     )
 
 
-def formatted_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, formatted: each turn on its own; a conversation's text is their concatenation."""
+def formatted_turns(turns: DataFrame, *more: str) -> DataFrame:
+    """conv_id, turn, role, text, formatted, more columns: each turn on its own; a conversation's text is their concatenation."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     esc = lambda c: F.replace(c, F.lit("\\"), F.lit("\\\\"))
     body = F.when(role == LEARNED, F.concat(F.lit(LOSS), esc(text), F.lit(END_LOSS))).otherwise(esc(text))
     return turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"),
-        F.concat(F.lit(TURN), esc(role), F.lit("\\>"), body, F.lit(CLOSE)).alias("formatted"),
+        F.concat(F.lit(TURN), esc(role), F.lit("\\>"), body, F.lit(CLOSE)).alias("formatted"), *more,
     )
 
 
-def digest(turns: DataFrame) -> DataFrame:
-    """Per conversation what its formatted text says when read back."""
+_LISTED = pa.list_(pa.struct([("nth", pa.int64()), *_ATTACHMENTS.value_type]))
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """Per conversation what its formatted text says when read back, its attachments (of its nth turn, from 0) and their tokens."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list = []
@@ -159,22 +181,24 @@ def digest(turns: DataFrame) -> DataFrame:
 
         def close() -> None:
             if state:
-                conv, n, all_sha, chars, loss_sha, length = state
-                done.append((conv, n, all_sha.hexdigest(), chars, loss_sha.hexdigest(), length))
+                conv, n, all_sha, chars, loss_sha, length, attached, tokens = state
+                done.append((conv, n, all_sha.hexdigest(), chars, loss_sha.hexdigest(), length, attached, tokens))
                 state.clear()
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) if done else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            cols = list(zip(*done, strict=True)) if done else [()] * 8
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), _LISTED, pa.int64())
+            names = [*DIGEST, "attachments", "expanded_tokens"]
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for batch in batches:
-            for conv, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for conv, text, found, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not state or state[0] != conv:
                     close()
-                    state[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, [], 0]
+                state[6] += [{"nth": state[1], **a} for a in found]
+                state[7] += tokens
                 for role, said, loss in read_turns(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
@@ -186,9 +210,14 @@ def digest(turns: DataFrame) -> DataFrame:
         close()
         yield flush()
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    dealt = formatted_turns(texts(turns)).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "formatted").mapInArrow(read, schema)
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachments array<struct<nth:long,kind:string,ref:string,place:int,tokens:long>>, expanded_tokens long"
+    dealt = formatted_turns(flatten(turns), "attachments", "expanded_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "attachments")
+    return dealt.select("conv_id", "formatted", "attachments", "expanded_tokens").mapInArrow(read, schema)
+
+
+def digest(turns: DataFrame) -> DataFrame:
+    """The contract's columns of conversations()."""
+    return conversations(turns).select(*DIGEST)
 
 
 def probe(turns: DataFrame) -> DataFrame:

@@ -51,6 +51,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.probe(table(spark, sf_dir, "conversations")))
 
 
+@query
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 with the attachments and expanded tokens, which its contract's columns leave out."""
+    return chat.conversations(chat.probe(table(spark, sf_dir, "conversations")))
+
+
 @query
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.find(table(spark, sf_dir, "documents"))

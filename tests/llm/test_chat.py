@@ -56,3 +56,22 @@ def test_flatten(spark, content, text, tokens):
     r = chat.flatten(spark.createDataFrame([(1, 0, "user", content)], "conv_id long, turn long, role string, text string")).first()
     assert (r.text, r.expanded_tokens) == (text, tokens)
     assert [a.place for a in r.attachments] == list(range(len(r.attachments)))
+
+
+def test_query_visits_parts(spark, tmp_path):
+    parts = '[{"type":"text","text":"see "},{"type":"image","url":"a.png"},{"type":"audio","ref":"b","seconds":2}]'
+    page, deep = '[{"type":"document","url":"c.pdf","pages":2}]', "[" * 200_000
+    nested = '[{"type":"text","text":' + "[" * 1500 + "]" * 1500 + "}]"
+    bad = r'[{"type":"image","width":"wide","height":1e999},{"type":"document","pages":-3},{"type":"text","text":5},{"type":"text","text":"\ud83d"}]'
+    rows = [(1, 0, "user", parts), (1, 1, "assistant", "plain"), (1, 2, "assistant", page), (2, 0, "user", deep), (3, 0, "user", bad), (4, 0, "user", nested)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    from sitelume.llm import queries
+
+    flat = [(1, 0, "user", "see <image:0><audio:1>"), (1, 1, "assistant", "plain"), (1, 2, "assistant", "<document:0>"), (2, 0, "user", deep), (3, 0, "user", "<image:0><document:1>5\ufffd"), (4, 0, "user", nested)]
+    want = expected([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in flat])
+    got = {r.conv_id: tuple(r)[1:] for r in queries.QUERIES["op6_chat_formatting"](spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in want} == want
+    more = {r.conv_id: r for r in queries.QUERIES["chat_attachments"](spark, str(tmp_path)).collect()}
+    assert {k: tuple(r)[1:6] for k, r in more.items()} == got
+    assert [tuple(a) for a in more[1].attachments] == [(0, "image", "a.png", 0, 256), (0, "audio", "b", 1, 50), (2, "document", "c.pdf", 0, 1024)]
+    assert [more[k].expanded_tokens for k in (1, 2, 3, -7)] == [256 + 50 + 1024, 0, 256 + 512, 0]
