@@ -1,7 +1,8 @@
 """Operator 2: personal data spans, in DataFrame functions only.
 
 Regular expressions propose spans, checksum validators (Luhn, mod-97) confirm them, and context
-words shortly before a proposal raise its score. Four base kinds (email, ip, card, phone) are
+words near a proposal raise its score: up to CONTEXT_CHARS characters before it and BEHIND_CHARS
+behind it, whatever other proposals stand there. Four base kinds (email, ip, card, phone) are
 kept whenever their own validator passes; further kinds are kept from a score of THRESHOLD on.
 
 Offsets without a Python UDF: splitting a text by a pattern gives the stretches between the
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
+BEHIND_CHARS = 20
 BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
@@ -111,10 +113,14 @@ def proposals(text: Column, d: Detector) -> Column:
         gaps = _running(F.transform(p["gap"], F.length))
         hits = _running(F.transform(p["hit"], F.length))
         start = F.zip_with(F.slice(gaps, 2, F.size(p["hit"])), F.slice(hits, 1, F.size(p["hit"])), lambda g, h: g + h)
-        near = lambda g: F.when(F.lower(F.right(g, F.lit(CONTEXT_CHARS))).rlike(f"\\b(?:{d.context})\\b"), d.bonus).otherwise(0.0)
-        score = lambda g: (F.lit(d.score) + near(g)) if d.context else F.lit(d.score)
-        scored = F.zip_with(p["hit"], F.slice(p["gap"], 1, F.size(p["hit"])), lambda h, g: F.struct(h.alias("hit"), F.when(d.valid(h), score(g)).otherwise(0.0).alias("score")))
-        spans = F.zip_with(scored, start, lambda x, s: F.struct(F.lit(d.kind).alias("kind"), s.alias("start"), (s + F.length(x["hit"])).alias("end"), x["score"].alias("score")))
+        # a window has one character more at its far end, which tells whether a word is cut there
+        word = rf"\b(?:{d.context})\b"
+        before = lambda s: F.substring(F.concat(F.lit(" "), text), F.greatest(s - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s, F.lit(CONTEXT_CHARS)) + 1)
+        behind = lambda e: F.concat(F.substring(text, e + 1, F.lit(BEHIND_CHARS + 1)), F.when(F.length(text) - e <= BEHIND_CHARS, " ").otherwise(""))
+        near = lambda s, e: F.when(F.lower(before(s)).rlike(f"(?!^){word}") | F.lower(behind(e)).rlike(rf"{word}(?!\z)"), d.bonus).otherwise(0.0)
+        score = lambda h, s: (F.lit(d.score) + near(s, s + F.length(h))) if d.context else F.lit(d.score)
+        scored = lambda h, s: F.when(d.valid(h), score(h, s)).otherwise(0.0)
+        spans = F.zip_with(p["hit"], start, lambda h, s: F.struct(F.lit(d.kind).alias("kind"), s.alias("start"), (s + F.length(h)).alias("end"), scored(h, s).alias("score")))
         return F.filter(spans, lambda x: x["score"] >= THRESHOLD)
 
     none = F.array().cast(f"array<{SPAN}>")

@@ -35,6 +35,22 @@ def test_pii_added_kinds(odd_docs):
     assert re.findall("[a-z_]+(?=:)", spans[12]) == ["iban", "iban", "short_card", "national_id"]
 
 
+def test_pii_context(spark):
+    want = {
+        "Amex card, expires 09/27, number 378282246310005": "short_card:33:48",
+        "SSN list: 123-45-6789, 219-09-9999": "national_id:10:21,national_id:23:34",
+        "card" + " " * 36 + "378282246310005": "short_card:40:55",
+        "card" + " " * 37 + "378282246310005": "",
+        "discard" + " " * 36 + "378282246310005": "",
+        "378282246310005 (amex)": "short_card:0:15",
+        "é 219-09-9999" + " " * 17 + "ssn": "national_id:2:13",
+        "é 219-09-9999" + " " * 17 + "ssns": "",
+        "219-09-9999" + " " * 18 + "ssn": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r["spans"] for r in sorted(rows(pii.digest(pii.find(docs))), key=lambda r: r["doc_id"])] == list(want.values())
+
+
 def test_pii_many_matches(spark):
     text = "é " + " x ".join(f"{i} 10.0.{i % 300}.1 a{i}@b.cd" for i in range(700))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
