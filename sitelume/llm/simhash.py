@@ -155,11 +155,28 @@ def digest(found: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document per component: the one of the smallest doc_id; of its repeated rows one per text.
 
-    Documents without an id can't be told apart, and stay.
+    Rows are removed by id and fingerprint: rows of one id may have different texts. Documents without
+    an id can't be told apart, and stay.
     """
     found = checkpoint(near_duplicates(docs))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
+    gone = found.filter("doc_id <> component_id").select("doc_id", "fp").distinct()
+    ids = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if ids.isEmpty():
+        return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # only here an id doesn't stand for one fingerprint
+    row = F.struct(*docs.columns).alias("row")
+    kept = _fingerprinted(docs.select("doc_id", "text", row)).join(gone, ["doc_id", "fp"], "left_anti").select("row.*")
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id is null"))
+
+
+def _fingerprinted(docs: DataFrame) -> DataFrame:
+    """doc_id (long), row and fp; docs: doc_id, text, row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "row", "fp"])
+
+    out = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
+    schema = out.select("doc_id", "row", F.lit(0).cast("long").alias("fp")).schema
+    return out.mapInArrow(hashed, schema)

@@ -144,6 +144,13 @@ def test_deduplicated(spark):
     assert sorted((r.doc_id or -1) for r in simhash.deduplicated(docs).collect()) == [-1, 2, 9]
 
 
+def test_deduplicated_tells_rows_of_an_id_apart(spark):
+    docs = spark.createDataFrame([(1, "same text here now", 7), (4, "same text here now", 7), (4, "an own text stands there", 8), (None, "x", 9)], "doc_id long, text string, fp long")
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text, r.fp) for r in out.collect()) == [(-1, "x", 9), (1, "same text here now", 7), (4, "an own text stands there", 8)]
+
+
 @pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs"])
 def test_packing(which, request):
     import public_tokenizers
