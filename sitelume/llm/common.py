@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 ROWS_A_BATCH = 1000
+BYTES_A_BATCH = 64 << 20
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """docs, to be handed to Arrow functions in batches of ROWS_A_BATCH rows at most.
+    """docs, to be handed to Arrow functions in batches of ROWS_A_BATCH rows and about BYTES_A_BATCH bytes at most.
 
     Texts are large: ten thousand at once, the default, cost hundreds of MB on both sides of the
-    pipe. The setting is the session's; a smaller one stays.
+    pipe, and a thousand texts of 10 MB would be one batch of 10 GB. The settings are the session's,
+    and are read when the plan runs, so they stay lowered; smaller ones stay. No result depends on them.
     """
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= ROWS_A_BATCH:
-        conf.set(key, str(ROWS_A_BATCH))
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_A_BATCH)):
+        now = re.sub("[bB]$", "", conf.get(key))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
     return docs
 
 
@@ -26,20 +32,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    The folder is set here only where the session has none and runs in local mode (tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of its own only where the session has none and runs in local mode (tests)."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if shared is None:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = tempfile.mkdtemp(prefix="checkpoints-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and the table's path: columns are pruned as it is read, unlike a checkpoint's."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Hadoop's file system; nothing happens where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame (file sizes for a scan); no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

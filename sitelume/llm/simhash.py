@@ -21,7 +21,8 @@ and the component's smallest doc_id.
 Defined cases: a null or wordless text has the fingerprint zero, which links like any other; a
 text of fewer than three words is one shingle. A null doc_id keeps its row and counts as no
 smallest id (component_id null only where all ids are null). Repeated rows stay, one result row
-per input row. An empty table gives no rows. Only doc_id and text are read.
+per input row. An empty table gives no rows. Only doc_id and text are read; deduplicated() passes
+other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,14 +138,20 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return found.union(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _components(marked: DataFrame, hot: int) -> DataFrame:
+    """fp, root of each fingerprint of marked (fp); root is the least fingerprint of its component."""
+    distinct = checkpoint(marked.select("fp").distinct())
+    roots = components(links(distinct, hot))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, fp and component_id of each row."""
     marked = checkpoint(fingerprints(docs))
-    distinct = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), hot))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    roots = _components(marked, hot)
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.join(smallest, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -152,31 +159,41 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document per component: the one of the smallest doc_id; of its repeated rows one per text.
+#: A text's identity beside its id: two hashes of 64 bits. A null text differs from an empty one.
+_TEXT = (F.xxhash64, lambda c: F.xxhash64(F.lit("second"), c))
 
-    Rows are removed by id and fingerprint: rows of one id may have different texts. Documents without
-    an id can't be told apart, and stay.
-    """
-    found = checkpoint(near_duplicates(docs))
-    gone = found.filter("doc_id <> component_id").select("doc_id", "fp").distinct()
-    ids = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if ids.isEmpty():
-        return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    # only here an id doesn't stand for one fingerprint
-    row = F.struct(*docs.columns).alias("row")
-    kept = _fingerprinted(docs.select("doc_id", "text", row)).join(gone, ["doc_id", "fp"], "left_anti").select("row.*")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id is null"))
 
+def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """One row per component: that of the smallest doc_id, of several with it the one of the least text hash.
 
-def _fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id (long), row and fp; docs: doc_id, text, row."""
+    Rows are told apart by id and text, so a row whose id another row shares, or that has no id,
+    goes only if its own text belongs to a group that keeps another row. Rows without an id come
+    after all others. Of equal rows (id and text) one stays.
+    """
+    texts_of = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(h("text").alias(f"h{k}") for k, h in enumerate(_TEXT)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "row", "fp"])
-
-    out = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
-    schema = out.select("doc_id", "row", F.lit(0).cast("long").alias("fp")).schema
-    return out.mapInArrow(hashed, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fps, pa.int64())], names=["doc_id", "h0", "h1", "fp"])
+
+    marked = checkpoint(texts_of(texts(docs)).mapInArrow(hashed, "doc_id long, h0 long, h1 long, fp long"))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h0", "h1")
+    first = marked.groupBy("fp").agg(F.min(row).alias("first")).join(_components(marked, hot), "fp")
+    stays = checkpoint(first.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h0", "first.h1"))
+    # most rows stay: those that go are fewer, and of a row that stays only its repeats are counted
+    key = ["doc_id", "h0", "h1"]
+    counted = marked.groupBy(*key).agg(F.count("*").alias("n"))
+    equal = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h0"] == b["h0"]) & (a["h1"] == b["h1"])
+    s, c = stays.alias("s"), counted.alias("c")
+    kept = c.join(s, equal({k: F.col(f"c.{k}") for k in key}, {k: F.col(f"s.{k}") for k in key}), "left_semi")
+    names = docs.columns
+    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *(h("text").alias(f"h{k}") for k, h in enumerate(_TEXT))).alias("w")
+    k = kept.alias("k")
+    chosen = whole.join(k, equal({x: F.col(f"w.{x}") for x in key}, {x: F.col(f"k.{x}") for x in key})).select("row", "w.doc_id", "w.h0", "w.h1", "k.n")
+    single = chosen.filter("n = 1").select("row.*")
+    if kept.filter("n > 1").isEmpty():
+        return single
+    # equal rows: one of each, by a partial aggregate, so that a row repeated very often is one row a task
+    several = chosen.filter("n > 1").groupBy(*key).agg(F.first("row").alias("row"))
+    return single.unionByName(several.select("row.*"))
