@@ -2,23 +2,26 @@
 
 Bounded-space online best-fit: a fixed number of open bins is kept in a bitset keyed by free
 space. A piece goes to the open bin with the least sufficient free space; if none has room a
-new bin opens, and when more than ``open_bins`` are open the fullest closes first. Each Arrow
-batch is placed longest piece first, so the open bins see a mix of lengths.
+new bin opens, and when more than ``open_bins`` are open the fullest closes first. Pieces are
+placed by CHUNK of them, the longest piece first, so the open bins see a mix of lengths.
 
 Two stages. Tokenising is embarrassingly parallel and dominates the cost. Only the pieces'
 lengths (some 50 bytes each) are then dealt by a hash of the piece to packing partitions, each
-of which packs on its own: no key, however hot, decides where a piece goes. The hash and the
-order within a partition depend on the rows alone, so a lost task packs again to the same rows.
+of which packs on its own: no key, however hot, decides where a piece goes. The hash, the order
+within a partition and its chunks depend on the rows alone, not on the size of Arrow batches, so a
+lost task packs again to the same rows.
 
 Defined cases: a null or empty text is the end id alone (one piece of length 1). Null doc_ids
 are kept. A repeated row is packed as often as it occurs. An empty table gives no rows. Only
 documents longer than the capacity are cut; the first piece takes the remainder, so that every
-other piece fills a sequence. Strings of special tokens within a text are ordinary text.
+other piece fills a sequence. The string of a special token within a text becomes that token's id,
+as tokenizers has it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +37,7 @@ CAPACITY = 1024
 END_ID = 2
 OPEN_BINS = 4096
 VOCABULARY = "byte_bpe_50k.json"
+CHUNK = 1000  # pieces that are placed together
 PARTITION_BYTES = 64 << 20  # input bytes a packing partition answers for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,26 +97,29 @@ def encoder(vocabulary: str):
 
     path = public_tokenizers.path(vocabulary)
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    plain = {k: i for k, i in vocab.items() if all(c in byte_of for c in k)}
-    special = "<|endoftext|>"
-    ranks = {bytes(byte_of[c] for c in k): i for k, i in plain.items() if k != special}
+    ranks = {bytes(byte_of[c] for c in k): i for k, i in vocab.items() if k not in added and all(c in byte_of for c in k)}
     fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    between = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
     slow: list = []
 
-    def encode(text: str) -> list[int]:
+    def plain(text: str) -> list[int]:
         try:
             return fast.encode_ordinary(text)
         except Exception:  # tiktoken's regex engine signals its own limits by several types
             if not slow:
-                t = Tokenizer.from_file(path)
-                t.encode_special_tokens = True
-                slow.append(t)
+                slow.append(Tokenizer.from_file(path))
             return slow[0].encode(text, add_special_tokens=False).ids
 
+    def encode(text: str) -> list[int]:
+        if not any(t in text for t in added):
+            return plain(text)
+        return [i for part in between.split(text) if part for i in ([added[part]] if part in added else plain(part))]
+
     return encode
 
 
@@ -163,12 +170,26 @@ def pack(
 
         fit = BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            lengths = batch.column(3).to_numpy()
+        for chunk in chunks(batches):
+            lengths = chunk.column(3).to_numpy()
             sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
             for i in np.argsort(-lengths, kind="stable").tolist():
                 sequence[i], offset[i] = fit.place(int(lengths[i]))
-            cols = [*batch.columns[:5], pa.array(base + sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            cols = [*chunk.columns[:5], pa.array(base + sequence), pa.array(offset)]
+            yield from pa.Table.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]).combine_chunks().to_batches()
 
     return dealt.drop("_order").mapInArrow(packed, PIECES + ", sequence_id long, offset long")
+
+
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[pa.Table]:
+    """The rows of batches, rows at a time, however the batches are cut."""
+    held, n = [], 0
+    for batch in batches:
+        while n + batch.num_rows >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, rows - n)])
+            batch, held, n = batch.slice(rows - n), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)

@@ -14,8 +14,8 @@ that is, lines together with the line breaks behind them. Nothing is shuffled, a
 gathered in no place but its own row.
 
 Defined cases: a null field is empty and still has one section with its line break. Null doc_ids
-and repeated rows stay, with all their sections. An empty table gives no rows. Strings of special
-tokens are ordinary text. Only doc_id and the fields are read.
+and repeated rows stay, with all their sections. An empty table gives no rows. The string of a
+special token is one token. Only doc_id and the fields are read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from sitelume.llm import common, packing
 
 RULES = ("most", "start", "end")
+SECTIONS_A_BATCH = 20_000  # rows of an output batch, or one document's
 
 
 @lru_cache(maxsize=2)
@@ -41,10 +42,11 @@ def token_bytes(vocabulary: str) -> np.ndarray:
     import public_tokenizers
 
     with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    out = np.zeros(max(vocab.values()) + 1, np.int64)
-    for token, i in vocab.items():  # a character of the file stands for a byte
-        out[i] = len(token)
+        file = json.load(f)
+    size = {i: len(token) for token, i in file["model"]["vocab"].items()}  # a character of the file stands for a byte
+    size |= {t["id"]: len(t["content"].encode()) for t in file["added_tokens"]}
+    out = np.zeros(max(size) + 1, np.int64)
+    out[list(size)] = list(size.values())
     return out
 
 
@@ -84,6 +86,11 @@ def attributed(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang", "te
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, size = packing.encoder(vocabulary), token_bytes(vocabulary)
+        types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+        def flush(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -103,8 +110,10 @@ def attributed(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang", "te
                 out[4] += lengths.tolist()
                 out[5] += tokens.tolist()
                 out[6] += crossing.tolist()
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                if len(out[0]) >= SECTIONS_A_BATCH:
+                    yield flush(out)
+                    out = [[] for _ in names]
+            yield flush(out)
 
     few = common.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f).cast("string").alias(f) for f in fields))
     return few.mapInArrow(counted, "doc_id long, field string, section int, start long, length long, n_tokens long, n_crossing long")

@@ -35,3 +35,12 @@ def no_docs(spark):
 @pytest.fixture(scope="session")
 def small_docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def special_docs(spark, tmp_path_factory):
+    """Texts that hold the string of a special token."""
+    texts = ["a <|endoftext|> b<|endoftext|><|endoftext|>\n<|endoftext|", "<|endoftext|>", "é<|endoftext|> " + "word <|endoftext|>" * 700]
+    at = str(tmp_path_factory.mktemp("special") / "documents.parquet")
+    spark.createDataFrame([(i, t, "<|endoftext|>", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, fp long").coalesce(1).write.parquet(at)
+    return spark.read.parquet(at)

@@ -140,25 +140,36 @@ def test_simhash_links_at_any_heat(spark, hot):
 
 
 def test_deduplicated(spark):
-    docs = spark.createDataFrame([(5, "same text here now"), (2, "same text here now"), (2, "same text here now"), (9, "other words stand there"), (None, "x")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1) for r in simhash.deduplicated(docs).collect()) == [-1, 2, 9]
-
-
-def test_deduplicated_tells_rows_of_an_id_apart(spark):
-    docs = spark.createDataFrame([(1, "same text here now", 7), (4, "same text here now", 7), (4, "an own text stands there", 8), (None, "x", 9)], "doc_id long, text string, fp long")
+    docs = spark.createDataFrame([(5, "same text here now"), (2, "same text here now"), (2, "same text here now"), (9, "other words stand there"), (None, "x"), (None, "x"), (None, "y")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.text) for r in simhash.deduplicated(docs).collect()) == [(-1, "x"), (-1, "y"), (2, "same text here now"), (9, "other words stand there")]
+
+
+@pytest.mark.parametrize("rows", [
+    [(5, "A a a a a"), (5, "B b b b b"), (3, "B b b b b")],
+    [(5, "A a a a a"), (5, "B b b b b"), (5, "A a a a a"), (3, "C c c c")],
+    [(1, "same text here now"), (4, "same text here now"), (4, "an own text stands there"), (None, "x"), (None, "same text here now")],
+    [(7, None), (7, ""), (8, None), (None, None)],
+])
+def test_deduplicated_tells_rows_of_an_id_apart(spark, rows):
+    docs = spark.createDataFrame([(*r, 7, "k", 1) for r in rows], "doc_id long, text string, fp long, row string, n int")
     out = simhash.deduplicated(docs)
     assert out.columns == docs.columns
-    assert sorted((r.doc_id or -1, r.text, r.fp) for r in out.collect()) == [(-1, "x", 9), (1, "same text here now", 7), (4, "an own text stands there", 8)]
+    roots = brute.components({k: brute.fingerprint(t) for k, (_, t) in enumerate(rows)})
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(set(roots.values())) and set(got) <= set(rows)
+    assert sorted(roots[rows.index(r)] for r in got) == sorted(set(roots.values()))  # one of each group
+    for r in got:
+        group = [x for k, x in enumerate(rows) if roots[k] == roots[rows.index(r)]]
+        assert (r[0] is None, r[0] or 0) == min((i is None, i or 0) for i, _ in group)
 
 
-@pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs"])
+@pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs", "special_docs"])
 def test_packing(which, request):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     docs = request.getfixturevalue(which)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = rows(packing.pack(docs))
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -188,6 +199,49 @@ def test_packing(which, request):
     assert len(by_sequence) <= 1.05 * total / 1024 + 2
 
 
+def test_packing_does_not_depend_on_batches(spark, small_docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, got = spark.conf.get(key), []
+    try:
+        for n in ("1000", "37"):
+            spark.conf.set(key, n)
+            got.append(sorted(map(tuple, packing.pack(small_docs).collect())))
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1]
+
+
+def test_best_fit_against_plain_best_fit():
+    import random
+
+    r = random.Random(4)
+    for open_bins in (1, 3, 1000):
+        fit, bins, order = packing.BestFit(50, open_bins), {}, []
+        for _ in range(400):
+            n = r.randint(1, 50)
+            where, offset = fit.place(n)
+            room = [b for b in order if 50 - bins[b] >= n]
+            if room:  # an open bin with the least room that suffices
+                assert where in room and bins[where] == max(bins[b] for b in room)
+            else:
+                assert where not in bins and offset == 0
+                bins[where] = 0
+            assert offset == bins[where]
+            bins[where] += n
+            order = [b for b in order if b != where]
+            if bins[where] < 50:
+                if len(order) == open_bins:  # the fullest closes
+                    order.remove(fullest(order, bins, fit))
+                order.append(where)
+
+
+def fullest(order, bins, fit):
+    """The bin that fit closed: one of the fullest."""
+    closed = [b for b in order if not any(b in x for x in fit.by_free)]
+    assert len(closed) == 1 and bins[closed[0]] == max(bins[b] for b in order)
+    return closed[0]
+
+
 def test_best_fit_closes_the_fullest():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 7, 8, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6)]

@@ -27,7 +27,7 @@ def test_allocate(rule):
         assert (got[0].tolist(), got[1].tolist()) == (want, crossing)
 
 
-@pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs"])
+@pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs", "special_docs"])
 def test_attributed(which, request):
     docs = request.getfixturevalue(which)
     fields = ("key", "text") if "key" in docs.columns else ("source", "lang", "text")
@@ -48,13 +48,51 @@ def test_attributed(which, request):
             assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_attributed_against_plain_counting(spark, special_docs, small_docs, rule):
+    """Every section's tokens and crossing tokens, byte by byte from the tokenizer's own offsets."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = [None, "", "one\n\ntwo. Three\nfour", "a\n", "\n\n\na", "ends in blanks  \n  begins in blanks", "x,\ny'll\n\n\n 12345"] + [r.text for r in [*special_docs.collect(), *small_docs.limit(25).collect()]]
+    docs = spark.createDataFrame([(i, x, "src") for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.field, r.section): tuple(r)[3:] for r in token_counts.attributed(docs, ("source", "text"), rule).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        sections = []  # (field, number, start, text)
+        for field, value in (("source", "src"), ("text", text or "")):
+            at = number = 0
+            for line in value.split("\n"):
+                if number and not line.strip():
+                    f, k, a, said = sections.pop()
+                    sections.append((f, k, a, said + line + "\n"))
+                else:
+                    sections.append((field, number, at, line + "\n"))
+                    number += 1
+                at += len(line) + 1
+        whole = "".join(x for *_, x in sections)
+        owner = [k for k, (*_, x) in enumerate(sections) for _ in range(len(x.encode()))]
+        n, crossing, at = [0] * len(sections), [0] * len(sections), 0
+        for token, (a, z) in zip(t.encode(whole, add_special_tokens=False).tokens, t.encode(whole, add_special_tokens=False).offsets, strict=True):
+            size = len(token)
+            of = owner[at : at + size]
+            at += size
+            to = {"start": of[0], "end": of[-1], "most": max(sorted(set(of)), key=of.count)}[rule]
+            n[to] += 1
+            crossing[to] += len(set(of)) > 1
+        for k, (f, number, a, x) in enumerate(sections):
+            want[i, f, number] = (a, len(x), n[k], crossing[k])
+    assert got == want
+
+
 def test_token_bytes_against_the_tokenizer(small_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     size = token_counts.token_bytes(packing.VOCABULARY)
-    for text in ["", "a  b\n\n\tc", "don't 1234 漢字 𝒳 é x", "x" * 300, " " * 50, *(r.text for r in small_docs.limit(40).collect())]:
+    for text in ["", "a  b\n\n\tc", "don't 1234 漢字 𝒳 é x", "x" * 300, " " * 50, "a <|endoftext|> b <|endoftext|>", *(r.text for r in small_docs.limit(40).collect())]:
         e = t.encode(text, add_special_tokens=False)
         assert packing.encoder(packing.VOCABULARY)(text) == e.ids
         assert int(size[np.array(e.ids, np.int64)].sum()) == len(text.encode())
