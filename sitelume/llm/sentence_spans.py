@@ -3,65 +3,66 @@
 A text is cut into sentences (behind . ! ? or a line break). A long sentence is cut further at
 its commas, colons and bars and, failing those, behind words that a hash picks, so that the cuts
 depend on the words around them alone. From every sentence on, the shortest run of at least RUN
-sentences and LEAST_WORDS words is hashed; words are compared without case (A to Z) and ASCII
-punctuation. Runs are joined globally, and a sentence is removed if any run that covers it isn't
-the first of its kind, by (doc_id, position).
+sentences and LEAST_WORDS words is hashed, and likewise the shortest run up to every sentence at
+which none of these ends; words are compared without case (A to Z) and ASCII punctuation. Runs are
+joined globally, and a sentence is removed if any run that covers it isn't the first of its kind,
+by (doc_id, text hash, position).
 
 Sentences and hashes of a batch of texts are array operations over its bytes: a polynomial hash's
-running sums give the hash of any run of words by one difference.
+running sums give the hash of any run of words by one difference. A run is known by two such
+hashes, of 64 and 32 bits, over different bases; a row by its doc_id and a 64-bit hash of its text.
 
-The first of each hash is a minimum, pre-aggregated before its shuffle, so a run that stands in a
-third of all documents costs each task one row. Only hashes that occur more than once take part
-in the join back. The most frequent hashes are joined without a shuffle: at most MOST_HOT of them,
-found by a count in each batch, are resolved by a broadcast of that many rows; all others go by a
-shuffle in which no key is frequent. The split only decides how a run is joined, never whether.
-
-Runs are computed from the text in every branch (hashing again is cheaper than the table of runs
-would be on disk), deterministically, so a lost task gives the same rows again.
+Texts are hashed once, into a Parquet table of runs in the shared folder; that table is dealt by
+hash once, and within a partition every row behind the first of its run is a removal. No partition
+may get a run that stands in a large part of all documents: each task also lists the hashes that
+make up one in HEAVY x partitions of its own runs, so that every hash with as many of all runs as
+an average partition is listed somewhere. The listed hashes with that share at least are at most
+HEAVY x partitions; they are broadcast, their firsts found by partial aggregates, and their rows
+never dealt by hash. The split only decides how a run is joined, never whether.
 
 Defined cases: null and empty texts have no sentences; a text with fewer than RUN sentences or
 LEAST_WORDS words has no run. A repeated row (same id and text) counts once as an occurrence and
-is cut like its twin; rows of one id with different texts are told apart by a checksum. A row
-without doc_id comes after all others. Empty tables give no rows. Other columns pass through.
+is cut like its twin; rows of one id with different texts are told apart by the hash of the text.
+A row without doc_id comes after all others. Empty tables give no rows. Other columns pass through.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelume.llm import common
 
 RUN = 3
-LEAST_WORDS = 12
+LEAST_WORDS = 18
 LONG = 10  # words of a sentence beyond which it is cut further
 BLOCK_BYTES = 2 << 20
-HOT = 1000  # occurrences from which a hash may be joined by broadcast
-MOST_HOT = 10_000
-HOT_IN_BLOCK = 4
+HEAVY = 2  # a task lists the hashes of over one in HEAVY x partitions of its runs
 
 _LAST = 1 << 62  # stands for a missing doc_id in comparisons
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
+#: Odd, so they have inverses modulo 2 ** 64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if _WORD[b] else 32 for b in range(256))
 #: 2 ends a sentence, 1 a clause.
 _END = np.array([2 * (b in b".!?\n") + (b in b",;:|") for b in range(256)], np.uint8)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse."""
-    if len(_powers[0]) <= n:
-        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of a base and of its inverse."""
+    if base not in _powers or len(_powers[base][0]) <= n:
+        _powers[base] = []
+        for x in (base, pow(base, -1, 1 << 64)):
             steps = np.full(2 * n + 1, x, np.uint64)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+            _powers[base].append(np.cumprod(steps, dtype=np.uint64))
+    up, down = _powers[base]
+    return up[: n + 1], down[: n + 1]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,8 +75,8 @@ def _cut_ids(cut: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(cut[:-1])])
 
 
-def block_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text number, start and end (code points) of all runs of some texts."""
+def block_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, check, text number, start and end (code points) of all runs of some texts."""
     none = np.empty(0, np.int64)
     raw = b"\n".join(texts) + b"\n"
     data = np.frombuffer(raw, np.uint8)
@@ -85,16 +86,22 @@ def block_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     start, behind = edge[::2], edge[1::2]
     n = len(start)
     if n < RUN:
-        return none, none, none, none
+        return none, np.empty(0, np.int32), none, none, none
     text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     of = np.searchsorted(text_at, start, side="right") - 1
 
-    # words one blank apart, and the running hash over them
+    # words one blank apart, and the running hashes over them
     joined = np.frombuffer(b" ".join(folded.split()) + b" ", np.uint8)
     at = np.concatenate([[0], np.cumsum(behind - start + 1)])  # word k is joined[at[k] : at[k + 1]], blank included
-    power, inverse = _power(len(joined))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    spanned = lambda a, z: _mixed((total[at[z]] - total[at[a]]) * inverse[at[a]])
+    symbols = joined.astype(np.uint64) + np.uint64(1)
+
+    def hashing(base: int):
+        power, inverse = _power(base, len(joined))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * power[:-1], dtype=np.uint64)])[at]
+        inverse = inverse[at]
+        return lambda a, z: _mixed((total[z] - total[a]) * inverse[a])
+
+    spanned, checked = map(hashing, _BASES)
 
     ends = _END[data]
     of_kind = lambda k: np.concatenate([[0], np.cumsum(ends == k)])
@@ -111,78 +118,92 @@ def block_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])
     upto = np.append(first, n)  # sentence i is words upto[i] to upto[i + 1] - 1
-    i = np.arange(len(first))
-    j = np.maximum(np.searchsorted(upto, upto[i] + LEAST_WORDS), i + RUN)
-    i = i[j <= len(first)]
-    j = j[: len(i)]
-    same = of[upto[i]] == of[upto[j] - 1]
-    i, j = i[same], j[same]
+    m = len(first)
+    text_of = of[first]
+    i = np.arange(m)
+    j = np.maximum(np.searchsorted(upto, upto[:-1] + LEAST_WORDS), i + RUN)
+    inside = (j <= m) & (text_of[np.minimum(j, m) - 1] == text_of)
+    i, j = i[inside], j[inside]
+    # sentences at which no run ends: the shortest run up to there, which reaches back over the longer sentence that the next start leaves out
+    ended = np.zeros(m + 1, bool)
+    ended[j] = True
+    z = np.flatnonzero(~ended[1:]) + 1
+    back = np.minimum(np.searchsorted(upto, upto[z] - LEAST_WORDS, side="right") - 1, z - RUN)
+    inside = (back >= 0) & (text_of[np.maximum(back, 0)] == text_of[z - 1])
+    i, j = np.concatenate([i, back[inside]]), np.concatenate([j, z[inside]])
 
     # a run reaches up to the next sentence of its text, or the text's end
     a, z = start[upto[i]], np.append(start, len(data))[upto[j]]
-    doc = of[upto[i]]
+    doc = text_of[i]
     z = np.minimum(z, text_at[doc + 1] - 1)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     base = points[text_at[doc]]
-    return spanned(upto[i], upto[j]).view(np.int64), doc, points[a] - base, points[z] - base
+    check = checked(upto[i], upto[j]).astype(np.uint32).view(np.int32)
+    return spanned(upto[i], upto[j]).view(np.int64), check, doc, points[a] - base, points[z] - base
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], tuple]]:
-    """(ids, texts, runs) of blocks of about BLOCK_BYTES, at least a text each."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
+    """(ids, hashes of the texts, runs) of blocks of about BLOCK_BYTES, at least a text each. batches: doc, body, text."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        ids, body = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
         first = size = 0
         for k, t in enumerate(texts):
             size += len(t)
             if size >= BLOCK_BYTES or k == len(texts) - 1:
-                yield ids[first : k + 1], texts[first : k + 1], block_runs(texts[first : k + 1])
+                yield ids[first : k + 1], body[first : k + 1], block_runs(texts[first : k + 1])
                 first, size = k + 1, 0
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return common.texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-
-
-def hot_hashes(docs: DataFrame) -> np.ndarray:
-    """At most MOST_HOT of the hashes that occur HOT times or more, the most frequent ones."""
+def _key() -> list[Column]:
+    """doc and body: the doc_id, or _LAST, and the hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body")]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, (h, *_) in blocks(batches):
-            values, n = np.unique(h, return_counts=True)
-            many = n >= HOT_IN_BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(values[many]), pa.array(n[many].astype(np.int64))], names=["hash", "n"])
 
-    frequent = _keyed(docs).mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
-    return np.array(sorted(r.hash for r in frequent.orderBy(F.desc("n"), "hash").limit(MOST_HOT).collect()), np.int64)
-
-
-def all_runs(docs: DataFrame, hot: np.ndarray, take_hot: bool) -> DataFrame:
-    """hash, doc (doc_id or _LAST), crc of the text, place (start << 32 | end) of the hot or of the other runs."""
+def all_runs(docs: DataFrame, heavy: int) -> DataFrame:
+    """hash, check, doc, body, place (start << 32 | end) of all runs; and (hash, place = -count) of each task's hashes with over one in heavy of its runs."""
+    names = ["hash", "check", "doc", "body", "place"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, (h, doc, a, z) in blocks(batches):
-            if len(hot):
-                mine = np.isin(h, hot) == take_hot
-                h, doc, a, z = h[mine], doc[mine], a[mine], z[mine]
-            crc = np.array([zlib.crc32(t) - (1 << 31) for t in texts], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(ids, np.int64)[doc]), pa.array(crc[doc]), pa.array(a << 32 | z)], names=["hash", "doc", "crc", "place"])
+        seen = []
+        for ids, body, (h, check, doc, a, z) in blocks(batches):
+            seen.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array(ids[doc]), pa.array(body[doc]), pa.array(a << 32 | z)], names=names)
+        values, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.int64), np.empty(0, np.int64))
+        much = (n * heavy > n.sum()) & (n > 1)
+        zero = np.zeros(int(much.sum()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(values[much]), pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(zero), pa.array(-n[much].astype(np.int64))], names=names)
 
-    return _keyed(docs).mapInArrow(hashed, "hash long, doc long, crc int, place long")
+    return common.texts(docs).select(*_key(), "text").mapInArrow(hashed, "hash long, check int, doc long, body long, place long")
 
 
 def removal_spans(docs: DataFrame) -> DataFrame:
-    """doc, crc, cut: the merged removal spans (start, end in code points) of each document that has any."""
-    place = F.struct("doc", "crc", "place")
-    hot = hot_hashes(docs)
-
-    def later(take_hot: bool) -> DataFrame:
-        runs = all_runs(docs, hot, take_hot)
-        repeated = runs.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
-        side = F.broadcast(repeated) if take_hot else repeated  # at most MOST_HOT rows
-        return all_runs(docs, hot, take_hot).join(side, "hash").filter(place != F.col("first")).select("doc", "crc", "place")
-
-    found = later(False).union(later(True)) if len(hot) else later(False)
-    return found.distinct().groupBy("doc", "crc").agg(F.sort_array(F.collect_list("place")).alias("places")).select("doc", "crc", _merged(F.col("places")).alias("cut"))
+    """doc, body, cut: the merged removal spans (start, end in code points) of each document that has any."""
+    spark = docs.sparkSession
+    heavy = HEAVY * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, path = common.written(all_runs(docs, heavy), "runs")
+    try:
+        return common.written(_spans(table, heavy), "spans")[0]
+    finally:
+        common.removed(spark, path)
+
+
+def _spans(table: DataFrame, heavy: int) -> DataFrame:
+    """removal_spans() of the rows of all_runs()."""
+    runs = table.filter("place >= 0")
+    total = runs.count()  # reads one column
+    listed = table.filter("place < 0").groupBy("hash").agg(F.sum(-F.col("place")).alias("n")).filter(F.col("n") * heavy >= total).select("hash")
+    hot = F.broadcast(common.checkpoint(listed))  # at most heavy rows: their shares add up to one
+    run, place = ["hash", "check"], F.struct("doc", "body", "place")
+
+    # no hash of these has more rows than an average partition; equal places (of a repeated row) have one rank
+    cold = runs.join(hot, "hash", "left_anti").withColumn("nth", F.rank().over(Window.partitionBy(*run).orderBy("doc", "body", "place")))
+    later = cold.filter("nth > 1").select("doc", "body", "place")
+    frequent = runs.join(hot, "hash", "left_semi")
+    firsts = frequent.groupBy(*run).agg(F.min(place).alias("first"))  # a row for each of the broadcast hashes, but for clashes
+    again = frequent.join(F.broadcast(firsts), run).filter(place != F.col("first")).select("doc", "body", "place")
+    spans = later.union(again).distinct().groupBy("doc", "body").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return spans.select("doc", "body", _merged(F.col("places")).alias("cut"))
 
 
 def _merged(places: Column) -> Column:
@@ -199,9 +220,7 @@ def _merged(places: Column) -> Column:
 
 def _with_cuts(docs: DataFrame) -> DataFrame:
     """row (the document's columns) and cut (null where nothing is removed)."""
-    crc = (F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), crc.alias("crc"))
-    return keyed.join(removal_spans(docs), ["doc", "crc"], "left").select("row", "cut")
+    return docs.select(F.struct(*docs.columns).alias("row"), *_key()).join(removal_spans(docs), ["doc", "body"], "left").select("row", "cut")
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 import random
 import re
-import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from sitelume.llm import sentence_spans as S
 
@@ -36,29 +36,45 @@ def runs(text):
     for s in parts(range(len(words)), lambda k: re.search(r"[.!?\n]", gaps[k])):
         for c in [s] if len(s) <= S.LONG else parts(s, lambda k: re.search("[,;:|]", gaps[k])):
             units += [c] if len(c) <= S.LONG else parts(c, picks)
-    out = []
+    found = set()
+    size = lambda i, j: sum(map(len, units[i:j]))
     for i in range(len(units)):
         for j in range(i + S.RUN, len(units) + 1):
-            ks = [k for u in units[i:j] for k in u]
-            if len(ks) >= S.LEAST_WORDS:
-                out.append((tuple(words[k][2] for k in ks), words[ks[0]][0], words[ks[-1] + 1][0] if ks[-1] + 1 < len(words) else len(text)))
+            if size(i, j) >= S.LEAST_WORDS:
+                found.add((i, j))
+                break
+    ends = {j for _, j in found}
+    for j in set(range(1, len(units) + 1)) - ends:  # where no run ends, the shortest one up to there
+        for i in range(j - S.RUN, -1, -1):
+            if size(i, j) >= S.LEAST_WORDS:
+                found.add((i, j))
                 break
+    out = []
+    for i, j in found:
+        ks = [k for u in units[i:j] for k in u]
+        out.append((tuple(words[k][2] for k in ks), words[ks[0]][0], words[ks[-1] + 1][0] if ks[-1] + 1 < len(words) else len(text)))
     return out
 
 
 def picked(word):
     """The hash that picks cuts, in plain arithmetic."""
-    h = sum((b + 1) * pow(S._BASE, k, 1 << 64) for k, b in enumerate(word.encode() + b" ")) % (1 << 64)
+    h = sum((b + 1) * pow(S._BASES[0], k, 1 << 64) for k, b in enumerate(word.encode() + b" ")) % (1 << 64)
     h = (h ^ h >> 31) * 0xD6E8FEB86659FD93 % (1 << 64)
     return (h ^ h >> 32) % 8
 
 
+def body(text):
+    """The hash of a text that orders rows of one id."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain(texts):
     """Per (id, text) the removed characters."""
     places = defaultdict(set)
     for i, t in texts:
         for h, a, z in runs(t):
-            places[h].add((S._LAST if i is None else i, zlib.crc32((t or "").encode()) - (1 << 31), a << 32 | z, t))
+            places[h].add((S._LAST if i is None else i, body(t), a << 32 | z, t))
     gone = defaultdict(set)
     for p in places.values():
         for i, _, az, t in sorted(p)[1:]:
@@ -88,10 +104,15 @@ def compare(docs):
 
 def test_runs_of_a_block(odd_texts):
     texts = [*(t for t in odd_texts if len(t or "") < 100_000), "a b. c d! e f? g h\ni j k l m n o p.", "x, y, " * 30 + "z | " * 40, "w" + " w1 w2 w3" * 30]
-    h, doc, a, z = S.block_runs([(t or "").encode() for t in texts])
-    want = [(k, x, y) for k, t in enumerate(texts) for _, x, y in runs(t)]
-    assert list(zip(doc.tolist(), a.tolist(), z.tolist(), strict=True)) == want
+    h, check, doc, a, z = S.block_runs([(t or "").encode() for t in texts])
+    want = sorted((k, x, y) for k, t in enumerate(texts) for _, x, y in runs(t))
+    assert sorted(zip(doc.tolist(), a.tolist(), z.tolist(), strict=True)) == want
     assert len(S.block_runs([])[0]) == 0
+    said = {(k, x, y): w for k, t in enumerate(texts) for w, x, y in runs(t)}
+    by_hash = defaultdict(set)
+    for key, one, two in zip(zip(doc.tolist(), a.tolist(), z.tolist(), strict=True), h.tolist(), check.tolist(), strict=True):
+        by_hash[said[key]].add((one, two))
+    assert all(len(x) == 1 for x in by_hash.values()) and len({x for v in by_hash.values() for x in v}) == len(by_hash)
 
 
 @pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs"])
@@ -109,12 +130,40 @@ def test_planted_passages(spark):
     assert all(found[i] == 0 for i in [0, 1, 2, *range(100, 130)]) and all(found[i] > 0 for i in range(3, 60))
 
 
+def test_tail_of_a_passage(spark):
+    """A repeated passage goes up to its last short sentence."""
+    passage = "One long sentence of the passage stands here with ten. And then another one of nine words follows it. Here is one more. So it. Is. Done now."
+    docs = spark.createDataFrame([(i, f"{x} own words lead in here. {passage} {x} own words lead out of it again at the end.") for i, x in enumerate(("First", "Second"))], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.clean(docs).collect()}
+    assert passage in out[0] and "Is. Done" not in out[1] and out[1].endswith("Second own words lead out of it again at the end.")
+
+
 def test_hot_hashes_change_nothing(spark, monkeypatch):
     r = random.Random(2)
-    passage = "This is. A passage, that. Stands in very many. Of all the texts. And is longer than a dozen words."
+    passage = "This is. A passage, that. Stands in very many. Of all the texts. And is longer than a dozen words, much longer."
     docs = spark.createDataFrame([(i, " ".join(str(r.random()) for _ in range(20)) + ". " + passage * (i % 3 > 0) + " Own end.") for i in range(200)], "doc_id long, text string")
-    cold = sorted(map(tuple, S.find(docs).collect()))
-    monkeypatch.setattr(S, "HOT", 20)
-    assert len(S.hot_hashes(docs)) > 0
-    assert sorted(map(tuple, S.find(docs).collect())) == cold
+    get = lambda: sorted(map(tuple, S.find(docs).collect()))
+    listed = lambda heavy: {x.hash for x in S.all_runs(docs, heavy).filter("place < 0").collect()}
+    monkeypatch.setattr(S, "HEAVY", 0.001)
+    cold = get()
+    monkeypatch.setattr(S, "HEAVY", 50)
+    assert listed(400) and not listed(0.01)
+    assert get() == cold
     compare(docs)
+
+
+def test_a_row_repeated_very_often(spark):
+    text = " ".join(f"Word{i} and, other{i} ones. So it{i} is." for i in range(12))
+    docs = spark.createDataFrame([(7, text)] * 3000 + [(9, text), (None, text + " More of it."), (None, "x"), (None, "y")], "doc_id long, text string").repartition(5)
+    compare(docs)
+    assert [r.n_removed for r in S.find(docs).filter("doc_id = 7").distinct().collect()] == [0]
+
+
+def test_folders_are_removed(spark):
+    import os
+
+    from sitelume.llm import common
+
+    at = common.shared_folder(spark)
+    S.find(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    assert not [x for x in os.listdir(at.removeprefix("file:")) if x.startswith("runs-")]
