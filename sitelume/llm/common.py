@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +50,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and the table's path: columns are pruned as it is read, unlike a checkpoint's."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder by Hadoop's file system; nothing happens where there is none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
