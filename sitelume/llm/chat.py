@@ -4,19 +4,21 @@ A turn's content is plain text or a JSON array of typed parts. A visitor flatten
 turn in order: text stays (a plain text is one text part), an image, audio or document part becomes a
 placeholder, its reference is recorded as an attachment, and its expanded token count is added up.
 
-The format marks turns as <turn role="..."> text </turn>, with loss marks around the assistant's
-text. Inside texts and roles every control character of the format is escaped by a backslash, so
-no text can end its turn, and reading back gives exactly the text that went in.
+A formatted turn is \\<turn:ROLE\\> TEXT \\</turn>, without the blanks, with \\<loss> and \\</loss> around
+an assistant's TEXT, and \\<image:0> where the turn's attachment 0, an image, stands. Inside texts and
+roles every backslash is doubled, so a single one always begins a mark: no text can end its turn or
+pass for a placeholder, and reading back gives exactly the texts and placeholders that went in.
 
 Each turn is formatted where it is read. Turns are then dealt by conversation and sorted by turn
 within the partition, and a conversation's turns stream through its task one after the other with
-running digests: a conversation of any length holds one turn and its attachments in memory.
-
-Defined cases: a null text is empty; a null role is the empty role; a row without conv_id belongs
-to the conversation null. Turns without a number come first; ties and repeated rows keep the order
-of (role, text, attachments) and all count as turns. An empty table gives no rows. Other columns aren't
-read. A part's size that isn't a number from 0 to MOST_SIZE counts as absent; half a surrogate pair in
-a part becomes U+FFFD; JSON nested too deeply to be read stays plain text.
+running digests: a conversation of any length holds one turn in memory. Its digest is sequential by
+its nature, so the longest conversation is the longest task; what that task does is hash its bytes.
+
+Defined cases: a null text is empty; a null role is the empty role; a row without conv_id is a
+conversation of its own, so that these rows are no group. Turns without a number come first; ties and
+repeated rows keep the order of (role, text, attachments) and all count as turns. An empty table gives
+no rows. Other columns aren't read. A part's size that isn't a number from 0 to MOST_SIZE counts as
+absent; half a surrogate pair in a part becomes U+FFFD; JSON nested too deeply to be read stays plain text.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from sitelume.llm.common import texts
 
 TURN, CLOSE, LOSS, END_LOSS = "\\<turn:", "\\</turn>", "\\<loss>", "\\</loss>"
 #: An escaped backslash is doubled, so a single one always begins a mark.
-_MARK = re.compile(r"\\\\|\\<turn:|\\</turn>|\\<loss>|\\</loss>|\\>")
+_MARK = re.compile(r"\\\\|\\<turn:|\\</turn>|\\<loss>|\\</loss>|\\<(?:image|audio|document):[0-9]+>|\\>")
 LEARNED = "assistant"
 MOST_SIZE = 10**8
 DIGEST = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
@@ -54,22 +56,40 @@ def format_turn(role: str | None, text: str | None) -> str:
 
 
 def read_turns(formatted: str) -> Iterator[tuple[str, str, bool]]:
-    """(role, text, whether the text is under the loss mask) of each turn of a formatted string."""
-    role, held, loss, at = "", [], False, 0
+    """(role, text, whether the text is under the loss mask) of each turn of a formatted string; a placeholder reads <image:0>."""
+    for role, parts, loss in read_parts(formatted):
+        yield role, "".join(f"<{said}>" if mark else said for mark, said in parts), loss
+
+
+def read_parts(formatted: str) -> Iterator[tuple[str, list[tuple[bool, str]], bool]]:
+    """(role, parts, loss) of each turn; parts: (whether it is a placeholder, its text), texts between two placeholders as one."""
+    role, parts, loss, at = "", [], False, 0
+    held: list[str] = []
+
+    def said() -> None:
+        if text := "".join(held):
+            parts.append((False, text))
+        held.clear()
+
     for m in _MARK.finditer(formatted):
         held.append(formatted[at : m.start()])
         at, mark = m.end(), m[0]
         if mark == "\\\\":
             held.append("\\")
         elif mark == TURN:
-            role, held, loss = "", [], False
+            role, parts, loss = "", [], False
+            held.clear()
         elif mark == "\\>":
-            role, held = "".join(held), []
+            role = "".join(held)
+            held.clear()
         elif mark == LOSS:
             loss = True
         elif mark == CLOSE:
-            yield role, "".join(held), loss
-            held = []
+            said()
+            yield role, parts, loss
+        elif mark != END_LOSS:
+            said()
+            parts.append((True, mark[2:-1]))
 
 
 def _size(part: dict, key: str) -> float:
@@ -87,7 +107,8 @@ class Flattener:
     tokens_per_image: int = 256
     tokens_per_second: int = 25
     tokens_per_page: int = 512
-    text: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)  # as it reads
+    body: list[str] = field(default_factory=list)  # escaped, with placeholders as marks
     attachments: list[dict] = field(default_factory=list)
 
     def visit(self, content) -> None:
@@ -95,6 +116,7 @@ class Flattener:
             return
         if isinstance(content, str):
             self.text.append(_HALF.sub("\ufffd", content))
+            self.body.append(escape(self.text[-1]))
         elif isinstance(content, list):
             for part in content:
                 self.visit(part)
@@ -123,17 +145,18 @@ class Flattener:
         ref = _HALF.sub("\ufffd", str(part.get("url") or part.get("ref") or ""))
         self.attachments.append({"kind": kind, "ref": ref, "place": len(self.attachments), "tokens": tokens})
         self.text.append(f"<{kind}:{len(self.attachments) - 1}>")
+        self.body.append("\\" + self.text[-1])
 
 
 _ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("place", pa.int32()), ("tokens", pa.int64())]))
 
 
 def flatten(turns: DataFrame) -> DataFrame:
-    """text of JSON parts flattened; attachments and expanded_tokens added. Text that is no JSON array stays plain."""
+    """text of JSON parts flattened; its escaped body, attachments and expanded_tokens added. Text that is no JSON array stays plain."""
 
     def flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = [], []
+            texts, bodies, found = [], [], []
             for raw in batch.column(3).to_pylist():
                 v, content = Flattener(), raw
                 if raw and raw.lstrip()[:1] == "[":
@@ -149,31 +172,34 @@ def flatten(turns: DataFrame) -> DataFrame:
                     v = Flattener()
                     v.visit(raw)
                 texts.append("".join(v.text))
+                bodies.append("".join(v.body))
                 found.append(v.attachments)
             tokens = pa.array([sum(a["tokens"] for a in f) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(found, _ATTACHMENTS), tokens], names=["conv_id", "turn", "role", "text", "attachments", "expanded_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(bodies, pa.string()), pa.array(found, _ATTACHMENTS), tokens], names=["conv_id", "turn", "role", "text", "body", "attachments", "expanded_tokens"])
 
     return texts(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(
-        flattened, "conv_id long, turn long, role string, text string, attachments array<struct<kind:string,ref:string,place:int,tokens:long>>, expanded_tokens long"
+        flattened, "conv_id long, turn long, role string, text string, body string, attachments array<struct<kind:string,ref:string,place:int,tokens:long>>, expanded_tokens long"
     )
 
 
-def formatted_turns(turns: DataFrame, *more: str) -> DataFrame:
-    """conv_id, turn, role, text, formatted, more columns: each turn on its own; a conversation's text is their concatenation."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    esc = lambda c: F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    body = F.when(role == LEARNED, F.concat(F.lit(LOSS), esc(text), F.lit(END_LOSS))).otherwise(esc(text))
-    return turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"),
-        F.concat(F.lit(TURN), esc(role), F.lit("\\>"), body, F.lit(CLOSE)).alias("formatted"), *more,
-    )
+def formatted_turns(turns: DataFrame) -> DataFrame:
+    """flatten()'s turns with formatted: each turn on its own; a conversation's text is their concatenation."""
+    role = F.coalesce("role", F.lit(""))
+    body = F.when(role == LEARNED, F.concat(F.lit(LOSS), "body", F.lit(END_LOSS))).otherwise(F.col("body"))
+    escaped = F.replace(role, F.lit("\\"), F.lit("\\\\"))
+    return turns.select("conv_id", "turn", role.alias("role"), "text", F.concat(F.lit(TURN), escaped, F.lit("\\>"), body, F.lit(CLOSE)).alias("formatted"), "attachments", "expanded_tokens")
 
 
 _LISTED = pa.list_(pa.struct([("nth", pa.int64()), *_ATTACHMENTS.value_type]))
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """Per conversation what its formatted text says when read back, its attachments (of its nth turn, from 0) and their tokens."""
+def conversations(turns: DataFrame, listed: bool = True) -> DataFrame:
+    """Per conversation what its formatted text says when read back, the number of its attachments and their tokens.
+
+    listed: also the attachments themselves (of its nth turn, from 0), which are held for a whole conversation.
+    """
+    names = [*DIGEST, "n_attachments", "expanded_tokens", "attachments"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _LISTED)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list = []
@@ -181,23 +207,23 @@ def conversations(turns: DataFrame) -> DataFrame:
 
         def close() -> None:
             if state:
-                conv, n, all_sha, chars, loss_sha, length, attached, tokens = state
-                done.append((conv, n, all_sha.hexdigest(), chars, loss_sha.hexdigest(), length, attached, tokens))
+                conv, n, all_sha, chars, loss_sha, *rest = state
+                done.append((conv, n, all_sha.hexdigest(), chars, loss_sha.hexdigest(), *rest))
                 state.clear()
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) if done else [()] * 8
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), _LISTED, pa.int64())
-            names = [*DIGEST, "attachments", "expanded_tokens"]
+            cols = list(zip(*done, strict=True)) if done else [()] * len(names)
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for batch in batches:
             for conv, text, found, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not state or state[0] != conv:
+                if not state or state[0] != conv or conv is None:
                     close()
-                    state[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, [], 0]
-                state[6] += [{"nth": state[1], **a} for a in found]
+                    state[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, []]
+                if listed:
+                    state[8] += [{"nth": state[1], **a} for a in found]
+                state[6] += len(found)
                 state[7] += tokens
                 for role, said, loss in read_turns(text):
                     state[1] += 1
@@ -210,14 +236,16 @@ def conversations(turns: DataFrame) -> DataFrame:
         close()
         yield flush()
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachments array<struct<nth:long,kind:string,ref:string,place:int,tokens:long>>, expanded_tokens long"
-    dealt = formatted_turns(flatten(turns), "attachments", "expanded_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "attachments")
-    return dealt.select("conv_id", "formatted", "attachments", "expanded_tokens").mapInArrow(read, schema)
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long, attachments array<struct<nth:long,kind:string,ref:string,place:int,tokens:long>>"
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # rows without a conversation are dealt evenly
+    dealt = formatted_turns(flatten(turns)).withColumn("own", own).repartition("conv_id", "own").sortWithinPartitions("conv_id", "turn", "role", "text", "attachments")
+    out = dealt.select("conv_id", "formatted", "attachments", "expanded_tokens").mapInArrow(read, schema)
+    return out if listed else out.drop("attachments")
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """The contract's columns of conversations()."""
-    return conversations(turns).select(*DIGEST)
+    """The contract's columns, and the number of attachments and their tokens."""
+    return conversations(turns, listed=False)
 
 
 def probe(turns: DataFrame) -> DataFrame:

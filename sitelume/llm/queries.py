@@ -53,7 +53,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6 with the attachments and expanded tokens, which its contract's columns leave out."""
+    """op6 with the attachments themselves; op6 counts them."""
     return chat.conversations(chat.probe(table(spark, sf_dir, "conversations")))
 
 

@@ -1,5 +1,7 @@
 """Operator 6: exact round trip and digests."""
 
+import json
+
 import brute
 import pytest
 
@@ -13,35 +15,61 @@ def test_turn_round_trip():
 
 
 def expected(rows):
+    """Digests of conversations; a row without a conversation is told by its text."""
     by = {}
     for r in rows:
-        by.setdefault(r["conv_id"], []).append((r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or ""))
+        by.setdefault((r["conv_id"], r["text"] if r["conv_id"] is None else None), []).append((r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or ""))
     out = {}
     for c, turns in by.items():
         turns.sort()
         loss = "".join(t for *_, role, t in turns if role == "assistant")
-        out[c] = (len(turns), brute.sha("".join(f"{role}\n{t}\n" for *_, role, t in turns)), len(loss), brute.sha(loss), sum(len(chat.format_turn(role, t)) for *_, role, t in turns))
+        out[c[0] if c[0] is not None else c] = (len(turns), brute.sha("".join(f"{role}\n{t}\n" for *_, role, t in turns)), len(loss), brute.sha(loss), sum(len(chat.format_turn(role, t)) for *_, role, t in turns))
     return out
 
 
 def test_digest(spark):
-    rows = [(1, 1, "assistant", "b\\"), (1, 0, "user", None), (2, 0, None, "x"), (None, None, "assistant", "q"), (1, 1, "assistant", "b\\"), (3, 5, "assistant", "é" * 200_000), (3, 4, "tool", "")]
+    rows = [(1, 1, "assistant", "b\\"), (1, 0, "user", None), (2, 0, None, "x"), (None, None, "assistant", "q"), (None, None, "user", "r"), (None, 0, "user", "r s"), (1, 1, "assistant", "b\\"), (3, 5, "assistant", "é" * 200_000), (3, 4, "tool", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 formatted", "2 attachments")
-    got = {r.conv_id: tuple(r)[1:] for r in chat.digest(chat.probe(turns)).collect()}
+    got = {r.conv_id: tuple(r)[1:6] for r in chat.digest(chat.probe(turns)).filter("conv_id is not null").collect()}
     said = r"\### Assistant: </turn> ok"
     want = expected([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in [*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)]])
-    assert got == want
+    alone = sorted(v for k, v in want.items() if isinstance(k, tuple))
+    assert sorted(tuple(r)[1:6] for r in chat.digest(turns).filter("conv_id is null").collect()) == alone and len(alone) == 3
+    assert got == {k: v for k, v in want.items() if not isinstance(k, tuple)}
     assert chat.digest(turns.limit(0)).count() == 0
 
 
+def test_many_rows_without_a_conversation(spark):
+    """They are dealt evenly: no partition has most of them."""
+    turns = spark.range(20_000).selectExpr("cast(null as long) conv_id", "0 turn", "'user' role", "cast(id as string) text")
+    out = chat.digest(turns)
+    assert out.count() == 20_000 and {r.n_turns for r in out.select("n_turns").distinct().collect()} == {1}
+    sizes = [r["count"] for r in chat.formatted_turns(chat.flatten(turns)).selectExpr("pmod(hash(conv_id, xxhash64(turn, role, text)), 8) p").groupBy("p").count().collect()]
+    assert max(sizes) < 3000
+
+
+def test_placeholders_are_told_from_texts(spark):
+    said = r"a <image:0> \<image:0> \\<audio:1> b"
+    parts = json.dumps([{"type": "text", "text": said}, {"type": "image", "url": "x"}, {"type": "text", "text": "<image:0>"}, {"type": "audio", "ref": "y"}, {"type": "audio", "ref": "z"}])
+    turns = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", parts), (1, 2, r"us\<image:0>er", "")], "conv_id long, turn long, role string, text string")
+    rows = chat.formatted_turns(chat.flatten(turns)).orderBy("turn").collect()
+    got = list(chat.read_parts("".join(r.formatted for r in rows)))
+    assert got == [
+        ("user", [(False, said)], False),
+        ("assistant", [(False, said), (True, "image:0"), (False, "<image:0>"), (True, "audio:1"), (True, "audio:2")], True),
+        (r"us\<image:0>er", [], False),
+    ]
+    assert [t for _, t, _ in chat.read_turns(rows[1].formatted)] == [rows[1].text] == [said + "<image:0><image:0><audio:1><audio:2>"]
+
+
 def test_small_table(spark):
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
-    assert {r.conv_id: tuple(r)[1:] for r in chat.digest(turns).collect()} == expected([r.asDict() for r in turns.collect()])
+    assert {r.conv_id: tuple(r)[1:6] for r in chat.digest(turns).collect()} == expected([r.asDict() for r in turns.collect()])
 
 
 def test_formatting_in_both_places(spark, odd_docs):
     turns = odd_docs.selectExpr("doc_id conv_id", "1 turn", "if(doc_id % 2 = 0, 'assistant', 'us\\\\er') role", "text")
-    for r in chat.formatted_turns(turns).collect():
+    for r in chat.formatted_turns(chat.flatten(turns)).collect():
         assert r.formatted == chat.format_turn(r.role, r.text)
 
 
@@ -69,9 +97,11 @@ def test_query_visits_parts(spark, tmp_path):
 
     flat = [(1, 0, "user", "see <image:0><audio:1>"), (1, 1, "assistant", "plain"), (1, 2, "assistant", "<document:0>"), (2, 0, "user", deep), (3, 0, "user", "<image:0><document:1>5\ufffd"), (4, 0, "user", nested)]
     want = expected([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in flat])
+    marks, tokens = {1: 3, 2: 0, 3: 2, 4: 0}, {1: 256 + 50 + 1024, 2: 0, 3: 256 + 512, 4: 0}
+    want = {k: (*v[:4], v[4] + marks[k], marks[k], tokens[k]) for k, v in want.items()}  # a placeholder's mark is a backslash more
     got = {r.conv_id: tuple(r)[1:] for r in queries.QUERIES["op6_chat_formatting"](spark, str(tmp_path)).collect()}
     assert {k: got[k] for k in want} == want
     more = {r.conv_id: r for r in queries.QUERIES["chat_attachments"](spark, str(tmp_path)).collect()}
-    assert {k: tuple(r)[1:6] for k, r in more.items()} == got
+    assert {k: tuple(r)[1:8] for k, r in more.items()} == got
     assert [tuple(a) for a in more[1].attachments] == [(0, "image", "a.png", 0, 256), (0, "audio", "b", 1, 50), (2, "document", "c.pdf", 0, 1024)]
     assert [more[k].expanded_tokens for k in (1, 2, 3, -7)] == [256 + 50 + 1024, 0, 256 + 512, 0]
