@@ -6,9 +6,10 @@ spans. Documents never leave their task: nothing is shuffled and no passage, how
 occurs, gathers rows anywhere.
 
 Only runs of benchmark words that are long enough for a window get into the index; a window
-cannot occur elsewhere. The benchmark side is the query set. It is read in blocks of at most
-BLOCK_BYTES of text, each shipped to the tasks; several blocks mean as many passes, combined by
-document, so that a large benchmark costs time but not memory.
+cannot occur elsewhere. The benchmark side is the query set. Its distinct items are read in blocks of
+about BLOCK_BYTES of text, each shipped to the tasks; several blocks mean as many passes over the
+documents, in which each row carries what it was found to hold along, so that a large benchmark
+costs time but not memory, and no row ever has to be told from its twin.
 
 Words are runs of characters other than ASCII punctuation, space and controls, after lower-casing
 A to Z. A window is WINDOW consecutive words of an item; a shorter item is one window.
@@ -25,7 +26,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +85,11 @@ def block(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> B
 
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> tuple[int, Iterator[Block]]:
-    """Number of blocks of about block_bytes, and the blocks one after the other; each is bounded as it is collected."""
-    sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    """Number of blocks of about block_bytes, and the blocks one after the other; each is bounded as it is collected.
+
+    Items are dealt by a hash of id and text, repeated ones once: a block holds its share, or one item of any size.
+    """
+    sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text <> ''").distinct()
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
 
@@ -213,35 +216,33 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: i
     few = texts(docs).select("doc_id", "text")
     kind = dict(few.dtypes)["doc_id"]
 
-    def passed(b: Block) -> DataFrame:
+    def listed(n_words: list[int], spans: list[list[tuple[int, int]]], names: list[list[str | None]]) -> list[pa.Array]:
+        pairs = pa.array([[{"first": x, "behind": y} for x, y in s] for s in spans], _SPAN)
+        return [pa.array(n_words, pa.int64()), pairs, pa.array([sorted({x for x in i if x is not None}) for i in names], pa.list_(pa.string()))]
+
+    if n == 1:
+        b = next(parts, _NOTHING)
+
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, n_words, spans, names in _shards(batches, b, 1):
-                pairs = pa.array([[{"first": x, "behind": y} for x, y in s] for s in spans], _SPAN)
-                listed = pa.array([sorted(x for x in i if x is not None) for i in names], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pairs, listed], names=["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *listed(n_words, spans, names)], names=["doc_id", "n_words", "spans", "items"])
 
         return few.mapInArrow(found, f"doc_id {kind}, {_FOUND}")
 
-    if n == 1:
-        return passed(next(parts, _NOTHING))
-    # several blocks: each row comes once per pass; repeated rows are told apart by their number only
-    few = few.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text")
-    kind = dict(few.dtypes)["doc_id"]
-    passes = [checkpoint(passed(b)) for b in parts] or [passed(_NOTHING)]  # a pass is done with before the next block is read
-    every = reduce(DataFrame.union, passes)
-    merged = every.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / len(passes)).cast("int").alias("copies"),
-    )
-    empty = F.array().cast("array<struct<first:int,behind:int>>")
-
-    def step(a, x):
-        last = F.get(a, F.size(a) - 1)
-        joined = F.struct(last["first"].alias("first"), F.greatest(last["behind"], x["behind"]).alias("behind")).cast("struct<first:int,behind:int>")
-        return F.when(F.coalesce(last["behind"] >= x["first"], F.lit(False)), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined))).otherwise(F.concat(a, F.array(x)))
-
-    return merged.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", F.aggregate("spans", empty, step).alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    def searched(out: DataFrame, b: Block) -> DataFrame:
+        def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, n_words, spans, names in _shards(batches, b, 1):
+                both = [merged([*((x["first"], x["behind"]) for x in old), *s]) for old, s in zip(part.column(3).to_pylist(), spans, strict=True)]
+                items = [[*old, *i] for old, i in zip(part.column(4).to_pylist(), names, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *listed(n_words, both, items)], names=["doc_id", "text", "n_words", "spans", "items"])
+
+        return out.mapInArrow(more, f"doc_id {kind}, text string, {_FOUND}")
+
+    nothing = (F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,behind:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    out, passes = few.select("doc_id", "text", *nothing), 0
+    for passes, b in enumerate(parts, 1):
+        out = checkpoint(searched(out, b))  # a pass is done with before the next block is read
+    return (out if passes else searched(out, _NOTHING)).drop("text")
 
 
 def digest(found: DataFrame) -> DataFrame:

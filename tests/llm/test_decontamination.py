@@ -49,6 +49,24 @@ def test_in_blocks(planted):
     compare(*planted, block_bytes=400)
 
 
+def test_repeated_rows_and_items_in_blocks(planted):
+    """Repeated items make no block large, and repeated rows and rows of one id stay apart."""
+    docs, items = planted
+    many = items.union(items.limit(9)).union(items.filter("item_id = 12").crossJoin(items.limit(20).select("item_id").withColumnRenamed("item_id", "k")).select("item_id", "text"))
+    assert decontamination.blocks(many, 400)[0] == decontamination.blocks(items, 400)[0] > 3
+    compare(docs.union(docs.limit(30)), many, block_bytes=400)
+    one_id = docs.selectExpr("1 doc_id", "text")
+    got = lambda **more: sorted(map(str, decontamination.find(one_id, many, **more).collect()))
+    assert got(block_bytes=400) == got()
+
+
+def test_empty_blocks(spark, planted):
+    docs, _ = planted
+    items = spark.createDataFrame([(1, " ! " * 300), (2, None), (3, "?" * 300)], "item_id long, text string")
+    assert decontamination.blocks(items, 100)[0] > 1
+    compare(docs, items, block_bytes=100)
+
+
 def test_small_shards(planted, monkeypatch):
     docs, items = planted
     b = next(decontamination.blocks(items)[1])
