@@ -10,16 +10,17 @@ positives and unlabelled text alone: a first classifier tells the two apart, and
 positives are surest bound the positives' share of the unlabelled text.
 
 The model is fitted on the driver on a bounded sample: at most SAMPLE positives and SAMPLE
-unlabelled documents, chosen by a hash of doc_id; rows of the held-out fold take no part. What
-reaches the driver are their feature vectors, a fixed number of bytes each. Scoring is one pass
-over all texts, each scored whole and on its own; nothing is shuffled but the sample's ids.
+unlabelled documents, chosen by a hash of doc_id, of several rows of an id the one of the least text
+hash; rows of the held-out fold take no part. What reaches the driver are their feature vectors,
+at most 2 * SAMPLE, a bounded number of bytes each. Scoring is one pass over all texts, each scored
+whole and on its own; nothing is shuffled but the sample's ids and texts.
 
 Features: text statistics (lengths, repetition, symbols, case, lines) in quantile bins, and hashed
 words. Labels, language, source and doc_id are never inputs.
 
 Defined cases: null and empty texts have the statistics of nothing and get a score like any text.
 Null doc_ids are scored, count as not held out and are never sampled. Repeated rows stay, one
-result row per input row. Without positives or without unlabelled text every score is the prior
+result row per input row, and are fitted once. A document with labels of both kinds is a positive. Without positives or without unlabelled text every score is the prior
 (0.5 if nothing is known). An empty table gives no rows. Only doc_id and text are read.
 """
 
@@ -171,7 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     positive = set(chosen(labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))))
     unlabelled = set(chosen(docs.select(F.col("doc_id").cast("long").alias("doc_id"))))
     wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(positive | unlabelled)], "doc_id long")
-    sampled = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(wanted), "doc_id", "left_semi")  # at most 2 * sample ids
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id", "left_semi")  # at most 2 * sample ids
+    # of an id's rows one: their hashes are compared first, so that texts aren't kept for each of them
+    hashed = given.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit("second"), "text").alias("g"))
+    least = hashed.groupBy("doc_id").agg(F.min(F.struct("h", "g")).alias("least"))  # at most 2 * sample rows
+    sampled = hashed.join(F.broadcast(least), "doc_id").filter(F.struct("h", "g") == F.col("least")).groupBy("doc_id").agg(F.first("text").alias("text"))
     rows: dict[int, tuple] = {r.doc_id: (r.stats, r.hashed) for r in _features(sampled).collect()}
     part = lambda ids: (np.array([rows[i][0] for i in sorted(ids) if i in rows]).reshape(-1, STATISTICS), [rows[i][1] for i in sorted(ids) if i in rows])
     return fit(part(positive), part(unlabelled), prior)

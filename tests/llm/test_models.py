@@ -120,6 +120,54 @@ def test_classifier_never_sees_held_out_labels(spark):
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
+def test_classifier_fits_one_row_of_an_id(spark):
+    """Rows of one id, however many, give one vector, whatever their order."""
+    good, bad = "A sentence of sound words, and then another. ", "## || buy $$ now "
+    rows = [(i, (good if i % 2 else bad) * (2 + i % 5)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    many = [(r, t) for r, t in rows for _ in range(1 + 300 * (r == 3))] + [(3, "other words of the same id")] * 200 + [(7, None)]
+    seen = []
+    fit = quality_model.fit
+    try:
+        quality_model.fit = lambda p, u, prior=None: (seen.append((len(p[0]), len(u[0]))), fit(p, u, prior))[1]
+        models = [quality_model.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((many, 3), (many[::-1], 7))]
+    finally:
+        quality_model.fit = fit
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(60))
+    assert seen == [(sum(i % 2 and zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60)), 60 - held)] * 2
+    assert np.array_equal(models[0].weights, models[1].weights)
+
+
+def test_scores_and_risk_against_plain_python(spark):
+    """Scores, and the risk that is minimised, computed row by row without arrays."""
+    import math
+
+    r = np.random.default_rng(3)
+    make = lambda n, at: (r.normal(at, 1, (n, quality_model.STATISTICS)), [sorted(set(r.integers(0, 50, 5).tolist())) for _ in range(n)])
+    p, u, pi = make(40, 1.0), make(90, 0.0), 0.4
+
+    def margin(m, stats, hashed):
+        z = m.bias
+        for k, v in enumerate(stats):
+            z += m.weights[k * quality_model.BINS + sum(e <= v for e in m.edges[k])]
+        return z + sum(m.weights[quality_model.STATISTICS * quality_model.BINS + h] for h in hashed) / math.sqrt(len(hashed) or 1)
+
+    def risk(m):
+        loss = lambda z: math.log1p(math.exp(z))
+        zp, zu = ([margin(m, s, h) for s, h in zip(*x, strict=True)] for x in (p, u))
+        return pi * sum(loss(-z) for z in zp) / 40 + max(0.0, sum(loss(z) for z in zu) / 90 - pi * sum(loss(z) for z in zp) / 40)
+
+    models = [quality_model.fit(p, u, pi, steps) for steps in (1, 5, 40, 400)]
+    risks = [risk(m) for m in models]
+    assert risks == sorted(risks, reverse=True) and risks[-1] < 0.5 * risks[0]
+    for s, h, got in zip(*u, models[2].scores(*u), strict=True):
+        assert abs(1 / (1 + math.exp(-margin(models[2], s, h))) - got) < 1e-9
+    docs = spark.createDataFrame([(1, "Some words. And more!"), (2, None)], "doc_id long, text string")
+    for x in quality_model.score(docs, models[2]).collect():
+        stats, hashed = quality_model.statistics({1: "Some words. And more!", 2: None}[x.doc_id])
+        assert abs(1 / (1 + math.exp(-margin(models[2], stats, hashed))) - x.score) < 1e-9
+
+
 def test_classifier_odd(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(4, 1), (5, 1), (8, 0), (None, 1), (999, 1)], "doc_id long, quality int")
     model = quality_model.train(odd_docs, labels)
