@@ -2,7 +2,9 @@
 
 The rules' regexes become one automaton (automaton.py) that scans all rules in a single pass over
 the bytes. The pass is run in lockstep: a batch of texts is cut into pieces behind bytes after
-which every state is the first one, and one array operation moves all pieces a byte on. Whenever
+which every state is the first one, and one array operation moves all pieces a byte on. When fewer
+than LEAST_LIVE pieces are left, as in a text that offers no place to cut, each is walked to its end
+on the transition arrays, byte by byte; so no text costs more than that a byte. Whenever
 a rule's match ends, the rule's backward automaton finds where it began, and the rule's own
 length condition accepts or drops it.
 
@@ -29,7 +31,9 @@ from sitelume.llm import automaton
 from sitelume.llm.common import texts
 
 PIECE = 2048
+LEAST_LIVE = 48  # pieces; an array operation costs about as much as so many single steps
 BLOCK_BYTES = 8 << 20
+WALKED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -66,6 +70,7 @@ class Scanner:
         self.rules = rules
         self.forward = automaton.compile_rules(trees)
         self.back = [automaton.backward(t) for t in trees]
+        self.next, self.ended = self.forward.following.tolist(), self.forward.ended.tolist()
         self.exact = [re.compile(r.pattern.encode(), re.I if r.ignore_case else 0) for r in rules]
 
     def pieces(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,6 +96,10 @@ class Scanner:
         live = len(at)
         shrinks = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
         for j, live in enumerate(shrinks.tolist()):
+            if live < LEAST_LIVE:
+                for k in range(live):
+                    self.walk(classes, int(at[k]) + j, int(at[k] + size[k]), int(state[k]), ends, bits)
+                break
             here = at[:live] + j
             k = state[:live] + classes[here]
             hit = a.ended[k]
@@ -105,6 +114,21 @@ class Scanner:
         order = np.argsort(end, kind="stable")
         return end[order], bit[order]
 
+    def walk(self, classes: np.ndarray, start: int, stop: int, state: int, ends: list, bits: list) -> None:
+        """The rest of one piece, a byte a step, by WALKED bytes at once."""
+        following, ended = self.next, self.ended
+        for a in range(start, stop, WALKED):
+            found, hit = [], []
+            for i, c in enumerate(classes[a : min(a + WALKED, stop)].tolist(), a):
+                k = state + c
+                if ended[k]:
+                    found.append(i)
+                    hit.append(ended[k])
+                state = following[k]
+            if found:
+                ends.append(np.array(found, np.int64))
+                bits.append(np.array(hit, np.int32))
+
     def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """Per text its spans (start, rule, end) in code points, sorted."""
         coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
