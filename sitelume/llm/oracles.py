@@ -1,4 +1,5 @@
-"""DuckDB SQL for the operators that SQL can express. Each is written from the operator's contract."""
+"""DuckDB SQL for the operators that SQL can express. Each is written from the operator's contract; what the
+contract leaves to the method (added kinds, thresholds, phrases) is a parameter taken from the operator."""
 
 from __future__ import annotations
 
@@ -22,12 +23,13 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 _ESC = lambda c: rf"replace({c}, '\', '\\')"
 
 CHAT = rf"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
   CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len(chat.TURN) + 2 + len(chat.CLOSE)} + length({_ESC("r")}) + length({_ESC("t")}) + CASE WHEN r = 'assistant' THEN {len(chat.LOSS) + len(chat.END_LOSS)} ELSE 0 END) AS BIGINT) AS formatted_chars
-FROM c GROUP BY 1"""
+  CAST(sum({len(chat.TURN) + 2 + len(chat.CLOSE)} + length({_ESC("r")}) + length({_ESC("t")}) + CASE WHEN r = 'assistant' THEN {len(chat.LOSS) + len(chat.END_LOSS)} ELSE 0 END) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens  -- plain texts have none
+FROM c GROUP BY conv_id, own"""
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -81,8 +83,14 @@ _VALID = {
 def _detected(k: int, d: pii.Detector) -> str:
     """SQL list of (kind number, start, end) of a detector's kept spans in t."""
     pattern = d.pattern.replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "").replace("(?<![0-9])", "").replace("++", "+")
-    near = f"CASE WHEN regexp_matches(lower(right(p[i], {pii.CONTEXT_CHARS})), '\\b({d.context})\\b') THEN {d.bonus}::DOUBLE ELSE 0 END" if d.context else "0"
     start = "CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+    near = "0"
+    if d.context:  # the text before and behind the match, each with a character more at its far end
+        other = r"[^\pL\pN_]"
+        before = f"substring(' ' || t, greatest({start} - {pii.CONTEXT_CHARS}, 0) + 1, least({start}, {pii.CONTEXT_CHARS}) + 1)"
+        end = f"({start} + length(h[i]))"
+        behind = f"substring(t, {end} + 1, {pii.BEHIND_CHARS + 1}) || CASE WHEN length(t) - {end} <= {pii.BEHIND_CHARS} THEN ' ' ELSE '' END"
+        near = f"CASE WHEN regexp_matches(lower({before}), '{other}({d.context})({other}|$)') OR regexp_matches(lower({behind}), '(^|{other})({d.context}){other}') THEN {d.bonus}::DOUBLE ELSE 0 END"
     kept = f"list_filter(range(1, len(h) + 1), lambda i: {_VALID[d.kind]} AND {d.score}::DOUBLE + {near} >= {pii.THRESHOLD})"
     return f"(SELECT list_transform({kept}, lambda i: {{'k': {k}, 's': {start}, 'e': {start} + length(h[i])}}) FROM (SELECT string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS h))"
 

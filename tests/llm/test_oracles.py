@@ -24,6 +24,21 @@ def test_against_oracle(spark, name):
     assert sorted(tuple(r) for r in df.select(*columns).collect()) == want
 
 
+def test_pii_oracle_on_context(spark, tmp_path):
+    """The oracle looks on both sides of a match, whatever stands there, as the operator does."""
+    texts = [
+        "Amex card, expires 09/27, number 378282246310005", "SSN list: 123-45-6789, 219-09-9999", "378282246310005 is my visa card", "378282246310005 (amex)", "card" + " " * 36 + "378282246310005",
+        "card" + " " * 37 + "378282246310005", "discard" + " " * 36 + "378282246310005", "é 219-09-9999" + " " * 17 + "ssn", "é 219-09-9999" + " " * 17 + "ssns", "219-09-9999" + " " * 18 + "ssn", "écard 378282246310005",
+        "DE89 3704 0044 0532 0130 00 konto", "", None, "219-09-9999,123-45-6789 Social Security",
+    ]
+    at = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(at)
+    want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at}/*.parquet'); {queries.ORACLE['op2_pii']}").fetchall()
+    df = queries.QUERIES["op2_pii"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert sum(bool(r[-1]) for r in want) == 8
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
