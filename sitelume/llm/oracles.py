@@ -6,8 +6,15 @@ from __future__ import annotations
 from sitelume.llm import chat, pii, quality_rules, secrets
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_CLEAN = rf"""NOT (length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) > {quality_rules.MOST_SYMBOLS}::DOUBLE * length(regexp_replace(x, '{_SPACE}', '', 'g'))
-  OR len(string_split_regex(x, '[|»›•]')) > 3 OR (regexp_matches(x, '{quality_rules.BOILERPLATE}') AND len(string_split_regex(x, '{_SPACE}')) <= {quality_rules.MOST_BOILERPLATE_WORDS}))"""
+_quoted = lambda x: x.replace("'", "''")
+_BARE_LINE = r"regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
+_LINE_WORDS = f"len(string_split_regex({_BARE_LINE}, '{_SPACE}'))"
+_PHRASE = rf"(^|[^\pL\pN_])({'|'.join(map(_quoted, quality_rules.PHRASES))})([^\pL\pN_]|$)"
+_FAILS = rf"""({_BARE_LINE} <> '' AND (length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) > {quality_rules.MOST_SYMBOLS}::DOUBLE * length(regexp_replace(x, '{_SPACE}', '', 'g'))
+  OR regexp_matches({_BARE_LINE}, '(\.\.\.|…)$')
+  OR (NOT contains('{_quoted(quality_rules.ENDS)}', right({_BARE_LINE}, 1)) AND (regexp_matches({_BARE_LINE}, '{quality_rules.BULLET}') OR {_LINE_WORDS} <= {quality_rules.MOST_FRAGMENT_WORDS}))
+  OR len(string_split_regex(x, '[{quality_rules.BARS}]')) > 3
+  OR (regexp_matches(lower({_BARE_LINE}), '{_PHRASE}') AND length({_BARE_LINE}) <= {quality_rules.MOST_BOILERPLATE_CHARS})))"""
 
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -15,7 +22,7 @@ g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >=
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM h WHERE n > 1) GROUP BY 1),
 f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines, length(regexp_replace(array_to_string(list_filter(l, lambda x: {_CLEAN}), chr(10)), '{_SPACE}', '', 'g')) AS clean_chars FROM d),
+    list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines, length(regexp_replace(array_to_string(list_filter(l, lambda x: NOT {_FAILS}), chr(10)), '{_SPACE}', '', 'g')) AS clean_chars FROM d),
 q AS (SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM f LEFT JOIN r USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND word_chars - clean_chars <= {quality_rules.MOST_REMOVED}::DOUBLE * word_chars AS kept, CAST(word_chars - clean_chars AS BIGINT) AS removed_chars FROM q"""

@@ -114,6 +114,29 @@ def test_quality(which, request):
     assert not [r for r in rows(got) if r["base_failed"] and r["kept"]]
 
 
+LINES = {
+    "The cat sat on the mat, and it was there for a long time.": True,
+    "wrapped prose that goes on in the next line of the text": True,
+    "He asked why?": True, 'She said "no"': True, "Er kam – und ging (wieder)": True, "一个句子。": True, "": True, " \t": True,
+    "Home": False, "Contact us": False, "• first thing of a list that goes on and on without an end": False, "- a point of a list that goes on and on without an end": False,
+    "- a point that is a sentence of its own.": True, "3) third thing of a list that goes on without an end": False, "A teaser that ends before it is told ...": False, "It was so…": False,
+    "Home | News | About | Contact us here.": False, "either | or it is.": True, "a » b » c » d.": False,
+    "### $$$ buy now %%% 100 *** !!!": False, "It costs 5 $ and 10 % of that, which isn't much.": True,
+    "All rights reserved.": False, "This text is licensed under CC.": False, "Alle Rechte vorbehalten.": False, "Tous DROITS réservés.": False, "Todos los derechos reservados.": False,
+    "Lesen Sie unsere Datenschutzerklärung.": False, "Datenschutzerklärungen sind lang.": True, "Unsere POLÍTICA DE PRIVACIDAD.": False, "overclick here.": True, "Voir les conditions d'utilisation.": False,
+    "We wrote all rights reserved into a line of prose that is far longer than any notice would ever be, as it tells how such notices came to be.": True,
+}
+
+
+def test_quality_lines(spark):
+    good = " ".join(f"word{i}of{i * 7 % 97}" for i in range(60)) + "."
+    docs = spark.createDataFrame([(i, f"{good}\n{x}\n{good[::-1]}.") for i, x in enumerate(LINES)], "doc_id long, text string")
+    out = {r["doc_id"]: r["removed_chars"] for r in rows(quality_rules.rules(docs))}
+    assert {x: out[i] for i, x in enumerate(LINES)} == {x: 0 if stays else len(re.sub(r"\s", "", x)) for x, stays in LINES.items()}
+    clean = {r["doc_id"]: r["text"].split("\n") for r in rows(quality_rules.clean(docs))}
+    assert all((x in clean[i]) == stays for i, (x, stays) in enumerate(LINES.items()))
+
+
 def test_quality_clean(spark):
     text = "\n".join(" ".join(f"word{i * k % 97}of{i}" for k in range(1, 12)) + "." for i in range(20))
     menu = "Home | News | About | Contact"

@@ -224,3 +224,48 @@ def test_pipeline(spark, tmp_path):
         if k == 4:
             assert {r.doc_id for r in docs.collect()} == set(before)
     assert corpus_pipeline.run(spark, at).drop("sequence_id", "offset").exceptAll(docs.drop("sequence_id", "offset")).count() == 0
+
+
+def folders(spark):
+    import os
+
+    from sitelume.llm import common
+
+    return {f"{x}/{y}" for x in os.listdir(at) if x.startswith("pipeline-") for y in os.listdir(f"{at}/{x}")} if os.path.isdir(at := common.shared_folder(spark).removeprefix("file:")) else set()
+
+
+ODD = [
+    [],
+    [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "few words", None, "s", 9)],
+    [(7, " ".join(f"one{i} two." for i in range(60)), "en", "s", 5)] * 3 + [(None, " ".join(f"word{i} here." for i in range(70)), "en", "s", None)] * 2 + [(7, " ".join(f"mail a{i}@b.org now." for i in range(40)), "de", None, 1)],
+]
+
+
+@pytest.mark.parametrize("rows", ODD)
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    """Against plain steps: rejected, repeated and personal data gone, every kept row in sequences; extra columns go along; no folder but the last stays."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, spans int")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a passage of the benchmark that stands in none of the documents at all")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    had = folders(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = {(i, t) for i, t, *_ in rows if not brute.quality(t)["base_failed"]}
+    assert sorted(str(r.doc_id) for r in out if r.piece == 0) == sorted(str(i) for i, _ in want)
+    assert {x.split("/")[1] for x in folders(spark) - had} == {"4-best_fit_packing"}
+
+
+def test_pipeline_leaves_nothing_behind_a_failure(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    spark.createDataFrame(ODD[2], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fails(*_):
+        raise ValueError("a stage fails")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("fails", fails)])
+    had = folders(spark)
+    with pytest.raises(ValueError, match="a stage fails"):
+        corpus_pipeline.run(spark, str(tmp_path))
+    assert folders(spark) == had

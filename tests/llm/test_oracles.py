@@ -39,6 +39,16 @@ def test_pii_oracle_on_context(spark, tmp_path):
     assert sum(bool(r[-1]) for r in want) == 8
 
 
+def test_quality_oracle_on_lines(spark, tmp_path, odd_texts):
+    from test_documents import LINES
+
+    texts = [*(t for t in odd_texts if len(t or "") < 100_000), *LINES, "\n".join(LINES), "word and " * 60 + "\n" + "\n".join(LINES) + "\n" + "other things. " * 40]
+    at = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(at)
+    want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at}/*.parquet'); {queries.ORACLE['op7_quality_rules']}").fetchall()
+    assert sorted(map(tuple, queries.QUERIES["op7_quality_rules"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
