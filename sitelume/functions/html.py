@@ -9,11 +9,11 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
-import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,13 +181,42 @@ def parse_html(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(h, b) for h, b in zip(html, base, strict=True)], columns=PAGE.names)
 
 
-_BLOCK = re.compile(r"""<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""", re.I | re.S)
+class _JsonLd(HTMLParser):
+    """Texts of the JSON-LD scripts that are closed."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.texts: list[str] = []
+        self.current: list[str] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "script":
+            kind = next((v for k, v in attrs if k == "type"), None)
+            self.current = [] if (kind or "").lower() == "application/ld+json" else None
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "script" and self.current is not None:
+            self.texts.append("".join(self.current))
+            self.current = None
+
+    def handle_data(self, data: str) -> None:
+        if self.current is not None:
+            self.current.append(data)
+
+
+def json_ld(html: str | None) -> list[str]:
+    if "ld+json" not in (html or "").lower():
+        return []
+    page = _JsonLd()
+    page.feed(html)
+    page.close()
+    return page.texts
 
 
 @F.pandas_udf(T.ArrayType(_S))
 def schema_types(html: pd.Series) -> pd.Series:
     """Sorted distinct @type values of a page's JSON-LD blocks."""
-    return html.map(lambda h: sorted(set().union(*(json_ld_types(x) for x in _BLOCK.findall(h or "")))))
+    return html.map(lambda h: sorted(set().union(*map(json_ld_types, json_ld(h)))))
 
 
 @F.pandas_udf(_S)
@@ -196,26 +225,85 @@ def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(lambda t: entities.unescape(t or ""))
 
 
-_ANCHOR = re.compile(r"<a\b([^>]*)>(.*?)</a>", re.I | re.S)
-_ATTRIBUTE = {k: re.compile(rf"\b{k}\s*=\s*([\"'])(.*?)\1", re.I | re.S) for k in ("href", "rel")}
+class _Anchors(HTMLParser):
+    """Closed anchors with an href: (href, rel, pieces of text)."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str, list[str]]] = []
+        self.current: tuple[str, str, list[str]] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "a":
+            named = {k: v or "" for k, v in reversed(attrs)}  # the first of a repeated attribute counts
+            self.current = (named["href"], named.get("rel", ""), []) if "href" in named else None
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a" and self.current:
+            self.found.append(self.current)
+            self.current = None
+
+    def handle_data(self, data: str) -> None:
+        if self.current:
+            self.current[2].append(data)
 
 
 def anchors(html: str | None, base: str | None) -> list[dict]:
+    """url (resolved), anchor (text with single blanks) and rel of a page's anchors, in order; one without a valid URL is left out."""
+    if "<a" not in (html or "").lower():
+        return []
+    page = _Anchors()
+    page.feed(html)
+    page.close()
     out = []
-    for attrs, body in _ANCHOR.findall(html or ""):
-        href = _ATTRIBUTE["href"].search(attrs)
-        if href:
-            rel = _ATTRIBUTE["rel"].search(attrs)
-            said = re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]+>", " ", body))).strip()
-            try:
-                url = urljoin(base or "", entities.unescape(href[2]))
-            except ValueError:
-                continue
-            out.append({"url": url, "anchor": said, "rel": rel[2].strip() if rel else ""})
+    for href, rel, pieces in page.found:
+        try:
+            out.append({"url": urljoin(base or "", href), "anchor": " ".join(" ".join(pieces).split()), "rel": rel.strip()})
+        except ValueError:
+            continue
     return out
 
 
 @F.pandas_udf(T.ArrayType(_row(url=_S, anchor=_S, rel=_S)))
 def html_anchors(html: pd.Series, base: pd.Series) -> pd.Series:
-    """Anchors by pattern, with resolved and unescaped href and cleaned text."""
+    """anchors() of each page."""
     return pd.Series([anchors(h, b) for h, b in zip(html, base, strict=True)])
+
+
+class _Results(HTMLParser):
+    """Links of a search engine's result page: anchors of a class, or the first anchor within each element of a class."""
+
+    def __init__(self, tag: str, mark: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tag, self.mark = tag, mark
+        self.hrefs: list[str] = []
+        self.waiting = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        named = dict(attrs)
+        marked = tag == self.tag and self.mark in (named.get("class") or "").split()
+        self.waiting |= marked
+        if tag == "a" and self.waiting and named.get("href"):
+            self.hrefs.append(named["href"])
+            self.waiting = False
+
+
+#: Element and class of a result on each engine's pages.
+RESULTS = {"bing": ("li", "b_algo"), "duckduckgo": ("a", "result__a")}
+
+
+def result_hrefs(html: str | None, engine: str) -> list[str]:
+    page = _Results(*RESULTS[engine])
+    page.feed(html or "")
+    page.close()
+    return page.hrefs
+
+
+def result_links(html: Column | str, engine: str) -> Column:
+    """Links of a stored result page in order."""
+
+    @F.pandas_udf(T.ArrayType(_S))
+    def links(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: result_hrefs(h, engine))
+
+    return links(html)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from html import unescape as html_unescape
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +83,51 @@ def clip(c: Column) -> Column:
 _SKIPPED = r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>|<!--.*?-->"
 
 
+#: Between entries of the table of names, and between a name and its text.
+_ENTRY, _TEXT = "\x01", "\x02"
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"
+
+
+@lru_cache(maxsize=1)
+def _names() -> tuple[str, int]:
+    """The names of HTML 5 with their texts as one string, and the length of the longest name that needs no semicolon."""
+    return _ENTRY.join(f"{k}{_TEXT}{v}" for k, v in html5.items()), max(len(k) for k in html5 if not k.endswith(";"))
+
+
+@lru_cache(maxsize=1)
+def _low_numbers() -> tuple[str, ...]:
+    """What the references of the numbers below 160 stand for: some of them aren't their own."""
+    return tuple(html_unescape(f"&#{n};") for n in range(160))
+
+
+def _numbered(n: Column) -> Column:
+    """The character of a number (null: too large a one) of a reference."""
+    code = F.lpad(F.hex(n), 8, "0")
+    plane_end = n.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE
+    without = plane_end | n.between(0xFDD0, 0xFDEF)
+    other = F.when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(without, "").otherwise(F.decode(F.unhex(code), "UTF-32"))
+    return F.when(n < 160, F.element_at(F.array(*map(F.lit, _low_numbers())), (n + 1).cast("int"))).otherwise(other)
+
+
+def _decoded(piece: Column) -> Column:
+    table, longest = _names()
+    names = F.str_to_map(F.lit(table), F.lit(_ENTRY), F.lit(_TEXT))  # folded into one literal
+    said = F.substring(piece, 2, 1 << 20)
+    digits = lambda skipped: F.regexp_replace(F.substring(piece, skipped + 1, 1 << 20), "^0+|;", "")
+    # longer numbers are beyond all characters, and beyond conv()
+    numeral = lambda skipped, base: F.when(F.length(digits(skipped)) <= 8, F.conv(F.concat(F.lit("0"), digits(skipped)), base, 10).cast("long"))
+    prefixes = F.reverse(F.sequence(F.lit(2), F.least(F.lit(longest), F.greatest(F.lit(2), F.length(said) - 1))))
+    known = lambda n: names[F.substring(said, F.lit(1), n)]
+    n = F.get(F.filter(prefixes, lambda k: known(k).isNotNull()), F.lit(0))
+    shorter = F.when(n.isNotNull(), F.concat(known(n), F.substring(said, n + 1, F.length(said)))).otherwise(piece)
+    named = F.coalesce(names[said], shorter)
+    return F.when(~F.startswith(piece, F.lit("&")) | (piece == "&"), piece).when(piece.rlike("^&#[xX]"), _numbered(numeral(3, 16))).when(F.startswith(piece, F.lit("&#")), _numbered(numeral(2, 10))).otherwise(named)
+
+
 def unescape(c: Column) -> Column:
-    """The five XML entities, no-break space and decimal references of ASCII; the parser knows all others."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    """All character references, named and numbered, with and without a semicolon, as HTML 5 has them; text without any stays as it is."""
+    pieces = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, _decoded), "")).otherwise(c)
 
 
 def visible_text(html: Column | str) -> Column:

@@ -1,14 +1,17 @@
 """URL algebra as Columns, with an Arrow UDF beside each part whose exact form needs a URL library.
 
-The Columns stay inside whole-stage code generation. They cover every URL without a bad port, an
-IPv6 host or invalid UTF-8 in its escapes; ``normalize_exact`` and ``resolve_exact`` cover all.
-An URL that has no normal form gives an empty string.
+The Columns run in the JVM. Their fast paths (an URL that is already in normal form) are generated
+code; what needs ``let`` is a higher-order function and is interpreted, a plain Project in the plan.
+They cover every URL without a bad port, an IPv6 host or invalid UTF-8 in its escapes;
+``normalize_exact`` and ``resolve_exact`` cover all. An URL that has no normal form gives an empty string.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from urllib.parse import parse_qsl, unquote, urlencode, urljoin, urlsplit
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from urllib.parse import SplitResult, parse_qsl, unquote, urlencode, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,8 +24,10 @@ from sitelume.functions.text import col, strip, text
 TRACKING_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "dclid", "gbraid", "wbraid")
 #: Href prefixes that lead nowhere; a narrower list serves backlink extraction.
 SKIPPED_HREFS = ("#", "javascript:", "mailto:", "tel:", "data:")
-#: Suffixes of more than one label that may be registered under; a parameter where a full list is at hand.
+#: Suffixes of more than one label that may be registered under, for use without a list; suffix_list() reads a full one.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "co.in", "com.mx", "co.za", "com.tr")
+#: Where systems keep the public suffix list; a parameter.
+SUFFIX_FILE = "/usr/share/publicsuffix/public_suffix_list.dat"
 
 #: Some of the URLs that are their own normal form: most of a crawl, told by one match.
 _NORMAL = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:/[A-Za-z0-9_.~-]+)+$"
@@ -92,8 +97,54 @@ def registered_domain(url: Column | str, suffixes: tuple[str, ...] = SUFFIXES) -
     return F.when(F.size(labels) < 2, F.array_join(labels, ".")).when(two.isin(*suffixes) & (F.size(labels) > 2), F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(two)
 
 
-def same_registered_domain(a: Column | str, b: Column | str) -> Column:
-    return registered_domain(a) == registered_domain(b)
+class SuffixList:
+    """Rules of a public suffix list: names, *.names and !names (exceptions)."""
+
+    def __init__(self, lines: Iterator[str]) -> None:
+        named = (x.split()[0].lower().strip(".") for x in lines if x.strip() and not x.startswith("//"))
+        self.rules = frozenset(x if x.isascii() else _ascii(x) for x in named)
+
+    def registered(self, host_: str) -> str:
+        """The public suffix of a host with one label more, or the host itself where it is a suffix; an address stays."""
+        labels = [x for x in host_.lower().split(".") if x]
+        if not labels or labels[-1].isdigit() or ":" in host_:
+            return host_
+        tails = [".".join(labels[k:]) for k in range(len(labels))]
+        for k, tail in enumerate(tails):  # the longest rule first; an exception's suffix is a label shorter
+            if "!" + tail in self.rules:
+                return tail
+            if tail in self.rules or (k + 1 < len(tails) and "*." + tails[k + 1] in self.rules):
+                return tails[max(k - 1, 0)]
+        return ".".join(labels[-2:])
+
+
+def _ascii(name: str) -> str:
+    try:
+        return name.encode("idna").decode()
+    except UnicodeError:
+        return name
+
+
+@lru_cache(maxsize=4)
+def suffix_list(path_: str = SUFFIX_FILE) -> SuffixList:
+    """The list of a file that the driver can read; the rules (some 10,000 names) go to the tasks with the function."""
+    with open(path_, encoding="utf-8") as f:
+        return SuffixList(iter(f))
+
+
+def registered_domain_of(url: Column | str, suffixes: SuffixList) -> Column:
+    """registered_domain() by a full list, whose rules may be of any length."""
+
+    @F.pandas_udf(StringType())
+    def registered(hosts: pd.Series) -> pd.Series:
+        return hosts.map(suffixes.registered)
+
+    return registered(host(url))
+
+
+def same_registered_domain(a: Column | str, b: Column | str, suffixes: SuffixList | None = None) -> Column:
+    of = registered_domain if suffixes is None else lambda x: registered_domain_of(x, suffixes)
+    return of(a) == of(b)
 
 
 def same_domain(a: Column | str, b: Column | str) -> Column:
@@ -222,30 +273,39 @@ def without_fragment(url: Column | str) -> Column:
 # ---- exact forms
 
 
+_STANDARD_PORTS = {"http": 80, "https": 443}
+_SLASHES = re.compile("/+")
+
+
+def _site(u: SplitResult) -> str:
+    """scheme://host[:port], empty for what isn't a web address."""
+    standard = _STANDARD_PORTS.get(u.scheme)
+    if standard is None or not u.hostname:
+        return ""
+    return f"{u.scheme}://{u.hostname}" + ("" if u.port in (None, 0, standard) else f":{u.port}")
+
+
+def _place(path_: str) -> str:
+    """Decoded path without parameters of its last segment, with single slashes, none of them last but the root."""
+    folder, slash, last = path_.rpartition("/")
+    place = _SLASHES.sub("/", unquote(folder + slash + last.partition(";")[0] or "/"))
+    return place.rstrip("/") if place != "/" else place
+
+
+def _asked(query: str) -> str:
+    """?query of the sorted pairs that don't track a visit, empty without any."""
+    pairs = [(k, v) for k, v in parse_qsl(query, keep_blank_values=True) if k.lower() not in TRACKING_KEYS]
+    return "?" + urlencode(sorted(pairs)) if pairs else ""
+
+
 def normal_form(url: str | None) -> str:
     """normalize() by the standard library, for one URL."""
     try:
-        parts = urlsplit((url or "").strip())
-        port_, name = parts.port, parts.hostname
-    except ValueError:
-        return ""
-    if parts.scheme not in ("http", "https") or not name:
+        u = urlsplit((url or "").strip())
+        site = _site(u)
+    except ValueError:  # a port or a host that isn't one
         return ""
-    default = {"http": 80, "https": 443}[parts.scheme]
-    raw = parts.path
-    head, semicolon, _ = raw.rpartition(";")
-    if semicolon and "/" not in raw[len(head) :]:
-        cut = raw.rfind("/") + 1
-        raw = raw[:cut] + raw[cut:].split(";", 1)[0]
-    place = unquote(raw or "/")
-    while "//" in place:
-        place = place.replace("//", "/")
-    if place != "/":
-        place = place.rstrip("/")
-    pairs = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in TRACKING_KEYS)
-    where = f"{name}:{port_}" if port_ and port_ != default else name
-    query = urlencode(pairs)
-    return f"{parts.scheme}://{where}{place}" + (f"?{query}" if query else "")
+    return site and site + _place(u.path) + _asked(u.query)
 
 
 @F.pandas_udf(StringType())

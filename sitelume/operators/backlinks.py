@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
-from sitelume.functions.html import html_anchors
+from sitelume.functions.html import html_anchors, result_links
 from sitelume.functions.text import strip
 from sitelume.operators import graph
 from sitelume.operators.links import classify_rel, rel_flags
 
 #: Status of the domain-graph lookup.
 L1_STATUSES = ("invalid_target", "not_configured", "graph_missing", "not_in_graph", "success", "failed")
+#: Fixed value: what counts as a link in an archived page.
+ARCHIVED_HREF = r"""(?i)<a\b[^>]*?href\s*=\s*["']([^"']+)["']"""
 #: Narrower than for page extraction: data: links aren't skipped.
 SKIPPED = ("#", "javascript:", "mailto:", "tel:")
 
@@ -74,11 +76,10 @@ def investigate(pages: DataFrame, links: DataFrame, domains: DataFrame, target:
     starts = domains.select(F.explode(F.transform(urls.origins("domain"), urls.canonical_or_self)).alias("url"))
     order = graph.bfs(own, starts, max_depth=50).join(ok.select("url", "domain"), "url")
     place = F.row_number().over(Window.partitionBy("domain").orderBy("depth", F.startswith("url", F.lit("http:")), "url"))
-    ranked = order.withColumn("seq", place)
-    visits = ranked.filter(F.col("seq") <= max_pages)
+    visits = order.withColumn("seq", place).filter(F.col("seq") <= max_pages)  # the limit is applied within the window's sort: a huge domain passes on max_pages rows a task
     hits = page_hits(links, urls.bare_domain(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
     hit = visits.join(hits, "url").groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by(F.struct("url", "n"), "seq").alias("hit"))
-    reached = ranked.groupBy("domain").agg(F.count("*").alias("reached"))
+    reached = order.groupBy("domain").agg(F.count("*").alias("reached"))
     found = domains.join(reached, "domain", "left").join(hit, "domain", "left")
     limited = F.least(F.coalesce("reached", F.lit(0)), F.lit(max_pages))
     return found.select(
@@ -133,13 +134,11 @@ def candidates(found: DataFrame, target: str, per_query: int) -> DataFrame:
 
 
 def search_hits(serps: DataFrame, engine: str) -> DataFrame:
-    """query_no, pos, url of stored result pages (query_no, html) of an engine."""
-    pattern = {"bing": r"""(?is)<li[^>]*class="[^"]*b_algo[^"]*"[^>]*>.*?<a[^>]+href="([^"]+)\"""", "duckduckgo": r"""(?i)<a[^>]+class="result__a"[^>]+href="([^"]+)\""""}[engine]
-    href = F.replace(F.col("h"), F.lit("&amp;"), F.lit("&"))
-    wrapped = F.regexp_extract(href, r"[?&]uddg=([^&#]*)", 1)
-    target = F.when((engine == "duckduckgo") & (wrapped != ""), F.coalesce(F.try_url_decode(wrapped), wrapped)).otherwise(href)
-    rows = serps.select("query_no", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("pos", "h"))
-    return rows.select("query_no", "pos", target.alias("url")).filter(F.col("url").rlike("^https?://"))
+    """query_no, pos, url of stored result pages (query_no, html) of an engine; a redirect's own target is taken out of it."""
+    links = serps.select("query_no", F.posexplode(result_links("html", engine)).alias("pos", "href"))
+    wrapped = F.regexp_extract("href", r"[?&]uddg=([^&#]*)", 1)
+    target = F.when(F.lit(engine == "duckduckgo") & (wrapped != ""), F.coalesce(F.try_url_decode(wrapped), wrapped)).otherwise(F.col("href"))
+    return links.select("query_no", "pos", target.alias("url")).filter(F.col("url").rlike("^https?://"))
 
 
 def historical_first_hits(records: DataFrame, target: str) -> DataFrame:
@@ -149,7 +148,7 @@ def historical_first_hits(records: DataFrame, target: str) -> DataFrame:
     """
     unseen = records.groupBy("url").agg(F.min(F.struct("crawl_no", "row_no")).alias("f"))
     first = records.join(unseen, "url").filter(F.struct("crawl_no", "row_no") == F.col("f")).drop("f")
-    hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)<a\b[^>]*?href\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    hrefs = F.regexp_extract_all("html", F.lit(ARCHIVED_HREF), F.lit(1))
     h = lambda x: urls.text_host(x)
     t = urls.text_host(F.lit(target))
     hits = F.filter(hrefs, lambda x: (h(x) == t) | F.endswith(h(x), F.concat(F.lit("."), t)))

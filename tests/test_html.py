@@ -71,3 +71,39 @@ def test_signatures(spark):
 def test_anchors():
     got = H.anchors("<a HREF='/x?a=1&amp;b=2' rel=\" UGC \">a <b>b</b>\n&lt;c</a><a name=x>n</a>", "https://a.com/")
     assert got == [{"url": "https://a.com/x?a=1&b=2", "anchor": "a b <c", "rel": "UGC"}]
+
+
+def test_unescape_decodes_as_html_does(spark):
+    """Against the standard library, on made-up references of all kinds."""
+    import html
+    import random
+    from html.entities import html5
+
+    r = random.Random(6)
+    names = list(html5)
+    ref = lambda: r.choice([
+        "&" + r.choice(names), "&" + r.choice(names).rstrip(";"), "&" + r.choice(names).rstrip(";") + r.choice("xé 1;"), f"&#{r.choice([0, 9, 65, 128, 150, 159, 160, 233, 8364, 55296, 64976, 65534, 128512, 1114111, 1114112, 10**12])};",
+        f"&#x{r.choice(['41', 'e9', 'E9', '20ac', '1F600', '0', '80', 'd800', 'fffe', '110000', 'fffffffffff'])}" + r.choice([";", "", " "]), "&", "&&", "&;", "&#", "&#x;", "&bogus;", "&amp;lt;", "&notit;", "&copy2020", "a < b", "é",
+    ])
+    given = ["caf&eacute; &euro;5", "", "plain", "&", "x&y", *("".join(r.choice(["", "a", " "]) + ref() for _ in range(r.randint(1, 6))) for _ in range(800))]
+    got = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", tx.unescape(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [(g, x.u) for g, x in zip(given, got, strict=True) if x.u != html.unescape(g)] == []
+    assert spark.range(1).select(tx.unescape(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_anchors_of_malformed_pages():
+    assert H.anchors("<a href=/u rel=nofollow>un<i>quoted</i></a><a href='/open'>never closed", "https://a.com/") == [{"url": "https://a.com/u", "anchor": "un quoted", "rel": "nofollow"}]
+    assert H.anchors("<script>'<a href=\"/s\">s</a>'</script><!-- <a href='/c'>c</a> --><A HREF='/y' href='/z'>y</A>", None) == [{"url": "/y", "anchor": "y", "rel": ""}]
+    assert H.anchors(None, None) == [] and H.anchors("<a href='http://[x'>x</a>", "http://a.com") == []
+
+
+def test_json_ld_blocks():
+    html = "<script type='application/LD+json'>{\"@type\": \"A\"}</script><script type=\"text/ld+json\">{\"@type\": \"B\"}</script><script>ld+json</script>"
+    assert H.json_ld(html) == ['{"@type": "A"}'] and H.json_ld(None) == [] and H.json_ld("<script type=application/ld+json>{") == []
+
+
+def test_result_pages(spark):
+    bing = '<ol><li class="b_algo x"><h2><a target="_blank" href="https://x.org/a?p=1&amp;q=2">t</a></h2><a href="https://no.org/">n</a></li><li class="b_ad"><a href="https://ad.org/">a</a></li><li class=b_algo><div><a href="https://y.org/">y</a></div></li></ol>'
+    assert H.result_hrefs(bing, "bing") == ["https://x.org/a?p=1&q=2", "https://y.org/"]
+    assert H.result_hrefs('<a rel=nofollow class="result__a big" href="/l/?uddg=x">t</a><a class="result__ab" href="/no">n</a>', "duckduckgo") == ["/l/?uddg=x"]
+    assert H.result_hrefs(None, "bing") == []

@@ -78,3 +78,20 @@ def test_predicates(spark):
     assert values(spark, urls.same_registered_domain("u", F.lit("http://z.b.co.uk")), ["http://a.b.co.uk/", "http://b.uk"]) == [True, False]
     assert values(spark, F.array_join(urls.host_suffixes("u"), ","), ["http://a.b.c/"]) == ["a.b.c,b.c,c"]
     assert values(spark, F.array_join(urls.origins("u"), ","), ["a.b"]) == ["https://a.b/,http://a.b/"]
+
+
+def test_suffix_list(spark):
+    rules = urls.SuffixList(iter("// comment\ncom\nuk\nco.uk\n*.ck\n!www.ck\nblogspot.com\nкорм\nsg\ncom.sg\na.b.c.sg\n\n".splitlines()))
+    want = {
+        "x.y.com": "y.com", "y.com": "y.com", "com": "com", "a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "a.b.ck": "a.b.ck", "x.a.b.ck": "a.b.ck", "b.ck": "b.ck", "www.ck": "www.ck", "x.www.ck": "www.ck", "me.blogspot.com": "me.blogspot.com",
+        "x.me.blogspot.com": "me.blogspot.com", "a.com.sg": "a.com.sg", "w.a.b.c.sg": "w.a.b.c.sg", "z.w.a.b.c.sg": "w.a.b.c.sg", "x.unknown.zz": "unknown.zz", "localhost": "localhost", "": "", "10.0.0.1": "10.0.0.1", "X.Y.COM.": "y.com",
+    }
+    assert {h: rules.registered(h) for h in want} == want
+    column = lambda u: urls.registered_domain_of(u, rules)
+    assert values(spark, column("u"), ["http://w.a.com.sg:80/x", "https://b.com.sg/", "nothing", None]) == ["a.com.sg", "b.com.sg", "", ""]
+    assert values(spark, urls.same_registered_domain("u", "t", rules), [("http://a.com.sg/", "http://b.com.sg/"), ("http://x.a.com.sg/", "http://y.a.com.sg")], "u t") == [False, True]
+
+
+def test_suffix_file(tmp_path):
+    (tmp_path / "list.dat").write_text("// x\ncom\nco.jp\n", encoding="utf-8")
+    assert urls.suffix_list(str(tmp_path / "list.dat")).registered("a.b.co.jp") == "b.co.jp"
