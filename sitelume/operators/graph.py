@@ -2,42 +2,86 @@
 
 Loops run on the driver over lazy plans; every few rounds the state is checkpointed in the shared
 folder, which cuts the lineage and survives lost executors. Only counts reach the driver.
+
+Rounds run in a session of their own, whose plans aren't adaptive: there a checkpoint keeps the
+partitioning it was dealt by, so that edges are shuffled once and not in every round. The caller's
+session stays as it is; tables pass between the two as Parquet in the shared folder. A source with
+more than HUB edges is dealt as several keys, as many as it has HUBs of edges.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
 
 DAMPING = 0.85
 CHECKPOINT_EVERY = 5
+HUB = 100_000  # edges of a source that are dealt by one key
 
 
-def checkpoint(df: DataFrame, dealt: bool = False) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; a local one only in local mode without a setting.
-
-    dealt: the result keeps the partitioning and order that the frame ends with. An adaptive plan
-    doesn't tell its own, so the checkpoint's plan is a fixed one.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of its own only in local mode without a setting."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if shared is None:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    if not dealt:
-        return df.checkpoint(eager=True)
-    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    adaptive = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        conf.set(key, adaptive)
+        shared = tempfile.mkdtemp(prefix="checkpoints-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """A session for the rounds of a loop, and the tables that pass into and out of it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.caller, self.own = spark, spark.newSession()
+        self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.own.conf.set("spark.sql.shuffle.partitions", self.partitions)
+        self.own.conf.set("spark.sql.adaptive.enabled", "false")
+        self.at = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def _path(self, df: DataFrame) -> str:
+        path = f"{self.at}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def given(self, df: DataFrame, *keys: str) -> DataFrame:
+        """A table of the caller's, dealt by keys; rounds that use it by these keys don't shuffle it."""
+        table = self.own.read.schema(df.schema).parquet(self._path(df))
+        return checkpoint(table.repartition(self.partitions, *keys).sortWithinPartitions(*keys).select("*"))
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """A table of a round, back in the caller's session; what was given is deleted."""
+        path = self._path(df)
+        keep = f"{shared_folder(self.caller)}/{path.rsplit('/', 1)[1]}"
+        fs_path = self.caller._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(path).getFileSystem(self.caller._jsc.hadoopConfiguration())
+        fs.rename(fs_path(path), fs_path(keep))
+        fs.delete(fs_path(self.at), True)
+        return self.caller.read.schema(df.schema).parquet(keep)
+
+
+def _keys(n: Column) -> Column:
+    """As how many keys a source of n edges is dealt."""
+    return F.greatest(F.lit(1), F.ceil(n / HUB)).cast("int")
+
+
+def _salts(keys: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), keys - 1))
 
 
 def pagerank(pages: DataFrame, links: DataFrame, iterations: int = 20, damping: float = DAMPING) -> DataFrame:
@@ -47,24 +91,23 @@ def pagerank(pages: DataFrame, links: DataFrame, iterations: int = 20, damping:
     included; a target receives once from each distinct source. Mass of pages without links is
     lost. Sources that are no pages have no score.
     """
+    rounds = Rounds(pages.sparkSession)
     nodes = pages.select("url").distinct()
     internal = links.filter("internal").select(F.col("source_url").alias("src"), F.col("target_url").alias("dst"))
-    out = internal.groupBy("src").agg(F.count("*").alias("n"))
+    out = internal.groupBy("src").agg(F.count("*").alias("n")).select("src", "n", _keys(F.col("n")).alias("keys"))
     edge = internal.distinct().join(nodes.withColumnRenamed("url", "dst"), "dst", "left_semi").join(out, "src")
-    # dealt by source once: the checkpoint keeps the partitioning, and a round shuffles scores and sums, never the edges
-    n_parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edge = checkpoint(edge.select("src", "dst", (F.lit(damping) / F.col("n")).alias("w")).repartition(n_parts, "src").sortWithinPartitions("src"), dealt=True)
-    nodes = checkpoint(nodes.repartition(n_parts, "url").sortWithinPartitions("url"), dealt=True)
+    salt = F.pmod(F.xxhash64("dst"), F.col("keys")).cast("int")
+    edge = rounds.given(edge.select("src", salt.alias("salt"), "dst", (F.lit(damping) / F.col("n")).alias("w")), "src", "salt")
+    nodes = rounds.given(nodes.join(out.select(F.col("src").alias("url"), "keys"), "url", "left").select("url", F.coalesce("keys", F.lit(1)).alias("keys")), "url")
     total = nodes.count()
-    if total == 0:
-        return nodes.withColumn("pagerank", F.lit(0.0))
-    rank = nodes.withColumn("pagerank", F.lit(1.0 / total))
-    for k in range(1, iterations + 1):
-        given = edge.join(rank.withColumnRenamed("url", "src"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
-        rank = nodes.join(given, "url", "left").select("url", ((1 - damping) / total + F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+    rank = nodes.withColumn("pagerank", F.lit(1.0 / max(1, total)))
+    for k in range(1, (iterations if total else 0) + 1):
+        score = rank.select(F.col("url").alias("src"), _salts(F.col("keys")).alias("salt"), "pagerank")
+        given = edge.join(score, ["src", "salt"]).groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
+        rank = nodes.join(given, "url", "left").select("url", "keys", ((1 - damping) / total + F.coalesce("got", F.lit(0.0))).alias("pagerank"))
         if k % CHECKPOINT_EVERY == 0 and k < iterations:
             rank = checkpoint(rank)
-    return rank
+    return rounds.result(rank.select("url", "pagerank"))
 
 
 def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
@@ -72,12 +115,24 @@ def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | No
 
     Depth is the distance. max_pages keeps the first ones by (depth, url), as a crawl's cap does.
     """
-    n_parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edge = checkpoint(graph.select("source", "target").distinct().repartition(n_parts, "source").sortWithinPartitions("source"), dealt=True)
-    frontier = checkpoint(starts.select("url").distinct().withColumn("depth", F.lit(0)))
+    rounds = Rounds(graph.sparkSession)
+    pairs = graph.select("source", "target").distinct()
+    hubs = checkpoint(pairs.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("source", _keys(F.col("n")).alias("keys")))
+    any_hub = not hubs.isEmpty()
+    if any_hub:
+        pairs = pairs.join(hubs, "source", "left").select("source", F.pmod(F.xxhash64("target"), F.coalesce("keys", F.lit(1))).cast("int").alias("salt"), "target")
+        hubs = rounds.given(hubs, "source")
+    key = ["source", "salt"] if any_hub else ["source"]
+    edge = rounds.given(pairs.select(*key, "target"), *key)
+
+    def asked(frontier: DataFrame) -> DataFrame:
+        sources = frontier.select(F.col("url").alias("source"))
+        return sources.join(hubs, "source", "left").select("source", _salts(F.coalesce("keys", F.lit(1))).alias("salt")) if any_hub else sources
+
+    frontier = rounds.given(starts.select("url").distinct().withColumn("depth", F.lit(0)), "url")
     seen = frontier
     for depth in range(1, max_depth + 1):
-        reached = edge.join(frontier.select(F.col("url").alias("source")), "source", "left_semi").select(F.col("target").alias("url")).distinct()
+        reached = edge.join(asked(frontier), key, "left_semi").select(F.col("target").alias("url")).distinct()
         frontier = checkpoint(reached.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
@@ -86,7 +141,7 @@ def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | No
             seen = checkpoint(seen)
         if max_pages is not None and seen.count() >= max_pages:
             break
-    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
+    return rounds.result(seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages))
 
 
 #: Path parts that raise a page's priority.
@@ -106,23 +161,42 @@ def priority(depth: Column, url: Column | str, redirected: Column | None = None)
 def frontier_order(frontier: DataFrame) -> DataFrame:
     """frontier (url, depth, seq) with priority and its place in the queue.
 
-    Places are counted per priority, on top of the sizes of the priorities before it, so the order
-    needs no single task for all rows of different priorities.
+    The rows are range-partitioned by (priority, seq, url), so that one priority, such as a level's
+    many plain pages, is as many tasks as it needs. A place is the rank within the partition on top of
+    the sizes of the partitions before it: a row per partition is all that one task sees.
+    """
+    order = ["priority", "seq", "url"]
+    ranked = checkpoint(frontier.withColumn("priority", priority(F.col("depth"), "url")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    part, nth = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))  # as that function composes its ids
+    sizes = ranked.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
+    return ranked.withColumn("_part", part).join(F.broadcast(before), "_part").select("url", "depth", "seq", "priority", (F.col("before") + nth + 1).alias("visit"))
+
+
+def admitted(candidates: DataFrame, seen: DataFrame, start_url: str, max_depth: int, max_pages: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Candidates (url, depth, seq) a crawl would add, the first ones by seq up to the cap.
+
+    In this order: it has a normal form, isn't seen yet, its depth is below the limit, there is room,
+    it is on the start URL's host, and robots rules allow it. allowed: url, allowed (of
+    readers.robots_allowed; null or absent: allowed), asked only of what the other tests leave.
     """
-    ranked = frontier.withColumn("priority", priority(F.col("depth"), "url"))
-    sizes = ranked.groupBy("priority").agg(F.count("*").alias("n"))
-    before = sizes.select("priority", (F.sum("n").over(Window.orderBy("priority")) - F.col("n")).alias("before"))  # a row per priority: some dozens
-    place = F.row_number().over(Window.partitionBy("priority").orderBy("seq", "url"))
-    return ranked.join(before, "priority").select("url", "depth", "seq", "priority", (F.col("before") + place).alias("visit"))
-
-
-def admitted(candidates: DataFrame, seen: DataFrame, start_url: str, max_depth: int, max_pages: int) -> DataFrame:
-    """Candidates (url, depth, seq) a crawl would add: normal form, home host, depth, unseen, below the cap."""
-    home = F.lit(start_url)
-    ok = candidates.select(urls.normalize("url").alias("url"), "depth", "seq").filter("url <> ''").filter((urls.host("url") == urls.host(home)) & (F.col("depth") <= max_depth))
-    first = ok.groupBy("url").agg(F.min(F.struct("seq", "depth")).alias("f")).select("url", "f.depth", "f.seq")
-    room = max(0, max_pages - seen.count())
-    return first.join(seen.select("url"), "url", "left_anti").orderBy("seq", "url").limit(room)
+    normal = candidates.select(urls.normalize("url").alias("url"), "depth", "seq").filter("url <> ''").filter(F.col("depth") <= max_depth)
+    own = normal.filter(urls.host("url") == urls.host(F.lit(start_url)))
+    first = own.groupBy("url").agg(F.min(F.struct("seq", "depth")).alias("f")).select("url", "f.depth", "f.seq").join(seen.select("url"), "url", "left_anti")
+    if allowed is not None:
+        first = first.join(allowed.filter(~F.col("allowed")).select("url"), "url", "left_anti")
+    return first.orderBy("seq", "url").limit(max(0, max_pages - seen.count()))
+
+
+def admitted_children(links: DataFrame, seen: DataFrame, start_url: str, max_depth: int, max_pages: int, allowed: DataFrame | None = None) -> DataFrame:
+    """url, depth, seq of the pages that crawled pages' links (target_url, depth of the page, seq) add: a page at max_depth adds none."""
+    inner = links.filter(F.col("depth") < max_depth).select(F.col("target_url").alias("url"), (F.col("depth") + 1).alias("depth"), "seq")
+    return admitted(inner, seen, start_url, max_depth, max_pages, allowed)
+
+
+def internal_link(target: Column | str, start_url: str) -> Column:
+    """Whether a crawl follows a link: no host and port, or exactly the start URL's (case and port count, unlike for same_host)."""
+    return urls.netloc(target).isin("", urlsplit(start_url).netloc)
 
 
 def redirect_targets(fetches: DataFrame) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelume.functions.text import text, words
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the last by order."""
-    place = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return rows.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n")
+    """One row per key: the last by order, a null coming first. A maximum with a partial aggregate, so a key of any number of rows is one row a task."""
+    names = rows.columns
+    best = rows.select(F.struct(*names).alias("row"), F.struct(*order).alias("order")).groupBy(*(F.col(f"row.`{k}`").alias(k) for k in keys)).agg(F.max_by("row", "order").alias("row"))
+    return best.select("row.*")
 
 
 def rich_merge(pages: DataFrame, rich: DataFrame, key: str, order: str, override: set[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A Rule says when it is evaluated, when it passes and what a failure says. ``findings`` evaluates
 all rules of a profile in one pass over the page, without a UDF; only the duplicate rules need
-other pages, by a window over the folded value.
+other pages: the folded values are counted, and those of several pages joined back.
 """
 
 from __future__ import annotations

@@ -126,6 +126,47 @@ def test_admission(spark):
     assert [(r.url, r.depth) for r in graph.admitted(found, seen, "http://a.com/", 5, 3).orderBy("seq").collect()] == [("http://a.com/x", 1), ("http://a.com/y", 1)]
 
 
+def test_hubs_change_nothing(spark, monkeypatch):
+    """Sources dealt as several keys give the same ranks and depths, and the caller's session keeps its settings."""
+    import random
+
+    r = random.Random(2)
+    names = [f"p{i}" for i in range(60)]
+    pairs = [("p0", x) for x in names] + [("p1", x) for x in names[:40]] + [(r.choice(names), r.choice(names)) for _ in range(80)]
+    pages, table = spark.createDataFrame([(x,) for x in names], "url string"), link_table(spark, pairs)
+    edges, start = table.selectExpr("source_url source", "target_url target"), spark.createDataFrame([("p1",)], "url string")
+    get = lambda: ({x.url: x.pagerank for x in graph.pagerank(pages, table, 4).collect()}, {x.url: x.depth for x in graph.bfs(edges, start, 9).collect()})
+    whole = get()
+    monkeypatch.setattr(graph, "HUB", 3)
+    split = get()
+    assert split[0] == pytest.approx(whole[0]) and split[1] == whole[1] and len(whole[1]) > 40
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_frontier_of_one_priority(spark):
+    """Places are gapless and in order over many partitions of one priority."""
+    rows = spark.range(5000).selectExpr("concat('http://a.com/', id) url", "1 + cast(id % 2 as int) depth", "cast((id * 7919) % 5003 as int) seq").repartition(11)
+    got = graph.frontier_order(rows).collect()
+    want = sorted((r.priority, r.seq, r.url) for r in got)
+    assert [(r.priority, r.seq, r.url) for r in sorted(got, key=lambda r: r.visit)] == want and sorted(r.visit for r in got) == list(range(1, 5001))
+    assert graph.frontier_order(rows.limit(0)).count() == 0
+
+
+def test_admission_by_robots_and_netloc(spark):
+    found = spark.createDataFrame([("http://a.com/x", 1, 1), ("http://a.com/private", 1, 2), ("http://a.com/y", 2, 3)], "target_url string, depth int, seq int")
+    seen = spark.createDataFrame([], "url string")
+    asked = spark.createDataFrame([("http://a.com/private", False), ("http://a.com/x", True), ("http://a.com/y", None)], "url string, allowed boolean")
+    get = lambda deep: [(r.url, r.depth) for r in graph.admitted_children(found, seen, "http://a.com/", deep, 10, asked).orderBy("seq").collect()]
+    assert get(5) == [("http://a.com/x", 2), ("http://a.com/y", 3)] and get(2) == [("http://a.com/x", 2)] and get(1) == []
+    links_ = spark.createDataFrame([("http://a.com/x",), ("http://A.com/x",), ("http://a.com:80/x",), ("/rel",), ("http://b.com/",)], "u string")
+    assert [r[0] for r in links_.select(graph.internal_link("u", "http://a.com/")).collect()] == [True, False, False, True, False]
+
+
+def test_latest(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", None, "z"), ("b", None, "w"), (None, 2, "v"), (None, 5, "u")], "k string, n int, row string")
+    assert sorted(map(str, merge.latest(rows, ["k"], [F.col("n")]).collect())) == sorted(["Row(k='a', n=3, row='y')", "Row(k='b', n=None, row='w')", "Row(k=None, n=5, row='u')"])
+
+
 def test_orphans_and_rel(spark):
     pages = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
     table = link_table(spark, [("a", "b")])
