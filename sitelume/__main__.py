@@ -1,10 +1,18 @@
-"""python -m sitelume CRAWL.json OUT_DIR: audit a crawl export and write its reports."""
+"""python -m sitelume CRAWL.json OUT_DIR [MOST_PAGES]: audit a crawl export and write its reports.
+
+Under spark-submit the submitted session is used, otherwise a local one. A crawl that is one JSON
+document is read by one task; a folder of one document per line (CRAWL.jsonl) by many. The reports show
+the MOST_PAGES worst pages (1000); the table of all pages with issues stands beside them.
+"""
 
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import PurePosixPath
 
+from pyspark import SparkConf
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sitelume import report
@@ -13,24 +21,30 @@ from sitelume.session import local_session
 from sitelume.sources import readers, sinks
 
 
-def main(crawl_path: str, out: str) -> None:
-    spark = local_session()
+def session() -> SparkSession:
+    """The running or submitted session; a local one where no master is set."""
+    submitted = SparkSession.getActiveSession() or "spark.master" in dict(SparkConf().getAll()) or "MASTER" in os.environ
+    return SparkSession.builder.getOrCreate() if submitted else local_session()
+
+
+def main(crawl_path: str, out: str, most_pages: str = "1000") -> None:
+    spark = session()
     crawl = readers.crawl_json(spark, crawl_path)
     head = crawl.select("crawl_id", "start_url", "site").first()
     pages = readers.crawl_pages(crawl)
-    listed = pages.select(F.col("url").alias("source_url"), F.explode("links").alias("l")).select("source_url", F.col("l.url").alias("target_url"))
-    if listed.isEmpty():  # only then the document's own list of links counts
-        listed = readers.crawl_links(crawl).select("source_url", "target_url")
-    pages = links.with_degrees(pages, links.edges(listed, head.start_url))
+    pages = links.with_degrees(pages, links.crawl_edges(pages, readers.crawl_links(crawl), head.start_url))
     findings = rules.audit_findings(pages)
     site = crawl.select(F.col("site.pages_discovered").alias("pages_discovered"), F.col("site.domain.ssl.enabled").alias("ssl_enabled"), F.col("site.domain.hostname").alias("hostname"), F.col("site.platform").alias("platform"))
     summary = scoring.summary(pages, site).first().asDict()
-    shown = report.issues_by_page(findings, scoring.page_scores(pages, findings))
-    facts = {"start_url": head.start_url, "platform": head.site and head.site.platform, "tracking": head.site and head.site.tracking}
     stem = PurePosixPath(crawl_path).stem
-    sinks.write_text(spark, f"{out}/audit_{stem}.json", report.json_report(summary, facts, shown))
-    sinks.write_text(spark, f"{out}/report_{head.crawl_id}.html", report.html_report(head.crawl_id, summary, facts, shown))
+    everything = f"{out}/issues_{stem}"
+    report.page_issues(findings, scoring.page_scores(pages, findings)).write.mode("overwrite").json(everything)
+    issues = spark.read.schema("url string, score int, issues array<struct<seq:int,severity:string,message:string,detail:string>>").json(everything)
+    shown, further = report.worst_pages(issues, int(most_pages))
+    facts = {"start_url": head.start_url, **(head.site.asDict(recursive=True) if head.site else {})}
+    sinks.write_text(spark, f"{out}/audit_{stem}.json", report.json_report(summary, facts, shown, further, everything))
+    sinks.write_text(spark, f"{out}/report_{head.crawl_id}.html", report.html_report(head.crawl_id, summary, facts, shown, further=further, elsewhere=everything))
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    main(*sys.argv[1:4])

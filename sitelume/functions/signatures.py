@@ -113,6 +113,13 @@ def regex_names(html: Column | str, table: dict[str, list[str]]) -> Column:
     return F.filter(F.array(*(F.when(low.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)), F.lit(n)) for n, ps in sorted(table.items()))), lambda x: x.isNotNull())
 
 
+def platform_report(html: Column | str, headers: Column | str, table: dict[str, list[str]] | None = None) -> Column:
+    """Struct of all platforms that match, and what the response headers (a map with lower-case names) say of the server."""
+    said = F.col(headers) if isinstance(headers, str) else headers
+    header = lambda name: F.coalesce(F.element_at(said, F.lit(name)), F.lit(""))
+    return F.struct(regex_names(html, PLATFORM_PATTERNS if table is None else table).alias("platforms"), header("server").alias("server"), header("x-powered-by").alias("powered_by"))
+
+
 def _snippets(html: str | None) -> list[dict]:
     out = []
     for name, patterns in TRACKER_PATTERNS.items():

@@ -5,6 +5,7 @@ Live fetching is a source's business; these operators work on tables of pages, a
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,16 +96,23 @@ def layer2_summary(found: DataFrame) -> DataFrame:
     return found.agg(overall.alias("status"), F.count("*").alias("domains_investigated"), F.coalesce(F.sum("links_found"), F.lit(0)).alias("links_found"))
 
 
-def layer1(vertices: DataFrame | None, edges_t: DataFrame | None, target: str) -> tuple[str, DataFrame | None]:
-    """Status of the domain-graph lookup, and its rows if it succeeded."""
-    spark = vertices.sparkSession if vertices is not None else None
+def layer1(vertices: DataFrame | None, edges_t: DataFrame | None, target: str, configured: bool = True) -> tuple[str, DataFrame | None]:
+    """Status of the domain-graph lookup (one of L1_STATUSES), and its rows if it succeeded.
+
+    configured: whether a folder of the graph is named at all; the tables are None where it lacks them.
+    """
+    if not configured:
+        return "not_configured", None
     if vertices is None or edges_t is None:
         return "graph_missing", None
-    if spark.range(1).select(urls.bare_domain(F.lit(target)) == "").first()[0]:
-        return "invalid_target", None
-    if vertex_id(vertices, target).isEmpty():
-        return "not_in_graph", None
-    return "success", referring_domains(vertices, edges_t, target)
+    try:
+        if vertices.sparkSession.range(1).select(urls.bare_domain(F.lit(target)) == "").first()[0]:
+            return "invalid_target", None
+        if vertex_id(vertices, target).isEmpty():
+            return "not_in_graph", None
+        return "success", referring_domains(vertices, edges_t, target)
+    except PySparkException:  # a table that can't be read
+        return "failed", None
 
 
 def public_backlinks(sources: DataFrame, target: str) -> DataFrame:

@@ -17,12 +17,21 @@ def explode_links(pages: DataFrame) -> DataFrame:
 
 
 def edges(links: DataFrame, start_url: str) -> DataFrame:
-    """Distinct (source, target) in normal form whose target is on the start URL's host. links: source_url, target_url."""
+    """Distinct (source, target) in normal form whose target is on the start URL's host. links: source_url, target_url.
+
+    Repeated pairs go first, as navigation repeats its links. A source is put into normal form once,
+    not once a link; an absolute target needs no base, so it likewise. Only references without a
+    scheme are resolved pair by pair.
+    """
     home = urlsplit(urls.normal_form(start_url)).hostname or ""
-    raw = links.filter(text("target_url") != "").select("source_url", "target_url").distinct()  # navigation repeats its links: fewer rows for the URL work, and dealt evenly
-    rows = materialised(raw, source=urls.normalize("source_url"), ref=strip("target_url")).filter("source <> ''")
-    both = materialised(rows, "source", target=urls.normalize(urls.resolve("source", "ref")))
-    return both.filter((F.col("target") != "") & (urls.host("target") == home)).distinct()
+    ref = strip("target_url")
+    raw = links.filter(text("target_url") != "").select("source_url", ref.alias("ref"), ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:").alias("absolute")).distinct()
+    own = lambda df, c, name: materialised(df.select(c).distinct(), c, **{name: urls.normalize(c)}).filter(F.col(name) != "")
+    rows = raw.join(own(raw, "source_url", "source"), "source_url").select("source", "ref", "absolute")
+    there = materialised(rows.filter("absolute").select("ref").distinct(), "ref", target=urls.normalize("ref")).filter((F.col("target") != "") & (urls.host("target") == home))
+    direct = rows.filter("absolute").join(there, "ref").select("source", "target")
+    relative = materialised(rows.filter("not absolute"), "source", target=urls.normalize(urls.resolve("source", "ref"))).filter((F.col("target") != "") & (urls.host("target") == home))
+    return direct.unionByName(relative.select("source", "target")).distinct()
 
 
 def degrees(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +50,12 @@ def with_degrees(pages: DataFrame, graph: DataFrame) -> DataFrame:
     return joined.select(*pages.columns, F.coalesce("incoming", F.lit(0)).alias("links_in"), F.coalesce("outgoing", F.lit(0)).alias("links_out"))
 
 
+def crawl_edges(pages: DataFrame, listed: DataFrame, start_url: str) -> DataFrame:
+    """edges() of the links within pages; only where no page has any, of the crawl's own list (source_url, target_url)."""
+    own = pages.select(F.col("url").alias("source_url"), F.explode("links").alias("l")).select("source_url", F.col("l.url").alias("target_url"))
+    return edges(listed.select("source_url", "target_url") if own.isEmpty() else own, start_url)
+
+
 def flagged_degrees(links: DataFrame, start_url: str) -> DataFrame:
     """url, incoming, outgoing by link rows as they are: flagged internal, or below the start URL."""
     own = links.filter(F.coalesce("internal", F.lit(False)) | F.startswith(text("target_url"), F.lit(start_url)))
@@ -48,6 +63,13 @@ def flagged_degrees(links: DataFrame, start_url: str) -> DataFrame:
     return ends.groupBy("e.url").agg(F.sum("e.i").alias("incoming"), F.sum("e.o").alias("outgoing"))
 
 
+def with_flagged_degrees(pages: DataFrame, links: DataFrame, start_url: str) -> DataFrame:
+    """pages with links_in and links_out by flagged_degrees() of their URL as it is written, zero where it has none."""
+    counted = flagged_degrees(links, start_url)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return pages.join(counted, "url", "left").select(*pages.columns, zero("incoming").alias("links_in"), zero("outgoing").alias("links_out"))
+
+
 def orphans(pages: DataFrame, links: DataFrame, start_url: str | None = None) -> DataFrame:
     """Pages that no internal link names; the start page is exempt if given."""
     targets = links.filter("internal").select(F.col("target_url").alias("url")).distinct()

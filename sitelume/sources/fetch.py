@@ -16,6 +16,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
+from urllib.parse import urlencode
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,7 @@ class FetchOptions:
     max_depth: int = 50
     concurrency: int = 20
     follow_redirects: bool = True
+    headers: tuple[tuple[str, str], ...] = ()  # further request headers
 
     def __post_init__(self) -> None:
         for name, low, high in (("max_pages", 1, 5_000_000), ("max_depth", 1, 500), ("concurrency", 1, 200), ("requests_per_second", 0.001, 1000)):
@@ -59,7 +61,7 @@ Opener = Callable[[str, FetchOptions], tuple[int, str, dict[str, str], bytes]]
 
 def open_url(url: str, options: FetchOptions) -> tuple[int, str, dict[str, str], bytes]:
     """(status, final URL, lower-case headers, body); raises on transport errors only."""
-    request = urllib.request.Request(url, headers={"User-Agent": options.user_agent, "Accept": "text/html,*/*"})
+    request = urllib.request.Request(url, headers={"User-Agent": options.user_agent, "Accept": "text/html,*/*", **dict(options.headers)})
     try:
         with urllib.request.urlopen(request, timeout=options.timeout) as r:
             return r.status, r.url, {k.lower(): v for k, v in r.headers.items()}, r.read()
@@ -80,14 +82,22 @@ def decode(body: bytes, content_type: str) -> str | None:
 
 
 class Client:
-    """Fetches one URL after the other, at most requests_per_second of them."""
+    """Fetches one URL after the other, at most requests_per_second of them; nothing once it is closed."""
 
     def __init__(self, options: FetchOptions, opener: Opener = open_url, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
         self.options, self.opener, self.sleep, self.clock = options, opener, sleep, clock
-        self.next = clock()
+        self.next, self.closed = clock(), False
 
-    def get(self, url: str) -> dict[str, Any]:
-        error = None
+    def close(self) -> None:
+        self.closed = True
+
+    def fetch(self, url: str) -> dict[str, Any] | None:
+        """get(), or None of a closed client."""
+        return None if self.closed else self.get(url)
+
+    def get(self, url: str, **more: Any) -> dict[str, Any]:
+        """The result of an URL; more: options of this request alone."""
+        error, options = None, replace(self.options, **more) if more else self.options
         for attempt in range(self.options.retries + 1):
             now = self.clock()
             if now < self.next:
@@ -95,15 +105,22 @@ class Client:
             self.next = max(now, self.next) + 1 / self.options.requests_per_second
             began = self.clock()
             try:
-                status, final, headers, body = self.opener(url, self.options)
+                status, final, headers, body = self.opener(url, options)
             except Exception as e:  # any transport error is a result, after the retries
                 error = f"{type(e).__name__}: {e}"
                 if attempt < self.options.retries:
                     self.sleep(2.0**attempt)
                 continue
             kind = headers.get("content-type", "")
-            return {"url": url, "final_url": final, "status_code": status, "content_type": kind, "content_length": len(body), "elapsed": self.clock() - began, "attempts": attempt + 1, "error": None, "html": decode(body, kind), "headers": headers}
-        return {"url": url, "final_url": None, "status_code": None, "content_type": None, "content_length": None, "elapsed": None, "attempts": self.options.retries + 1, "error": error, "html": None, "headers": None}
+            return {"url": url, "final_url": final, "status_code": status, "content_type": kind, "content_length": len(body), "elapsed": self.clock() - began, "attempts": attempt + 1, "error": None, "html": decode(body, kind), "headers": headers, "body": body}
+        return {"url": url, "final_url": None, "status_code": None, "content_type": None, "content_length": None, "elapsed": None, "attempts": self.options.retries + 1, "error": error, "html": None, "headers": None, "body": None}
+
+
+_NAMES = [c.split(" ", 1)[0] for c in RESULT.split(", ")]
+
+
+def _frame(results: list[dict[str, Any]], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(results, columns=names).astype({"status_code": "Int64", "content_length": "Int64"})
 
 
 def fetch(asked: DataFrame, options: FetchOptions = FetchOptions(), opener: Opener = open_url, partitions: int | None = None) -> DataFrame:
@@ -115,7 +132,7 @@ def fetch(asked: DataFrame, options: FetchOptions = FetchOptions(), opener: Open
         client = Client(each, opener)
         for rows in batches:
             for url in rows["url"]:
-                yield pd.DataFrame([client.get(url)]).astype({"status_code": "Int64", "content_length": "Int64"})
+                yield _frame([client.get(url)], _NAMES)
 
     return asked.select("url").distinct().repartition(n, "url").mapInPandas(run, RESULT)
 
@@ -124,12 +141,68 @@ def with_other_scheme(url: str) -> str:
     return re.sub(r"^http(s?):", lambda m: "http:" if m[1] else "https:", url)
 
 
+def fetch_either_scheme(asked: DataFrame, options: FetchOptions = FetchOptions(), opener: Opener = open_url, partitions: int | None = None) -> DataFrame:
+    """asked_url and the result of each URL (url): its own if that is usable (200 to 399), else the other scheme's, usable or not."""
+    n = partitions or options.concurrency
+    each = replace(options, requests_per_second=max(0.001, options.requests_per_second / n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = Client(each, opener)
+        for rows in batches:
+            for url in rows["url"]:
+                result = client.get(url)
+                if not 200 <= (result["status_code"] or 0) < 400 and with_other_scheme(url) != url:
+                    result = client.get(with_other_scheme(url))
+                yield _frame([{"asked_url": url, **result}], ["asked_url", *_NAMES])
+
+    return asked.select("url").distinct().repartition(n, "url").mapInPandas(run, f"asked_url string, {RESULT}")
+
+
+def fetch_ranges(records: DataFrame, base: str, options: FetchOptions = FetchOptions(), opener: Opener = open_url, partitions: int | None = None) -> DataFrame:
+    """url, filename, offset, content of archived records (url, filename, offset, length) below a base URL, by range requests; content is null where one fails."""
+    n = partitions or options.concurrency
+    each = replace(options, requests_per_second=max(0.001, options.requests_per_second / n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = Client(each, opener)
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                got = client.get(base + r.filename, headers=(("Range", f"bytes={r.offset}-{r.offset + r.length - 1}"),))
+                sound = 200 <= (got["status_code"] or 0) < 400
+                yield pd.DataFrame({"url": [r.url], "filename": [r.filename], "offset": [r.offset], "content": [got["body"] if sound else None]})
+
+    whole = records.select("url", "filename", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
+    return whole.repartition(n, "filename", "offset").mapInPandas(run, "url string, filename string, offset long, content binary")
+
+
+def index_requests(spark: SparkSession, base: str, crawls: list[str], domain: str, limit: int) -> DataFrame:
+    """crawl_no, url of the index queries for a domain's captured pages, the first of each crawl's url keys, limit at most."""
+    asked = urlencode({"url": f"{domain}/*", "output": "json", "filter": "status:200", "collapse": "urlkey", "limit": limit})
+    return spark.createDataFrame([(k, f"{base}/{crawl}-index?{asked}") for k, crawl in enumerate(crawls)], "crawl_no int, url string")
+
+
+def index_lines(requests: DataFrame, options: FetchOptions = FetchOptions(), opener: Opener = open_url) -> DataFrame:
+    """crawl_no, row_no, value: the lines of the index queries' answers, as readers.cdx_records reads them; a failed query has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = Client(options, opener)
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                got = client.get(r.url)
+                text = got["body"].decode("utf-8", "replace") if got["body"] and (got["status_code"] or 0) == 200 else ""
+                lines = [x.strip() for x in text.splitlines() if x.strip()]
+                yield pd.DataFrame({"crawl_no": r.crawl_no, "row_no": range(len(lines)), "value": lines}).astype({"crawl_no": "int32", "row_no": "int32", "value": "object"})
+
+    return requests.select("crawl_no", "url").repartition("crawl_no").mapInPandas(run, "crawl_no int, row_no int, value string")
+
+
 def scheme_fallback(asked: DataFrame, fetched: DataFrame) -> DataFrame:
-    """asked (url) with the usable result of a fetched corpus, under its URL or the other scheme's."""
-    ok = fetched.filter(F.col("status_code").between(200, 399))
+    """asked (url) with the result of a fetched corpus: its own if usable, else the other scheme's if usable, else the last one there is."""
     swapped = F.when(F.startswith("url", F.lit("https:")), F.concat(F.lit("http:"), F.substring("url", 7, 1 << 20))).otherwise(F.concat(F.lit("https:"), F.substring("url", 6, 1 << 20)))
     tries = asked.select("url", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("url").alias("u")), F.struct(F.lit(1).alias("n"), swapped.alias("u")))).alias("t")).select("url", "t.*")
-    found = tries.join(ok.select(F.col("url").alias("u"), "status_code", "html"), "u").groupBy("url").agg(F.min_by(F.struct("u", "status_code", "html"), "n").alias("r"))
+    usable = F.coalesce(F.col("status_code").between(200, 399), F.lit(False))
+    place = F.when(usable, F.col("n")).otherwise(3 - F.col("n"))  # 0 and 1 usable, 2 the last of two that aren't, 3 the first
+    found = tries.join(fetched.select(F.col("url").alias("u"), "status_code", "html"), "u").withColumn("place", place).groupBy("url").agg(F.min_by(F.struct("u", "status_code", "html"), "place").alias("r"))
     return asked.join(found, "url", "left").select("url", F.col("r.u").alias("fetched_url"), "r.status_code", "r.html")
 
 
@@ -166,7 +239,8 @@ class _WebReader(DataSourceReader):
         n = max(1, min(self.options.concurrency, len(self.urls)))
         client = Client(replace(self.options, requests_per_second=max(0.001, self.options.requests_per_second / n)))
         for url in partition.urls:
-            yield tuple(client.get(url).values())
+            got = client.get(url)
+            yield tuple(got[name] for name in _NAMES)
 
 
 def register(spark: SparkSession) -> None:
@@ -192,6 +266,12 @@ def probe_resources(resources: DataFrame, fetched: DataFrame) -> DataFrame:
     )
 
 
+def fetch_resources(resources: DataFrame, options: FetchOptions = FetchOptions(), opener: Opener = open_url) -> DataFrame:
+    """probe_resources() of resources (page_url, resource_url) that are fetched now, each URL once."""
+    asked = resources.select(urls.normalize(urls.resolve("page_url", "resource_url")).alias("url")).filter("url <> ''")
+    return probe_resources(resources, fetch(asked, options, opener))
+
+
 def resolve_host(host: str) -> list[str]:
     return socket.gethostbyname_ex(host)[2]
 

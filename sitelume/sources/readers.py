@@ -6,11 +6,14 @@ import gzip
 import os
 from collections.abc import Callable, Iterator
 from urllib.robotparser import RobotFileParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelume.functions import urls
+
 LINKS = "array<struct<url:string,anchor:string,rel:string,nofollow:boolean,ugc:boolean,sponsored:boolean>>"
 IMAGES = "array<struct<url:string,alt:string,width:string,height:string,loading:string>>"
 #: A page as the crawler stores it.
@@ -46,8 +49,8 @@ CRAWL = (
 
 
 def crawl_json(spark: SparkSession, path: str) -> DataFrame:
-    """A crawl export: one document, or one per line with multi-line off."""
-    return spark.read.schema(CRAWL).option("multiLine", True).json(path)
+    """A crawl export: one document, read by one task, or (a path that ends in .jsonl) one document per line, read by many."""
+    return spark.read.schema(CRAWL).option("multiLine", not path.rstrip("/").endswith(".jsonl")).json(path)
 
 
 def crawl_pages(crawl: DataFrame) -> DataFrame:
@@ -92,16 +95,31 @@ def graph_release(names: list[str]) -> str | None:
     return max(set.intersection(*stems), default=None)
 
 
+def sitemap_entries(xml: str | None) -> tuple[str, list[str]]:
+    """(index or urlset, locations) of a sitemap; bad XML and other documents have none. Namespaces don't matter."""
+    try:
+        root = ElementTree.fromstring((xml or "").strip().encode("utf-8", "replace"), ElementTree.XMLParser(encoding="utf-8"))
+    except ElementTree.ParseError:
+        return "", []
+    kind, entry = {"sitemapindex": ("index", "sitemap"), "urlset": ("urlset", "url")}.get(root.tag.rpartition("}")[2].lower(), ("", ""))
+    found = root.iterfind(f"{{*}}{entry}/{{*}}loc") if entry else ()
+    return kind, [loc for x in found if (loc := (x.text or "").strip())]
+
+
 def sitemap_locations(files: DataFrame) -> DataFrame:
-    """sitemap_url, kind (index or urlset), loc. files: url, status_code, xml. Namespaces don't matter; bad XML gives nothing."""
-    sound = files.filter((F.col("status_code") == 200) & F.trim("xml").rlike(r"(?s)^(?:<\?xml.*?\?>)?\s*(?:<!--.*?-->\s*)*<(?:[\w.-]+:)?(?:sitemapindex|urlset)\b.*</(?:[\w.-]+:)?(?:sitemapindex|urlset)\s*>$"))
-    kind = F.when(F.col("xml").rlike(r"<(?:[\w.-]+:)?sitemapindex\b"), "index").otherwise("urlset")
-    locs = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:[\w.-]+:)?loc\s*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:[\w.-]+:)?loc\s*>"), F.lit(1))
-    return sound.select(F.col("url").alias("sitemap_url"), kind.alias("kind"), F.posexplode(locs).alias("pos", "loc")).withColumn("loc", F.replace("loc", F.lit("&amp;"), F.lit("&"))).filter("loc <> ''")
+    """sitemap_url, kind (index or urlset), pos, loc. files: url, status_code, xml."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for url, xml in zip(rows["url"], rows["xml"], strict=True):
+                kind, locs = sitemap_entries(xml)
+                yield pd.DataFrame({"sitemap_url": url, "kind": kind, "pos": range(len(locs)), "loc": locs}).astype({"pos": "int32", "loc": "object"})
+
+    return files.filter("status_code = 200").select("url", "xml").mapInPandas(parsed, "sitemap_url string, kind string, pos int, loc string")
 
 
 def expand_sitemaps(files: DataFrame, seeds: DataFrame, max_levels: int = 10) -> DataFrame:
-    """sitemap_url, loc of all page locations reachable from seeds (url) through index files."""
+    """sitemap_url, pos, loc of all page locations reachable from seeds (url) through index files."""
     from sitelume.operators import graph
 
     locs = graph.checkpoint(sitemap_locations(files))
@@ -110,8 +128,43 @@ def expand_sitemaps(files: DataFrame, seeds: DataFrame, max_levels: int = 10) ->
     return locs.filter("kind = 'urlset'").join(reached, "sitemap_url", "left_semi").select("sitemap_url", "pos", "loc")
 
 
-def sitemap_counts(locations: DataFrame) -> DataFrame:
-    return locations.groupBy("sitemap_url").agg(F.count("*").alias("url_count"))
+def domain_seeds(domains: DataFrame) -> DataFrame:
+    """domain, url of the files of a domain that may lead to its sitemaps."""
+    names = F.array(*map(F.lit, ("robots.txt", "sitemap.xml", "sitemap_index.xml")))
+    of = F.flatten(F.transform(urls.origins("domain"), lambda o: F.transform(names, lambda n: F.concat(o, n))))
+    return domains.select("domain", F.explode(of).alias("url"))
+
+
+def domain_sitemap_pages(domains: DataFrame, files: DataFrame, max_levels: int = 10) -> DataFrame:
+    """domain, url (normal form) of the pages of its own that each domain's sitemaps list.
+
+    files: url, status_code, xml (robots files' text likewise). Sitemaps are found under their usual
+    names and through robots files; index files lead on, of whatever host.
+    """
+    from sitelume.operators import graph
+
+    seeds = domain_seeds(domains)
+    robots = files.select(F.col("url").alias("host"), "status_code", F.col("xml").alias("body"))
+    named = seeds.withColumnRenamed("url", "host").join(robots_sitemaps(robots), "host").select("domain", F.col("sitemap").alias("url"))
+    locs = graph.checkpoint(sitemap_locations(files))
+    index = locs.filter("kind = 'index'").select("sitemap_url", "loc")
+    level = graph.checkpoint(seeds.unionByName(named).distinct())
+    seen = level
+    for _ in range(max_levels):
+        level = graph.checkpoint(level.join(index, level["url"] == index["sitemap_url"]).select("domain", F.col("loc").alias("url")).distinct().join(seen, ["domain", "url"], "left_anti"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    listed = seen.join(locs.filter("kind = 'urlset'"), F.col("url") == F.col("sitemap_url")).select("domain", urls.canonical_or_self("loc").alias("url"))
+    return listed.filter(urls.bare_domain("url") == urls.domain_of("domain")).distinct()
+
+
+def sitemap_counts(locations: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """url_count of each sitemap that lists something; with files (url, status_code) a row of each of these, and its status."""
+    counts = locations.groupBy("sitemap_url").agg(F.count("*").alias("url_count"))
+    if files is None:
+        return counts
+    return files.select(F.col("url").alias("sitemap_url"), "status_code").join(counts, "sitemap_url", "left").select("sitemap_url", "status_code", F.coalesce("url_count", F.lit(0)).alias("url_count"))
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:

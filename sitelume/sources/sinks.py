@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Any
 
@@ -76,6 +77,14 @@ def _kind(table: str, column: str) -> str:
     return dict(c.split(" ", 1) for c in TABLES[table].split(", "))[column]
 
 
+def issue_row(crawl_id: int, url: str, issue: Any) -> dict[str, Any]:
+    """A row of the issues table from a mapping (its kind under type or issue_type, all of it as details) or from a bare kind."""
+    if not isinstance(issue, dict):
+        issue = {"type": str(issue)}
+        return {"crawl_id": crawl_id, "url": url, "issue_type": issue["type"], "severity": None, "message": None, "details": None}
+    return {"crawl_id": crawl_id, "url": url, "issue_type": issue.get("type") or issue.get("issue_type"), "severity": issue.get("severity"), "message": issue.get("message"), "details": str(issue)}
+
+
 def child_tables(pages: DataFrame) -> dict[str, DataFrame]:
     """images, resources, hreflang, schemas and links of nested pages (crawl_id, url, …)."""
     base = ["crawl_id", F.col("url").alias("page_url")]
@@ -115,13 +124,49 @@ def export_crawl(crawl_id: int, start_url: str, site: dict, pages: DataFrame, li
     return head.unionByName(part(1, pages)).unionByName(part(2, links)).unionByName(part(3, failed))
 
 
+def export_nested(spark: SparkSession, path: str, crawl_id: int, start_url: str, site: dict, pages: DataFrame, links: DataFrame, issues: DataFrame) -> None:
+    """The crawl as one nested, indented JSON document: crawl_id, start_url, site, pages, links, failed_urls.
+
+    Rows are written as they come, a partition at a time through the driver: a document of any size
+    holds one partition in memory. export_crawl() is the form that tasks write by themselves.
+    """
+    plain = lambda x: json.dumps(x, ensure_ascii=False, indent=2, default=str)
+    shifted = lambda text, by: text.replace("\n", "\n" + " " * by)
+    rows = lambda df: (json.loads(r.value) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).toLocalIterator())
+    failed = issues.filter(F.col("severity").isin("high", "critical")).select("url").distinct().orderBy("url")
+
+    def parts() -> Iterator[str]:
+        head = [f'"{k}": {shifted(plain(v), 2)}' for k, v in (("crawl_id", crawl_id), ("start_url", start_url), ("site", site))]
+        yield "{\n  " + ",\n  ".join(head)
+        for name, items in (("pages", rows(pages)), ("links", rows(links)), ("failed_urls", (r.url for r in failed.toLocalIterator()))):
+            yield f',\n  "{name}": ['
+            for k, item in enumerate(items):
+                yield ("," if k else "") + "\n    " + shifted(plain(item), 4)
+            yield "\n  ]"
+        yield "\n}\n"
+
+    write_parts(spark, path, parts())
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file by Hadoop's file system: under another name first, then renamed into place."""
+    write_parts(spark, path, iter((text,)))
+
+
+def write_parts(spark: SparkSession, path: str, parts: Iterator[str]) -> None:
+    """write_text() of a text that comes in parts."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     fs = target.getFileSystem(conf)
     out = fs.create(part, True)
-    out.write(bytearray(text, "utf-8"))
+    held, size = [], 0
+    for text in parts:
+        held.append(text)
+        size += len(text)
+        if size >= 1 << 20:
+            out.write(bytearray("".join(held), "utf-8"))
+            held, size = [], 0
+    out.write(bytearray("".join(held), "utf-8"))
     out.close()
     fs.delete(target, False)
     fs.rename(part, target)
