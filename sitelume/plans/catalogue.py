@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelume.functions import signatures, urls
 from sitelume.functions import text as tx
 from sitelume.functions.html import parse_html
-from sitelume.operators import backlinks, duplicates, graph, links, merge, rules, scoring, site
+from sitelume.operators import backlinks, discovery, duplicates, graph, investigation, links, merge, rules, scoring, site
 from sitelume.plans import adapters as ad
-from sitelume.sources import readers
+from sitelume.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -171,6 +171,50 @@ def vendor_counts(spark, sf_dir):
     return every.join(counts, "vendor", "left").select("vendor", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+_SITE = ad.HOME.rstrip("/")
+
+
+@query(f"""
+SELECT page_id, {ad.SQL_TITLE} AS title, 'about ' || page_id AS meta_description, '{_SITE}/c/' || page_id AS canonical, CASE WHEN page_id % 4 = 0 THEN 'NoIndex' ELSE '' END AS robots, 'width=' || page_id % 3 AS viewport, {ad.SQL_LANGUAGE} AS language,
+  '{_SITE}/p/s' || page_id % 4 || '.css' AS stylesheets, 'de={_SITE}/de/' || page_id AS hreflang, '{_SITE}/j' || page_id || '.js' AS scripts, 'A,T' || page_id % 5 AS schema_types, 'Sub ' || page_id AS h2, 'OG "' || page_id || '"' AS open_graph, 'c' || page_id % 2 AS twitter,
+  '{_SITE}/x/' || page_id || ' go there NOFOLLOW ugc true true false' AS last_link, CAST(2 AS BIGINT) AS n_images, CAST(1 AS BIGINT) AS n_without_alt, CAST(page_id % 3 AS BIGINT) AS iframes, CAST(1 AS BIGINT) AS forms, CAST(1 AS BIGINT) AS n_schemas FROM pages""")
+def html_fields(spark, sf_dir):
+    """All fields of a parsed page: the tables' pages with elements of every kind behind them."""
+    i = F.col("page_id").cast("string")
+    part = lambda *x: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in x))
+    mod = lambda k: (F.col("page_id") % k).cast("string")
+    more = part(
+        '<meta NAME="Description" content=" about ', i, ' "><meta name="description" content="second"><link rel="x canonical" href="/c/', i, '"><link rel=canonical href="/no"><meta name="ROBOTS" content="', F.when(F.col("page_id") % 4 == 0, "NoIndex").otherwise(""), '">',
+        "<meta name=viewport content='width=", mod(3), "'><link rel='STYLESHEET' href='s", mod(4), ".css'><link rel=alternate hreflang=de href='/de/", i, "'><link hreflang='' href='/none'><meta property='og:title' content='OG &quot;", i, "&quot;'><meta name='twitter:card' content=c", mod(2), ">",
+        '<script type="application/ld+json">{"@type": ["A"], "x": [{"@type": "T', mod(5), '"}]}</script><script src="/j', i, '.js">var t = "</p>"</script><h2> Sub <b>', i, "</b></h2><h2> </h2>", F.repeat(F.lit("<iframe></iframe>"), (F.col("page_id") % 3).cast("int")), "<form></form>",
+        '<a href="#f">f</a><a href="mailto:x">m</a><a href=" /x/', i, ' " rel="NOFOLLOW ugc">go <i>there</i></a><img src="i.png" alt="a"><img data-src="l.png"><img alt="x">',
+    )
+    base = F.concat(F.lit(ad.HOME + "p/"), i)
+    page = ad.table(spark, sf_dir, "pages").select("page_id", parse_html(F.concat("html", more), base).alias("p")).select("page_id", "p.*")
+    last = F.element_at("links", -1)
+    own = F.filter("images", lambda x: x["url"].rlike("[il]\\.png$"))
+    return page.select(
+        "page_id", "title", "meta_description", "canonical", "robots", "viewport", "language", F.array_join("stylesheets", ",").alias("stylesheets"), F.array_join(F.transform("hreflang", lambda x: F.concat_ws("=", x["lang"], x["url"])), ",").alias("hreflang"),
+        F.array_join("scripts", ",").alias("scripts"), F.array_join("schema_types", ",").alias("schema_types"), F.array_join(F.col("headings")["h2"], ",").alias("h2"), F.col("open_graph")["og:title"].alias("open_graph"), F.col("twitter")["twitter:card"].alias("twitter"),
+        F.concat_ws(" ", last["url"], last["anchor"], last["rel"], *(last[k].cast("string") for k in ("nofollow", "ugc", "sponsored"))).alias("last_link"),
+        F.size(own).alias("n_images"), F.size(F.filter(own, lambda x: x["alt"].isNull())).alias("n_without_alt"), "iframes", "forms", F.size("schemas").alias("n_schemas"),
+    )
+
+
+@query(r"""
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS h, url FROM pages), l AS (SELECT *, regexp_replace(h, '^www[.]', '') AS b, string_split(regexp_replace(h, '^www[.]', ''), '.') AS p FROM h)
+SELECT page_id, true AS same, b = 'example.com' OR b LIKE '%.example.com' AS is_target, false AS is_relative, 'https://' || b || '/,http://' || b || '/' AS origins, CAST(len(p) AS BIGINT) AS n_suffixes, p[len(p) - 1] || '.' || p[len(p)] AS registered,
+  regexp_replace(url, '#.*$', '') AS without_fragment, NOT contains(url, '//www.') AND NOT contains(url, '//m.') AS as_written FROM l""")
+def url_predicates(spark, sf_dir):
+    u = ad.table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = urls.SuffixList(iter(["com", "net", "org"]))
+    return u.select(
+        "page_id", (urls.same_domain("url", F.concat(urls.origin("url"), F.lit("/x"))) & urls.same_registered_domain("url", F.concat(F.lit("http://sub."), urls.bare_domain("url"), F.lit("/")))).alias("same"), urls.is_target("url", F.lit("example.com")).alias("is_target"),
+        urls.is_relative("url").alias("is_relative"), F.array_join(urls.origins(urls.bare_domain("url")), ",").alias("origins"), F.size(urls.host_suffixes("url")).alias("n_suffixes"), urls.registered_domain_of("url", rules).alias("registered"),
+        urls.without_fragment("url").alias("without_fragment"), (~urls.netloc("url").rlike(r"^(www|m)\.")).alias("as_written"),
+    )
+
+
 # ---- rules
 
 
@@ -321,6 +365,23 @@ def frontier_priority(spark, sf_dir):
     return graph.frontier_order(found.withColumn("seq", F.regexp_extract("url", "[0-9]+$", 0).cast("long")))
 
 
+@query(f"""{_WITH}, c AS (SELECT DISTINCT target_url AS url, CAST(regexp_extract(target_url, '[0-9]+$') AS BIGINT) AS k FROM crawl_links WHERE internal),
+a AS (SELECT url, 3 AS depth, k AS seq FROM c WHERE k % 7 <> 0 AND k % 5 <> 2) SELECT url, CAST(depth AS BIGINT) AS depth, seq FROM a ORDER BY seq LIMIT 100""")
+def crawl_admission(spark, sf_dir):
+    """Links of pages at depth 2: every seventh target is seen already, robots rules forbid some, and there is room for a hundred."""
+    found = ad.crawl_links(spark, sf_dir)
+    number = F.regexp_extract("target_url", "[0-9]+$", 0).cast("long")
+    seen = found.filter("internal").select(F.col("target_url").alias("url")).distinct().filter(F.regexp_extract("url", "[0-9]+$", 0).cast("long") % 7 == 0)
+    allowed = found.select(F.col("target_url").alias("url"), (number % 5 != 2).alias("allowed")).distinct()
+    links_ = found.select("target_url", F.lit(2).alias("depth"), number.alias("seq"))
+    return graph.admitted_children(links_, seen, ad.HOME, 5, 100 + seen.count(), allowed)
+
+
+@query(f"{_WITH} SELECT '{ad.HOME}p/' || page_id || '/moved' AS url, CAST(page_id % 7 + 1 AS BIGINT) AS depth, CAST(-50 AS BIGINT) AS priority FROM crawl_pages WHERE status = 301")
+def redirect_targets(spark, sf_dir):
+    return graph.redirect_targets(ad.crawl_pages(spark, sf_dir).select("url", "status_code", F.concat(F.lit("/p/"), F.col("page_id").cast("string"), F.lit("/moved/")).alias("location"), "depth"))
+
+
 @query(f"{_WITH}, f AS (SELECT * FROM crawl_links WHERE internal OR starts_with(target_url, '{ad.HOME}')), i AS (SELECT target_url AS url, count(*) AS incoming FROM f GROUP BY 1), o AS (SELECT source_url AS url, count(*) AS outgoing FROM f GROUP BY 1) SELECT url, CAST(coalesce(incoming, 0) AS BIGINT) AS incoming, CAST(coalesce(outgoing, 0) AS BIGINT) AS outgoing FROM i FULL JOIN o USING (url)")
 def flagged_degrees(spark, sf_dir):
     return links.flagged_degrees(ad.crawl_links(spark, sf_dir), ad.HOME)
@@ -358,6 +419,37 @@ def upsert_latest_page(spark, sf_dir):
     return merge.latest(rows, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).drop("ts")
 
 
+@query("SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS pages_discovered, CAST(count(DISTINCT user_id) FILTER (WHERE event_type = 'view') AS BIGINT) AS pages_crawled, CAST(count(DISTINCT user_id) FILTER (WHERE value > 90) AS BIGINT) AS pages_failed FROM events")
+def crawl_counters(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").withColumn("url", F.concat(F.lit(ad.HOME), F.col("user_id").cast("string")))
+    return site.crawl_counters(rows, rows.filter("event_type = 'view'"), rows.filter("value > 90"))
+
+
+@query(f"{_WITH} SELECT round(avg(dom), 3) AS average_dom_loaded_seconds, round(avg(loaded), 3) AS average_fully_loaded_seconds FROM crawl_pages")
+def mean_timings(spark, sf_dir):
+    return site.mean_timings(ad.crawl_pages(spark, sf_dir))
+
+
+@query(f"{_WITH} SELECT crawl_id, url, title FROM (SELECT page_id % 2 AS crawl_id, url, title || CASE WHEN page_id % 3 = 0 THEN ' new' ELSE '' END AS title FROM crawl_pages UNION ALL SELECT 7, url, title || ' new' FROM crawl_pages WHERE page_id % 5 = 0)")
+def upsert_pages(spark, sf_dir):
+    pages = ad.crawl_pages(spark, sf_dir).select((F.col("page_id") % 2).alias("crawl_id"), "page_id", "url", "title")
+    changed = pages.withColumn("title", F.concat("title", F.lit(" new")))
+    new = changed.filter("page_id % 3 = 0").unionByName(changed.filter("page_id % 5 = 0").withColumn("crawl_id", F.lit(7).cast("long")))
+    return sinks.upsert_pages(pages.drop("page_id"), new.drop("page_id"))
+
+
+@query("SELECT crawl_id, url FROM (SELECT user_id % 3 AS crawl_id, 'u' || event_id % 500 AS url FROM events GROUP BY ALL) WHERE (crawl_id, url) NOT IN (SELECT user_id % 3, 'u' || event_id % 500 FROM events WHERE event_type = 'view')")
+def new_urls(spark, sf_dir):
+    rows = ad.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("crawl_id"), F.concat(F.lit("u"), (F.col("event_id") % 500).cast("string")).alias("url"), "event_type")
+    return sinks.new_urls(rows.drop("event_type"), rows.filter("event_type = 'view'").drop("event_type"))
+
+
+@query(f"{_WITH} SELECT CAST((SELECT count(*) FROM crawl_pages) AS BIGINT) AS pages_saved, CAST((SELECT count(*) FROM crawl_links) AS BIGINT) AS links_saved, CAST((SELECT count(*) FROM crawl_pages WHERE status >= 400) AS BIGINT) AS failed_saved")
+def persistence_summary(spark, sf_dir):
+    pages = ad.crawl_pages(spark, sf_dir)
+    return sinks.persistence_summary(pages, ad.crawl_links(spark, sf_dir), pages.filter("status_code >= 400"))
+
+
 @query("""
 WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, user_id FROM events)
 SELECT strftime(day, '%Y-%m-%d') AS day, CAST(count(DISTINCT user_id) AS BIGINT) AS discovered, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS views, CAST(count(*) AS BIGINT) AS lines FROM d GROUP BY 1""")
@@ -406,6 +498,34 @@ def overall_status(spark, sf_dir):
     return site.resolved_status(rows, "k")
 
 
+@query(f"""{_WITH}, s AS (SELECT CASE status WHEN 200 THEN 'not_found' WHEN 404 THEN 'error' WHEN 500 THEN 'timeout' ELSE 'blocked' END AS s, page_id % 3 AS n FROM crawl_pages)
+SELECT CASE WHEN bool_or(s = 'timeout') THEN 'timeout' WHEN bool_or(s = 'error') THEN 'error' WHEN bool_or(s = 'blocked') THEN 'blocked' ELSE 'not_found' END AS status, CAST(count(*) AS BIGINT) AS domains_investigated, CAST(sum(n) AS BIGINT) AS links_found FROM s""")
+def layer2_summary(spark, sf_dir):
+    c = F.col("status_code")
+    return backlinks.layer2_summary(ad.crawl_pages(spark, sf_dir).select(F.when(c == 200, "not_found").when(c == 404, "error").when(c == 500, "timeout").otherwise("blocked").alias("status"), (F.col("page_id") % 3).alias("links_found")))
+
+
+@query("SELECT DISTINCT 'c' || c_custkey || '.example.com' AS domain FROM customer WHERE c_custkey <> 7")
+def investigated_domains(spark, sf_dir):
+    name = F.concat(F.when(F.col("k") == 0, " C").otherwise("c"), F.col("c_custkey").cast("string"), F.lit(".Example.com"))
+    rows = ad.table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select(name.alias("referring_domain"))
+    return investigation.investigated_domains(rows, "https://www.c7.example.com/a")
+
+
+@query("""
+WITH e AS (SELECT event_id AS i, user_id % 3 AS q, event_id % 3 AS p FROM events WHERE event_id < 1000000000), n AS (SELECT q, p, count(*) AS n FROM e GROUP BY 1, 2),
+s AS (SELECT q, CASE WHEN (SELECT n FROM n x WHERE x.q = o.q AND x.p = 0) < 10 THEN 1 WHEN (SELECT n FROM n x WHERE x.q = o.q AND x.p = 1) < 10 THEN 2 ELSE 3 END AS pages FROM n o GROUP BY 1),
+r AS (SELECT e.q, row_number() OVER (PARTITION BY e.q ORDER BY p, i) - 1 AS pos, 'https://r' || i || '.org/' AS url FROM e JOIN s USING (q) WHERE p < pages)
+SELECT 'bing' AS engine, q AS query_no, CAST(pos AS BIGINT) AS pos, url FROM r WHERE pos < 25""")
+def result_pages(spark, sf_dir):
+    """Three result pages for each of three queries; how many results a page holds is up to the table."""
+    e = ad.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("query_no"), (F.col("event_id") % 3).alias("page_no"), F.col("event_id").alias("i"))
+    one = F.concat(F.lit('<li class="b_algo"><h2><a href="https://r'), F.col("i").cast("string"), F.lit('.org/">x</a></h2></li>'))
+    chunk = e.groupBy("query_no", "page_no", F.floor(F.col("i") / 3000).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("h")))), lambda x: x["h"]), "").alias("html"))
+    html = chunk.groupBy("query_no", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "html"))), lambda x: x["html"]), "").alias("html"))
+    return discovery.results(html.withColumn("engine", F.lit("bing")), 25)
+
+
 _PUBLIC = f"""WITH a AS (SELECT page_id AS i, 'https://www.s' || (page_id % 40) || '.example.org/' || page_id AS source_url FROM pages WHERE page_id % 13 <> 0 AND page_id % 17 <> 0),
 x AS (SELECT source_url, 's' || (i % 40) || '.example.org' AS source_domain, CASE WHEN i % 3 = 0 THEN 'https://www.target.example/' ELSE 'http://shop.target.example/p?a=1&b=' END || (i % 50) AS target_url, 'Go to target & ' || (i % 20) AS anchor_text, {list(ad.RELS)!r}[i % 7 + 1] AS rel FROM a WHERE i % 3 <> 2
   UNION ALL SELECT source_url, 's' || (i % 40) || '.example.org', 'https://target.example', 'bare', '' FROM a),
@@ -460,9 +580,16 @@ def _legacy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rules.legacy_issues(pages, ad.crawl_links(spark, sf_dir), f"{ad.HOME}p/1", pages.filter("status_code = 500").select("url")), pages
 
 
-@query(f"{_LEGACY_SQL} SELECT url, category, severity, issue FROM issues")
+#: What an issue's details say, by issue.
+_DETAILS = """CASE WHEN issue LIKE 'Title tag too%' THEN length(trim(title)) || ' characters' WHEN issue LIKE 'Meta description too%' THEN length(trim(description)) || ' characters' WHEN issue = 'Multiple H1 headings' THEN n_h1 || ' H1s'
+  WHEN issue IN ('Very thin content', 'Low word count') THEN words || ' words' WHEN issue IN ('4xx HTTP status', '5xx HTTP status', 'Redirected URL') THEN CAST(status AS VARCHAR) WHEN issue = 'Image missing ALT text' THEN 'i.png'
+  WHEN issue = 'Duplicate title tag' THEN same_title || ' pages' WHEN issue = 'Duplicate meta description' THEN same_description || ' pages' ELSE '' END"""
+
+
+@query(f"""{_LEGACY_SQL}, p AS (SELECT *, count(*) OVER (PARTITION BY lower(trim(title))) AS same_title, count(*) OVER (PARTITION BY lower(trim(description))) AS same_description FROM crawl_pages)
+SELECT url, category, severity, issue, {_DETAILS} AS details FROM issues JOIN p USING (url)""")
 def legacy_audit(spark, sf_dir):
-    return _legacy(spark, sf_dir)[0].drop("details")
+    return _legacy(spark, sf_dir)[0]
 
 
 @query(f"{_LEGACY_SQL} SELECT category, severity, CAST(count(*) AS BIGINT) AS n FROM issues GROUP BY 1, 2")
@@ -507,19 +634,19 @@ _NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
 @query("""
-WITH n AS (SELECT 'https://s.example/map' || (page_id % 5) || '.xml' AS sitemap_url, url FROM pages WHERE page_id % 5 < 4)
-SELECT sitemap_url, CAST(count(*) AS BIGINT) AS url_count FROM n GROUP BY 1""")
+SELECT 'https://s.example/map' || page_id // 20 || '.xml' AS sitemap_url, CAST(200 AS BIGINT) AS status_code, CAST(count(*) AS BIGINT) AS url_count FROM pages WHERE page_id // 100 % 5 < 4 GROUP BY 1""")
 def sitemap_expand(spark, sf_dir):
-    """Four of five sitemaps are listed by the index; locations are the pages' URLs."""
-    pages = ad.table(spark, sf_dir, "pages")
-    name = F.concat(F.lit("https://s.example/map"), (F.col("page_id") % 5).cast("string"), F.lit(".xml"))
+    """A sitemap for every 20 pages, an index for every 5 sitemaps; four of five indexes are known."""
+    pages = ad.table(spark, sf_dir, "pages").select("page_id", "url", F.floor(F.col("page_id") / 20).alias("map"))
+    name = lambda kind, k: F.concat(F.lit(f"https://s.example/{kind}"), k.cast("string"), F.lit(".xml"))
     loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    files = pages.groupBy(name.alias("url")).agg(F.concat(F.lit(f'<?xml version="1.0"?><urlset {_NS}>'), F.array_join(F.collect_list(loc), "\n"), F.lit("</urlset>")).alias("xml"))
-    listed = "".join(f"<sm:sitemap><sm:loc>https://s.example/map{k}.xml</sm:loc></sm:sitemap>" for k in range(4))
-    index = spark.range(1).select(F.lit("https://s.example/sitemap.xml").alias("url"), F.lit(f'<sm:sitemapindex xmlns:sm="x">{listed}</sm:sitemapindex>').alias("xml"))
-    every = files.unionByName(index).withColumn("status_code", F.lit(200))
-    seeds = spark.range(1).select(F.lit("https://s.example/sitemap.xml").alias("url"))
-    return readers.sitemap_counts(readers.expand_sitemaps(every, seeds))
+    maps = pages.groupBy("map").agg(F.concat(F.lit(f'<?xml version="1.0"?><urlset {_NS}>'), F.array_join(F.collect_list(loc), "\n"), F.lit("</urlset>")).alias("xml"))  # 20 each
+    entry = F.concat(F.lit("<sm:sitemap><sm:loc>"), name("map", F.col("map")), F.lit("</sm:loc></sm:sitemap>"))
+    indexes = maps.groupBy(F.floor(F.col("map") / 5).alias("index")).agg(F.concat(F.lit('<sm:sitemapindex xmlns:sm="x">'), F.array_join(F.collect_list(entry), ""), F.lit("</sm:sitemapindex>")).alias("xml"))  # 5 each
+    files = maps.select(name("map", F.col("map")).alias("url"), "xml").unionByName(indexes.select(name("index", F.col("index")).alias("url"), "xml")).withColumn("status_code", F.lit(200))
+    seeds = indexes.filter("index % 5 < 4").select(name("index", F.col("index")).alias("url"))
+    locations = readers.expand_sitemaps(files, seeds)
+    return readers.sitemap_counts(locations, files.join(locations.select(F.col("sitemap_url").alias("url")), "url", "left_semi"))
 
 
 @query("SELECT page_id, page_id % 4 <> 1 AS allowed, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 2.0::DOUBLE END AS crawl_delay FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, true, NULL FROM pages WHERE page_id % 3 = 0")
