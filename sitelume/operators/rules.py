@@ -97,9 +97,9 @@ def own_findings(judged: DataFrame) -> DataFrame:
     return judged.select("url", F.explode_outer("findings").alias("f")).filter("f is not null").select("url", "f.*")
 
 
-def audit_findings(pages: DataFrame) -> DataFrame:
-    """All findings of the audit, one row each."""
-    return own_findings(evaluated(pages, audit_rules())).unionByName(duplicate_findings(pages))
+def audit_findings(pages: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """All findings of the audit, one row each. plain: the same pages where pages come out of joins (with degrees) that the duplicate rules don't need."""
+    return own_findings(evaluated(pages, audit_rules())).unionByName(duplicate_findings(pages if plain is None else plain))
 
 
 # ---- technical issues of a single page

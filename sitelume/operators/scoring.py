@@ -11,6 +11,8 @@ from sitelume.operators import rules
 #: Weight of a finding by severity; any other weighs 1.
 WEIGHTS = {"critical": 5.0, "high": 4.0, "medium": 2.5, "notice": 1.0}
 MOST_WEIGHT = sum(WEIGHTS.values())
+#: What is added up over pages.
+COUNTED = ("checks", "passed", "n_failed", "n_noindex", "total_issues", *WEIGHTS)
 
 
 def weight(severity: Column) -> Column:
@@ -58,11 +60,11 @@ def coverage_band(score: Column) -> Column:
     return F.when(score == 10, "score-green").when(score == 9, "score-orange").otherwise("score-red")
 
 
-def summary(pages: DataFrame, site: DataFrame) -> DataFrame:
-    """One row of totals. site: one row of pages_discovered, ssl_enabled, hostname, platform.
+def _sums_by_url(pages: DataFrame, plain: DataFrame | None) -> DataFrame:
+    """Sums by URL of what the rules find, as rows of one URL share their findings: rows, penalty, and the counters.
 
-    The rules are evaluated once per page row and summed up by URL, as rows of one URL share their
-    findings; the sums by URL give the scores and all totals.
+    The rules are evaluated once per page row. plain: the same pages where pages come out of joins
+    (with degrees) that the duplicate rules don't need.
     """
     status, robots = number("status_code"), F.lower(text("robots"))
     one = lambda c: F.when(c, 1).otherwise(0)
@@ -72,13 +74,23 @@ def summary(pages: DataFrame, site: DataFrame) -> DataFrame:
         F.aggregate("findings", F.lit(0.0), lambda a, f: a + weight(f["severity"])).alias("penalty"), F.size("findings").alias("total_issues"), *(named(s).alias(s) for s in WEIGHTS),
     )
     severity = F.col("severity")
-    shared = rules.duplicate_findings(pages).select(
+    shared = rules.duplicate_findings(pages if plain is None else plain).select(
         "url", *(F.lit(0).alias(c) for c in ("rows", "checks", "passed", "n_failed", "n_noindex")), weight(severity).alias("penalty"), F.lit(1).alias("total_issues"), *(one(severity == s).alias(s) for s in WEIGHTS)
     )
-    counted = ("checks", "passed", "n_failed", "n_noindex", "total_issues", *WEIGHTS)
-    by_url = own.unionByName(shared).groupBy("url").agg(*(F.sum(c).alias(c) for c in ("rows", "penalty", *counted)))
-    total = by_url.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("pages_crawled"), (F.sum(F.col("rows") * raw_score(F.col("penalty"))) / F.sum("rows")).alias("mean"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted)
+    return own.unionByName(shared).groupBy("url").agg(*(F.sum(c).alias(c) for c in ("rows", "penalty", *COUNTED)))
+
+
+def audited_scores(pages: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """page_scores() of pages straight from the rules: no findings are written out and gathered again."""
+    every = (pages if plain is None else plain).select("url")
+    raw = raw_score(F.col("penalty"))
+    return every.join(_sums_by_url(pages, plain), "url").select("url", raw.alias("raw"), banker(raw).alias("score"), F.col("total_issues").alias("n_issues"))
+
+
+def summary(pages: DataFrame, site: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """One row of totals, from sums by URL. site: one row of pages_discovered, ssl_enabled, hostname, platform."""
+    total = _sums_by_url(pages, plain).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("pages_crawled"), (F.sum(F.col("rows") * raw_score(F.col("penalty"))) / F.sum("rows")).alias("mean"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTED)
     )
     both = total.join(site.limit(1))  # one row each
     n = F.col("pages_crawled")

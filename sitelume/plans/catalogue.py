@@ -288,13 +288,12 @@ scores AS (SELECT url, greatest(0.0, least(100.0, 100 - (coalesce(penalty, 0) /
 
 @query(f"{_AUDIT} SELECT * FROM findings")
 def audit_findings(spark, sf_dir):
-    return rules.audit_findings(_audited(spark, sf_dir))
+    return rules.audit_findings(_audited(spark, sf_dir), ad.crawl_pages(spark, sf_dir))
 
 
 @query(f"{_AUDIT} SELECT url, round(raw, 9) AS raw, CAST(round_even(raw, 0) AS BIGINT) AS score, CAST(n_issues AS BIGINT) AS n_issues FROM scores")
 def audit_page_scores(spark, sf_dir):
-    pages = _audited(spark, sf_dir)
-    return scoring.page_scores(pages, rules.audit_findings(pages)).withColumn("raw", F.round("raw", 9))
+    return scoring.audited_scores(_audited(spark, sf_dir), ad.crawl_pages(spark, sf_dir)).withColumn("raw", F.round("raw", 9))
 
 
 _EVALUATED = " + ".join(f"count(*) FILTER (WHERE {w})" for _, w, *_ in _CHECKS)
@@ -310,7 +309,7 @@ SELECT CAST(seo AS BIGINT) AS seo_score, CAST(round_even(greatest(0, least(100,
 def audit_summary(spark, sf_dir):
     pages = _audited(spark, sf_dir)
     site_row = ad.table(spark, sf_dir, "pages").agg((F.count("*") + F.floor(F.count("*") / 30)).alias("pages_discovered"), F.lit(False).alias("ssl_enabled"), F.lit("site.example.com").alias("hostname"), F.lit("Wix").alias("platform"))
-    return scoring.summary(pages, site_row)
+    return scoring.summary(pages, site_row, ad.crawl_pages(spark, sf_dir))
 
 
 @query(f"{_AUDIT}, bands AS (SELECT CASE WHEN round_even(raw, 0) < 50 THEN 'score-red' WHEN round_even(raw, 0) < 90 THEN 'score-orange' ELSE 'score-green' END AS band FROM scores) SELECT band, CAST(count(*) AS BIGINT) AS n FROM bands GROUP BY 1")
