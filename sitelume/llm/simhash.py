@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelume.llm import similarity
 from sitelume.llm.common import checkpoint, texts
 from sitelume.llm.components import components
 
@@ -46,18 +47,18 @@ _SPACES = bytes(32 if 9 <= b <= 13 else _LOWER[b] for b in range(256))
 HASHES_AT_ONCE = 1 << 16
 
 
-def shingle_hashes(text: str | None) -> list[int]:
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
     import xxhash
 
     words = [w for w in (text or "").encode("utf-8", "surrogatepass").translate(_SPACES).split(b" ") if w]
     if not words:
         return []
     h = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [h(b" ".join(words), SEED)]
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - SHINGLE + 1].tolist()
-    return [h(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
+    return [h(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
 
 
 def fingerprint(hashes: list[int]) -> int:
@@ -163,37 +164,57 @@ def digest(found: DataFrame) -> DataFrame:
 _TEXT = (F.xxhash64, lambda c: F.xxhash64(F.lit("second"), c))
 
 
+def _five_words(text: str | None) -> list[int]:
+    return shingle_hashes(text, similarity.SHINGLE)
+
+
 def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row per component: that of the smallest doc_id, of several with it the one of the least text hash.
+    """One row per group of near duplicates, in two steps.
 
-    Rows are told apart by id and text, so a row whose id another row shares, or that has no id,
-    goes only if its own text belongs to a group that keeps another row. Rows without an id come
-    after all others. Of equal rows (id and text) one stays.
+    First, components of fingerprints that differ in at most two bits, as near_duplicates() links
+    them: copies and nearly equal texts. Then, of the rows that stay, groups of texts whose five-word
+    shingles have a similarity of 0.8 or more (similarity.py), which fingerprints don't tell.
+
+    Of each group the row of the smallest doc_id stays, of several with it the one of the least text
+    hash. Rows are told apart by id and text, so a row whose id another row shares, or that has no
+    id, goes only if its own text belongs to a group that keeps another row. Rows without an id come
+    after all others. Of equal rows (id and text) one stays. Texts without words are one group.
     """
-    texts_of = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(h("text").alias(f"h{k}") for k, h in enumerate(_TEXT)))
+    hashes = lambda: [h("text").alias(f"h{k}") for k, h in enumerate(_TEXT)]
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fps, pa.int64())], names=["doc_id", "h0", "h1", "fp"])
+            told = batch.column(1).to_pylist()
+            fps = [fingerprint(shingle_hashes(t)) for t in told]
+            sets = [similarity.shingle_set(_five_words(t)) for t in told]
+            cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(fps, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(similarity.band_keys, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h0", "h1", "fp", "n", "bands"])
 
-    marked = checkpoint(texts_of(texts(docs)).mapInArrow(hashed, "doc_id long, h0 long, h1 long, fp long"))
-    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h0", "h1")
-    first = marked.groupBy("fp").agg(F.min(row).alias("first")).join(_components(marked, hot), "fp")
-    stays = checkpoint(first.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h0", "first.h1"))
-    # most rows stay: those that go are fewer, and of a row that stays only its repeats are counted
+    marked = checkpoint(texts(docs).select(doc_id, "text", *hashes()).mapInArrow(hashed, "doc_id long, h0 long, h1 long, fp long, n int, bands array<long>"))
     key = ["doc_id", "h0", "h1"]
-    counted = marked.groupBy(*key).agg(F.count("*").alias("n"))
-    equal = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h0"] == b["h0"]) & (a["h1"] == b["h1"])
-    s, c = stays.alias("s"), counted.alias("c")
-    kept = c.join(s, equal({k: F.col(f"c.{k}") for k in key}, {k: F.col(f"s.{k}") for k in key}), "left_semi")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), *key)
+    first = marked.groupBy("fp").agg(F.min(row).alias("first")).join(_components(marked, hot), "fp")
+    told = first.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h0", "first.h1")
+    equal = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h0") == F.col(f"{b}.h0")) & (F.col(f"{a}.h1") == F.col(f"{b}.h1"))
+    counted = marked.groupBy(*key).agg(F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    alone = checkpoint(counted.alias("c").join(told.alias("t"), equal("c", "t"), "left_semi"))
+
+    banded = alone.filter("n > 0").select(F.col("h0").alias("node"), "n", "bands")
+    links_ = checkpoint(similarity.similar(banded, docs.select(F.xxhash64("text").alias("node"), "text"), _five_words))
+    if links_.isEmpty():
+        kept = alone.select(*key, "copies")
+    else:
+        rooted = alone.drop("n", "bands").join(components(links_).withColumnRenamed("node", "h0"), "h0", "left").withColumn("root", F.coalesce("root", "h0"))
+        best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), *key, "copies")).alias("first"))
+        kept = checkpoint(best.select("first.doc_id", "first.h0", "first.h1", "first.copies"))
+
     names = docs.columns
-    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *(h("text").alias(f"h{k}") for k, h in enumerate(_TEXT))).alias("w")
-    k = kept.alias("k")
-    chosen = whole.join(k, equal({x: F.col(f"w.{x}") for x in key}, {x: F.col(f"k.{x}") for x in key})).select("row", "w.doc_id", "w.h0", "w.h1", "k.n")
-    single = chosen.filter("n = 1").select("row.*")
-    if kept.filter("n > 1").isEmpty():
+    whole = docs.select(F.struct(*names).alias("row"), doc_id, *hashes())
+    chosen = whole.alias("w").join(kept.alias("k"), equal("w", "k")).select("row", "w.doc_id", "w.h0", "w.h1", "k.copies")
+    single = chosen.filter("copies = 1").select("row.*")
+    if kept.filter("copies > 1").isEmpty():
         return single
     # equal rows: one of each, by a partial aggregate, so that a row repeated very often is one row a task
-    several = chosen.filter("n > 1").groupBy(*key).agg(F.first("row").alias("row"))
+    several = chosen.filter("copies > 1").groupBy(*key).agg(F.first("row").alias("row"))
     return single.unionByName(several.select("row.*"))

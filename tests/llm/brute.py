@@ -81,6 +81,28 @@ def components(items: dict[int, int]) -> dict[int, int]:
     return root
 
 
+def five_words(text: str | None) -> set[str]:
+    words = WORD.findall(lower(text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(items: dict[int, str | None]) -> dict[int, int]:
+    """id -> smallest id reachable over texts whose five-word shingles have a similarity of 0.8 or more."""
+    sets, root = {i: five_words(t) for i, t in items.items()}, {}
+    near = lambda a, b: a and b and 5 * len(a & b) >= 4 * len(a | b)
+    left = set(items)
+    while left:
+        stack, group = [left.pop()], []
+        while stack:
+            x = stack.pop()
+            group.append(x)
+            found = {y for y in left if near(sets[x], sets[y])}
+            left -= found
+            stack += found
+        root |= dict.fromkeys(group, min(group))
+    return root
+
+
 def quality(text: str | None) -> dict:
     t = text or ""
     words = WORD.findall(t)
