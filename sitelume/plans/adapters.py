@@ -93,6 +93,18 @@ def anchor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(own.alias("url"), F.when(i % 17 == 0, "https://blog.target.example/").otherwise(own).alias("final_url"), kind.alias("content_type"), F.concat("html", anchors).alias("html"))
 
 
+def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, links and domains of small sites, one for each customer: the https origin, then /1, /2 and /3, each linking to the next; page k % 5 (of four) links to the target."""
+    k = F.col("c_custkey")
+    sites = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), k.cast("string"), F.lit(".example")).alias("domain"), (k % 5).alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"))
+    url = lambda n: F.concat(F.lit("https://"), "domain", F.when(n == 0, "/").otherwise(F.concat(F.lit("/"), n.cast("string"))))
+    n = F.col("n")
+    pages = sites.select(url(n).alias("url"), "domain", F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"))
+    hrefs = F.array_compact(F.array(F.when(n < 3, F.concat(F.lit("/"), (n + 1).cast("string"), F.lit("#x"))), F.when(n == F.col("hit"), "https://www.target.example/p"), F.lit("mailto:a@b.example")))
+    links = sites.select(url(n).alias("source_url"), F.explode(hrefs).alias("url"), F.lit("a").alias("anchor"), F.lit("ugc").alias("rel"))
+    return pages, links, sites.select("domain").distinct()
+
+
 def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archived pages of three crawls: domain, crawl_no, row_no, url, html; every tenth URL is in all of them."""
     i = F.col("page_id")

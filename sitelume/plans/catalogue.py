@@ -12,7 +12,7 @@ from sitelume.functions import text as tx
 from sitelume.functions.html import parse_html
 from sitelume.operators import backlinks, discovery, duplicates, graph, investigation, links, merge, rules, scoring, site
 from sitelume.plans import adapters as ad
-from sitelume.sources import readers, sinks
+from sitelume.sources import fetch, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -627,6 +627,112 @@ def template_scores(spark, sf_dir):
     return scoring.template_scores(rules.pipeline_issues(_audited(spark, sf_dir)))
 
 
+# ---- small sites, fetched corpora
+
+_CHAIN = "WITH d AS (SELECT 'd' || c_custkey || '.example' AS domain, c_custkey % 5 AS hit FROM customer)"
+
+
+@query(f"{_CHAIN} SELECT domain, CASE WHEN hit < 4 THEN 'confirmed' ELSE 'not_found' END AS status, CAST(least(hit, 3) + 1 AS BIGINT) AS pages_checked, CASE WHEN hit < 4 THEN 'https://' || domain || '/' || CASE WHEN hit > 0 THEN hit::VARCHAR ELSE '' END END AS hit_url, CAST(CASE WHEN hit < 4 THEN 1 ELSE 0 END AS BIGINT) AS links_found FROM d")
+def site_investigation(spark, sf_dir):
+    return backlinks.investigate(*ad.chains(spark, sf_dir), "https://target.example/")
+
+
+@query(f"""{_CHAIN} SELECT domain, CASE WHEN hit < 4 THEN 'confirmed' ELSE 'not_found' END AS status, CAST(least(hit, 3) + 2 AS BIGINT) AS pages_checked, CAST(least(hit, 3) + 1 AS BIGINT) AS html_pages_checked, CAST(1 AS BIGINT) AS failed_fetches,
+  CAST(CASE WHEN hit < 4 THEN 1 ELSE 0 END AS BIGINT) AS links_found, CASE WHEN hit < 4 THEN 'https://' || domain || '/' || CASE WHEN hit > 0 THEN hit::VARCHAR ELSE '' END END AS hit_url FROM d""")
+def exhaustive_investigation(spark, sf_dir):
+    return investigation.exhaustive(*ad.chains(spark, sf_dir), "https://target.example/")
+
+
+@query(f"{_CHAIN} SELECT CASE WHEN count(*) FILTER (WHERE hit < 4) > 0 THEN 'success' ELSE 'not_found' END AS status, CAST(count(*) AS BIGINT) AS domains_investigated, CAST(count(*) FILTER (WHERE hit < 4) AS BIGINT) AS links_found FROM d")
+def exhaustive_summary(spark, sf_dir):
+    return investigation.exhaustive_summary(investigation.exhaustive(*ad.chains(spark, sf_dir), "https://target.example/"))
+
+
+@query(f"""{_CHAIN} SELECT domain, 'https://' || domain || '/' || CASE WHEN n > 0 THEN n::VARCHAR ELSE '' END AS url, CAST(n AS BIGINT) AS depth, CAST(200 AS BIGINT) AS status_code, 'text/html' AS content_type,
+  CAST(1 + CASE WHEN n < 3 THEN 1 ELSE 0 END + CASE WHEN n = hit THEN 1 ELSE 0 END AS BIGINT) AS n_links, CAST(CASE WHEN n = hit THEN 1 ELSE 0 END AS BIGINT) AS n_hits, CASE WHEN n = hit THEN 'https://www.target.example/p' ELSE '' END AS hits FROM d, range(4) r(n)""")
+def traced_investigation(spark, sf_dir):
+    return investigation.trace(*ad.chains(spark, sf_dir), "https://target.example/").withColumn("hits", F.array_join("hits", ","))
+
+
+@query("SELECT 'd' || c_custkey || '.example' AS domain, s || '://d' || c_custkey || '.example/' || f AS url FROM customer, (VALUES ('http'), ('https')) a(s), (VALUES ('robots.txt'), ('sitemap.xml'), ('sitemap_index.xml')) b(f)")
+def sitemap_seeds(spark, sf_dir):
+    return readers.domain_seeds(ad.chains(spark, sf_dir)[2])
+
+
+@query("""
+WITH r AS (SELECT user_id % 3 AS crawl_no, event_id AS row_no, 'k' || event_id % 400 AS k, event_id % 7 <> 0 AS ok FROM events), f AS (SELECT crawl_no, k, min(row_no) AS row_no FROM r WHERE ok GROUP BY 1, 2)
+SELECT CAST(crawl_no AS BIGINT) AS crawl_no, row_no, k AS urlkey, 'https://a.example/' || row_no AS url, row_no || '.gz' AS filename FROM f QUALIFY row_number() OVER (PARTITION BY crawl_no ORDER BY row_no) <= 50""")
+def archive_index(spark, sf_dir):
+    """Lines of an archive's index: the first capture of each key with a good status, fifty a crawl."""
+    i = F.col("event_id")
+    record = F.struct(F.concat(F.lit("k"), (i % 400).cast("string")).alias("urlkey"), F.concat(F.lit("https://a.example/"), i.cast("string")).alias("url"), F.when(i % 7 == 0, "404").otherwise("200").alias("status"), F.concat(i.cast("string"), F.lit(".gz")).alias("filename"))
+    lines = ad.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("crawl_no"), i.alias("row_no"), F.to_json(record).alias("value"))
+    return readers.cdx_records(lines, 50).select("crawl_no", "row_no", "urlkey", "url", "filename")
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://a.example/' || page_id WHEN 1 THEN 'http://a.example/' || page_id WHEN 2 THEN 'http://a.example/' || page_id END AS fetched_url, CAST(CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 END AS BIGINT) AS status_code FROM pages""")
+def scheme_fallback(spark, sf_dir):
+    """Of four pages the first is fetched, the second and third only by the other scheme, the third badly, the fourth not at all."""
+    i = F.col("page_id")
+    own = lambda s: F.concat(F.lit(f"{s}://a.example/"), i.cast("string"))
+    pages = ad.table(spark, sf_dir, "pages").select("page_id")
+    tried = F.when(i % 4 == 0, F.array(F.struct(own("https").alias("url"), F.lit(200).alias("status_code")))).when(i % 4 == 1, F.array(F.struct(own("https").alias("url"), F.lit(500).alias("status_code")), F.struct(own("http").alias("url"), F.lit(301).alias("status_code"))))
+    fetched = pages.select(F.explode(tried.when(i % 4 == 2, F.array(F.struct(own("https").alias("url"), F.lit(500).alias("status_code")), F.struct(own("http").alias("url"), F.lit(404).alias("status_code"))))).alias("f")).select("f.*", F.lit("").alias("html"))
+    return fetch.scheme_fallback(pages.select(own("https").alias("url")), fetched).select(F.regexp_extract("url", "[0-9]+$", 0).cast("long").alias("page_id"), "fetched_url", "status_code")
+
+
+@query(f"SELECT '{ad.HOME}p/' || page_id AS page_url, '{ad.HOME}s' || page_id % 10 || '.js' AS url, CAST(CASE WHEN page_id % 10 < 7 THEN 200 ELSE 0 END AS BIGINT) AS status, CASE WHEN page_id % 10 < 7 THEN 'text/javascript' END AS content_type, CASE WHEN page_id % 10 >= 7 THEN 'not_fetched' END AS error FROM pages")
+def resource_probe(spark, sf_dir):
+    i = F.col("page_id")
+    resources = ad.table(spark, sf_dir, "pages").select(F.concat(F.lit(ad.HOME + "p/"), i.cast("string")).alias("page_url"), F.concat(F.lit("/s"), (i % 10).cast("string"), F.lit(".js")).alias("resource_url"))
+    fetched = spark.range(7).select(F.concat(F.lit(ad.HOME + "s"), F.col("id").cast("string"), F.lit(".js")).alias("url"), F.lit(200).alias("status_code"), F.lit("text/javascript").alias("content_type"), F.lit(0.5).alias("elapsed"), F.lit(None).cast("string").alias("error"))
+    return fetch.probe_resources(resources, fetched).drop("elapsed")
+
+
+@query("SELECT 'd' || c_custkey AS domain, CASE c_custkey % 3 WHEN 0 THEN '2001-01-' || c_custkey WHEN 1 THEN '1999' END AS created FROM customer")
+def rdap_dates(spark, sf_dir):
+    k = F.col("c_custkey")
+    events = F.when(k % 3 == 0, F.concat(F.lit('{"events":[{"eventAction":"creation","eventDate":"1999"},{"eventAction":"registration","eventDate":"2001-01-'), k.cast("string"), F.lit('"}]}'))).when(k % 3 == 1, '{"events":[{"eventAction":"creation","eventDate":"1999"}]}').otherwise('{"events":[]}')
+    return fetch.rdap_created(ad.table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), k.cast("string")).alias("domain"), events.alias("value")))
+
+
+@query(f"{_WITH} SELECT 7 AS crawl_id, url AS page_url, 'i.png' AS image_url, CASE WHEN k <= n_null THEN NULL WHEN k <= n_null + n_blank THEN ' ' ELSE 'alt' END AS alt FROM (SELECT url, n_null, n_blank, unnest(range(1, n_images + 1)) AS k FROM crawl_pages)".replace("SELECT 7 AS", "SELECT CAST(7 AS BIGINT) AS"))
+def image_rows(spark, sf_dir):
+    none = {c: F.array().cast(kind) for c, kind in (("scripts", "array<string>"), ("stylesheets", "array<string>"), ("hreflang", "array<struct<lang:string,url:string>>"), ("links", readers.LINKS))}
+    pages = ad.crawl_pages(spark, sf_dir).withColumns({"crawl_id": F.lit(7).cast("long"), **none})
+    return sinks.child_tables(pages)["images"].select("crawl_id", "page_url", "image_url", "alt")
+
+
+@query(f"{_WITH} SELECT url, title, CASE WHEN page_id % 3 = 0 THEN page_id / 7.0::DOUBLE END AS pagerank FROM crawl_pages")
+def ranked_pages(spark, sf_dir):
+    pages = ad.crawl_pages(spark, sf_dir).select("page_id", "url", "title")
+    return sinks.with_pagerank(pages, pages.filter("page_id % 3 = 0").select("url", (F.col("page_id") / 7.0).alias("pagerank"))).select("url", "title", "pagerank")
+
+
+@query(f"{_WITH}, o AS (SELECT DISTINCT source_url AS url FROM crawl_links WHERE internal OR starts_with(target_url, '{ad.HOME}')) SELECT url, 'medium' AS severity, 'No internal links' AS message FROM crawl_pages WHERE url NOT IN (SELECT url FROM o)")
+def flagged_audit(spark, sf_dir):
+    """The audit on degrees by link rows as they are: its finding that rests on them."""
+    pages = links.with_flagged_degrees(ad.crawl_pages(spark, sf_dir), ad.crawl_links(spark, sf_dir), ad.HOME)
+    return rules.audit_findings(pages).filter("message = 'No internal links'").select("url", "severity", "message")
+
+
+@query(rf"""SELECT page_id, CAST(len(regexp_extract_all({ad.SQL_VISIBLE}, '[\pL\pN\pM_](?:[\pL\pN\pM_''-]*[\pL\pN\pM_])?')) AS BIGINT) AS words FROM pages""")
+def regex_word_count(spark, sf_dir):
+    return ad.table(spark, sf_dir, "pages").select("page_id", tx.regex_words(tx.visible_text("html")).alias("words"))
+
+
+_TRACKED = "before " * 20 + "clarity.ms/tag/" + " \n after" * 20
+_SEEN = _TRACKED[140 - 100 : 140 + len("clarity.ms") + 100]  # a hundred characters on both sides
+
+
+@query(f"SELECT page_id, 'Microsoft Clarity' AS name, regexp_replace('{_SEEN}', '\\s+', ' ', 'g') AS context FROM pages WHERE page_id % 2 = 0")
+def tracker_context(spark, sf_dir):
+    html = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit(_TRACKED))).otherwise(F.col("html"))
+    found = ad.table(spark, sf_dir, "pages").select("page_id", F.explode(signatures.tracker_snippets(html)).alias("s"))
+    return found.select("page_id", "s.name", F.get("s.evidence", F.lit(0)).alias("context"))
+
+
 # ---- files given as text
 
 _NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
