@@ -45,9 +45,9 @@ def folded(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Number of white-space separated words."""
-    bare = strip(c)
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"(?U)\s+")))
+    """Number of white-space separated words. The text is computed once, as a lambda's variable."""
+    counted = lambda bare: F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"(?U)\s+")))
+    return F.get(F.transform(F.array(strip(c)), counted), F.lit(0))
 
 
 def regex_words(c: Column | str) -> Column:
@@ -85,6 +85,7 @@ _SKIPPED = r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>|<!--.*?-->"
 
 #: Between entries of the table of names, and between a name and its text.
 _ENTRY, _TEXT = "\x01", "\x02"
+COMMON = ("amp", "nbsp", "lt", "gt", "quot", "#39", "copy", "middot")
 _REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"
 
 
@@ -121,7 +122,10 @@ def _decoded(piece: Column) -> Column:
     n = F.get(F.filter(prefixes, lambda k: known(k).isNotNull()), F.lit(0))
     shorter = F.when(n.isNotNull(), F.concat(known(n), F.substring(said, n + 1, F.length(said)))).otherwise(piece)
     named = F.coalesce(names[said], shorter)
-    return F.when(~F.startswith(piece, F.lit("&")) | (piece == "&"), piece).when(piece.rlike("^&#[xX]"), _numbered(numeral(3, 16))).when(F.startswith(piece, F.lit("&#")), _numbered(numeral(2, 10))).otherwise(named)
+    out = F.when(~F.startswith(piece, F.lit("&")) | (piece == "&"), piece)
+    for name in COMMON:  # most of all references: a few comparisons in place of a search of all names
+        out = out.when(piece == f"&{name};", html_unescape(f"&{name};"))
+    return out.when(piece.rlike("^&#[xX]"), _numbered(numeral(3, 16))).when(F.startswith(piece, F.lit("&#")), _numbered(numeral(2, 10))).otherwise(named)
 
 
 def unescape(c: Column) -> Column:

@@ -59,6 +59,10 @@ class Rounds:
         df.write.parquet(path)
         return path
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        """A table of the caller's, computed once and read again where it is used more than once."""
+        return self.caller.read.schema(df.schema).parquet(self._path(df))
+
     def given(self, df: DataFrame, *keys: str) -> DataFrame:
         """A table of the caller's, dealt by keys; rounds that use it by these keys don't shuffle it."""
         table = self.own.read.schema(df.schema).parquet(self._path(df))
@@ -116,7 +120,7 @@ def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | No
     Depth is the distance. max_pages keeps the first ones by (depth, url), as a crawl's cap does.
     """
     rounds = Rounds(graph.sparkSession)
-    pairs = graph.select("source", "target").distinct()
+    pairs = rounds.stored(graph.select("source", "target").distinct())
     hubs = checkpoint(pairs.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("source", _keys(F.col("n")).alias("keys")))
     any_hub = not hubs.isEmpty()
     if any_hub:

@@ -19,19 +19,16 @@ def explode_links(pages: DataFrame) -> DataFrame:
 def edges(links: DataFrame, start_url: str) -> DataFrame:
     """Distinct (source, target) in normal form whose target is on the start URL's host. links: source_url, target_url.
 
-    Repeated pairs go first, as navigation repeats its links. A source is put into normal form once,
-    not once a link; an absolute target needs no base, so it likewise. Only references without a
-    scheme are resolved pair by pair.
+    Repeated pairs go first, as navigation repeats its links; the rest is dealt evenly by them. The URL
+    work is then done pair by pair: for most URLs it is one match that finds them in normal form, which
+    costs less than joining the pairs with their distinct URLs, and a target of very many pages, such as
+    the home page, is no key of a join.
     """
     home = urlsplit(urls.normal_form(start_url)).hostname or ""
-    ref = strip("target_url")
-    raw = links.filter(text("target_url") != "").select("source_url", ref.alias("ref"), ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:").alias("absolute")).distinct()
-    own = lambda df, c, name: materialised(df.select(c).distinct(), c, **{name: urls.normalize(c)}).filter(F.col(name) != "")
-    rows = raw.join(own(raw, "source_url", "source"), "source_url").select("source", "ref", "absolute")
-    there = materialised(rows.filter("absolute").select("ref").distinct(), "ref", target=urls.normalize("ref")).filter((F.col("target") != "") & (urls.host("target") == home))
-    direct = rows.filter("absolute").join(there, "ref").select("source", "target")
-    relative = materialised(rows.filter("not absolute"), "source", target=urls.normalize(urls.resolve("source", "ref"))).filter((F.col("target") != "") & (urls.host("target") == home))
-    return direct.unionByName(relative.select("source", "target")).distinct()
+    raw = links.filter(text("target_url") != "").select("source_url", "target_url").distinct()
+    rows = materialised(raw, source=urls.normalize("source_url"), ref=strip("target_url")).filter("source <> ''")
+    both = materialised(rows, "source", target=urls.normalize(urls.resolve("source", "ref")))
+    return both.filter((F.col("target") != "") & (urls.host("target") == home)).distinct()
 
 
 def degrees(graph: DataFrame) -> tuple[DataFrame, DataFrame]:

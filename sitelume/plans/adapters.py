@@ -16,8 +16,19 @@ TRACKERS = ("Google Ads", "Meta Pixel", "TikTok Pixel")
 RELS = ("", "nofollow", "ugc", "sponsored nofollow", "NOFOLLOW ugc", "follow", "sponsored")
 
 
+#: Setting of the session: partitions that pages are dealt to as they are read.
+DEAL_PAGES = "spark.sitelume.deal.pages"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is stored; pages dealt to DEAL_PAGES partitions where the session asks for it.
+
+    A file of one row group is read by one task, and parsing pages is a task's real work. The caller
+    knows its files, so the caller says: unset, which is the rule on a cluster, nothing is dealt.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = int(spark.conf.get(DEAL_PAGES, "0")) if name == "pages" else 0
+    return rows.repartition(parts, "page_id") if parts else rows
 
 
 def _pick(values: tuple[str, ...], k: Column) -> Column:
