@@ -12,8 +12,9 @@ Failing lines are removed, and a document that loses too large a share of its te
 base rules (too few words, too many repeated word windows) reject first.
 
 All of it is computed within the row, so nothing is shuffled and no group can be hot. Lines are
-searched for symbols or bars only where the text has any, and for phrases only if short. Windows of three words are compared by their 64-bit hash together with
-sorting; a document without any equal pair of windows never gets to the sort.
+searched for symbols or bars only where the text has any, and for phrases only if short. Windows of
+three words are compared by their 64-bit hash together with sorting; a document without any equal
+pair of windows never gets to the sort.
 
 Defined cases: a null text has no words and no lines, and is rejected; an empty one likewise. Null
 doc_ids and repeated rows stay, one result row per input row. An empty table gives no rows. Other

@@ -146,6 +146,7 @@ class Scanner:
 
     def _spans(self, raw: bytes, starts: np.ndarray, first: int, coded: list[bytes], texts: list, out: list) -> None:
         done: dict[tuple[int, int], int] = {}
+        points: dict[int, np.ndarray] = {}  # of texts with wide characters: code points before each byte
         for end, bits in zip(*(x.tolist() for x in self.events(raw, starts)), strict=True):
             i = int(np.searchsorted(starts, end, side="right")) - 1
             data, stop = coded[first + i], end - int(starts[i])
@@ -155,10 +156,12 @@ class Scanner:
                     done[i, k] = stop
                     m = self.exact[k].fullmatch(data, start, stop)
                     if m and len(m[m.re.groups]) >= rule.least:
-                        points = (start, k, stop)
                         if len(texts[first + i]) != len(data):
-                            points = (len(data[:start].decode("utf-8", "surrogatepass")), k, len(data[:stop].decode("utf-8", "surrogatepass")))
-                        out[first + i].append(points)
+                            if i not in points:
+                                points[i] = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+                            out[first + i].append((int(points[i][start]), k, int(points[i][stop])))
+                        else:
+                            out[first + i].append((start, k, stop))
         for i in {i for i, _ in done}:
             out[first + i].sort()
 
