@@ -130,8 +130,9 @@ def _decoded(piece: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """All character references, named and numbered, with and without a semicolon, as HTML 5 has them; text without any stays as it is."""
-    pieces = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, _decoded), "")).otherwise(c)
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0))
+    decoded = lambda x: F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(pieces(x), _decoded), "")).otherwise(x)
+    return F.get(F.transform(F.array(c), decoded), F.lit(0))  # the text is computed once, as a lambda's variable
 
 
 def visible_text(html: Column | str) -> Column:
