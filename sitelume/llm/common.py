@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 ROWS_A_BATCH = 1000
@@ -56,6 +58,56 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Folder:
+    """The tables of one run, in a folder of their own below the shared one; its owner deletes it.
+
+    A with statement deletes the folder at its end, also behind an error; what is returned from it has to be
+    a checkpoint by then, which Spark's cleaner deletes once nothing reads it, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df as a table that is written once; what reads it begins from its files."""
+        path = f"{self.at}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Folder:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        removed(self.spark, self.at)
+
+
+def placed(folder: Folder, df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """df with each row's place (from 0) among all rows of its value of `by`, ascending by `order`, and their number n_rows.
+
+    The rows are dealt by ranges of (by, order, a number), so that one value of `by`, or many equal rows, are
+    as many tasks as they need. A place is the rank in the partition on top of the sizes of the partitions
+    before it; of those one task sees a row per partition.
+    """
+    numbered = folder.put(df.withColumn("_nth", F.monotonically_increasing_id()))
+    keys = [by, *order, "_nth"]
+    ranked = folder.put(numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_nth").withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33).alias("_part")  # as that function composes its ids
+    sizes = ranked.groupBy(part, by).agg(F.count("*").alias("size"), F.min("_row").alias("_least"))
+    whole = Window.partitionBy(by)
+    before = F.sum("size").over(whole.orderBy("_part")) - F.col("size")
+    starts = folder.put(sizes.select("_part", by, (before - F.col("_least")).alias("_shift"), F.sum("size").over(whole).alias("n_rows")))
+    return ranked.withColumn("_part", part).join(starts, ["_part", by]).select(*df.columns, (F.col("_row") + F.col("_shift")).alias("place"), "n_rows")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A to Z in lower case; a text of ASCII alone takes the short way, which changes nothing else there."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame (file sizes for a scan); no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

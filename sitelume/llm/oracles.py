@@ -111,4 +111,54 @@ f AS (SELECT doc_id, {" || ".join(_detected(k, d) for k, d in enumerate(pii.DETE
 g AS (SELECT doc_id, s, list_filter(s, lambda x: x.k < {len(pii.BASE_KINDS)}) AS b FROM f)
 SELECT doc_id, {", ".join(f"CAST(len(list_filter(b, lambda x: x.k = {k})) AS BIGINT) AS n_{kind}" for k, kind in enumerate(pii.BASE_KINDS))}, sha256({_PII_WRITTEN("b")}) AS base_sha256, {_PII_WRITTEN("s")} AS spans FROM g"""
 
-ORACLE = {"op2_pii": PII, "op3_secret_scan": SECRETS, "op4_decontamination": DECONTAMINATION, "op6_chat_formatting": CHAT, "op7_quality_rules": QUALITY}
+#: crc32 of a list of bytes, by the polynomial's table (column t of the relation crc).
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS t FROM range(256) r(i))"""
+_CRC = lambda bytes: f"xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"  # noqa: E731, A002
+_BYTES = lambda text: f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 + (ord(x) >> 6) AS BIGINT), 128 + ord(x) % 64] END))"  # noqa: E731  below U+0800
+
+LINES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{_UPPER}', '{_UPPER.lower()}') AS key FROM x),
+g AS (SELECT key, min(doc) AS first FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc) >= 2),
+j AS (SELECT r, i, line, first IS NOT NULL AND doc <> first AS lost FROM k LEFT JOIN g USING (key)),
+s AS (SELECT r, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '') AS kept FROM j GROUP BY 1)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256 FROM s JOIN d USING (r)"""
+
+_PART = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = lambda text: f"sha256({_PART('doc_id')} || {_PART('source')} || {_PART('lang')} || {_PART('n_chars')} || {_PART(text)})"
+_UP = "list_transform(range(0, len(l), 8), lambda i: sha256(array_to_string(l[i + 1:i + 8], '')))"
+_LEFT, _RIGHT = (f"array_to_string(l[{a}:{z}], '')" for a, z in (("i - i % 8 + 1", "i"), ("i + 2", "i - i % 8 + 8")))
+
+MERKLE = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF("text")} AS leaf, CASE WHEN {_CRC(_BYTES("CAST(doc_id AS VARCHAR)"))} % 3 = 0 THEN {_LEAF(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} END AS changed FROM documents, crc),
+e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+lv AS (SELECT lang, 0 AS k, list(leaf ORDER BY i) AS l FROM e GROUP BY lang UNION ALL SELECT lang, k + 1, {_UP} FROM lv WHERE len(l) > 1),
+sub AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM lv WHERE len(l) = 1),
+top AS (SELECT 0 AS k, list(subroot ORDER BY i) AS l FROM sub UNION ALL SELECT k + 1, {_UP} FROM top WHERE len(l) > 1),
+low AS (SELECT r, lang, 0 AS k, i, coalesce(changed, leaf) AS cur, '' AS proof FROM e
+  UNION ALL SELECT r, lv.lang, low.k + 1, i // 8, sha256({_LEFT} || cur || {_RIGHT}), proof || {_LEFT} || {_RIGHT} FROM low JOIN lv ON lv.lang IS NOT DISTINCT FROM low.lang AND lv.k = low.k WHERE len(l) > 1),
+joined AS (SELECT r, low.cur, low.proof, sub.i, sub.subroot FROM (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY r ORDER BY k DESC) = 1) low JOIN sub ON sub.lang IS NOT DISTINCT FROM low.lang),
+high AS (SELECT r, subroot, 0 AS k, i, cur, proof FROM joined
+  UNION ALL SELECT r, subroot, high.k + 1, i // 8, sha256({_LEFT} || cur || {_RIGHT}), proof || {_LEFT} || {_RIGHT} FROM high JOIN top ON top.k = high.k WHERE len(l) > 1),
+done AS (SELECT * FROM high QUALIFY row_number() OVER (PARTITION BY r ORDER BY k DESC) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM e JOIN done USING (r), (SELECT l[1] AS root FROM top WHERE len(l) = 1)"""
+
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT doc_id, translate(x, '{_UPPER}', '{_UPPER.lower()}') AS x FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS x FROM documents)),
+c AS (SELECT doc_id, x, count(*) AS n FROM t GROUP BY ALL),
+h AS (SELECT x, n, {_CRC(_BYTES("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || x"))} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substring(x, 1, CAST(h % length(x) AS BIGINT)) || substring(x, CAST(h % length(x) AS BIGINT) + 2) ELSE x END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+s AS (SELECT word, n, substring(word, 1, i - 1) || '?' || substring(word, i + 1) AS wild, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM p),
+l AS (SELECT DISTINCT s.word, s.n, v.word AS other, v.n AS m FROM s JOIN v ON v.word = s.less),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM s a JOIN s b ON a.wild = b.wild AND a.word <> b.word UNION ALL SELECT word, other, m FROM l UNION ALL SELECT other, word, n FROM l),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.up)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN r ON r.word = f.word AND r.up IS NULL"""
+
+ORACLE = {"op2_pii": PII, "op3_secret_scan": SECRETS, "op4_decontamination": DECONTAMINATION, "op6_chat_formatting": CHAT, "op7_quality_rules": QUALITY, "op11_spelling_variants": SPELLING, "op12_merkle_manifest": MERKLE, "op13_line_dedup": LINES}

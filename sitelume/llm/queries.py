@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelume.llm import chat, decontamination, oracles, packing, pii, quality_model, quality_rules, secrets, sentence_spans, simhash, token_counts
+from sitelume.llm import chat, decontamination, line_dedup, merkle, oracles, packing, pii, quality_model, quality_rules, secrets, sentence_spans, simhash, spelling, token_counts
 from sitelume.llm.common import table
 
 QUERIES: dict = {}
@@ -73,6 +73,21 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants_of(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
