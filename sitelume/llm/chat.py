@@ -1,6 +1,7 @@
 """Operator 6: chat formatting with typed content parts.
 
-A turn's content is plain text or a JSON array of typed parts. A visitor flattens the parts of every
+A turn's content is plain text or typed parts: a JSON array, not empty, of parts of the types text, image, audio
+and document alone. Any other array, such as [] or a list of tool calls, is plain text, kept byte for byte. A visitor flattens the parts of every
 turn in order: text stays (a plain text is one text part), an image, audio or document part becomes a
 placeholder, its reference is recorded as an attachment, and its expanded token count is added up.
 
@@ -120,10 +121,10 @@ class Flattener:
         elif isinstance(content, list):
             for part in content:
                 self.visit(part)
-        elif not isinstance(content, dict):
-            self.visit(json.dumps(content))
+        elif isinstance(content, int):
+            self.visit(str(content))
         else:
-            getattr(self, f"visit_{content.get('type')}", self.visit_other)(content)
+            getattr(self, f"visit_{content['type']}")(content)
 
     def visit_text(self, part: dict) -> None:
         self.visit(part.get("text"))
@@ -138,9 +139,6 @@ class Flattener:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, int(_size(part, "pages") or 1) * self.tokens_per_page)
 
-    def visit_other(self, part: dict) -> None:
-        self.visit_text({"text": json.dumps(part, ensure_ascii=False, sort_keys=True)})
-
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         ref = _HALF.sub("\ufffd", str(part.get("url") or part.get("ref") or ""))
         self.attachments.append({"kind": kind, "ref": ref, "place": len(self.attachments), "tokens": tokens})
@@ -148,26 +146,43 @@ class Flattener:
         self.body.append("\\" + self.text[-1])
 
 
+TYPES = ("text", "image", "audio", "document")
+
+
+def _known(content) -> bool:
+    """Whether the visitor knows all parts of some content."""
+    if isinstance(content, list):
+        return all(map(_known, content))
+    if isinstance(content, dict):
+        return content.get("type") in TYPES and (content["type"] != "text" or _known(content.get("text")))
+    return content is None or isinstance(content, (str, int)) and not isinstance(content, bool)
+
+
+def typed_parts(raw: str | None) -> list[dict] | None:
+    """The parts of a turn's text; None if it is plain text."""
+    if not raw or raw.lstrip()[:1] != "[":
+        return None
+    try:
+        content = json.loads(raw)
+        typed = isinstance(content, list) and content and all(isinstance(p, dict) for p in content) and _known(content)
+    except (ValueError, RecursionError):
+        return None
+    return content if typed else None
+
+
 _ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("place", pa.int32()), ("tokens", pa.int64())]))
 
 
 def flatten(turns: DataFrame) -> DataFrame:
-    """text of JSON parts flattened; its escaped body, attachments and expanded_tokens added. Text that is no JSON array stays plain."""
+    """text of JSON parts flattened; its escaped body, attachments and expanded_tokens added. Text that isn't typed parts stays plain."""
 
     def flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, bodies, found = [], [], []
             for raw in batch.column(3).to_pylist():
-                v, content = Flattener(), raw
-                if raw and raw.lstrip()[:1] == "[":
-                    try:
-                        content = json.loads(raw)
-                    except (ValueError, RecursionError):
-                        content = raw
-                    if not isinstance(content, list) or not all(isinstance(p, dict) and "type" in p for p in content):
-                        content = raw
+                v, content = Flattener(), typed_parts(raw)
                 try:
-                    v.visit(content)
+                    v.visit(raw if content is None else content)
                 except RecursionError:
                     v = Flattener()
                     v.visit(raw)

@@ -86,6 +86,21 @@ def test_flatten(spark, content, text, tokens):
     assert [a.place for a in r.attachments] == list(range(len(r.attachments)))
 
 
+PLAIN = [
+    "[]", " [ ] ", '[ {"type":"x","b":1,"a":2} ]', '[{"type":"text","text":"a"}, {"type":"tool_call","name":"f","args":{"z": 1, "a": [] }}]', '[{"type": "text", "text": {"type":"x"}}]', '[{"type":"text","text":true}]',
+    '[{"type":["text"]}]', '[{"a":1}]', '[{"type":"image"}, 3]', '[{"type":"text","text":1.50}]', "[[]]", "[null]", '[{"type":"text"', '{"type":"text","text":"a"}',
+]
+
+
+def test_other_lists_stay_as_they_are(spark):
+    """A text that isn't typed parts is kept byte for byte, and under the loss mask."""
+    rows = [(k, turn, role, t) for k, t in enumerate(PLAIN) for turn, role in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = expected([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in rows])
+    got = {r.conv_id: tuple(r)[1:] for r in chat.digest(turns).collect()}
+    assert {k: v[:5] for k, v in got.items()} == want and {v[5:] for v in got.values()} == {(0, 0)}
+
+
 def test_query_visits_parts(spark, tmp_path):
     parts = '[{"type":"text","text":"see "},{"type":"image","url":"a.png"},{"type":"audio","ref":"b","seconds":2}]'
     page, deep = '[{"type":"document","url":"c.pdf","pages":2}]', "[" * 200_000
