@@ -14,6 +14,7 @@ from sitelume.functions.html import html_anchors, result_links
 from sitelume.functions.text import strip
 from sitelume.operators import graph
 from sitelume.operators.links import classify_rel, rel_flags
+from sitelume.sources import webgraph
 
 #: Status of the domain-graph lookup.
 L1_STATUSES = ("invalid_target", "not_configured", "graph_missing", "not_in_graph", "success", "failed")
@@ -41,6 +42,13 @@ def referring_domains(vertices: DataFrame, edges_t: DataFrame, target: str) -> D
     return vertices.join(preds, "id").select("id", domain.alias("referring_domain"), F.concat(F.lit("https://"), domain, F.lit("/")).alias("source_url"))
 
 
+def referring_domains_of_file(vertices: DataFrame, graph_path: str, target: str) -> DataFrame:
+    """referring_domains() over a transposed graph's own file: the target's id reaches the driver, and only its record is read."""
+    spark = vertices.sparkSession
+    node = vertex_id(vertices, target).first()
+    return referring_domains(vertices, webgraph.predecessors(spark, graph_path, [node.id] if node else []), target)
+
+
 def many_referring_domains(vertices: DataFrame, edges_t: DataFrame, targets: DataFrame) -> DataFrame:
     """referring_domains of a table of targets (domain), by equi-joins throughout."""
     named = vertices.select("id", F.lower(F.trim("rev")).alias("rev"))

@@ -44,8 +44,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Hadoop's file system; nothing happens where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Rounds:
-    """A session for the rounds of a loop, and the tables that pass into and out of it."""
+    """A session for the rounds of a loop, and the tables that pass into and out of it.
+
+    A with statement deletes its tables, also behind an error. What it returns is a checkpoint: like the
+    rounds' own ones Spark's cleaner deletes it once no plan reads it, if the session was started with
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.caller, self.own = spark, spark.newSession()
@@ -54,6 +65,12 @@ class Rounds:
         self.own.conf.set("spark.sql.adaptive.enabled", "false")
         self.at = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
 
+    def __enter__(self) -> "Rounds":
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        removed(self.caller, self.at)
+
     def _path(self, df: DataFrame) -> str:
         path = f"{self.at}/{uuid.uuid4().hex}"
         df.write.parquet(path)
@@ -69,14 +86,8 @@ class Rounds:
         return checkpoint(table.repartition(self.partitions, *keys).sortWithinPartitions(*keys).select("*"))
 
     def result(self, df: DataFrame) -> DataFrame:
-        """A table of a round, back in the caller's session; what was given is deleted."""
-        path = self._path(df)
-        keep = f"{shared_folder(self.caller)}/{path.rsplit('/', 1)[1]}"
-        fs_path = self.caller._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(path).getFileSystem(self.caller._jsc.hadoopConfiguration())
-        fs.rename(fs_path(path), fs_path(keep))
-        fs.delete(fs_path(self.at), True)
-        return self.caller.read.schema(df.schema).parquet(keep)
+        """A table of a round, back in the caller's session."""
+        return checkpoint(self.stored(df))
 
 
 def _keys(n: Column) -> Column:
@@ -95,23 +106,23 @@ def pagerank(pages: DataFrame, links: DataFrame, iterations: int = 20, damping:
     included; a target receives once from each distinct source. Mass of pages without links is
     lost. Sources that are no pages have no score.
     """
-    rounds = Rounds(pages.sparkSession)
-    nodes = pages.select("url").distinct()
-    internal = links.filter("internal").select(F.col("source_url").alias("src"), F.col("target_url").alias("dst"))
-    out = internal.groupBy("src").agg(F.count("*").alias("n")).select("src", "n", _keys(F.col("n")).alias("keys"))
-    edge = internal.distinct().join(nodes.withColumnRenamed("url", "dst"), "dst", "left_semi").join(out, "src")
-    salt = F.pmod(F.xxhash64("dst"), F.col("keys")).cast("int")
-    edge = rounds.given(edge.select("src", salt.alias("salt"), "dst", (F.lit(damping) / F.col("n")).alias("w")), "src", "salt")
-    nodes = rounds.given(nodes.join(out.select(F.col("src").alias("url"), "keys"), "url", "left").select("url", F.coalesce("keys", F.lit(1)).alias("keys")), "url")
-    total = nodes.count()
-    rank = nodes.withColumn("pagerank", F.lit(1.0 / max(1, total)))
-    for k in range(1, (iterations if total else 0) + 1):
-        score = rank.select(F.col("url").alias("src"), _salts(F.col("keys")).alias("salt"), "pagerank")
-        given = edge.join(score, ["src", "salt"]).groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
-        rank = nodes.join(given, "url", "left").select("url", "keys", ((1 - damping) / total + F.coalesce("got", F.lit(0.0))).alias("pagerank"))
-        if k % CHECKPOINT_EVERY == 0 and k < iterations:
-            rank = checkpoint(rank)
-    return rounds.result(rank.select("url", "pagerank"))
+    with Rounds(pages.sparkSession) as rounds:
+        nodes = pages.select("url").distinct()
+        internal = links.filter("internal").select(F.col("source_url").alias("src"), F.col("target_url").alias("dst"))
+        out = internal.groupBy("src").agg(F.count("*").alias("n")).select("src", "n", _keys(F.col("n")).alias("keys"))
+        edge = internal.distinct().join(nodes.withColumnRenamed("url", "dst"), "dst", "left_semi").join(out, "src")
+        salt = F.pmod(F.xxhash64("dst"), F.col("keys")).cast("int")
+        edge = rounds.given(edge.select("src", salt.alias("salt"), "dst", (F.lit(damping) / F.col("n")).alias("w")), "src", "salt")
+        nodes = rounds.given(nodes.join(out.select(F.col("src").alias("url"), "keys"), "url", "left").select("url", F.coalesce("keys", F.lit(1)).alias("keys")), "url")
+        total = nodes.count()
+        rank = nodes.withColumn("pagerank", F.lit(1.0 / max(1, total)))
+        for k in range(1, (iterations if total else 0) + 1):
+            score = rank.select(F.col("url").alias("src"), _salts(F.col("keys")).alias("salt"), "pagerank")
+            given = edge.join(score, ["src", "salt"]).groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
+            rank = nodes.join(given, "url", "left").select("url", "keys", ((1 - damping) / total + F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+            if k % CHECKPOINT_EVERY == 0 and k < iterations:
+                rank = checkpoint(rank)
+        return rounds.result(rank.select("url", "pagerank"))
 
 
 def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
@@ -119,33 +130,33 @@ def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | No
 
     Depth is the distance. max_pages keeps the first ones by (depth, url), as a crawl's cap does.
     """
-    rounds = Rounds(graph.sparkSession)
-    pairs = rounds.stored(graph.select("source", "target").distinct())
-    hubs = checkpoint(pairs.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("source", _keys(F.col("n")).alias("keys")))
-    any_hub = not hubs.isEmpty()
-    if any_hub:
-        pairs = pairs.join(hubs, "source", "left").select("source", F.pmod(F.xxhash64("target"), F.coalesce("keys", F.lit(1))).cast("int").alias("salt"), "target")
-        hubs = rounds.given(hubs, "source")
-    key = ["source", "salt"] if any_hub else ["source"]
-    edge = rounds.given(pairs.select(*key, "target"), *key)
-
-    def asked(frontier: DataFrame) -> DataFrame:
-        sources = frontier.select(F.col("url").alias("source"))
-        return sources.join(hubs, "source", "left").select("source", _salts(F.coalesce("keys", F.lit(1))).alias("salt")) if any_hub else sources
-
-    frontier = rounds.given(starts.select("url").distinct().withColumn("depth", F.lit(0)), "url")
-    seen = frontier
-    for depth in range(1, max_depth + 1):
-        reached = edge.join(asked(frontier), key, "left_semi").select(F.col("target").alias("url")).distinct()
-        frontier = checkpoint(reached.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if depth % CHECKPOINT_EVERY == 0:
-            seen = checkpoint(seen)
-        if max_pages is not None and seen.count() >= max_pages:
-            break
-    return rounds.result(seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages))
+    with Rounds(graph.sparkSession) as rounds:
+        pairs = rounds.stored(graph.select("source", "target").distinct())
+        hubs = checkpoint(pairs.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("source", _keys(F.col("n")).alias("keys")))
+        any_hub = not hubs.isEmpty()
+        if any_hub:
+            pairs = pairs.join(hubs, "source", "left").select("source", F.pmod(F.xxhash64("target"), F.coalesce("keys", F.lit(1))).cast("int").alias("salt"), "target")
+            hubs = rounds.given(hubs, "source")
+        key = ["source", "salt"] if any_hub else ["source"]
+        edge = rounds.given(pairs.select(*key, "target"), *key)
+
+        def asked(frontier: DataFrame) -> DataFrame:
+            sources = frontier.select(F.col("url").alias("source"))
+            return sources.join(hubs, "source", "left").select("source", _salts(F.coalesce("keys", F.lit(1))).alias("salt")) if any_hub else sources
+
+        frontier = rounds.given(starts.select("url").distinct().withColumn("depth", F.lit(0)), "url")
+        seen = frontier
+        for depth in range(1, max_depth + 1):
+            reached = edge.join(asked(frontier), key, "left_semi").select(F.col("target").alias("url")).distinct()
+            frontier = checkpoint(reached.join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+            if depth % CHECKPOINT_EVERY == 0:
+                seen = checkpoint(seen)
+            if max_pages is not None and seen.count() >= max_pages:
+                break
+        return rounds.result(seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages))
 
 
 #: Path parts that raise a page's priority.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from sitelume.functions import text as tx
 from sitelume.functions.html import parse_html
 from sitelume.operators import backlinks, discovery, duplicates, graph, investigation, links, merge, rules, scoring, site
 from sitelume.plans import adapters as ad
-from sitelume.sources import fetch, readers, sinks
+from sitelume.sources import fetch, readers, sinks, webgraph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -477,6 +478,31 @@ def referring_domain_counts(spark, sf_dir):
     return backlinks.many_referring_domains(vertices, edges, targets).groupBy("domain").agg(F.count("*").alias("n"), F.min("id").alias("least"))
 
 
+def _graph_file(spark, sf_dir, read):
+    """read(vertices, path) over the domain graph's edges, written in the graph's own format into the shared folder and deleted again."""
+    vertices, edges = ad.domain_graph(spark, sf_dir)
+    path = f"{graph.shared_folder(spark)}/webgraph-{uuid.uuid4().hex}"
+    try:
+        webgraph.write(edges.select("node", F.col("pred").alias("neighbour")), path)
+        return graph.checkpoint(read(vertices, path))
+    finally:
+        graph.removed(spark, path)
+
+
+@query(ORACLE["referring_domain_counts"])
+def graph_file_domain_counts(spark, sf_dir):
+    def counted(vertices, path):
+        targets = vertices.select(urls.reverse_domain("rev").alias("domain"))
+        return backlinks.many_referring_domains(vertices, webgraph.predecessors(spark, path), targets).groupBy("domain").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+
+    return _graph_file(spark, sf_dir, counted)
+
+
+@query(ORACLE["referring_domains"])
+def graph_file_referring_domains(spark, sf_dir):
+    return _graph_file(spark, sf_dir, lambda vertices, path: backlinks.referring_domains_of_file(vertices, path, "https://www.C7.example.com/a"))
+
+
 _HITS = f"""WITH {ad.CTE_PAGES}, {ad.CTE_LINKS}, h AS (SELECT 'd' || (CAST(regexp_extract(source_url, '[0-9]+$') AS BIGINT) % 20) AS domain, CAST(regexp_extract(source_url, '[0-9]+$') AS BIGINT) AS seq, target_url FROM crawl_links WHERE NOT internal),
 m AS (SELECT domain, min(seq) AS seq FROM h GROUP BY 1)"""
 

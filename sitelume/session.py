@@ -20,6 +20,7 @@ def local_session(cpus: int | None = None, partitions: int | None = None, app: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # else the checkpoints of a loop's rounds stay in the shared folder
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else every Column call records its caller
         .getOrCreate()
     )
