@@ -5,10 +5,10 @@ without blanks at both ends, A to Z in lower case; it is known by two 64-bit has
 documents are counted, and the smallest is kept: a hash in `documents` or more documents loses all its
 lines but in the smallest one. Keys of fewer than `chars` code points are never dropped.
 
-Only hashes and positions are shuffled for this. The count takes each document's distinct hashes and is
-partial before its shuffle, so a line that stands in a third of all documents is one row a task; the join
-that finds the positions has one row for each such hash on one side, and Spark's skew join splits the other.
-The positions dropped from a text then meet the text once, and it is put together from its other lines in
+Only hashes and positions are shuffled for this. The count is partial before its shuffle, so a line that stands
+in a third of all documents is one row a task. Its lines aren't dealt by their hash again: the hashes with more
+than one in HEAVY x partitions of all repeated lines, which are fewer than HEAVY x partitions, are broadcast with
+their smallest documents; only the others' positions are found by a shuffle by hash. The positions dropped from a text then meet the text once, and it is put together from its other lines in
 the order of their positions.
 
 A text is known by its doc_id and two hashes of itself, so repeated rows share one list of positions, and rows of
@@ -24,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelume.llm.common import ascii_lower
+from sitelume.llm.common import Folder, ascii_lower, checkpoint
 
 DOCUMENTS = 2  # as many documents with a line make it a repeated one
 CHARS = 10  # of a key, at least
+HEAVY = 4
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 _LAST = (1 << 63) - 1  # stands for a missing doc_id
 
@@ -50,12 +51,18 @@ def dropped_lines(docs: DataFrame, documents: int = DOCUMENTS, chars: int = CHAR
     bare = lines.select("doc", "t0", "t1", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).filter(F.length("key") >= chars)
     h0, h1 = _two_hashes(F.col("key"))
     keys = bare.select("doc", "t0", "t1", "pos", h0.alias("h0"), h1.alias("h1"))
-    if documents == 2:  # two documents are a smallest and another largest one
-        repeated = keys.groupBy("h0", "h1").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).filter(F.col("first") < F.col("other"))
-    else:
-        repeated = keys.groupBy("h0", "h1").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first")).filter(F.col("n") >= documents)
-    lost = keys.join(repeated.select("h0", "h1", "first"), ["h0", "h1"]).filter(F.col("doc") != F.col("first"))
-    return lost.groupBy("doc", "t0", "t1").agg(F.collect_set("pos").alias("dropped"))
+    counted = keys.groupBy("h0", "h1").agg(F.min("doc").alias("first"), F.max("doc").alias("other"), F.count("*").alias("n_lines"), *([F.count_distinct("doc").alias("n")] if documents > 2 else []))
+    several = F.col("n") >= documents if documents > 2 else F.col("first") < F.col("other")  # two documents are a smallest and another largest one
+    with Folder(docs.sparkSession, "lines") as folder:
+        repeated = folder.put(counted.filter(several).select("h0", "h1", "first", "n_lines"))
+        share = (repeated.agg(F.sum("n_lines")).first()[0] or 0) / (HEAVY * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        heavy = repeated.filter(F.col("n_lines") > share).select("h0", "h1", F.col("first").alias("heavy_first"))
+        light = repeated.filter(F.col("n_lines") <= share).select("h0", "h1", F.col("first").alias("light_first"))
+        marked = keys.join(F.broadcast(heavy), ["h0", "h1"], "left")
+        spread = lambda h: F.when(F.col("heavy_first").isNull(), F.col(h)).otherwise(F.xxhash64(F.lit(h), "doc", "pos")).alias(h)  # noqa: E731  where nothing is to be found
+        found = marked.select("doc", "t0", "t1", "pos", "heavy_first", spread("h0"), spread("h1")).join(light, ["h0", "h1"], "left")
+        lost = found.filter(F.col("doc") != F.coalesce("heavy_first", "light_first"))
+        return checkpoint(lost.groupBy("doc", "t0", "t1").agg(F.collect_set("pos").alias("dropped")))
 
 
 def find(docs: DataFrame, documents: int = DOCUMENTS, chars: int = CHARS) -> DataFrame:
