@@ -40,7 +40,7 @@ def read(path: str, start: int = 0, length: int | None = None) -> bytes:
 def write(path: str, data: bytes) -> None:
     system, at = filesystem(path)
     system.create_dir(at.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(at) as f:
+    with system.open_output_stream(at, compression=None) as f:  # a name in .gz isn't a wish
         f.write(data)
 
 
