@@ -198,14 +198,15 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     told = first.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h0", "first.h1")
     equal = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h0") == F.col(f"{b}.h0")) & (F.col(f"{a}.h1") == F.col(f"{b}.h1"))
     counted = marked.groupBy(*key).agg(F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    alone = checkpoint(counted.alias("c").join(told.alias("t"), equal("c", "t"), "left_semi"))
+    left = counted.alias("c").join(told.alias("t"), equal("c", "t"), "left_semi")
+    alone = checkpoint(left.withColumn("node", F.monotonically_increasing_id()))  # of equal texts one is left, so a row's number stands for its text
 
-    banded = alone.filter("n > 0").select(F.col("h0").alias("node"), "n", "bands")
-    links_ = checkpoint(similarity.similar(banded, docs.select(F.xxhash64("text").alias("node"), "text"), _five_words))
+    banded = alone.filter("n > 0")
+    links_ = checkpoint(similarity.similar(banded, docs.select(*hashes(), "text"), _five_words, named=banded.select("node", "h0", "h1")))
     if links_.isEmpty():
         kept = alone.select(*key, "copies")
     else:
-        rooted = alone.drop("n", "bands").join(components(links_).withColumnRenamed("node", "h0"), "h0", "left").withColumn("root", F.coalesce("root", "h0"))
+        rooted = alone.drop("n", "bands").join(components(links_), "node", "left").withColumn("root", F.coalesce("root", "node"))
         best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), *key, "copies")).alias("first"))
         kept = checkpoint(best.select("first.doc_id", "first.h0", "first.h1", "first.copies"))
 

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from sitelume.llm import similarity, simhash
 
@@ -75,6 +76,17 @@ def test_deduplicated_keeps_one_of_each_group(spark, texts):
     assert want <= kept and len(kept - want) <= 0.02 * len(by_id)
 
 
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    """Two texts that share a 64-bit hash, one of them a near copy of a third: the other one stays."""
+    r = random.Random(9)
+    prose = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(150))
+    one, other = prose(), prose()
+    docs = spark.createDataFrame([(1, one), (2, near_copies(r, one, 3)), (3, other)], "doc_id long, text string")
+    first = lambda c: F.when(F.col("text").startswith(other[:40]) | F.col("text").startswith(one[:5]), F.lit(7)).otherwise(F.xxhash64(c))
+    monkeypatch.setattr(simhash, "_TEXT", (first, simhash._TEXT[1]))
+    assert [r.doc_id for r in simhash.deduplicated(docs).orderBy("doc_id").collect()] == [1, 3]
+
+
 def test_no_texts(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.deduplicated(docs).count() == 0
