@@ -196,11 +196,6 @@ class _ShardWriter(DataSourceArrowWriter):
             for ending in self.endings if m and m.name else ():
                 files.remove(f"{self.path}/{m.name}{ending}")
 
-    def _opened(self, name: str) -> pa.NativeFile:
-        system, at = files.filesystem(f"{self.path}/{name}")
-        system.create_dir(at.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(at, compression=None)
-
 
 class _RecordWriter(_ShardWriter):
     """Rows of url, status_code, content_type, html as response records."""
@@ -209,7 +204,7 @@ class _RecordWriter(_ShardWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         name, date = f"shard-{uuid.uuid4().hex}", self.options.get("date", "2024-01-01T00:00:00Z")
-        with self._opened(f"{name}.warc.gz") as out:
+        with files.writing(f"{self.path}/{name}.warc.gz") as out:
             for batch in iterator:
                 for url, status, kind, html in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                     body = (html or "").encode("utf-8", "replace")
@@ -392,7 +387,7 @@ class _IndexWriter(_ShardWriter):
         held: list[str] = []
         table: list[str] = []
         at, first = 0, ""
-        with self._opened(f"{name}.gz") as out:
+        with files.writing(f"{self.path}/{name}.gz") as out:
 
             def put() -> int:
                 block = gzip.compress("".join(held).encode("utf-8", "replace"), 6, mtime=0)

@@ -40,6 +40,8 @@ class FetchOptions:
     max_depth: int = 50
     concurrency: int = 20
     follow_redirects: bool = True
+    max_body_bytes: int = 16 << 20  # of a body no more are read
+    textual_only: bool = False  # bodies of other content types aren't read
     headers: tuple[tuple[str, str], ...] = ()  # further request headers
 
     def __post_init__(self) -> None:
@@ -50,29 +52,47 @@ class FetchOptions:
     @classmethod
     def of(cls, options: dict[str, str]) -> FetchOptions:
         out = cls()
-        for name in ("user_agent", "timeout", "retries", "requests_per_second", "max_pages", "max_depth", "concurrency"):
+        for name in ("user_agent", "timeout", "retries", "requests_per_second", "max_pages", "max_depth", "concurrency", "follow_redirects", "max_body_bytes", "textual_only"):
             if name in options:
-                out = replace(out, **{name: type(getattr(out, name))(options[name])})
+                kind = type(getattr(out, name))
+                out = replace(out, **{name: options[name].lower() == "true" if kind is bool else kind(options[name])})
         return out
 
 
 Opener = Callable[[str, FetchOptions], tuple[int, str, dict[str, str], bytes]]
 
 
+class _NoRedirects(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *asked: Any) -> None:
+        return None
+
+
+def _body(r: Any, options: FetchOptions) -> bytes:
+    """A response's body up to the limit, or nothing of a kind that isn't wanted."""
+    if options.textual_only and not textual(r.headers.get("content-type") or ""):
+        return b""
+    return r.read(options.max_body_bytes)
+
+
 def open_url(url: str, options: FetchOptions) -> tuple[int, str, dict[str, str], bytes]:
     """(status, final URL, lower-case headers, body); raises on transport errors only."""
     request = urllib.request.Request(url, headers={"User-Agent": options.user_agent, "Accept": "text/html,*/*", **dict(options.headers)})
     try:
-        with urllib.request.urlopen(request, timeout=options.timeout) as r:
-            return r.status, r.url, {k.lower(): v for k, v in r.headers.items()}, r.read()
+        opener = urllib.request.build_opener(*([] if options.follow_redirects else [_NoRedirects]))
+        with opener.open(request, timeout=options.timeout) as r:
+            return r.status, r.url, {k.lower(): v for k, v in r.headers.items()}, _body(r, options)
     except urllib.error.HTTPError as e:
-        return e.code, e.url or url, {k.lower(): v for k, v in e.headers.items()}, e.read()
+        return e.code, e.url or url, {k.lower(): v for k, v in e.headers.items()}, _body(e, options)
+
+
+def textual(content_type: str) -> bool:
+    return not content_type or any(k in content_type.lower() for k in ("text", "html", "xml"))
 
 
 def decode(body: bytes, content_type: str) -> str | None:
     """Text of a textual body by its declared encoding, else UTF-8; None for any other."""
     kind = content_type.lower()
-    if kind and not any(k in kind for k in ("text", "html", "xml")):
+    if not textual(kind):
         return None
     named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind)
     try:

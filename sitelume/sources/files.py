@@ -6,7 +6,7 @@ is Arrow's. Every executor has to see the same files.
 
 from __future__ import annotations
 
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,12 +38,29 @@ def read(path: str, start: int = 0, length: int | None = None) -> bytes:
 
 
 def write(path: str, data: bytes) -> None:
-    system, at = filesystem(path)
-    system.create_dir(at.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(at, compression=None) as f:  # a name in .gz isn't a wish
+    with writing(path) as f:
         f.write(data)
 
 
 def remove(path: str) -> None:
     system, at = filesystem(path)
     system.delete_file(at)
+
+
+def writing(path: str) -> NativeFile:
+    """A file to be written piece by piece, as it is: a name in .gz isn't a wish."""
+    system, at = filesystem(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(at, compression=None)
+
+
+def move(path: str, to: str) -> None:
+    """Rename a file, over another one if there is one."""
+    system, at = filesystem(path)
+    system.move(at, filesystem(to)[1])
+
+
+def remove_folder(path: str) -> None:
+    system, at = filesystem(path)
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        system.delete_dir(at)

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Any
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from sitelume.operators import graph
 from sitelume.operators.merge import latest
+from sitelume.sources import files
 
 #: The stored tables and their columns.
 TABLES = {
@@ -127,8 +135,8 @@ def export_crawl(crawl_id: int, start_url: str, site: dict, pages: DataFrame, li
 def export_nested(spark: SparkSession, path: str, crawl_id: int, start_url: str, site: dict, pages: DataFrame, links: DataFrame, issues: DataFrame) -> None:
     """The crawl as one nested, indented JSON document: crawl_id, start_url, site, pages, links, failed_urls.
 
-    Rows are written as they come, a partition at a time through the driver: a document of any size
-    holds one partition in memory. export_crawl() is the form that tasks write by themselves.
+    Rows are written as they come, a partition at a time through the driver, by Hadoop's file system: the form for
+    small crawls. export_document() writes the same bytes by tasks, export_crawl() lines of any number.
     """
     plain = lambda x: json.dumps(x, ensure_ascii=False, indent=2, default=str)
     shifted = lambda text, by: text.replace("\n", "\n" + " " * by)
@@ -148,6 +156,150 @@ def export_nested(spark: SparkSession, path: str, crawl_id: int, start_url: str,
     write_parts(spark, path, parts())
 
 
+def document_rows(pages: DataFrame, links: DataFrame, issues: DataFrame) -> DataFrame:
+    """section, value (JSON) of a nested document's items, in its order."""
+    failed = issues.filter(F.col("severity").isin("high", "critical")).select("url").distinct().orderBy("url")
+    part = lambda k, df, value: df.select(F.lit(k).alias("section"), value.alias("value"))
+    whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    quoted = F.regexp_extract(F.to_json(F.struct("url")), r"(?s)^\{\"url\":(.*)\}$", 1)
+    return part(0, pages, whole).unionByName(part(1, links, whole)).unionByName(part(2, failed, quoted))
+
+
+class _Item(WriterCommitMessage):
+    """What a task has written: its number, and the number of items and the file of each section."""
+
+    def __init__(self, task: int, parts: dict[int, tuple[int, str]]) -> None:
+        self.task, self.parts = task, parts
+
+
+class _DocumentWriter(DataSourceArrowWriter):
+    """Tasks write their items into files of their own; the end joins those of the tasks that count, and moves the document into its place."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.head, self.sections = options["path"], options["head"], options["sections"].split(",")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        name, parts, out = f"{self.path}.parts/{uuid.uuid4().hex}", {}, {}
+        for batch in iterator:
+            for section, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, file = parts.get(section, (0, f"{name}-{section}"))
+                if section not in out:
+                    out[section] = files.writing(file)
+                item = json.dumps(json.loads(value), ensure_ascii=False, indent=2).replace("\n", "\n    ")
+                out[section].write(f"{',' if n else ''}\n    {item}".encode())
+                parts[section] = n + 1, file
+        for f in out.values():
+            f.close()
+        return _Item(TaskContext.get().partitionId(), parts)
+
+    def commit(self, messages: list[_Item | None]) -> None:
+        done = sorted((m for m in messages if m), key=lambda m: m.task)
+        at = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        with files.writing(at) as out:
+            out.write(("{\n  " + self.head).encode())
+            for k, section in enumerate(self.sections):
+                out.write(f',\n  "{section}": ['.encode())
+                written = 0
+                for n, file in (m.parts[k] for m in done if k in m.parts):
+                    out.write(b"," if written else b"")
+                    for start in range(0, files.size(file), 1 << 20):
+                        out.write(files.read(file, start, 1 << 20))
+                    written += n
+                out.write(b"\n  ]")
+            out.write(b"\n}\n")
+        files.move(at, self.path)
+        files.remove_folder(f"{self.path}.parts")
+
+    def abort(self, messages: list[_Item | None]) -> None:
+        files.remove_folder(f"{self.path}.parts")
+
+
+class NestedDocument(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "nested_document"
+
+    def schema(self) -> str:
+        return "section int, value string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _DocumentWriter(self.options)
+
+
+def export_document(spark: SparkSession, path: str, crawl_id: int, start_url: str, site: dict, pages: DataFrame, links: DataFrame, issues: DataFrame) -> None:
+    """export_nested()'s document, written by tasks.
+
+    No row passes through the driver: every task writes its items beside the document, and at the end the
+    files are joined in the order of the tasks, a MB at a time, and the document is moved into its place. Files
+    of failed or repeated tasks aren't joined. path is one that files.py reaches from all executors.
+    """
+    spark.dataSource.register(NestedDocument)
+    shifted = lambda x: json.dumps(x, ensure_ascii=False, indent=2, default=str).replace("\n", "\n  ")
+    head = ",\n  ".join(f'"{k}": {shifted(v)}' for k, v in (("crawl_id", crawl_id), ("start_url", start_url), ("site", site)))
+    document_rows(pages, links, issues).write.format("nested_document").options(head=head, sections="pages,links,failed_urls").mode("append").save(path)
+
+
+BUCKETS = 64
+
+
+class StaleTable(RuntimeError):
+    """Another writer has begun to change the table."""
+
+
+def _version_file(spark: SparkSession, table: str, number: int, ending: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_versions/{number:012d}{ending}")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def version(spark: SparkSession, table: str) -> int:
+    """The number of the last change of a table that was begun; 0 before the first one."""
+    fs, at = _version_file(spark, table, 0, "")
+    folder = at.getParent()
+    if not fs.exists(folder):
+        return 0
+    return max((int(f.getPath().getName().split(".")[0]) for f in fs.listStatus(folder)), default=0)
+
+
+def upsert(new: DataFrame, table: str, seen_version: int | None = None, buckets: int = BUCKETS, again: bool = False) -> int:
+    """Put pages into a stored table in place of those of the same crawl and URL; gives the table's new version.
+
+    The table lies in folders by crawl and bucket of the URL. Only folders that new rows fall in are read and
+    rewritten, all at once by the writer's commit (dynamic partition overwrite). A change begins with a file
+    of its version's number that only one writer can create: one that has seen an older version (seen_version)
+    or comes second fails with StaleTable before anything is written, and so does any writer behind a change
+    that was never finished, until one with again=True does that change anew. new: rows of a few crawls.
+    """
+    spark = new.sparkSession
+    now = version(spark, table)
+    if seen_version is not None and seen_version != now:
+        raise StaleTable(f"{table} is at version {now}, not {seen_version}")
+    fs, finished = _version_file(spark, table, now, ".done")
+    open_change = now > 0 and not fs.exists(finished)
+    if open_change and not again:
+        raise StaleTable(f"version {now} of {table} was begun and isn't finished")
+    number = now if open_change else now + 1
+    if not open_change:
+        fs, begun = _version_file(spark, table, number, ".begun")
+        try:
+            fs.create(begun, False).close()
+        except Py4JJavaError as e:
+            raise StaleTable(f"version {number} of {table} has another writer") from e
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    marked = new.withColumn("bucket", bucket)
+    touched = marked.select("crawl_id", "bucket").distinct().collect()  # folders
+    here = F.col("crawl_id").isin(sorted({r.crawl_id for r in touched})) & F.col("bucket").isin(sorted({r.bucket for r in touched}))
+    try:
+        stored = spark.read.parquet(table).filter(here)
+    except AnalysisException:  # no folder yet
+        stored = marked.limit(0)
+    known = stored.join(F.broadcast(marked.select("crawl_id", "bucket").distinct()), ["crawl_id", "bucket"], "left_semi")  # as many rows as folders
+    merged = graph.checkpoint(upsert_pages(known.drop("bucket"), new).withColumn("bucket", bucket))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id", "bucket").parquet(table)
+    fs, finished = _version_file(spark, table, number, ".done")
+    fs.create(finished, True).close()
+    return number
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file by Hadoop's file system: under another name first, then renamed into place."""
     write_parts(spark, path, iter((text,)))
