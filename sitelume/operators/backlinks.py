@@ -6,7 +6,7 @@ Live fetching is a source's business; these operators work on tables of pages, a
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
@@ -72,28 +72,28 @@ def first_hits(hits: DataFrame, domain: str, order: list[str]) -> DataFrame:
     return hits.join(first, domain).filter(F.struct(*order) == F.col("_first")).drop("_first")
 
 
-def investigate(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, max_pages: int = 1000) -> DataFrame:
+def investigate(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, max_pages: int = 1000, max_depth: int | None = None) -> DataFrame:
     """domain, status, pages_checked and first hit page of each referring domain, on a fixed corpus.
 
     pages: url, domain, status_code, content_type. links: source_url, url, anchor, rel. A domain's
     crawl starts at its origins, follows links within the domain and stops at the first page with
-    a link to the target.
+    a link to the target, or with a timeout: beyond max_pages pages, or max_depth links where that is given. The
+    limit is in pages, as a fixed corpus has no clock.
     """
-    ok = pages.filter(F.col("status_code").between(200, 399) & F.contains(F.lower("content_type"), F.lit("text/html")))
-    inner = links.join(ok.select(F.col("url").alias("source_url"), "domain"), "source_url").withColumn("to", urls.canonical_or_self(urls.resolve("source_url", strip("url"))))
-    own = inner.filter(urls.bare_domain("to") == F.col("domain")).select(F.col("source_url").alias("source"), F.col("to").alias("target"))
-    starts = domains.select(F.explode(F.transform(urls.origins("domain"), urls.canonical_or_self)).alias("url"))
-    order = graph.bfs(own, starts, max_depth=50).join(ok.select("url", "domain"), "url")
-    place = F.row_number().over(Window.partitionBy("domain").orderBy("depth", F.startswith("url", F.lit("http:")), "url"))
-    visits = order.withColumn("seq", place).filter(F.col("seq") <= max_pages)  # the limit is applied within the window's sort: a huge domain passes on max_pages rows a task
+    ok = pages.filter(F.col("status_code").between(200, 399) & F.contains(F.lower("content_type"), F.lit("text/html"))).select(F.col("domain").alias("grp"), "url")
+    inner = links.join(ok.withColumnRenamed("url", "source_url"), "source_url").withColumn("to", urls.canonical_or_self(urls.resolve("source_url", strip("url"))))
+    own = inner.filter(urls.bare_domain("to") == F.col("grp")).select("grp", F.col("source_url").alias("source"), F.col("to").alias("target"))
+    plain = F.startswith("url", F.lit("http:")).cast("int")
+    starts = domains.select(F.col("domain").alias("grp"), F.explode(F.transform(urls.origins("domain"), urls.canonical_or_self)).alias("url")).select("grp", "url", plain.alias("rank"), F.lit(0).alias("depth"))
     hits = page_hits(links, urls.bare_domain(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
-    hit = visits.join(hits, "url").groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by(F.struct("url", "n"), "seq").alias("hit"))
-    reached = order.groupBy("domain").agg(F.count("*").alias("reached"))
-    found = domains.join(reached, "domain", "left").join(hit, "domain", "left")
+    visits, cut = graph.search(own, starts, ok.join(hits, "url", "left_semi"), ok, max_pages, max_depth, plain)
+    hit = visits.filter(F.col("hit") & (F.col("seq") <= max_pages)).groupBy("grp").agg(F.min("seq").alias("hit_seq"), F.min_by("url", "seq").alias("url")).join(hits, "url", "left")
+    reached = visits.groupBy("grp").agg(F.max("seq").alias("reached"))
+    found = domains.withColumn("grp", F.col("domain")).join(reached, "grp", "left").join(hit, "grp", "left").join(cut.withColumn("cut", F.lit(True)), "grp", "left")
     limited = F.least(F.coalesce("reached", F.lit(0)), F.lit(max_pages))
     return found.select(
-        "domain", F.when(F.col("hit").isNotNull(), "confirmed").when(F.col("reached") > max_pages, "timeout").otherwise("not_found").alias("status"),
-        F.coalesce("hit_seq", limited).cast("long").alias("pages_checked"), F.col("hit.url").alias("hit_url"), F.coalesce("hit.n", F.lit(0)).alias("links_found"),
+        "domain", F.when(F.col("hit_seq").isNotNull(), "confirmed").when((F.col("reached") > max_pages) | F.col("cut"), "timeout").otherwise("not_found").alias("status"),
+        F.coalesce("hit_seq", limited).cast("long").alias("pages_checked"), F.col("url").alias("hit_url"), F.coalesce("n", F.lit(0)).alias("links_found"),
     )
 
 

@@ -159,6 +159,67 @@ def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | No
         return rounds.result(seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages))
 
 
+def search(edges: DataFrame, starts: DataFrame, hits: DataFrame | None = None, within: DataFrame | None = None, max_pages: int | None = None, max_depth: int | None = None, later: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """A breadth-first traversal of every group of pages at once, each of which ends at its first hit or with its budget.
+
+    edges: grp, source, target; starts: grp, url, rank, depth (the level in which it is visited); hits: grp, url;
+    within: grp, url of the pages that count (None: all). Pages of a level are visited by rank, then URL; later
+    is the rank of those that links lead to (of url; 9 by default). A group whose hit is found, or that has
+    more than max_pages pages, leaves the frontier, and the loop ends with the last group.
+
+    Gives visits (grp, url, depth, seq, hit) and the groups (grp) that max_depth has cut off. With max_pages
+    a group's visits are numbered from 1, and one with number max_pages + 1 says that there were more; a level
+    is cut to what the budget can still use before it is sorted, so a task sees max_pages rows of a group from
+    every other task. Without it seq is null. Visits of a hit's own level behind the hit are included.
+    """
+    deep = starts.agg(F.max("depth")).first()[0]
+    with Rounds(starts.sparkSession) as rounds:
+        edge = rounds.given(edges.select("grp", "source", "target").distinct(), "grp", "source")
+        begun = rounds.given(starts.groupBy("grp", "url").agg(F.min(F.struct("depth", "rank")).alias("s")).select("grp", "url", "s.rank", F.col("s.depth").cast("int").alias("depth")), "grp", "url")
+        hit = None if hits is None else rounds.given(hits.select("grp", "url").distinct().withColumn("hit", F.lit(True)), "grp", "url")
+        counted = None if within is None else rounds.given(within.select("grp", "url").distinct(), "grp", "url")
+        most = F.lit((1 << 31) - 1 if max_pages is None else max_pages)
+        frontier, seen, active, depth = None, None, None, 0
+        rank = F.lit(9) if later is None else later
+        while deep is not None:
+            level = begun.filter(F.col("depth") == depth).select("grp", "url", "rank")
+            if frontier is not None:
+                found = edge.join(frontier.select("grp", F.col("url").alias("source")), ["grp", "source"], "left_semi").select("grp", F.col("target").alias("url")).distinct().withColumn("rank", rank.cast("int"))
+                level = level.withColumn("rank", F.col("rank").cast("int")).unionByName(found).groupBy("grp", "url").agg(F.min("rank").alias("rank"))
+            if counted is not None:
+                level = level.join(counted, ["grp", "url"], "left_semi")
+            if seen is not None:
+                level = level.join(seen, ["grp", "url"], "left_anti")
+            if active is not None:
+                level = level.join(active, "grp", "left").filter(F.coalesce("goes_on", F.lit(True)))
+            if max_pages is not None:
+                place = F.row_number().over(Window.partitionBy("grp").orderBy("rank", "url"))
+                level = level.withColumn("place", place).filter(F.col("place") <= max_pages + 1).withColumn("seq", (F.coalesce("visited", F.lit(0)) if active is not None else F.lit(0)) + F.col("place")).filter(F.col("seq") <= max_pages + 1)
+            else:
+                level = level.withColumn("seq", F.lit(None).cast("int"))
+            told = level.join(hit, ["grp", "url"], "left") if hit is not None else level.withColumn("hit", F.lit(None).cast("boolean"))
+            new = checkpoint(told.select("grp", "url", F.lit(depth).alias("depth"), "seq", F.coalesce("hit", F.lit(False)).alias("hit")))
+            seen = new if seen is None else seen.unionByName(new)
+            if (depth + 1) % CHECKPOINT_EVERY == 0:
+                seen = checkpoint(seen)
+            if hits is not None or max_pages is not None:  # the groups so far, and which of them go on
+                state = seen.groupBy("grp").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("visited"), F.bool_or(F.col("hit") & (F.coalesce("seq", F.lit(0)) <= most)).alias("found"))
+                active = state.select("grp", "visited", (~F.col("found") & (F.col("visited") <= most)).alias("goes_on"))
+                frontier = new.join(active.filter("goes_on"), "grp", "left_semi")
+            else:
+                frontier = new
+            depth += 1
+            if depth > deep and frontier.isEmpty() or max_depth is not None and depth > max_depth:
+                break
+        if seen is None:  # no start
+            empty = starts.sparkSession.createDataFrame([], "grp string, url string, depth int, seq int, hit boolean")
+            return empty, empty.select("grp")
+        more = edge.join(frontier.select("grp", F.col("url").alias("source")), ["grp", "source"], "left_semi").select("grp", F.col("target").alias("url"))
+        if counted is not None:
+            more = more.join(counted, ["grp", "url"], "left_semi")
+        return rounds.result(seen), rounds.result(more.join(seen, ["grp", "url"], "left_anti").select("grp").distinct())
+
+
 #: Path parts that raise a page's priority.
 FAVOURED = ("product", "service", "category", "blog", "article")
 

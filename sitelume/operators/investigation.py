@@ -6,7 +6,7 @@ anchor, rel. A fetch of an URL that the corpus doesn't hold has failed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
@@ -34,53 +34,44 @@ def _own_links(pages: DataFrame, links: DataFrame, relative: bool = False) -> Da
     return inner.filter(own | urls.is_relative("url") if relative else own).select("domain", F.col("source_url").alias("source"), F.col("to").alias("target"))
 
 
-def _reached(own: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """domain, url, depth: BFS within each domain. starts: domain, url, depth (of the start itself)."""
-    key = lambda url: F.concat_ws(" ", "domain", url)  # noqa: E731  one graph for all domains: an URL counts per domain
-    edges = own.select(key("source").alias("source"), key("target").alias("target"))
-    by_depth = [graph.bfs(edges, starts.filter(F.col("depth") == d).select(key("url").alias("url")), max_depth).withColumn("depth", F.col("depth") + d) for d in (0, 1)]
-    both = by_depth[0].unionByName(by_depth[1]).groupBy("url").agg(F.min("depth").alias("depth"))
-    return both.select(F.substring_index("url", " ", 1).alias("domain"), F.expr("substring(url, instr(url, ' ') + 1)").alias("url"), "depth")
-
-
-def exhaustive(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, sitemap_pages: DataFrame | None = None, max_pages: int = 1000, max_depth: int = 500) -> DataFrame:
+def exhaustive(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, sitemap_pages: DataFrame | None = None, max_pages: int = 1000, max_depth: int | None = None) -> DataFrame:
     """One row per domain: status, pages_checked, html_pages_checked, failed_fetches, links_found, hit_url.
 
     A domain's pages are visited one after the other: its http origin, its https origin, its sitemap
     pages (domain, url), then what these link to, by depth; the first page with links to the target
-    ends it. More than max_pages without one is a timeout, a domain with no visit is blocked.
+    ends it. More than max_pages (or max_depth links, where that is given) without one is a timeout, a domain
+    with no visit is blocked. The limit is in pages, as a fixed corpus has no clock.
     """
-    origin = lambda k, scheme: F.struct(F.lit(k).alias("first"), F.concat(F.lit(f"{scheme}://"), "domain", F.lit("/")).alias("url"))
-    starts = domains.select("domain", F.explode(F.array(origin(0, "http"), origin(1, "https"))).alias("s")).select("domain", F.col("s.first").alias("first"), urls.canonical_or_self("s.url").alias("url"), F.lit(0).alias("depth"))
+    origin = lambda k, scheme: F.struct(F.lit(k).alias("rank"), F.concat(F.lit(f"{scheme}://"), "domain", F.lit("/")).alias("url"))
+    starts = domains.select("domain", F.explode(F.array(origin(0, "http"), origin(1, "https"))).alias("s")).select(F.col("domain").alias("grp"), urls.canonical_or_self("s.url").alias("url"), "s.rank", F.lit(0).alias("depth"))
     if sitemap_pages is not None:
-        listed = sitemap_pages.join(domains, "domain").select("domain", F.lit(2).alias("first"), urls.canonical_or_self("url").alias("url"), F.lit(1).alias("depth"))
+        listed = sitemap_pages.join(domains, "domain").select(F.col("domain").alias("grp"), urls.canonical_or_self("url").alias("url"), F.lit(2).alias("rank"), F.lit(1).alias("depth"))
         starts = starts.unionByName(listed)
-    reached = _reached(_own_links(pages, links), starts, max_depth).join(starts.groupBy("domain", "url").agg(F.min("first").alias("first")), ["domain", "url"], "left")
-    place = F.row_number().over(Window.partitionBy("domain").orderBy("depth", F.coalesce("first", F.lit(3)), "url"))
-    limited = reached.withColumn("seq", place).filter(F.col("seq") <= max_pages)
     found = backlinks.page_hits(links, urls.domain_of(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
     known = pages.select("domain", "url", F.col("status_code").isNotNull().alias("fetched"), readable(pages).alias("html")).dropDuplicates(["domain", "url"])
-    visits = limited.join(known, ["domain", "url"], "left").join(found, "url", "left").withColumn("hit", F.coalesce("html", F.lit(False)) & F.col("n").isNotNull())
-    first = visits.filter("hit").groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by(F.struct("url", "n"), "seq").alias("h"))
+    hits = known.filter("html").join(found, "url", "left_semi").select(F.col("domain").alias("grp"), "url")
+    reached, cut = graph.search(_own_links(pages, links).withColumnRenamed("domain", "grp"), starts, hits, None, max_pages, max_depth)
+    visits = reached.withColumnRenamed("grp", "domain").join(known, ["domain", "url"], "left").join(found, "url", "left")
+    first = visits.filter(F.col("hit") & (F.col("seq") <= max_pages)).groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by(F.struct("url", "n"), "seq").alias("h"))
     until = visits.join(first.select("domain", "hit_seq"), "domain", "left").filter(F.col("seq") <= F.coalesce("hit_seq", F.lit(max_pages)))
     counts = until.groupBy("domain").agg(
         F.count("*").alias("pages_checked"), F.count_if(F.coalesce("html", F.lit(False))).alias("html_pages_checked"), F.count_if(~F.coalesce("fetched", F.lit(False))).alias("failed_fetches")
     )
-    size = reached.groupBy("domain").agg(F.count("*").alias("reached"))
-    out = domains.join(size, "domain", "left").join(counts, "domain", "left").join(first, "domain", "left")
-    status = F.when(F.col("h").isNotNull(), "confirmed").when(F.col("reached") > max_pages, "timeout").when(F.coalesce("pages_checked", F.lit(0)) == 0, "blocked").otherwise("not_found")
+    size = visits.groupBy("domain").agg(F.max("seq").alias("reached"))
+    out = domains.join(size, "domain", "left").join(counts, "domain", "left").join(first, "domain", "left").join(cut.select(F.col("grp").alias("domain"), F.lit(True).alias("cut")), "domain", "left")
+    status = F.when(F.col("h").isNotNull(), "confirmed").when((F.col("reached") > max_pages) | F.col("cut"), "timeout").when(F.coalesce("pages_checked", F.lit(0)) == 0, "blocked").otherwise("not_found")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select("domain", status.alias("status"), *(number(F.col(c)).alias(c) for c in ("pages_checked", "html_pages_checked", "failed_fetches")), number(F.col("h.n")).alias("links_found"), F.col("h.url").alias("hit_url"))
 
 
-def trace(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, max_depth: int = 500) -> DataFrame:
+def trace(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, max_depth: int | None = None) -> DataFrame:
     """A row per fetched page that a traversal without an early stop reaches: domain, url, depth, status_code, content_type, n_links, n_hits and the hits.
 
     The traversal begins at the https origin, then the http one, and follows links to the own
     domain and all that are written without a host.
     """
-    starts = domains.select("domain", F.explode(urls.origins("domain")).alias("url")).select("domain", urls.canonical_or_self("url").alias("url"), F.lit(0).alias("depth"))
-    reached = _reached(_own_links(pages, links, relative=True), starts, max_depth)
+    starts = domains.select(F.col("domain").alias("grp"), F.explode(urls.origins("domain")).alias("url")).select("grp", urls.canonical_or_self("url").alias("url"), F.lit(0).alias("rank"), F.lit(0).alias("depth"))
+    reached = graph.search(_own_links(pages, links, relative=True).withColumnRenamed("domain", "grp"), starts, max_depth=max_depth)[0].select(F.col("grp").alias("domain"), "url", "depth")
     per = links.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n_links"))
     hits = backlinks.page_hits(links, urls.domain_of(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_set("target_url")).alias("hits"))  # as many as a page's links
     fetched = pages.filter("status_code is not null").select("domain", "url", "status_code", "content_type")

@@ -116,6 +116,25 @@ def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return pages, links, sites.select("domain").distinct()
 
 
+def sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages, links, domains and sitemap pages of sites, one for each customer k: the chain of chains(), and every third one has a page at its http origin.
+
+    By k % 4: /2 links to the target; the sitemap lists /s, which links to it twice; nothing links to it; the fetch of /1 failed.
+    """
+    k, kind = F.col("c_custkey"), F.col("c_custkey") % 4
+    paths = F.concat(F.array(*map(F.lit, ("", "1", "2", "3"))), F.when(kind == 1, F.array(F.lit("s"))).otherwise(F.array().cast("array<string>")), F.when(k % 3 == 0, F.array(F.lit("http"))).otherwise(F.array().cast("array<string>")))
+    own = table(spark, sf_dir, "customer").select(F.concat(F.lit("e"), k.cast("string"), F.lit(".example")).alias("domain"), kind.alias("kind"), F.explode(paths).alias("p"))
+    p = F.col("p")
+    url = F.when(p == "http", F.concat(F.lit("http://"), "domain", F.lit("/"))).otherwise(F.concat(F.lit("https://"), "domain", F.lit("/"), "p"))
+    lost = (F.col("kind") == 3) & (p == "1")
+    pages = own.select(url.alias("url"), "domain", F.when(~lost, 200).alias("status_code"), F.when(~lost, "text/html").alias("content_type"))
+    further = F.when(p == "", "/1").when(p == "1", "/2").when(p == "2", "/3")
+    t = "https://www.target.example/"
+    hrefs = F.concat(F.array_compact(F.array(further)), F.when((F.col("kind") == 0) & (p == "2"), F.array(F.lit(t))).when(p == "s", F.array(F.lit(t), F.lit(t + "#x"))).otherwise(F.array().cast("array<string>")))
+    links = own.filter(~lost).select(url.alias("source_url"), F.explode(hrefs).alias("url"), F.lit("a").alias("anchor"), F.lit("").alias("rel"))
+    return pages, links, own.select("domain").distinct(), own.filter("p = 's'").select("domain", url.alias("url"))
+
+
 def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archived pages of three crawls: domain, crawl_no, row_no, url, html; every tenth URL is in all of them."""
     i = F.col("page_id")

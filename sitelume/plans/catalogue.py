@@ -669,6 +669,17 @@ def exhaustive_investigation(spark, sf_dir):
     return investigation.exhaustive(*ad.chains(spark, sf_dir), "https://target.example/")
 
 
+@query("""
+WITH d AS (SELECT 'e' || c_custkey || '.example' AS domain, c_custkey % 4 AS kind, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS plain FROM customer)
+SELECT domain, CASE kind WHEN 2 THEN 'timeout' WHEN 3 THEN 'not_found' ELSE 'confirmed' END AS status, CAST(CASE WHEN kind % 2 = 0 THEN 4 ELSE 3 END AS BIGINT) AS pages_checked,
+  CAST(plain + CASE kind WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 3 END AS BIGINT) AS html_pages_checked, CAST(1 - plain + CASE WHEN kind = 3 THEN 1 ELSE 0 END AS BIGINT) AS failed_fetches,
+  CAST(CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS links_found, CASE kind WHEN 0 THEN 'https://' || domain || '/2' WHEN 1 THEN 'https://' || domain || '/s' END AS hit_url FROM d""")
+def exhaustive_sites(spark, sf_dir):
+    """With sitemap pages, http pages, failed fetches, and a budget that sites without a hit exceed."""
+    pages, page_links, domains, listed = ad.sites(spark, sf_dir)
+    return investigation.exhaustive(pages, page_links, domains, "https://target.example/", listed, max_pages=4)
+
+
 @query(f"{_CHAIN} SELECT CASE WHEN count(*) FILTER (WHERE hit < 4) > 0 THEN 'success' ELSE 'not_found' END AS status, CAST(count(*) AS BIGINT) AS domains_investigated, CAST(count(*) FILTER (WHERE hit < 4) AS BIGINT) AS links_found FROM d")
 def exhaustive_summary(spark, sf_dir):
     return investigation.exhaustive_summary(investigation.exhaustive(*ad.chains(spark, sf_dir), "https://target.example/"))

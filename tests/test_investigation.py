@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitelume import report
 from sitelume.functions import signatures
-from sitelume.operators import backlinks, discovery, investigation, links
+from sitelume.operators import backlinks, discovery, graph, investigation, links
 from sitelume.sources import fetch, readers, render, sinks
 
 
@@ -45,6 +45,23 @@ def test_exhaustive(spark, corpus):
     assert tuple(investigation.exhaustive_summary(found.filter("domain = 'c.com'")).first())[0] == "not_found" and tuple(investigation.exhaustive_summary(found.limit(0)).first()) == ("no_referring_domains", 0, 0)
 
 
+def test_deep_sites_and_a_stop_by_domain(spark):
+    """A chain of 55 pages is followed to its end; a domain's traversal ends at its hit, in one loop for all; a cap on depth is a timeout."""
+    pages = [(f"https://{d}.com/{n or ''}", f"{d}.com", 200, "text/html") for d in ("deep", "soon") for n in range(55)]
+    found = [(f"https://{d}.com/{n or ''}", f"/{n + 1}", "", "") for d in ("deep", "soon") for n in range(54)] + [("https://deep.com/54", "https://t.com/", "", ""), ("https://soon.com/2", "https://t.com/", "", "")]
+    corpus = spark.createDataFrame(pages, "url string, domain string, status_code int, content_type string"), spark.createDataFrame(found, "source_url string, url string, anchor string, rel string"), spark.createDataFrame([("deep.com",), ("soon.com",)], "domain string")
+    got = {r.domain: (r.status, r.pages_checked, r.hit_url) for r in backlinks.investigate(*corpus, "https://t.com").collect()}
+    assert got == {"deep.com": ("confirmed", 55, "https://deep.com/54"), "soon.com": ("confirmed", 3, "https://soon.com/2")}
+    got = {r.domain: (r.status, r.pages_checked) for r in backlinks.investigate(*corpus, "https://t.com", max_depth=5).collect()}
+    assert got == {"deep.com": ("timeout", 6), "soon.com": ("confirmed", 3)}
+    own = corpus[1].selectExpr("regexp_extract(source_url, '//([^/]*)', 1) grp", "source_url source", "concat('https://', grp, url) target").filter("target not like '%t.com%'")
+    starts = corpus[2].selectExpr("domain grp", "concat('https://', domain, '/') url", "0 rank", "0 depth")
+    hits = spark.createDataFrame([("soon.com", "https://soon.com/2")], "grp string, url string")
+    visits, cut = graph.search(own, starts, hits, max_pages=8)
+    assert {r.grp: (r.n, r.last) for r in visits.groupBy("grp").agg(F.count("*").alias("n"), F.max("seq").alias("last")).collect()} == {"deep.com": (9, 9), "soon.com": (3, 3)}
+    assert graph.search(own.limit(0), starts.limit(0))[0].isEmpty()
+
+
 def test_trace(corpus):
     got = {r.url: (r.depth, r.status_code, r.n_links, r.n_hits, r.hits) for r in investigation.trace(*corpus, "t.com").collect()}
     assert got["https://a.com/2"] == (2, 200, 1, 1, ["https://www.t.com/p"]) and got["https://b.com/far"] == (1, 200, 1, 1, ["https://t.com/"]) and got["https://c.com/"] == (0, 404, 0, 0, [])
