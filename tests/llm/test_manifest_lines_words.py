@@ -134,7 +134,7 @@ def test_manifest(which, request):
     same(merkle.digest(merkle.manifest(docs)).collect(), manifest(leaf_rows(docs)))
 
 
-@pytest.mark.parametrize("sizes", [(1,), (2,), (8,), (9,), (1, 1), (64, 65, 1, 7), (3,) * 9, (513,)])
+@pytest.mark.parametrize("sizes", [(1,), (9,), (64, 65, 1, 7), (3,) * 9, (513,)])
 def test_manifest_of_sizes(spark, sizes):
     """Trees of every kind of shape, unicode language names in bytewise order, repeated rows."""
     names = [None, "", "Z", "a", "é", "\U0001d4b3", "￿", "-", ":"]
@@ -152,7 +152,7 @@ def test_manifest_tells_tampering(spark):
     assert merkle.manifest(docs.limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 50])
+@pytest.mark.parametrize("partitions", [1, 30])
 def test_places(spark, partitions):
     """One value holds most rows, and most of these are equal."""
     r = random.Random(partitions)
