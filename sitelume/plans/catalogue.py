@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from sitelume.functions import signatures, urls
 from sitelume.functions import text as tx
 from sitelume.functions.html import parse_html
-from sitelume.operators import backlinks, discovery, duplicates, graph, investigation, links, merge, rules, scoring, site
+from sitelume.operators import backlinks, discovery, duplicates, graph, investigation, links, merge, robots, rules, scoring, site
 from sitelume.plans import adapters as ad
-from sitelume.sources import fetch, readers, sinks, webgraph
+from sitelume.sources import archive, fetch, readers, sinks, webgraph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -791,6 +791,59 @@ def sitemap_expand(spark, sf_dir):
     return readers.sitemap_counts(locations, files.join(locations.select(F.col("sitemap_url").alias("url")), "url", "left_semi"))
 
 
+def _archived(spark, sf_dir, read):
+    """read(path) over the pages as archive files in the shared folder, which are deleted again."""
+    path = f"{graph.shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    try:
+        i = F.col("page_id")
+        own = F.concat(F.lit("https://s"), (i % 25).cast("string"), F.lit(".example/p"), i.cast("string"))
+        archive.write_records(ad.table(spark, sf_dir, "pages").select(own.alias("url"), F.when(i % 6 == 0, 404).otherwise(200).alias("status_code"), "html"), f"{path}/data")
+        return graph.checkpoint(read(path))
+    finally:
+        graph.removed(spark, path)
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 6 = 0 THEN 404 ELSE 200 END AS BIGINT) AS status_code, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS content FROM pages")
+def archive_records(spark, sf_dir):
+    """The pages, read back from archive files by splits that don't know where records begin."""
+    found = lambda path: archive.records(spark, f"{path}/data", split_bytes=1 << 16)
+    return _archived(spark, sf_dir, lambda path: found(path).select(F.regexp_extract("url", "[0-9]+$", 0).cast("long").alias("page_id"), "status_code", "payload_bytes", F.sha2("html", 256).alias("content")))
+
+
+@query("""
+WITH p AS (SELECT page_id, 'example,s7)/p' || page_id AS urlkey, html FROM pages WHERE page_id % 25 = 7 AND page_id % 6 <> 0)
+SELECT urlkey, row_number() OVER (ORDER BY urlkey) - 1 AS row_no, sha256(html) AS content FROM p QUALIFY row_no < 40""")
+def archive_domain_pages(spark, sf_dir):
+    """The first captures of a domain by the index, and their records by place."""
+
+    def read(path):
+        archive.write_index(archive.records(spark, f"{path}/data"), f"{path}/index", lines=20)
+        captured = archive.domain_captures(spark, [f"{path}/index"], "s7.example", 40)
+        html = readers.warc_html(archive.content_at(captured.select("url", "filename", "offset", "length"), f"{path}/data"))
+        return captured.join(html, "url").select("urlkey", "row_no", F.sha2(F.regexp_replace("html", "\r\n\r\n$", ""), 256).alias("content"))
+
+    return _archived(spark, sf_dir, read)
+
+
+@query("""
+WITH u AS (SELECT page_id, page_id % 4 = 0 AS own, page_id % 10 AS k FROM pages)
+SELECT page_id, CASE WHEN own THEN k NOT IN (1, 2, 5, 6) ELSE k NOT IN (4, 7) END AS allowed,
+  CASE WHEN own THEN CASE k WHEN 1 THEN '/a' WHEN 2 THEN '/*.pdf$' WHEN 3 THEN '/a/open' WHEN 5 THEN '/*s=1' WHEN 6 THEN '/x*/y' WHEN 8 THEN '/tie' END ELSE CASE k WHEN 4 THEN '/p' WHEN 7 THEN '/p' END END AS rule FROM u""")
+def robots_longest_match(spark, sf_dir):
+    """A host of a quarter of all URLs with its own group of rules, the others with the group of everyone; Allow, * and $."""
+    i = F.col("page_id")
+    own, k = i % 4 == 0, i % 10
+    tail = F.concat(F.lit("/z"), i.cast("string"))
+    place = F.when(k == 1, "/a/shut").when(k == 2, "/doc.pdf").when(k == 3, "/a/open").when(k == 4, "/pq").when(k == 5, "/q?r=2&s=1").when(k == 6, "/xx/y").when(k == 7, "/p.pdf/r").when(k == 8, "/tie").otherwise("/free")
+    url = F.concat(F.lit("https://h/"), F.lit(""), F.substring(place, 2, 99), F.when(k == 2, F.concat(F.lit("?"), i.cast("string"), F.lit(".pdf"))).otherwise(tail))
+    asked = ad.table(spark, sf_dir, "pages").select(F.when(own, "big").otherwise(F.concat(F.lit("h"), (i % 7).cast("string"))).alias("host"), url.alias("url"))
+    body = "User-agent: sitelume\nAllow: /a/open\nDisallow: /a\nDisallow: /*.pdf$\nDisallow: /*s=1\nDisallow: /x*/y\nDisallow: /tie\nAllow: /tie\nDisallow:\n\nUser-agent: *\nDisallow: /p # all of it\n"
+    files = asked.select("host").distinct().withColumns({"status_code": F.lit(200), "body": F.lit(body)}).withColumn("body", F.when(F.col("host") == "big", F.col("body")).otherwise(F.replace("body", F.lit("User-agent: sitelume"), F.lit("User-agent: another"))))
+    found = robots.allowed(asked, files, "sitelume/1.0")
+    number = F.coalesce(F.nullif(F.regexp_extract("url", r"/z([0-9]+)$", 1), F.lit("")), F.regexp_extract("url", r"\?([0-9]+)\.pdf$", 1)).cast("long")
+    return found.select(number.alias("page_id"), "allowed", "rule")
+
+
 @query("SELECT page_id, page_id % 4 <> 1 AS allowed, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 2.0::DOUBLE END AS crawl_delay FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, true, NULL FROM pages WHERE page_id % 3 = 0")
 def robots_allowed(spark, sf_dir):
     i = F.col("page_id")

@@ -446,7 +446,7 @@ def first_captures(captured: DataFrame, limit: int) -> DataFrame:
     order = ["timestamp", "filename", "offset"]
     first = captured.groupBy("crawl_no", "urlkey").agg(F.min_by(F.struct(*(c for c in captured.columns if c not in ("crawl_no", "urlkey"))), F.struct(*order)).alias("r")).select("crawl_no", "urlkey", "r.*")
     place = F.row_number().over(Window.partitionBy("crawl_no").orderBy("urlkey"))
-    return first.withColumn("row_no", place - 1).filter(place <= limit)
+    return first.withColumn("row_no", place - 1).filter(F.col("row_no") < limit)
 
 
 def domain_captures(spark: SparkSession, indexes: list[str], domain: str, limit: int) -> DataFrame:

@@ -37,7 +37,7 @@ def archived(tmp_path_factory):
     return str(folder), rows
 
 
-@pytest.mark.parametrize("split", [20_000, 300_000, 1 << 25])
+@pytest.mark.parametrize("split", [20_000, 1 << 25])
 def test_records_by_splits(spark, archived, split):
     """Every record is read once, by the split in which it begins, whatever the splits."""
     folder, rows = archived
@@ -119,7 +119,6 @@ def test_places_in_sorted_lines():
     for _ in range(60):
         lines = sorted({bytes(r.choices(b"abc", k=r.randint(1, 6))) for _ in range(r.randint(0, 30))})
         source = pa.BufferReader(b"".join(x + b"\n" for x in lines))
-        source.size = lambda n=sum(len(x) + 1 for x in lines): n
         starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines) + 1)]
         for key in (b"", b"a", b"b", b"bb", b"cac", b"d"):
             k = sum(x < key for x in lines)
