@@ -83,10 +83,10 @@ def evaluated(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     })
 
 
-def duplicate_findings(pages: DataFrame) -> DataFrame:
+def duplicate_findings(pages: DataFrame, labels: tuple[str, str] = ("Duplicate title", "Duplicate meta description")) -> DataFrame:
     """url, seq, severity, message, detail of pages that share a folded title or description."""
 
-    asked = F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(label).alias("message"), folded(c).alias("key")) for seq, label, c in ((15, "Duplicate title", "title"), (16, "Duplicate meta description", "meta_description"))))
+    asked = F.array(*(F.struct(F.lit(seq).alias("seq"), F.lit(label).alias("message"), folded(c).alias("key")) for seq, label, c in zip((15, 16), labels, ("title", "meta_description"), strict=True)))
     keyed = pages.select("url", F.explode(asked).alias("f")).select("url", "f.*").filter("key <> ''")
     shared = keyed.groupBy("seq", "key").agg(F.count("*").alias("n")).filter("n > 1")  # counted before the shuffle; a hot title is one row
     return keyed.join(shared, ["seq", "key"]).select("url", "seq", F.lit("medium").alias("severity"), "message", _count(F.col("n"), "pages").alias("detail"))
@@ -203,19 +203,19 @@ def legacy_issues(pages: DataFrame, links: DataFrame, start_url: str, failed: Da
         issue(status.between(300, 399), "Crawlability", "WARNING", "Redirected URL", status.cast("string")),
     )
     no_alt = F.transform(F.filter(images, lambda i: strip(i["alt"]) == ""), lambda i: F.struct(F.lit("Images").alias("category"), F.lit("WARNING").alias("severity"), F.lit("Image missing ALT text").alias("issue"), text(i["url"]).alias("details")))
-    out = pages.select("url", F.explode_outer(F.concat(F.filter(found, lambda x: x.isNotNull()), no_alt)).alias("i")).filter("i is not null").select("i.category", "i.severity", "i.issue", "url", "i.details")
-
-    row = lambda df, category, severity, said, detail=None: df.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(said).alias("issue"), "url", (F.lit("") if detail is None else detail).alias("details"))
-    for field, label in (("title", "Duplicate title tag"), ("meta_description", "Duplicate meta description")):
-        keyed = pages.select("url", folded(field).alias("key")).filter("key <> ''")
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        out = out.unionByName(row(keyed.join(shared, "key"), "Duplicates", "WARNING", label, _count(F.col("n"), "pages")))
     internal = links.filter("internal")
-    sources = internal.select(F.col("source_url").alias("url")).distinct()
-    targets = internal.select(F.col("target_url").alias("url")).distinct()
-    out = out.unionByName(row(pages.join(sources, "url", "left_anti"), "Internal Linking", "WARNING", "Page has no internal outgoing links"))
-    out = out.unionByName(row(pages.filter(F.col("url") != start_url).join(targets, "url", "left_anti"), "Internal Linking", "ERROR", "Potential orphan page"))
-    return out if failed is None else out.unionByName(row(failed, "Crawlability", "ERROR", "Broken URL / failed crawl"))
+    ends = internal.select(F.explode(F.array(F.struct(F.col("source_url").alias("url"), F.lit(True).alias("is_source")), F.struct(F.col("target_url").alias("url"), F.lit(False).alias("is_source")))).alias("e")).select("e.*")
+    linked = ends.groupBy("url").agg(F.bool_or("is_source").alias("links_out"), F.bool_or(~F.col("is_source")).alias("linked_to"))
+    unlinked = lambda c: ~F.coalesce(c, F.lit(False))
+    graph = F.array(
+        issue(unlinked(F.col("links_out")), "Internal Linking", "WARNING", "Page has no internal outgoing links"),
+        issue(unlinked(F.col("linked_to")) & (F.col("url") != start_url), "Internal Linking", "ERROR", "Potential orphan page"),
+    )
+    own = pages.select("url", F.concat(F.filter(found, lambda x: x.isNotNull()), no_alt).alias("own")).join(linked, "url", "left")
+    out = own.select("url", F.explode_outer(F.concat("own", F.filter(graph, lambda x: x.isNotNull()))).alias("i")).filter("i is not null").select("i.category", "i.severity", "i.issue", "url", "i.details")
+    row = lambda df, category, severity, said, detail: df.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), said.alias("issue"), "url", detail.alias("details"))
+    out = out.unionByName(row(duplicate_findings(pages, ("Duplicate title tag", "Duplicate meta description")), "Duplicates", "WARNING", F.col("message"), F.col("detail")))
+    return out if failed is None else out.unionByName(row(failed, "Crawlability", "ERROR", F.lit("Broken URL / failed crawl"), F.lit("")))
 
 
 def pipeline_issues(pages: DataFrame, status_last: bool = False) -> DataFrame:

@@ -81,10 +81,11 @@ def _sums_by_url(pages: DataFrame, plain: DataFrame | None) -> DataFrame:
 
 
 def audited_scores(pages: DataFrame, plain: DataFrame | None = None) -> DataFrame:
-    """page_scores() of pages straight from the rules: no findings are written out and gathered again."""
-    every = (pages if plain is None else plain).select("url")
+    """page_scores() of pages straight from the rules: no findings are written out and gathered again. A URL's row is repeated as often as it has pages; pages without URL have none."""
     raw = raw_score(F.col("penalty"))
-    return every.join(_sums_by_url(pages, plain), "url").select("url", raw.alias("raw"), banker(raw).alias("score"), F.col("total_issues").alias("n_issues"))
+    sums = _sums_by_url(pages, plain).filter("url is not null and rows > 0")
+    scored = sums.select("url", raw.alias("raw"), banker(raw).alias("score"), F.col("total_issues").alias("n_issues"), "rows")
+    return scored.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("url", "raw", "score", "n_issues")
 
 
 def summary(pages: DataFrame, site: DataFrame, plain: DataFrame | None = None) -> DataFrame:
