@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import io
 import os
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.robotparser import RobotFileParser
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -95,25 +97,97 @@ def graph_release(names: list[str]) -> str | None:
     return max(set.intersection(*stems), default=None)
 
 
-def sitemap_entries(xml: str | None) -> tuple[str, list[str]]:
-    """(index or urlset, locations) of a sitemap; bad XML and other documents have none. Namespaces don't matter."""
+_SITEMAPS = {"sitemapindex": ("index", "sitemap"), "urlset": ("urlset", "url")}
+_ROWS = 10_000  # of a sitemap's locations are handed on at once
+_CHUNK = 1 << 16
+
+
+class _Locations:
+    """Pulls a sitemap's kind and locations out of a stream of bytes; it holds one location, and the names that are open."""
+
+    def __init__(self) -> None:
+        self.kind, self.entry, self.open, self.text, self.found = "", "", [], None, []
+        self.parser = expat.ParserCreate("utf-8", " ")
+        self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self._start, self._end, self._said
+        self.parser.EntityDeclHandler = self._entity  # documents that declare entities aren't read
+
+    def _entity(self, *declared: object) -> None:
+        raise expat.ExpatError("a sitemap declares an entity")
+
+    def _start(self, name: str, attributes: dict) -> None:
+        local = name.rpartition(" ")[2]
+        self.open.append(local)
+        if len(self.open) == 1:
+            self.kind, self.entry = _SITEMAPS.get(local.lower(), ("", ""))
+        elif self.text is not None:
+            self.text_ended = True
+        elif self.entry and self.open[1:] == [self.entry, "loc"]:
+            self.text, self.text_ended = [], False
+
+    def _said(self, text: str) -> None:
+        if self.text is not None and not self.text_ended:
+            self.text.append(text)
+
+    def _end(self, name: str) -> None:
+        if self.text is not None and len(self.open) == 3:
+            if loc := "".join(self.text).strip():
+                self.found.append(loc)
+            self.text = None
+        self.open.pop()
+
+    def of(self, chunks: Iterator[bytes]) -> Iterator[list[str]]:
+        for chunk in chunks:
+            self.parser.Parse(chunk, False)
+            if len(self.found) >= _ROWS:
+                yield self.found
+                self.found = []
+        self.parser.Parse(b"", True)
+        yield self.found
+
+
+def _chunks(content: str | bytes) -> Iterator[bytes]:
+    """A document piece by piece, decompressed if it begins like gzip; a text without its blanks at both ends."""
+    if isinstance(content, str):
+        content = content.strip().encode("utf-8", "replace")
+    source = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    while chunk := source.read(_CHUNK):
+        yield chunk
+
+
+def sitemap_batches(content: str | bytes | None) -> Iterator[tuple[str, list[str]]]:
+    """(index or urlset, some of the locations) of a sitemap, in order; bad XML and other documents have none.
+
+    The document, a text or (gzipped) bytes, is read twice, piece by piece: once to see that it is sound.
+    """
+    sound = _Locations()
     try:
-        root = ElementTree.fromstring((xml or "").strip().encode("utf-8", "replace"), ElementTree.XMLParser(encoding="utf-8"))
-    except ElementTree.ParseError:
-        return "", []
-    kind, entry = {"sitemapindex": ("index", "sitemap"), "urlset": ("urlset", "url")}.get(root.tag.rpartition("}")[2].lower(), ("", ""))
-    found = root.iterfind(f"{{*}}{entry}/{{*}}loc") if entry else ()
-    return kind, [loc for x in found if (loc := (x.text or "").strip())]
+        for _ in sound.of(_chunks(content or "")):
+            sound.found = []
+    except (expat.ExpatError, OSError, EOFError, zlib.error):
+        return
+    pulled = _Locations()
+    for locs in pulled.of(_chunks(content or "")):
+        yield pulled.kind, locs
+
+
+def sitemap_entries(xml: str | bytes | None) -> tuple[str, list[str]]:
+    """(index or urlset, locations) of a sitemap; bad XML and other documents have none. Namespaces don't matter."""
+    kind, out = "", []
+    for kind, locs in sitemap_batches(xml):
+        out += locs
+    return kind, out
 
 
 def sitemap_locations(files: DataFrame) -> DataFrame:
-    """sitemap_url, kind (index or urlset), pos, loc. files: url, status_code, xml."""
+    """sitemap_url, kind (index or urlset), pos, loc. files: url, status_code, xml (a text, or bytes, gzipped or not); a sitemap of any size comes out in batches."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for url, xml in zip(rows["url"], rows["xml"], strict=True):
-                kind, locs = sitemap_entries(xml)
-                yield pd.DataFrame({"sitemap_url": url, "kind": kind, "pos": range(len(locs)), "loc": locs}).astype({"pos": "int32", "loc": "object"})
+                at = 0
+                for kind, locs in sitemap_batches(xml):
+                    yield pd.DataFrame({"sitemap_url": url, "kind": kind, "pos": range(at, at + len(locs)), "loc": locs}).astype({"pos": "int32", "loc": "object"})
+                    at += len(locs)
 
     return files.filter("status_code = 200").select("url", "xml").mapInPandas(parsed, "sitemap_url string, kind string, pos int, loc string")
 
