@@ -43,7 +43,8 @@ def scheme(url: Column | str) -> Column:
 
 
 def netloc(url: Column | str) -> Column:
-    return _part(url, 2)
+    """Host with user and port as they are written, also of a reference without a scheme (//host/path)."""
+    return F.regexp_extract(text(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
 
 
 def host(url: Column | str) -> Column:

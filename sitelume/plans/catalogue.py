@@ -851,3 +851,68 @@ def robots_allowed(spark, sf_dir):
     body = "User-agent: *\nCrawl-delay: 2\nDisallow: /private\n\nUser-agent: other\nDisallow: /\n"
     robots = spark.range(3).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.when(F.col("id") == 0, 404).otherwise(200).alias("status_code"), F.lit(body).alias("body"))
     return readers.robots_allowed(asked, robots, "sitelume").select(F.regexp_extract("url", "[0-9]+$", 0).cast("long").alias("page_id"), "allowed", "crawl_delay")
+
+
+# ---- rendered pages, child tables, followed links, candidates by engine
+
+
+@query(f"""{_WITH} SELECT url, CASE WHEN page_id % 6 = 0 THEN 'Rendered ' || page_id ELSE title END AS title, CAST(CASE WHEN page_id % 9 = 0 THEN 3 ELSE words END AS BIGINT) AS word_count,
+  CAST(CASE WHEN page_id % 3 = 0 THEN page_id % 2 ELSE n_h1 END AS BIGINT) AS n_h1, CASE WHEN page_id % 3 = 0 THEN 'rendered' END AS via FROM crawl_pages""")
+def overlaid_pages(spark, sf_dir):
+    """Every third page has a rendered form: half of these a title, a third a text, all of them a list of headings, which may be empty."""
+    i = F.col("page_id")
+    pages = ad.crawl_pages(spark, sf_dir).select("page_id", "url", "title", "word_count", "h1s")
+    rendered = pages.filter(i % 3 == 0).select(
+        "url", F.when(i % 6 == 0, F.concat(F.lit("Rendered "), i.cast("string"))).otherwise("").alias("title"), F.when(i % 9 == 0, " one two\nthree ").otherwise("").alias("body_text"),
+        F.array_repeat(F.lit("h"), (i % 2).cast("int")).alias("h1s"), F.lit("rendered").alias("via"),
+    )
+    return merge.overlay_pages(pages, rendered).select("url", "title", "word_count", F.size("h1s").alias("n_h1"), "via")
+
+
+@query(f"""
+WITH p AS (SELECT page_id AS i, '{ad.HOME}p/' || page_id AS url FROM pages), k AS (SELECT i, url, unnest(range(0, i % 4)) AS k FROM p)
+SELECT 'resources' AS kind, url AS page_url, 's' || k || '.js' AS value, 'javascript' AS detail FROM k UNION ALL SELECT 'resources', url, 'a.css', 'stylesheet' FROM p WHERE i % 2 = 0
+UNION ALL SELECT 'hreflang', url, 'https://x/' || k, 'l' || k FROM k UNION ALL SELECT 'schemas', url, 'Article', NULL FROM p WHERE i % 3 = 0 UNION ALL SELECT 'links', url, '/t' || k, CASE WHEN k % 2 = 1 THEN 'true' ELSE 'false' END FROM k""")
+def child_rows(spark, sf_dir):
+    """The child tables of nested pages beside their images, one row each."""
+    i = F.col("page_id")
+    upto = lambda f: F.when(i % 4 > 0, F.transform(F.sequence(F.lit(0), (i % 4).cast("int") - 1), f)).otherwise(F.transform(F.array().cast("array<int>"), f))
+    text = lambda k: k.cast("string")
+    some = lambda on, value: F.when(on, F.array(F.lit(value))).otherwise(F.array().cast("array<string>"))
+    no = F.lit(False)
+    pages = ad.table(spark, sf_dir, "pages").select(
+        F.lit(7).cast("long").alias("crawl_id"), F.concat(F.lit(f"{ad.HOME}p/"), i.cast("string")).alias("url"), upto(lambda k: F.concat(F.lit("s"), text(k), F.lit(".js"))).alias("scripts"), some(i % 2 == 0, "a.css").alias("stylesheets"),
+        upto(lambda k: F.struct(F.concat(F.lit("l"), text(k)).alias("lang"), F.concat(F.lit("https://x/"), text(k)).alias("url"))).alias("hreflang"), some(i % 3 == 0, "Article").alias("schemas"), F.array().cast(readers.IMAGES).alias("images"),
+        upto(lambda k: F.struct(F.concat(F.lit("/t"), text(k)).alias("url"), F.lit("a").alias("anchor"), F.lit("").alias("rel"), (k % 2 == 1).alias("nofollow"), no.alias("ugc"), no.alias("sponsored"))).alias("links"),
+    )
+    t = sinks.child_tables(pages)
+    row = lambda kind, page, value, detail: t[kind].select(F.lit(kind).alias("kind"), F.col(page).alias("page_url"), F.col(value).alias("value"), detail.cast("string").alias("detail"))
+    out = row("resources", "page_url", "resource_url", F.col("resource_type")).unionByName(row("hreflang", "page_url", "url", F.col("lang"))).unionByName(row("schemas", "page_url", "schema_type", F.lit(None)))
+    return out.unionByName(row("links", "source_url", "target_url", F.col("nofollow"))).unionByName(t["images"].select(F.lit("images").alias("kind"), "page_url", F.col("image_url").alias("value"), F.lit(None).cast("string").alias("detail")))
+
+
+@query("SELECT CAST(event_id % 5 AS BIGINT) AS kind, event_id % 5 IN (0, 1) AS followed, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def followed_links(spark, sf_dir):
+    """A crawl follows relative links and those of exactly its start URL's host and port."""
+    i = F.col("event_id")
+    tail = i.cast("string")
+    target = F.when(i % 5 == 0, F.concat(F.lit("/p/"), tail)).when(i % 5 == 1, F.concat(F.lit("http://www.Start.example:81/"), tail)).when(i % 5 == 2, F.concat(F.lit("http://www.start.example:81/"), tail)).when(i % 5 == 3, F.concat(F.lit("https://www.Start.example/"), tail)).otherwise(F.concat(F.lit("//other.example/"), tail))
+    rows = ad.table(spark, sf_dir, "events").select((i % 5).alias("kind"), graph.internal_link(target, "https://www.Start.example:81/x").alias("followed"))
+    return rows.groupBy("kind", "followed").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT event_id AS i, event_id // 12 AS page FROM events), n AS (SELECT page, count(*) AS n FROM e GROUP BY 1),
+f AS (SELECT CASE WHEN page % 2 = 0 THEN 1 ELSE 2 END AS engine_no, page // 2 AS query_no, row_number() OVER (PARTITION BY page ORDER BY i) - 1 AS pos, 'https://s' || (i % 5000) || '.example/' AS url FROM e),
+t AS (SELECT url, min((engine_no, query_no, pos)) AS f FROM f WHERE pos < 10 AND url <> 'https://s3.example/' GROUP BY 1)
+SELECT url, CAST(struct_extract(f, 1) AS BIGINT) AS engine_no, CAST(struct_extract(f, 2) AS BIGINT) AS query_no, CAST(struct_extract(f, 3) AS BIGINT) AS pos FROM t""")
+def engine_candidates(spark, sf_dir):
+    """Stored result pages of both engines, a dozen results each, by turns; the other engine's links are wrapped into its redirects."""
+    i, page = F.col("event_id"), F.floor(F.col("event_id") / 12)
+    url = F.concat(F.lit("https://s"), (i % 5000).cast("string"), F.lit(".example/"))
+    bing = F.concat(F.lit('<li class="b_algo"><h2><a href="'), url, F.lit('">x</a></h2></li>'))
+    other = F.concat(F.lit('<a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode(url), F.lit('&amp;rut=1">x</a>'))
+    rows = ad.table(spark, sf_dir, "events").select(page.alias("page"), i.alias("i"), F.when(page % 2 == 0, bing).otherwise(other).alias("one"))
+    html = rows.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "one")))["one"], "\n").alias("html"))  # a dozen
+    serps = html.select(F.when(F.col("page") % 2 == 0, "bing").otherwise("duckduckgo").alias("engine"), F.floor(F.col("page") / 2).cast("int").alias("query_no"), F.lit(0).alias("page_no"), "html")
+    return discovery.candidates(serps, "s3.example", most_results=40)
