@@ -916,3 +916,24 @@ def engine_candidates(spark, sf_dir):
     html = rows.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "one")))["one"], "\n").alias("html"))  # a dozen
     serps = html.select(F.when(F.col("page") % 2 == 0, "bing").otherwise("duckduckgo").alias("engine"), F.floor(F.col("page") / 2).cast("int").alias("query_no"), F.lit(0).alias("page_no"), "html")
     return discovery.candidates(serps, "s3.example", most_results=40)
+
+
+@query("""
+WITH k AS (SELECT c_custkey AS k, 'd' || c_custkey || '.example' AS domain FROM customer)
+SELECT domain, 'https://' || domain || '/a' AS url FROM k WHERE k % 3 = 0 UNION ALL SELECT domain, 'https://www.' || domain || '/b' FROM k WHERE k % 3 = 0 UNION ALL SELECT domain, 'https://' || domain || '/x' FROM k WHERE k % 3 = 1""")
+def domain_sitemaps(spark, sf_dir):
+    """Of three domains one has a sitemap under its usual name, one an index on another host that its robots file names, one none."""
+    k = F.col("c_custkey")
+    base = ad.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("d"), k.cast("string"), F.lit(".example")).alias("domain"))
+    own, cdn = F.concat(F.lit("https://"), "domain"), lambda kind: F.concat(F.lit(f"https://cdn.example/{kind}"), k.cast("string"), F.lit(".xml"))
+    one = lambda loc: F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>"))
+    urlset = lambda *locs: F.concat(F.lit("<urlset>"), *map(one, locs), F.lit("</urlset>"))
+    file = lambda url, body: F.struct(url.alias("url"), F.lit(200).alias("status_code"), body.alias("xml"))
+    first = F.array(file(F.concat(own, F.lit("/sitemap.xml")), urlset(F.concat(own, F.lit("/a")), F.concat(F.lit("https://www."), "domain", F.lit("/b")), F.lit("https://other.example/c"))))
+    second = F.array(
+        file(F.concat(own, F.lit("/robots.txt")), F.concat(F.lit("User-agent: *\nSitemap: "), cdn("i"))),
+        file(cdn("i"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), cdn("s"), F.lit("</loc></sitemap></sitemapindex>"))),
+        file(cdn("s"), urlset(F.concat(own, F.lit("/x")))),
+    )
+    files = base.select(F.inline(F.when(k % 3 == 0, first).when(k % 3 == 1, second)))
+    return readers.domain_sitemap_pages(base.select("domain"), files).select("domain", "url")
