@@ -6,7 +6,7 @@ Live fetching is a source's business; these operators work on tables of pages, a
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
@@ -14,7 +14,7 @@ from sitelume.functions.html import html_anchors, result_links
 from sitelume.functions.text import strip
 from sitelume.operators import graph
 from sitelume.operators.links import classify_rel, rel_flags
-from sitelume.sources import webgraph
+from sitelume.sources import files, readers, webgraph
 
 #: Status of the domain-graph lookup.
 L1_STATUSES = ("invalid_target", "not_configured", "graph_missing", "not_in_graph", "success", "failed")
@@ -104,8 +104,8 @@ def layer2_summary(found: DataFrame) -> DataFrame:
     return found.agg(overall.alias("status"), F.count("*").alias("domains_investigated"), F.coalesce(F.sum("links_found"), F.lit(0)).alias("links_found"))
 
 
-def layer1(vertices: DataFrame | None, edges_t: DataFrame | None, target: str, configured: bool = True) -> tuple[str, DataFrame | None]:
-    """Status of the domain-graph lookup (one of L1_STATUSES), and its rows if it succeeded.
+def layer1(vertices: DataFrame | None, edges_t: DataFrame | str | None, target: str, configured: bool = True) -> tuple[str, DataFrame | None]:
+    """Status of the domain-graph lookup (one of L1_STATUSES), and its rows if it succeeded. edges_t: a table, or the name of the graph's own file.
 
     configured: whether a folder of the graph is named at all; the tables are None where it lacks them.
     """
@@ -118,11 +118,25 @@ def layer1(vertices: DataFrame | None, edges_t: DataFrame | None, target: str, c
             return "invalid_target", None
         if vertex_id(vertices, target).isEmpty():
             return "not_in_graph", None
-        return "success", referring_domains(vertices, edges_t, target)
+        return "success", (referring_domains_of_file if isinstance(edges_t, str) else referring_domains)(vertices, edges_t, target)
     except PySparkException:  # a table that can't be read
         return "failed", None
 
 
+def layer1_facts(spark: SparkSession, folder: str | None, target: str, most: int) -> dict:
+    """What a report says of the lookup in a folder of graph releases: status, release, totals, and the first rows by domain, most at most."""
+    release = readers.graph_release(files.names(folder)) if folder else None
+    stem = f"{folder}/{release}"
+    status, rows = layer1(readers.vertices_tsv(spark, f"{stem}-vertices.txt.gz") if release else None, stem if release else None, target, bool(folder))
+    facts = {"status": status, "graph_release": release, "total_backlinks": 0, "referring_domains": 0, "backlinks": []}
+    if rows is not None:
+        rows = graph.checkpoint(rows)
+        n = rows.count()
+        shown = rows.orderBy("referring_domain").limit(most).collect()
+        facts |= {"total_backlinks": n, "referring_domains": n, "backlinks": [{"referring_domain": r.referring_domain, "source_url": r.source_url, "target_url": target} for r in shown]}
+    return facts
+
+
 def public_backlinks(sources: DataFrame, target: str) -> DataFrame:
     """Distinct anchors to the target on pages outside it. sources: url, final_url, content_type, html."""
     kind = F.lower(F.coalesce("content_type", F.lit("")))

@@ -1,5 +1,6 @@
 """The domain graph's own file: the format, the source's pushdown and partitions, and its writer."""
 
+import gzip
 import random
 
 import pytest
@@ -174,3 +175,17 @@ def test_referring_domains_of_the_file(spark, tmp_path):
     webgraph.write(edges.selectExpr("node", "pred neighbour"), path)
     for target in ("a.com", "https://www.A.com/x", "b.com", "d.com", "nowhere.net"):
         assert sorted(backlinks.referring_domains_of_file(vertices, path, target).collect()) == sorted(backlinks.referring_domains(vertices, edges, target).collect())
+
+
+def test_report_of_a_graph_folder(spark, tmp_path):
+    """The last release of a folder, read from the graph's own file."""
+    (tmp_path / "old-vertices.txt.gz").write_bytes(b"")
+    stem = f"{tmp_path}/release-2"
+    plain(stem, [[1, 2], [0], [], [0, 1, 2]])
+    with gzip.open(stem + "-vertices.txt.gz", "wt") as f:
+        f.write("0\tcom.a\n1\tcom.b\n2\torg.c\n3\tcom.d\n")
+    facts = lambda target, most=10: backlinks.layer1_facts(spark, str(tmp_path), target, most)
+    got = facts("https://www.d.com/")
+    assert (got["status"], got["graph_release"], got["total_backlinks"]) == ("success", "release-2", 3) and [r["referring_domain"] for r in got["backlinks"]] == ["a.com", "b.com", "c.org"]
+    assert len(facts("https://d.com/", 2)["backlinks"]) == 2 and facts("https://c.org/")["total_backlinks"] == 0 and facts("https://e.com/")["status"] == "not_in_graph"
+    assert backlinks.layer1_facts(spark, f"{tmp_path}/none", "https://d.com/", 5)["status"] == "graph_missing" and backlinks.layer1_facts(spark, None, "https://d.com/", 5)["status"] == "not_configured"
