@@ -80,10 +80,13 @@ class Rounds:
         """A table of the caller's, computed once and read again where it is used more than once."""
         return self.caller.read.schema(df.schema).parquet(self._path(df))
 
+    def passed(self, df: DataFrame) -> DataFrame:
+        """A table of the caller's, as the rounds read it."""
+        return self.own.read.schema(df.schema).parquet(self._path(df))
+
     def given(self, df: DataFrame, *keys: str) -> DataFrame:
         """A table of the caller's, dealt by keys; rounds that use it by these keys don't shuffle it."""
-        table = self.own.read.schema(df.schema).parquet(self._path(df))
-        return checkpoint(table.repartition(self.partitions, *keys).sortWithinPartitions(*keys).select("*"))
+        return checkpoint(self.passed(df).repartition(self.partitions, *keys).sortWithinPartitions(*keys).select("*"))
 
     def result(self, df: DataFrame) -> DataFrame:
         """A table of a round, back in the caller's session."""
@@ -175,17 +178,17 @@ def search(edges: DataFrame, starts: DataFrame, hits: DataFrame | None = None, w
     deep = starts.agg(F.max("depth")).first()[0]
     with Rounds(starts.sparkSession) as rounds:
         edge = rounds.given(edges.select("grp", "source", "target").distinct(), "grp", "source")
-        begun = rounds.given(starts.groupBy("grp", "url").agg(F.min(F.struct("depth", "rank")).alias("s")).select("grp", "url", "s.rank", F.col("s.depth").cast("int").alias("depth")), "grp", "url")
+        begun = rounds.passed(starts.groupBy("grp", "url").agg(F.min(F.struct("depth", "rank")).alias("s")).select("grp", "url", F.col("s.rank").cast("int").alias("rank"), F.col("s.depth").cast("int").alias("depth")))
         hit = None if hits is None else rounds.given(hits.select("grp", "url").distinct().withColumn("hit", F.lit(True)), "grp", "url")
         counted = None if within is None else rounds.given(within.select("grp", "url").distinct(), "grp", "url")
         most = F.lit((1 << 31) - 1 if max_pages is None else max_pages)
         frontier, seen, active, depth = None, None, None, 0
         rank = F.lit(9) if later is None else later
         while deep is not None:
-            level = begun.filter(F.col("depth") == depth).select("grp", "url", "rank")
+            level = begun.filter(F.col("depth") == depth).select("grp", "url", "rank") if depth <= deep else None
             if frontier is not None:
                 found = edge.join(frontier.select("grp", F.col("url").alias("source")), ["grp", "source"], "left_semi").select("grp", F.col("target").alias("url")).distinct().withColumn("rank", rank.cast("int"))
-                level = level.withColumn("rank", F.col("rank").cast("int")).unionByName(found).groupBy("grp", "url").agg(F.min("rank").alias("rank"))
+                level = found if level is None else level.unionByName(found).groupBy("grp", "url").agg(F.min("rank").alias("rank"))
             if counted is not None:
                 level = level.join(counted, ["grp", "url"], "left_semi")
             if seen is not None:
