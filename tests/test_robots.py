@@ -86,14 +86,14 @@ def test_rules_are_rows(spark):
 
 
 def test_one_host_of_all_urls_and_very_many_rules(spark):
-    """20,000 URLs of one host against 3,000 rules and 900 patterns: the same as one by one, dealt by salt."""
-    body = "User-agent: *\n" + "".join(f"{'Allow' if k % 3 == 0 else 'Disallow'}: /s{k % 50}/{'x' * (k % 7)}{k}\n" for k in range(3000)) + "".join(f"Disallow: /t/*{k}$\n" for k in range(900))
+    """4,000 URLs of one host against 3,000 rules and 250 patterns: the same as one by one, dealt by salt."""
+    body = "User-agent: *\n" + "".join(f"{'Allow' if k % 3 == 0 else 'Disallow'}: /s{k % 50}/{'x' * (k % 7)}{k}\n" for k in range(3000)) + "".join(f"Disallow: /t/*{k}$\n" for k in range(250))
     files = spark.createDataFrame([("h", 200, body)], "host string, status_code int, body string")
-    asked = spark.range(20_000).selectExpr("'h' host", "if(id % 2 = 0, concat('https://h/s', id % 50, '/', repeat('x', cast(id % 7 as int)), id % 3500, '/p', id), concat('https://h/t/', id)) url")
+    asked = spark.range(4000).selectExpr("'h' host", "if(id % 2 = 0, concat('https://h/s', id % 50, '/', repeat('x', cast(id % 7 as int)), id % 3500, '/p', id), concat('https://h/t/', id)) url")
     rows = robots.allowed(asked, files, "me")
     got = {r.url: (r.allowed, r.rule) for r in rows.collect()}
-    assert len(got) == 20_000
-    some = sorted(got)[::97]
-    assert {u: got[u] for u in some} == {u: plainly(body, "me", u) for u in some} and 0 < sum(not a for a, _ in got.values()) < 20_000
+    assert len(got) == 4000
+    some = sorted(got)[::19]
+    assert {u: got[u] for u in some} == {u: plainly(body, "me", u) for u in some} and 0 < sum(not a for a, _ in got.values()) < 4000
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
