@@ -38,7 +38,7 @@ def rules(files: DataFrame) -> DataFrame:
     bare = F.transform(F.split(body, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "#.*", ""), r"\s", " ")))
     field = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
     parts = F.transform(F.filter(bare, lambda x: F.contains(x, F.lit(":")) & field(x).isin(*FIELDS)), lambda x: F.struct(field(x).alias("kind"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    listed = files.filter((F.col("status_code") == 200) & F.col("host").isNotNull()).select("host", parts.alias("lines"))
+    listed = files.filter((F.col("status_code") == 200) & F.col("host").isNotNull()).select("host", F.explode(F.array(F.struct(parts.alias("lines")))).alias("l")).select("host", "l.lines")  # exploded, so that the lines are computed once
     agent = lambda i: (i >= 0) & (F.get("lines", i)["kind"] == "user-agent")
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     starts = F.filter(places, lambda i: agent(i) & ~F.coalesce(agent(i - 1), F.lit(False)))  # of groups
