@@ -1,12 +1,17 @@
 """Signature tables and their matching: which vendors' marks does a page carry.
 
-Tables are data: name -> patterns. All matching is done by Columns within the row.
+Tables are data: name -> patterns. All plain marks of a page are found by one automaton in one pass
+(marks(), an Arrow function); what they say of the page are Columns over the marks found, so the
+page's length is paid once and not for each mark.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,10 +85,36 @@ def searched(html: Column | str, scripts: Column | None = None) -> Column:
     return F.lower(both)
 
 
-def hits(low: Column, table: dict[str, list[str]]) -> Column:
-    """Array of (name, evidence) of the names with a hit, by name."""
-    found = [F.struct(F.lit(name).alias("name"), F.filter(F.array(*(F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in patterns)), lambda x: x.isNotNull()).alias("evidence")) for name, patterns in sorted(table.items())]
-    return F.filter(F.array(*found), lambda x: F.size(x["evidence"]) > 0)
+@lru_cache(maxsize=64)
+def _finder(wanted: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Function of a text: the wanted marks that it has, each once. One automaton is built by each task."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(low: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for mark in filter(None, wanted):
+            automaton.add_word(mark, mark)
+        automaton.make_automaton()
+        always = {m for m in wanted if not m}  # every text has the empty mark
+        for texts in low:
+            yield texts.map(lambda t: list(always.union(mark for _, mark in automaton.iter(t or ""))))
+
+    return found
+
+
+def marks(low: Column, *tables: dict[str, list[str]]) -> Column:
+    """The marks of all tables, in lower case, that occur in low: one pass over the text, whatever their number."""
+    wanted = tuple(sorted({p.lower() for table in tables for patterns in table.values() for p in patterns}))
+    if not any(wanted):
+        return F.array(*map(F.lit, wanted)).cast("array<string>")
+    return _finder(wanted)(low)
+
+
+def hits(low: Column, table: dict[str, list[str]], found: Column | None = None) -> Column:
+    """Array of (name, evidence) of the names with a hit, by name. found: marks() of several tables, this one among them."""
+    seen = marks(low, table) if found is None else found
+    rows = [F.struct(F.lit(name).alias("name"), F.array_compact(F.array(*(F.when(F.array_contains(seen, p.lower()), F.lit(p)) for p in patterns)).cast("array<string>")).alias("evidence")) for name, patterns in sorted(table.items())]
+    return F.filter(F.array(*rows).cast("array<struct<name:string,evidence:array<string>>>"), lambda x: F.size(x["evidence"]) > 0)
 
 
 def names(found: Column) -> Column:
@@ -101,16 +132,30 @@ def first_name(found: Column) -> Column:
 
 def best_name(low: Column, headers: Column, table: dict[str, list[str]]) -> Column:
     """The name with the most patterns found in text or headers; the table's order decides ties."""
-    count = lambda ps: sum((F.when(F.contains(low, F.lit(p.lower())) | F.contains(headers, F.lit(p.lower())), 1).otherwise(0) for p in ps), F.lit(0))
+    seen = F.array_union(marks(low, table), marks(headers, table))
+    count = lambda ps: sum((F.when(F.array_contains(seen, p.lower()), 1).otherwise(0) for p in ps), F.lit(0))
     scored = F.array(*(F.struct(count(ps).alias("n"), F.lit(-k).alias("o"), F.lit(name).alias("name")) for k, (name, ps) in enumerate(table.items())))
     best = F.array_max(scored)
     return F.when(best["n"] > 0, best["name"]).otherwise(UNKNOWN)
 
 
+def _literal(pattern: str) -> str | None:
+    """The ASCII text that a regular expression stands for, if it is nothing else."""
+    return re.sub(r"\\(.)", r"\1", pattern).lower() if pattern.isascii() and re.fullmatch(r"(?:[^\\.^$*+?{}\[\]|()]|\\\W)+", pattern) else None
+
+
 def regex_names(html: Column | str, table: dict[str, list[str]]) -> Column:
-    """Sorted names of which any regular expression matches."""
+    """Sorted names of which any regular expression matches. Those that are plain text are found in one pass, the others by themselves."""
     low = F.lower(text(html))
-    return F.filter(F.array(*(F.when(low.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)), F.lit(n)) for n, ps in sorted(table.items()))), lambda x: x.isNotNull())
+    plain = {name: [_literal(p) for p in ps if _literal(p)] for name, ps in table.items()}
+    seen = marks(low, plain)
+
+    def matches(name: str) -> Column:
+        others = [p for p in table[name] if not _literal(p)]
+        either = F.arrays_overlap(seen, F.array(*map(F.lit, plain[name]))) if plain[name] else F.lit(False)
+        return either | low.rlike("(?i)" + "|".join(f"(?:{p})" for p in others)) if others else either
+
+    return F.array_compact(F.array(*(F.when(matches(n), F.lit(n)) for n in sorted(table))).cast("array<string>"))
 
 
 def platform_report(html: Column | str, headers: Column | str, table: dict[str, list[str]] | None = None) -> Column:

@@ -166,7 +166,8 @@ _HAS = lambda ps: " OR ".join(f"contains(h, '{p.lower()}')" for p in ps)  # noqa
 def vendor_counts(spark, sf_dir):
     """Pages by detected tracking vendor and platform, with the full tables."""
     low = signatures.searched("html")
-    found = F.concat(signatures.names(signatures.hits(low, signatures.TRACKING)), signatures.names(signatures.hits(low, signatures.PLATFORMS)))
+    marks = signatures.marks(low, signatures.TRACKING, signatures.PLATFORMS)
+    found = F.concat(*(signatures.names(signatures.hits(low, t, marks)) for t in (signatures.TRACKING, signatures.PLATFORMS)))
     counts = ad.table(spark, sf_dir, "pages").select(F.explode(found).alias("vendor")).groupBy("vendor").agg(F.count("*").alias("n"))
     every = spark.range(1).select(F.explode(F.array(*map(F.lit, _VENDORS))).alias("vendor"))
     return every.join(counts, "vendor", "left").select("vendor", F.coalesce("n", F.lit(0)).alias("n"))

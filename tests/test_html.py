@@ -68,6 +68,39 @@ def test_signatures(spark):
     assert spark.range(1).select(signatures.first_name(signatures.hits(F.lit(""), signatures.PLATFORMS))).first()[0] == signatures.UNKNOWN
 
 
+def test_marks_equal_a_search_for_each(spark):
+    """Marks that begin, end or hold one another, the empty mark, marks beyond ASCII, null texts and an empty table."""
+    table = {"b": ["react", "act", "react-dom"], "a": ["REACT-DOM x", "", "é€😀"], "c": ["ct-d", "never"], "none": []}
+    texts = ["react-dom x", "REACT é€😀", "ac t", "", None, "ct-dact", "x" * 50_000 + "never", "reactreact"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, h string")
+    low = signatures.searched("h")
+    got = {r.i: {x.name: x.evidence for x in r.f} for r in rows.select("i", signatures.hits(low, table).alias("f")).collect()}
+    held = lambda t, ps: [p for p in ps if p.lower() in (t or "").lower()]
+    assert got == {i: {n: held(t, ps) for n, ps in sorted(table.items()) if held(t, ps)} for i, t in enumerate(texts)}
+    assert all(r.f == [] for r in rows.select(signatures.hits(low, {}).alias("f")).collect())
+    two = {k: v for k, v in table.items() if k in "bc"}
+    count = lambda t, ps: sum(p in (t or "").lower() or p in "never ct-d" for p in ps)
+    best = {r.i: r.b for r in rows.select("i", signatures.best_name(low, F.lit("never ct-d"), two).alias("b")).collect()}
+    assert best == {i: max(two, key=lambda n: count(t, two[n])) for i, t in enumerate(texts)}
+
+
+def test_plain_and_other_expressions(spark):
+    table = {"Generator": [r"""name=["']generator["'][^>]+wordpress""", r"wp\.json"], "Plain": [r"cdn\.shop\.com", "/_Next/"], "Digits": [r"gtm-[0-9]+"], "Neither": [r"\bzzz\b"]}
+    pages = ["<meta NAME='generator' content='WordPress 6'>", "wp.json", "wpxjson", "https://CDN.shop.com/_next/", "cdnxshop.com GTM-12", "zzzz", "a zzz b", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string").coalesce(1).orderBy("i").select(signatures.regex_names("h", table)).collect()]
+    assert got == [["Generator"], ["Generator"], [], ["Plain"], ["Digits"], [], ["Neither"], [], []]
+
+
+def test_vendors_are_found_in_one_pass(spark):
+    """Both vendor tables are one Arrow function in the plan, and no search for single marks."""
+    low = signatures.searched("h")
+    found = signatures.marks(low, signatures.TRACKING, signatures.PLATFORMS)
+    rows = spark.createDataFrame([("gtag( wix.com",)], "h string").select(*(signatures.names(signatures.hits(low, t, found)).alias(n) for n, t in (("t", signatures.TRACKING), ("p", signatures.PLATFORMS))))
+    assert tuple(rows.first()) == (["Google Analytics"], ["Wix"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Contains(" not in plan and "contains(lower" not in plan
+
+
 def test_anchors():
     got = H.anchors("<a HREF='/x?a=1&amp;b=2' rel=\" UGC \">a <b>b</b>\n&lt;c</a><a name=x>n</a>", "https://a.com/")
     assert got == [{"url": "https://a.com/x?a=1&b=2", "anchor": "a b <c", "rel": "UGC"}]
