@@ -164,8 +164,18 @@ def digest(found: DataFrame) -> DataFrame:
 _TEXT = (F.xxhash64, lambda c: F.xxhash64(F.lit("second"), c))
 
 
-def _five_words(text: str | None) -> list[int]:
-    return shingle_hashes(text, similarity.SHINGLE)
+def five_word_hashes(three: list[int]) -> np.ndarray:
+    """A hash for each five-word shingle, of those of the three-word shingles at its ends; of fewer words one for all of them."""
+    h = np.array(three, np.uint64)
+    if len(h) < 2:
+        return h
+    first, last = (h[:-2], h[2:]) if len(h) > 2 else (h[:1], ~h[1:])  # two shingles are four words, which aren't five
+    mixed = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + last
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _five_words(text: str | None) -> np.ndarray:
+    return five_word_hashes(shingle_hashes(text))
 
 
 def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -186,8 +196,9 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = batch.column(1).to_pylist()
-            fps = [fingerprint(shingle_hashes(t)) for t in told]
-            sets = [similarity.shingle_set(_five_words(t)) for t in told]
+            three = [shingle_hashes(t) for t in told]
+            fps = [fingerprint(h) for h in three]
+            sets = [similarity.shingle_set(five_word_hashes(h)) for h in three]
             cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(fps, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(similarity.band_keys, sets), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h0", "h1", "fp", "n", "bands"])
 

@@ -61,6 +61,67 @@ def test_links_against_all_pairs(spark, texts):
     assert root[0] >= set(range(240, 390))
 
 
+def in_order(rows, reach, on=1):
+    """Candidates and crowded nodes of the whole order, in plain Python. rows: (node, n, bands, root)."""
+    pairs, crowded = set(), set()
+    for k in range(similarity.BANDS):
+        row = sorted((b[k], b[(k + on) % similarity.BANDS], node, n, root) for node, n, b, root in rows)
+        for i, x in enumerate(row):
+            for y in row[i + 1 : i + 1 + reach]:
+                if x[0] == y[0] and x[4] != y[4] and min(x[3], y[3]) >= 0.8 * max(x[3], y[3]):
+                    pairs.add((min(x[2], y[2]), max(x[2], y[2])))
+        crowded |= {x[2] for x in row if sum(y[0] == x[0] for y in row) > reach + 1}
+    return pairs, crowded
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 60])
+def test_candidates_do_not_depend_on_partitions(spark, partitions):
+    """Keys of one, a few and of most rows, cut anywhere: short partitions, a key over several of them, equal second keys."""
+    r = random.Random(partitions)
+    key = lambda: r.choice([1, 1, 1, 2, 3, r.randrange(1 << 40)])
+    rows = [(i, r.choice([100, 110, 200]), [key() for _ in range(similarity.BANDS)], r.randrange(90)) for i in range(100)]
+    frame = spark.createDataFrame(rows, "node long, n int, bands array<long>, root long")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for reach, on in ((1, 1), (3, 5)):
+            pairs, crowded = similarity.neighbours(frame, reach, (on,))
+            got = {tuple(x) for x in pairs.collect()}, {x.node for x in crowded.collect()}
+            assert got == in_order(rows, reach, on) and got[0] and got[1]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_crowded_keys_are_searched_further(spark):
+    """Texts of one passage in whose keys a pair's two texts are seldom neighbours: the further orders find what the first leaves out."""
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"w{r.randrange(9000)}" for _ in range(n))
+    passage, texts = prose(150), []
+    for _ in range(300):
+        own = prose(26)
+        texts += [f"{passage} {own}", near_copies(r, f"{passage} {own}", 3)]
+    rows = banded(spark, texts)
+    get = lambda further: {tuple(x) for x in similarity.similar(rows.select("node", "n", "bands"), rows.select("node", "text"), simhash._five_words, reach=1, further=further).collect()}
+    sets = [brute.five_words(t) for t in texts]
+    planted = {(a, a + 1) for a in range(0, len(texts), 2) if 5 * len(sets[a] & sets[a + 1]) >= 4 * len(sets[a] | sets[a + 1])}
+    once, on = get(()), get(similarity.FURTHER)
+    assert once <= on and len(planted) > 250
+    assert len(once & planted) < len(on & planted) and len(on & planted) >= 0.99 * len(planted)
+
+
+def test_five_words_by_their_ends():
+    """Two shingles have one hash only if they are the same words, at every length of text."""
+    texts = ["", " ", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f", "A b\nc D e F", "b c d e f", "a b d c", "a b c a b c a b c", "a a a a", "a a a", "a a a a a", "a a a a a a"]
+    hashes = [simhash._five_words(t).tolist() for t in texts]
+    words = [t.lower().split() for t in texts]
+    shingles = [[tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for w in words]
+    assert [len(h) for h in hashes] == [len(x) for x in shingles]
+    flat = [(h, x) for hs, xs in zip(hashes, shingles, strict=True) for h, x in zip(hs, xs, strict=True)]
+    assert len({h for h, _ in flat}) == len({x for _, x in flat}) == len(set(flat))
+
+
 def test_broadcast_or_shuffle_is_the_same(spark, texts):
     rows = banded(spark, texts[:120])
     get = lambda few: {tuple(x) for x in similarity.similar(rows.filter("n > 0").select("node", "n", "bands"), rows.select("node", "text"), lambda t: simhash.shingle_hashes(t, 5), few=few).collect()}
