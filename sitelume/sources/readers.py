@@ -157,14 +157,19 @@ def _chunks(content: str | bytes) -> Iterator[bytes]:
 def sitemap_batches(content: str | bytes | None) -> Iterator[tuple[str, list[str]]]:
     """(index or urlset, some of the locations) of a sitemap, in order; bad XML and other documents have none.
 
-    The document, a text or (gzipped) bytes, is read twice, piece by piece: once to see that it is sound.
+    The document, a text or (gzipped) bytes, is read twice, piece by piece: once to see that it is sound,
+    which is enough if all its locations are one batch.
     """
-    sound = _Locations()
+    sound, held, n = _Locations(), [], 0
     try:
-        for _ in sound.of(_chunks(content or "")):
+        for held in sound.of(_chunks(content or "")):
             sound.found = []
+            n += 1
     except (expat.ExpatError, OSError, EOFError, zlib.error):
         return
+    if n == 1:
+        yield sound.kind, held
+        return
     pulled = _Locations()
     for locs in pulled.of(_chunks(content or "")):
         yield pulled.kind, locs
@@ -181,13 +186,22 @@ def sitemap_entries(xml: str | bytes | None) -> tuple[str, list[str]]:
 def sitemap_locations(files: DataFrame) -> DataFrame:
     """sitemap_url, kind (index or urlset), pos, loc. files: url, status_code, xml (a text, or bytes, gzipped or not); a sitemap of any size comes out in batches."""
 
+    def frame(found: list[tuple[str, str, int, str]]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["sitemap_url", "kind", "pos", "loc"]).astype({"pos": "int32"})
+
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[str, str, int, str]] = []  # of many small sitemaps, or a part of a large one
         for rows in batches:
             for url, xml in zip(rows["url"], rows["xml"], strict=True):
                 at = 0
                 for kind, locs in sitemap_batches(xml):
-                    yield pd.DataFrame({"sitemap_url": url, "kind": kind, "pos": range(at, at + len(locs)), "loc": locs}).astype({"pos": "int32", "loc": "object"})
+                    found += ((url, kind, at + k, loc) for k, loc in enumerate(locs))
                     at += len(locs)
+                    if len(found) >= _ROWS:
+                        yield frame(found)
+                        found = []
+        if found:
+            yield frame(found)
 
     return files.filter("status_code = 200").select("url", "xml").mapInPandas(parsed, "sitemap_url string, kind string, pos int, loc string")
 
@@ -219,17 +233,17 @@ def domain_sitemap_pages(domains: DataFrame, files: DataFrame, max_levels: int =
 
     seeds = domain_seeds(domains)
     robots = files.select(F.col("url").alias("host"), "status_code", F.col("xml").alias("body"))
-    named = seeds.withColumnRenamed("url", "host").join(robots_sitemaps(robots), "host").select("domain", F.col("sitemap").alias("url"))
+    named = seeds.withColumnRenamed("url", "host").join(robots_sitemaps(robots).hint("merge"), "host").select("domain", F.col("sitemap").alias("url"))
     locs = graph.checkpoint(sitemap_locations(files))
-    index = locs.filter("kind = 'index'").select("sitemap_url", "loc")
+    index = locs.filter("kind = 'index'").select("sitemap_url", "loc").hint("merge")  # its plan's size is a guess: no driver builds it
     level = graph.checkpoint(seeds.unionByName(named).distinct())
     seen = level
     for _ in range(max_levels):
-        level = graph.checkpoint(level.join(index, level["url"] == index["sitemap_url"]).select("domain", F.col("loc").alias("url")).distinct().join(seen, ["domain", "url"], "left_anti"))
+        level = graph.checkpoint(level.join(index, level["url"] == index["sitemap_url"]).select("domain", F.col("loc").alias("url")).distinct().join(seen.hint("merge"), ["domain", "url"], "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    listed = seen.join(locs.filter("kind = 'urlset'"), F.col("url") == F.col("sitemap_url")).select("domain", urls.canonical_or_self("loc").alias("url"))
+    listed = seen.join(locs.filter("kind = 'urlset'").hint("merge"), F.col("url") == F.col("sitemap_url")).select("domain", urls.canonical_or_self("loc").alias("url"))
     return listed.filter(urls.bare_domain("url") == urls.domain_of("domain")).distinct()
 
 

@@ -35,3 +35,26 @@ def test_gzipped_files_in_a_frame(spark):
     rows = [("https://s/1.xml.gz", 200, gzip.compress(urlset(25_000))), ("https://s/2.xml", 200, urlset(2)), ("https://s/3.xml", 404, urlset(2)), ("https://s/4.xml", 200, None)]
     found = readers.sitemap_locations(spark.createDataFrame(rows, "url string, status_code int, xml binary"))
     assert {(r.sitemap_url, r.n, r.last) for r in found.groupBy("sitemap_url").agg({"loc": "count", "pos": "max"}).toDF("sitemap_url", "n", "last").collect()} == {("https://s/1.xml.gz", 25_000, 24_999), ("https://s/2.xml", 2, 1)}
+
+
+def test_small_sitemaps_share_batches(monkeypatch):
+    """Many small files come out as few frames, each with its own positions; a sound document of one batch is read once."""
+    from types import SimpleNamespace
+
+    from sitelume.sources import readers
+
+    built, begun = [], []
+    frame, pulled = readers.pd.DataFrame, readers._Locations
+    monkeypatch.setattr(readers, "pd", SimpleNamespace(DataFrame=lambda *a, **k: built.append(1) or frame(*a, **k)))
+    monkeypatch.setattr(readers, "_Locations", lambda: begun.append(1) or pulled())
+    files = frame({"url": [f"s{k}" for k in range(500)], "xml": [f"<urlset><url><loc>a{k}</loc></url><url><loc>b</loc></url></urlset>" if k % 2 else "Sitemap: x" for k in range(500)]})
+
+    class Files:
+        filter = select = lambda self, *a: self
+
+        def mapInPandas(self, f, schema):
+            return [r for d in f(iter([files])) for r in d.itertuples(index=False, name=None)]
+
+    got = readers.sitemap_locations(Files())
+    assert got == [(f"s{k}", "urlset", pos, loc) for k in range(1, 500, 2) for pos, loc in enumerate([f"a{k}", "b"])]
+    assert len(built) == 1 and len(begun) == 500
