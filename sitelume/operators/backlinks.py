@@ -172,12 +172,12 @@ def search_hits(serps: DataFrame, engine: str) -> DataFrame:
 
 
 def historical_first_hits(records: DataFrame, target: str) -> DataFrame:
-    """The first record, by crawl and row, of an URL not seen in an earlier crawl that links to the target.
+    """The first record, by crawl and row, of an URL not seen in an earlier crawl of its domain that links to the target.
 
     records: domain, crawl_no, row_no, url, html.
     """
-    unseen = records.groupBy("url").agg(F.min(F.struct("crawl_no", "row_no")).alias("f"))
-    first = records.join(unseen, "url").filter(F.struct("crawl_no", "row_no") == F.col("f")).drop("f")
+    unseen = records.groupBy("domain", "url").agg(F.min(F.struct("crawl_no", "row_no")).alias("f"))
+    first = records.join(unseen, ["domain", "url"]).filter(F.struct("crawl_no", "row_no") == F.col("f")).drop("f")
     hrefs = F.regexp_extract_all("html", F.lit(ARCHIVED_HREF), F.lit(1))
     h = lambda x: urls.text_host(x)
     t = urls.text_host(F.lit(target))
