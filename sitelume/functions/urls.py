@@ -30,7 +30,7 @@ SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au",
 SUFFIX_FILE = "/usr/share/publicsuffix/public_suffix_list.dat"
 
 #: Some of the URLs that are their own normal form: most of a crawl, told by one match.
-_NORMAL = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:/[A-Za-z0-9_.~-]+)+$"
+_NORMAL = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:(?:/[A-Za-z0-9_.~-]+)+|/)$"
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -222,11 +222,13 @@ def normalize(url: Column | str) -> Column:
         return F.when(p["scheme"].isin("http", "https") & (p["host"] != ""), F.concat(p["scheme"], F.lit("://"), where, rooted, asked)).otherwise("")
 
     whole = let(let(F.regexp_replace(strip(url), r"[\t\r\n]", ""), parts), formed)
-    return F.when(text(url).rlike(_NORMAL), col(url)).otherwise(whole)
+    ready = F.when(text(url).rlike(_NORMAL), col(url)).when(text(url).rlike(_NORMAL[:-1] + "#"), F.substring_index(col(url), "#", 1))
+    return ready.when(~F.contains(text(url), F.lit("/")), "").otherwise(whole)
 
 
 def canonical_or_self(url: Column | str) -> Column:
-    return let(F.struct(normalize(url).alias("n"), text(url).alias("u")), lambda x: F.when(x["n"] != "", x["n"]).otherwise(x["u"]))
+    """The normal form, or the text itself where there is none; the URL, often one that is resolved, is computed once."""
+    return let(text(url), lambda u: let(normalize(u), lambda n: F.when(n != "", n).otherwise(u)))
 
 
 def _without_dots(p: Column) -> Column:

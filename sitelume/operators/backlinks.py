@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitelume.functions import urls
 from sitelume.functions.html import html_anchors, result_links
-from sitelume.functions.text import strip
+from sitelume.functions.text import materialised, strip
 from sitelume.operators import graph
 from sitelume.operators.links import classify_rel, rel_flags
 from sitelume.sources import files, readers, webgraph
@@ -59,8 +59,9 @@ def many_referring_domains(vertices: DataFrame, edges_t: DataFrame, targets: Dat
 def page_hits(links: DataFrame, target: Column) -> DataFrame:
     """Links whose host is the target's. links: source_url, url, anchor, rel and any further columns."""
     absolute = urls.without_fragment(urls.resolve("source_url", strip("url")))
-    kept = links.filter(~urls.skipped("url", SKIPPED)).withColumn("target_url", urls.canonical_or_self(absolute))
-    return kept.filter((urls.bare_domain("target_url") != "") & (urls.bare_domain("target_url") == target)).withColumns(dict(zip(("nofollow", "ugc", "sponsored"), rel_flags("rel"), strict=True)))
+    rest = [c for c in links.columns if c != "target_url"]
+    kept = materialised(links.filter(~urls.skipped("url", SKIPPED)), *rest, target_url=urls.canonical_or_self(absolute))
+    return kept.filter((target != "") & (urls.bare_domain("target_url") == target)).withColumns(dict(zip(("nofollow", "ugc", "sponsored"), rel_flags("rel"), strict=True)))
 
 
 def first_hits(hits: DataFrame, domain: str, order: list[str]) -> DataFrame:
@@ -78,18 +79,20 @@ def investigate(pages: DataFrame, links: DataFrame, domains: DataFrame, target:
     pages: url, domain, status_code, content_type. links: source_url, url, anchor, rel. A domain's
     crawl starts at its origins, follows links within the domain and stops at the first page with
     a link to the target, or with a timeout: beyond max_pages pages, or max_depth links where that is given. The
-    limit is in pages, as a fixed corpus has no clock.
+    limit is in pages, as a fixed corpus has no clock. Every join is by sorting: all its sides grow with the
+    corpus, whatever a plan takes them for, and none is built on the driver.
     """
     ok = pages.filter(F.col("status_code").between(200, 399) & F.contains(F.lower("content_type"), F.lit("text/html"))).select(F.col("domain").alias("grp"), "url")
-    inner = links.join(ok.withColumnRenamed("url", "source_url"), "source_url").withColumn("to", urls.canonical_or_self(urls.resolve("source_url", strip("url"))))
+    inner = links.join(ok.withColumnRenamed("url", "source_url").hint("merge"), "source_url")
+    inner = materialised(inner, "grp", "source_url", to=urls.canonical_or_self(urls.resolve("source_url", strip("url"))))
     own = inner.filter(urls.bare_domain("to") == F.col("grp")).select("grp", F.col("source_url").alias("source"), F.col("to").alias("target"))
     plain = F.startswith("url", F.lit("http:")).cast("int")
     starts = domains.select(F.col("domain").alias("grp"), F.explode(F.transform(urls.origins("domain"), urls.canonical_or_self)).alias("url")).select("grp", "url", plain.alias("rank"), F.lit(0).alias("depth"))
     hits = page_hits(links, urls.bare_domain(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
-    visits, cut = graph.search(own, starts, ok.join(hits, "url", "left_semi"), ok, max_pages, max_depth, plain)
-    hit = visits.filter(F.col("hit") & (F.col("seq") <= max_pages)).groupBy("grp").agg(F.min("seq").alias("hit_seq"), F.min_by("url", "seq").alias("url")).join(hits, "url", "left")
+    visits, cut = graph.search(own, starts, ok.join(hits.hint("merge"), "url", "left_semi"), ok, max_pages, max_depth, plain)
+    hit = visits.filter(F.col("hit") & (F.col("seq") <= max_pages)).groupBy("grp").agg(F.min("seq").alias("hit_seq"), F.min_by("url", "seq").alias("url")).join(hits.hint("merge"), "url", "left")
     reached = visits.groupBy("grp").agg(F.max("seq").alias("reached"))
-    found = domains.withColumn("grp", F.col("domain")).join(reached, "grp", "left").join(hit, "grp", "left").join(cut.withColumn("cut", F.lit(True)), "grp", "left")
+    found = domains.withColumn("grp", F.col("domain")).join(reached.hint("merge"), "grp", "left").join(hit.hint("merge"), "grp", "left").join(cut.withColumn("cut", F.lit(True)).hint("merge"), "grp", "left")
     limited = F.least(F.coalesce("reached", F.lit(0)), F.lit(max_pages))
     return found.select(
         "domain", F.when(F.col("hit_seq").isNotNull(), "confirmed").when((F.col("reached") > max_pages) | F.col("cut"), "timeout").otherwise("not_found").alias("status"),

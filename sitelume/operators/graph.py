@@ -63,6 +63,7 @@ class Rounds:
         self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.own.conf.set("spark.sql.shuffle.partitions", self.partitions)
         self.own.conf.set("spark.sql.adaptive.enabled", "false")
+        self.own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a file's bytes say little of its rows, which the driver would have to hold
         self.at = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
 
     def __enter__(self) -> "Rounds":

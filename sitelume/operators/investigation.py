@@ -1,7 +1,8 @@
 """Further forms of the page-level backlink investigation, over a fixed corpus of fetched pages.
 
 pages: url, domain, status_code (null: the fetch failed), content_type. links: source_url, url,
-anchor, rel. A fetch of an URL that the corpus doesn't hold has failed.
+anchor, rel. A fetch of an URL that the corpus doesn't hold has failed. Joins are by sorting: all their
+sides grow with the corpus, whatever a plan takes them for, and none is built on the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
-from sitelume.functions.text import strip
+from sitelume.functions.text import materialised, strip
 from sitelume.operators import backlinks, graph
 
 
@@ -29,7 +30,8 @@ def _own_links(pages: DataFrame, links: DataFrame, relative: bool = False) -> Da
     """domain, source, target of links from readable pages to their own domain; relative: whatever is written without a host counts too."""
     ok = pages.filter(readable(pages)).select(F.col("url").alias("source_url"), "domain")
     to = urls.canonical_or_self(urls.without_fragment(urls.resolve("source_url", strip("url"))))
-    inner = links.filter(~urls.skipped(strip("url"), backlinks.SKIPPED)).join(ok, "source_url").withColumn("to", to)
+    inner = links.filter(~urls.skipped(strip("url"), backlinks.SKIPPED)).join(ok.hint("merge"), "source_url")
+    inner = materialised(inner, "domain", "source_url", "url", to=to)
     own = urls.bare_domain("to") == F.col("domain")
     return inner.filter(own | urls.is_relative("url") if relative else own).select("domain", F.col("source_url").alias("source"), F.col("to").alias("target"))
 
@@ -45,20 +47,23 @@ def exhaustive(pages: DataFrame, links: DataFrame, domains: DataFrame, target: s
     origin = lambda k, scheme: F.struct(F.lit(k).alias("rank"), F.concat(F.lit(f"{scheme}://"), "domain", F.lit("/")).alias("url"))
     starts = domains.select("domain", F.explode(F.array(origin(0, "http"), origin(1, "https"))).alias("s")).select(F.col("domain").alias("grp"), urls.canonical_or_self("s.url").alias("url"), "s.rank", F.lit(0).alias("depth"))
     if sitemap_pages is not None:
-        listed = sitemap_pages.join(domains, "domain").select(F.col("domain").alias("grp"), urls.canonical_or_self("url").alias("url"), F.lit(2).alias("rank"), F.lit(1).alias("depth"))
+        listed = sitemap_pages.join(domains.hint("merge"), "domain").select(F.col("domain").alias("grp"), urls.canonical_or_self("url").alias("url"), F.lit(2).alias("rank"), F.lit(1).alias("depth"))
         starts = starts.unionByName(listed)
     found = backlinks.page_hits(links, urls.domain_of(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
     known = pages.select("domain", "url", F.col("status_code").isNotNull().alias("fetched"), readable(pages).alias("html")).dropDuplicates(["domain", "url"])
-    hits = known.filter("html").join(found, "url", "left_semi").select(F.col("domain").alias("grp"), "url")
+    hits = known.filter("html").join(found.hint("merge"), "url", "left_semi").select(F.col("domain").alias("grp"), "url")
     reached, cut = graph.search(_own_links(pages, links).withColumnRenamed("domain", "grp"), starts, hits, None, max_pages, max_depth)
-    visits = reached.withColumnRenamed("grp", "domain").join(known, ["domain", "url"], "left").join(found, "url", "left")
+    visits = reached.withColumnRenamed("grp", "domain").join(known.hint("merge"), ["domain", "url"], "left").join(found.hint("merge"), "url", "left")
     first = visits.filter(F.col("hit") & (F.col("seq") <= max_pages)).groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by(F.struct("url", "n"), "seq").alias("h"))
-    until = visits.join(first.select("domain", "hit_seq"), "domain", "left").filter(F.col("seq") <= F.coalesce("hit_seq", F.lit(max_pages)))
+    until = visits.join(first.select("domain", "hit_seq").hint("merge"), "domain", "left").filter(F.col("seq") <= F.coalesce("hit_seq", F.lit(max_pages)))
     counts = until.groupBy("domain").agg(
         F.count("*").alias("pages_checked"), F.count_if(F.coalesce("html", F.lit(False))).alias("html_pages_checked"), F.count_if(~F.coalesce("fetched", F.lit(False))).alias("failed_fetches")
     )
     size = visits.groupBy("domain").agg(F.max("seq").alias("reached"))
-    out = domains.join(size, "domain", "left").join(counts, "domain", "left").join(first, "domain", "left").join(cut.select(F.col("grp").alias("domain"), F.lit(True).alias("cut")), "domain", "left")
+    cut = cut.select(F.col("grp").alias("domain"), F.lit(True).alias("cut"))
+    out = domains
+    for part in (size, counts, first, cut):
+        out = out.join(part.hint("merge"), "domain", "left")
     status = F.when(F.col("h").isNotNull(), "confirmed").when((F.col("reached") > max_pages) | F.col("cut"), "timeout").when(F.coalesce("pages_checked", F.lit(0)) == 0, "blocked").otherwise("not_found")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select("domain", status.alias("status"), *(number(F.col(c)).alias(c) for c in ("pages_checked", "html_pages_checked", "failed_fetches")), number(F.col("h.n")).alias("links_found"), F.col("h.url").alias("hit_url"))
@@ -75,7 +80,7 @@ def trace(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, m
     per = links.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n_links"))
     hits = backlinks.page_hits(links, urls.domain_of(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_set("target_url")).alias("hits"))  # as many as a page's links
     fetched = pages.filter("status_code is not null").select("domain", "url", "status_code", "content_type")
-    out = reached.join(fetched, ["domain", "url"]).join(per, "url", "left").join(hits, "url", "left")
+    out = reached.join(fetched.hint("merge"), ["domain", "url"]).join(per.hint("merge"), "url", "left").join(hits.hint("merge"), "url", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("domain", "url", "depth", "status_code", "content_type", zero("n_links"), zero("n_hits"), F.coalesce("hits", F.array().cast("array<string>")).alias("hits"))
 

@@ -95,3 +95,23 @@ def test_suffix_list(spark):
 def test_suffix_file(tmp_path):
     (tmp_path / "list.dat").write_text("// x\ncom\nco.jp\n", encoding="utf-8")
     assert urls.suffix_list(str(tmp_path / "list.dat")).registered("a.b.co.jp") == "b.co.jp"
+
+
+def test_shortcuts_of_the_normal_form(spark):
+    """URLs that are told by one match, and those that are not, have the form that the library gives."""
+    given = ["https://a.example/", "https://a.example/#x", "http://a.example/1#x y", "http://a.example/1 #x", "http://a.example/1/#x", "https://a.example#x", "https://a.example", "mailto:a@b.example", "#x", "", "HTTP://A.example/#", "ftp://a.example/x#y", "https://a.example//#x"]
+    got = spark.createDataFrame([(u,) for u in given], "u string").select("u", urls.normalize("u").alias("n"), urls.canonical_or_self("u").alias("c")).collect()
+    assert [(r.n, r.c) for r in got] == [(urls.normal_form(r.u), urls.normal_form(r.u) or r.u) for r in got]
+
+
+def test_corpora_are_joined_without_broadcasts(spark):
+    """The sides of an investigation grow with its corpus, however few bytes a plan takes them for."""
+    from sitelume.operators import backlinks, graph, investigation
+
+    pages = spark.createDataFrame([("https://a.example/", "a.example", 200, "text/html")], "url string, domain string, status_code int, content_type string")
+    links = spark.createDataFrame([("https://a.example/", "https://t.example/", "x", "")], "source_url string, url string, anchor string, rel string")
+    out = [f(pages, links, pages.select("domain"), "https://t.example/") for f in (backlinks.investigate, investigation.exhaustive, investigation.trace)]
+    assert all("Broadcast" not in df._jdf.queryExecution().sparkPlan().toString() for df in out)
+    assert out[0].first().status == out[1].first().status == "confirmed"
+    with graph.Rounds(spark) as rounds:
+        assert rounds.own.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
