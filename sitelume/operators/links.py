@@ -19,16 +19,19 @@ def explode_links(pages: DataFrame) -> DataFrame:
 def edges(links: DataFrame, start_url: str) -> DataFrame:
     """Distinct (source, target) in normal form whose target is on the start URL's host. links: source_url, target_url.
 
-    Repeated pairs go first, as navigation repeats its links; the rest is dealt evenly by them. The URL
+    Repeated pairs go first, as navigation repeats its links; the rest is dealt evenly by them. Pairs are
+    dealt by number before they are made distinct: URLs compress so well that a task that is sized by its
+    bytes, or that reads a split of the input, would hold millions of pairs at once. The URL
     work is then done pair by pair: for most URLs it is one match that finds them in normal form, which
     costs less than joining the pairs with their distinct URLs, and a target of very many pages, such as
     the home page, is no key of a join.
     """
     home = urlsplit(urls.normal_form(start_url)).hostname or ""
-    raw = links.filter(text("target_url") != "").select("source_url", "target_url").distinct()
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    raw = links.filter(text("target_url") != "").select("source_url", "target_url").repartition(parts, "source_url", "target_url").distinct()
     rows = materialised(raw, source=urls.normalize("source_url"), ref=strip("target_url")).filter("source <> ''")
     both = materialised(rows, "source", target=urls.normalize(urls.resolve("source", "ref")))
-    return both.filter((F.col("target") != "") & (urls.host("target") == home)).distinct()
+    return both.filter((F.col("target") != "") & (urls.host("target") == home)).repartition(parts, "source", "target").distinct()
 
 
 def degrees(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
