@@ -1,7 +1,8 @@
 """Public discovery of backlinks: query templates times search engines, result pages, verification, totals.
 
 Result pages are a table: engine, query_no, page_no (from 0), html, error. ``requests`` says which
-to fetch; ``stored`` pages and fetched ones are read alike.
+to fetch; ``stored`` pages and fetched ones are read alike. A page of very many results may come as several
+rows, cut between results and numbered by a column part, as a row is parsed whole in its task.
 """
 
 from __future__ import annotations
@@ -46,13 +47,14 @@ def results(serps: DataFrame, limit: int) -> DataFrame:
     A page of fewer than PAGE_RESULTS results is the last one that counts, a missing or empty one ends
     the query before it.
     """
-    listed = [backlinks.search_hits(serps.filter(F.col("engine") == e).select(F.struct("engine", "query_no", "page_no").alias("query_no"), "html"), e) for e in ENGINES]
+    parts = serps if "part" in serps.columns else serps.withColumn("part", F.lit(0))
+    listed = [backlinks.search_hits(parts.filter(F.col("engine") == e).select(F.struct("engine", "query_no", "page_no", "part").alias("query_no"), "html"), e) for e in ENGINES]
     found = listed[0].unionByName(listed[1]).select("query_no.*", "pos", "url")
     sizes = found.groupBy("engine", "query_no", "page_no").agg(F.count("*").alias("n"))
     query = Window.partitionBy("engine", "query_no").orderBy("page_no")  # a query's pages: ten at most
     full = F.coalesce(F.sum(F.when(F.col("n") >= PAGE_RESULTS, 1).otherwise(0)).over(query.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = sizes.withColumns({"full": full, "nth": F.row_number().over(query) - 1}).filter("full = page_no and nth = page_no").drop("n", "full", "nth")
-    place = F.row_number().over(Window.partitionBy("engine", "query_no").orderBy("page_no", "pos"))
+    place = F.row_number().over(Window.partitionBy("engine", "query_no").orderBy("page_no", "part", "pos"))
     ranked = found.join(counted, ["engine", "query_no", "page_no"]).withColumn("place", place).filter(F.col("place") <= limit)
     return ranked.select("engine", "query_no", (F.col("place") - 1).alias("pos"), "url")
 

@@ -103,6 +103,30 @@ def test_result_pages_stop(spark):
     assert errors == {"bing": "Timeout: x", "duckduckgo": "HTTP 500 | late", "other": "unsupported_engine"}
 
 
+def test_result_pages_in_parts(spark):
+    """A page's parts count as one page, in their order; a query has no row that grows with its results."""
+    rows = [("bing", 0, 0, 1, serp(4, 6)), ("bing", 0, 0, 0, serp(6)), ("bing", 0, 1, 0, serp(9, 10)), ("bing", 0, 2, 0, serp(10, 30)), ("bing", 1, 0, 2, serp(5, 10)), ("bing", 1, 0, 10, serp(5, 15)), ("bing", 1, 1, 0, serp(10, 50))]
+    got = {}
+    for r in discovery.results(spark.createDataFrame(rows, "engine string, query_no int, page_no int, part int, html string"), 18).collect():
+        got.setdefault(r.query_no, {})[r.pos] = r.url
+    assert got == {0: {k: f"https://r{k}.org/" for k in range(18)}, 1: {k: f"https://r{k + (10 if k < 10 else 40)}.org/" for k in range(18)}}
+
+
+def test_result_pages_query_parses_parts(spark, tmp_path):
+    """The query hands parts to the parser, however many results a page has."""
+    from sitelume.plans import catalogue
+
+    spark.range(27_000).selectExpr("id * 9 AS event_id", "0L AS user_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    longest, parse = [], discovery.backlinks.search_hits
+    discovery.backlinks.search_hits = lambda serps, engine: longest.append(serps.agg(F.max(F.length("html"))).first()[0] or 0) or parse(serps, engine)
+    try:
+        rows = catalogue.QUERIES["result_pages"](spark, str(tmp_path)).collect()
+    finally:
+        discovery.backlinks.search_hits = parse
+    assert sorted((r.pos, r.url) for r in rows) == [(k, f"https://r{9 * k}.org/") for k in range(25)]
+    assert 0 < max(longest) < 100_000
+
+
 def test_requests(spark):
     rows = discovery.requests(spark, "t.com", ("bing", "duckduckgo", "other"), 100).collect()
     assert [r.page_no for r in rows if r.engine == "bing" and r.query_no == 0] == [0, 1, 2] and "first=21" in [r for r in rows if r.engine == "bing"][2].url
