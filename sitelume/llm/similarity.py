@@ -17,6 +17,13 @@ In a crowded key (more than REACH + 1 texts, as by a common passage) that order
 texts are therefore sorted again, by the key and the key of each band FURTHER on: two texts that agree
 in both bands are compared unless more than REACH others agree in both as well. Only texts that the
 links so far don't join are candidates there, so a group of near copies costs nothing again.
+
+What is left of the crowded keys is searched by all pairs (rest()): of a key whose texts the links so far
+don't all join, each two of different groups are compared by their numbers of shingles and by BITS
+parities of their sets. At most as many parities differ as shingles do, so no pair of a similarity of
+LEAST is dropped, and nearly all others are before anything is written. A key is dealt as pairs of
+blocks, so none is one task's load. So every two texts that agree in a band are told apart, or verified,
+or in one group by other links.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ BANDS, ROWS = 20, 6
 REACH = 3
 FURTHER = (3, 5, 7, 9)  # bands on, for the further orders of crowded keys
 AT_ONCE = 4096  # shingles
+BITS = 4096  # parities of a set, a multiple of 64
+BLOCK = 2048  # texts of a crowded key that are compared with as many others at once
 FEW = 1_000_000  # texts of candidates that are broadcast (8 bytes each); more are joined by a shuffle
 
 _random = np.random.default_rng(20)
@@ -148,34 +157,87 @@ def neighbours(banded: DataFrame, reach: int = REACH, on: tuple[int, ...] = (1,)
         return checkpoint(of(_PAIR).select("a", "b").distinct()), checkpoint(of(_CROWDED).select("node").distinct())
 
 
-def similar(banded: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], reach: int = REACH, few: int = FEW, named: DataFrame | None = None, further: tuple[int, ...] = FURTHER) -> DataFrame:
+def parities(shingles: np.ndarray) -> bytes:
+    """For each of BITS parts of a set, whether its number of shingles is odd."""
+    return np.packbits(np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _possible(a: list[np.ndarray], b: list[np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of the pairs of different roots, a row of a with one of b (None: two of a), that may have a similarity of LEAST. Rows: node, n, root, parities."""
+    other = a if b is None else b
+    for at in range(0, len(a[0]), 256):
+        node, n, root, odd = (x[at : at + 256] for x in a)
+        pair = (root[:, None] != other[2]) & (np.minimum(n[:, None], other[1]) >= LEAST * np.maximum(n[:, None], other[1]))
+        if b is None:
+            pair &= np.arange(at, at + len(n))[:, None] < np.arange(len(other[0]))
+        first, second = np.nonzero(pair)
+        for k in range(0, len(first), 1 << 15):
+            i, j = first[k : k + (1 << 15)], second[k : k + (1 << 15)]
+            differ = np.bitwise_count(odd[i] ^ other[3][j]).sum(axis=1, dtype=np.int64)
+            may = differ <= (n[i] + other[1][j]) * ((1 - LEAST) / (1 + LEAST)) + 1e-6
+            yield node[i[may]], other[0][j[may]]
+
+
+def rest(rooted: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], reach: int, few: int, named: DataFrame | None, block: int = BLOCK) -> DataFrame:
+    """Candidates (a, b) of different roots in the crowded keys, all that the orders can have left out. rooted: node, n, bands, root."""
+    rows = rooted.select("node", "n", "root", F.posexplode("bands").alias("band", "key"))
+    open_keys = rows.groupBy("band", "key").agg(F.count("*").alias("texts"), F.min("root").alias("r"), F.max("root").alias("s")).filter((F.col("texts") > reach + 1) & (F.col("r") < F.col("s")))
+    blocks = open_keys.select("band", "key", F.ceil(F.col("texts") / block).cast("int").alias("blocks"))
+    left = checkpoint(rows.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    odd = _of_texts(left.select("node").distinct(), docs, hashed, few, named, parities, "binary")
+    dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(odd, "node").select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", F.col("n").cast("long").alias("n"), "root", F.col("of").alias("odd"))
+
+    def compared(key: tuple, table: pa.Table) -> pa.Table:
+        block_ = table.column("block").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("odd").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        cols = [*(table.column(c).to_numpy() for c in ("node", "n", "root")), bits]
+        side = lambda k: [x[block_ == k.as_py()] for x in cols]
+        found = list(_possible(side(key[2]), None if key[2] == key[3] else side(key[3])))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return checkpoint(dealt.groupBy("band", "key", "i", "j").applyInArrow(compared, "a long, b long").distinct())
+
+
+def similar(banded: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], reach: int = REACH, few: int = FEW, named: DataFrame | None = None, further: tuple[int, ...] = FURTHER, block: int = BLOCK) -> DataFrame:
     """Links (a, b) of nodes whose shingle sets have a similarity of LEAST or more.
 
     docs: node, text; or, with named (node and some key columns, a row for each node), these key columns and text.
+    Without further the crowded keys are searched along their first order only.
     """
     found, crowded = neighbours(banded.withColumn("root", F.col("node")), reach)
     first = checkpoint(_verified(found, docs, hashed, few, named))
     if not further or crowded.isEmpty():
         return first
-    rooted = banded.join(crowded, "node").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more, _ = neighbours(rooted, reach, further)
-    return first.union(_verified(more, docs, hashed, few, named))
+    within = checkpoint(banded.join(crowded, "node"))
+    rooted = lambda links: within.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more, _ = neighbours(rooted(first), reach, further)
+    links_ = checkpoint(first.union(_verified(more, docs, hashed, few, named)))
+    left = rest(rooted(links_), docs, hashed, reach, few, named, block)
+    return links_ if left.isEmpty() else links_.union(_verified(left, docs, hashed, few, named))
 
 
-def _verified(candidates: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], few: int, named: DataFrame | None) -> DataFrame:
-    """The candidates of a similarity of LEAST or more."""
-    nodes = checkpoint(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+def _of_texts(nodes: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], few: int, named: DataFrame | None, of: Callable[[np.ndarray], object], kind: str) -> DataFrame:
+    """node and of its shingle set, read from the nodes' texts again."""
+    nodes = checkpoint(nodes)
     wanted = nodes if named is None else nodes.join(named, "node")
     key = ["node"] if named is None else [c for c in named.columns if c != "node"]
     wanted = F.broadcast(wanted) if nodes.count() <= few else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(hashed(t)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+            found = [of(shingle_set(hashed(t))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary() if kind == "binary" else pa.list_(pa.int64()))], names=["node", "of"])
+
+    return checkpoint(texts(docs.select(*key, "text").join(wanted, key).select("node", "text")).dropDuplicates(["node"]).mapInArrow(sets, f"node long, of {kind}"))
 
-    of = checkpoint(texts(docs.select(*key, "text").join(wanted, key).select("node", "text")).dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles array<long>"))
-    both = candidates.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(of.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+
+def _verified(candidates: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], few: int, named: DataFrame | None) -> DataFrame:
+    """The candidates of a similarity of LEAST or more."""
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    of = _of_texts(nodes, docs, hashed, few, named, lambda s: s.view(np.int64), "array<long>")
+    both = candidates.join(of.select(F.col("node").alias("a"), F.col("of").alias("s")), "a").join(of.select(F.col("node").alias("b"), F.col("of").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     judged = both.select("a", "b", common.alias("common"), (F.size("s") + F.size("t")).alias("sizes"))
     return judged.filter(F.col("common") >= LEAST * (F.col("sizes") - F.col("common"))).select("a", "b")

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,46 @@ def test_crowded_keys_are_searched_further(spark):
     assert len(once & planted) < len(on & planted) and len(on & planted) >= 0.99 * len(planted)
 
 
+@pytest.mark.parametrize("block", [40, 2048])
+def test_crowded_keys_are_searched_whole(spark, block):
+    """Every similar pair that agrees in a band is in one group, however crowded its keys are and however little the orders find."""
+    r = random.Random(5)
+    prose = lambda n: " ".join(f"w{r.randrange(9000)}" for _ in range(n))
+    passage, texts = prose(150), []
+    for _ in range(200):
+        own = prose(26)
+        texts += [f"{passage} {own}", near_copies(r, f"{passage} {own}", 3)]
+    rows = banded(spark, texts)
+    got = {tuple(x) for x in similarity.similar(rows.select("node", "n", "bands"), rows.select("node", "text"), simhash._five_words, reach=1, further=(3,), block=block).collect()}
+    sets = [similarity.shingle_set(simhash.shingle_hashes(t, 5)) for t in texts]
+    keys = [similarity.band_keys(s) for s in sets]
+    share = lambda a, b: any(x == y for x, y in zip(keys[a], keys[b], strict=True))
+    alike = lambda a, b: 9 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 4 * (len(sets[a]) + len(sets[b]))
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if share(a, b) and alike(a, b)}
+    assert all(alike(a, b) for a, b in got) and len(want) > 150
+    group = list(range(len(texts)))
+    for _ in texts:
+        before = list(group)
+        for a, b in got:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    assert not [(a, b) for a, b in want if group[a] != group[b]]
+
+
+def test_parities_drop_no_similar_pair():
+    """Exactly at the least similarity a pair is possible; one shingle less is told by its parities unless they clash."""
+    r = random.Random(6)
+    common = [r.getrandbits(64) for _ in range(400)]
+    row = lambda node, more: [np.array([node]), np.array([400 + more]), np.array([node]), None]
+    for more, possible in ((50, True), (90, False)):
+        sides = []
+        for node in (0, 1):
+            s = similarity.shingle_set(common + [r.getrandbits(64) for _ in range(more)])
+            sides.append([*row(node, more)[:3], np.frombuffer(similarity.parities(s), np.uint64).reshape(1, -1)])
+        assert bool(sum(len(a) for a, _ in similarity._possible(*sides))) is possible
+
+
 def test_five_words_by_their_ends():
     """Two shingles have one hash only if they are the same words, at every length of text."""
     texts = ["", " ", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f", "A b\nc D e F", "b c d e f", "a b d c", "a b c a b c a b c", "a a a a", "a a a", "a a a a a", "a a a a a a"]
