@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelume.llm import similarity
-from sitelume.llm.common import checkpoint, texts
+from sitelume.llm.common import Folder, checkpoint, texts
 from sitelume.llm.components import components
 
 SHINGLE = 3
@@ -139,10 +139,10 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return found.union(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _components(marked: DataFrame, hot: int) -> DataFrame:
+def _components(marked: DataFrame, hot: int, folder: Folder | None = None) -> DataFrame:
     """fp, root of each fingerprint of marked (fp); root is the least fingerprint of its component."""
-    distinct = checkpoint(marked.select("fp").distinct())
-    roots = components(links(distinct, hot))
+    distinct = (checkpoint if folder is None else folder.put)(marked.select("fp").distinct())
+    roots = components(links(distinct, hot), folder)
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -202,22 +202,20 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
             cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(fps, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(similarity.band_keys, sets), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h0", "h1", "fp", "n", "bands"])
 
-    marked = checkpoint(texts(docs).select(doc_id, "text", *hashes()).mapInArrow(hashed, "doc_id long, h0 long, h1 long, fp long, n int, bands array<long>"))
     key = ["doc_id", "h0", "h1"]
     row = F.struct(F.col("doc_id").isNull().alias("without"), *key)
-    first = marked.groupBy("fp").agg(F.min(row).alias("first")).join(_components(marked, hot), "fp")
-    told = first.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h0", "first.h1")
     equal = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h0") == F.col(f"{b}.h0")) & (F.col(f"{a}.h1") == F.col(f"{b}.h1"))
-    counted = marked.groupBy(*key).agg(F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    left = counted.alias("c").join(told.alias("t"), equal("c", "t"), "left_semi")
-    alone = checkpoint(left.withColumn("node", F.monotonically_increasing_id()))  # of equal texts one is left, so a row's number stands for its text
-
-    banded = alone.filter("n > 0")
-    links_ = checkpoint(similarity.similar(banded, docs.select(*hashes(), "text"), _five_words, named=banded.select("node", "h0", "h1")))
-    if links_.isEmpty():
-        kept = alone.select(*key, "copies")
-    else:
-        rooted = alone.drop("n", "bands").join(components(links_), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    with Folder(docs.sparkSession, "deduplicated") as folder:
+        marked = folder.put(texts(docs).select(doc_id, "text", *hashes()).mapInArrow(hashed, "doc_id long, h0 long, h1 long, fp long, n int, bands array<long>"))
+        first = marked.groupBy("fp").agg(F.min(row).alias("first")).join(_components(marked, hot, folder), "fp")
+        told = first.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h0", "first.h1")
+        counted = marked.groupBy(*key).agg(F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+        left = counted.alias("c").join(told.alias("t"), equal("c", "t"), "left_semi")
+        alone = folder.put(left.withColumn("node", F.monotonically_increasing_id()))  # of equal texts one is left, so a row's number stands for its text
+
+        banded = alone.filter("n > 0")
+        roots = similarity.linked(folder, banded, docs.select(*hashes(), "text"), _five_words, named=banded.select("node", "h0", "h1"))[1]
+        rooted = alone.drop("n", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), *key, "copies")).alias("first"))
         kept = checkpoint(best.select("first.doc_id", "first.h0", "first.h1", "first.copies"))
 

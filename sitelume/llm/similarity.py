@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelume.llm.common import Folder, checkpoint, texts
-from sitelume.llm.components import components
+from sitelume.llm.components import components, joined
 
 SHINGLE = 5
 LEAST = 0.8
@@ -107,8 +107,8 @@ def _batch(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int64)), *(pa.array(columns.get(c, zero).astype(np.int64)) for c in names)], names=["kind", *names])
 
 
-def neighbours(banded: DataFrame, reach: int = REACH, on: tuple[int, ...] = (1,)) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidates (a, b) of different roots, and the nodes of crowded keys.
+def neighbours(banded: DataFrame, reach: int = REACH, on: tuple[int, ...] = (1,), folder: Folder | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidates (a, b) of different roots, and the nodes of crowded keys. Tables of folder, else checkpoints.
 
     banded: node, n (distinct shingles), bands, root. on: a row is sorted by its key in each band and, for each
     number of on, by its key so many bands further on.
@@ -141,7 +141,7 @@ def neighbours(banded: DataFrame, reach: int = REACH, on: tuple[int, ...] = (1,)
             tail = min(kept, place - kept)  # the rows before are the partition's first ones, which went out already
             yield _batch(_EDGE, place=np.arange(place - tail, place), **{c: x[-tail:] for c, x in zip(_ROWS, held, strict=True)})
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = [[batch.column(c).to_numpy(zero_copy_only=False) for c in _ROWS] for batch in batches if batch.num_rows]
         if edges:
             a, b, crowded = _window([np.concatenate(x) for x in zip(*edges, strict=True)], reach, across=True)
@@ -149,12 +149,13 @@ def neighbours(banded: DataFrame, reach: int = REACH, on: tuple[int, ...] = (1,)
             yield _batch(_CROWDED, node=crowded)
 
     schema = ", ".join(f"{c} long" for c in ("kind", "a", "b", "place", *_ROWS))
-    with Folder(banded.sparkSession, "neighbours") as folder:
-        found = folder.put(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(searched, schema))
+    kept_in = checkpoint if folder is None else folder.put
+    with Folder(banded.sparkSession, "neighbours") as own:
+        found = own.put(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(searched, schema))
         # 2 x (reach + 1) rows of each partition at most: one task
-        edges = found.filter(F.col("kind") == _EDGE).repartition(1).sortWithinPartitions("part", "place").mapInArrow(joined, schema)
+        edges = found.filter(F.col("kind") == _EDGE).repartition(1).sortWithinPartitions("part", "place").mapInArrow(across, schema)
         of = lambda kind: found.filter(F.col("kind") == kind).union(edges.filter(F.col("kind") == kind))
-        return checkpoint(of(_PAIR).select("a", "b").distinct()), checkpoint(of(_CROWDED).select("node").distinct())
+        return kept_in(of(_PAIR).select("a", "b").distinct()), kept_in(of(_CROWDED).select("node").distinct())
 
 
 def parities(shingles: np.ndarray) -> bytes:
@@ -178,15 +179,11 @@ def _possible(a: list[np.ndarray], b: list[np.ndarray] | None) -> Iterator[tuple
             yield node[i[may]], other[0][j[may]]
 
 
-def rest(rooted: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], reach: int, few: int, named: DataFrame | None, block: int = BLOCK) -> DataFrame:
+def rest(folder: Folder, rooted: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], reach: int, few: int, named: DataFrame | None, block: int = BLOCK) -> DataFrame:
     """Candidates (a, b) of different roots in the crowded keys, all that the orders can have left out. rooted: node, n, bands, root."""
     rows = rooted.select("node", "n", "root", F.posexplode("bands").alias("band", "key"))
     open_keys = rows.groupBy("band", "key").agg(F.count("*").alias("texts"), F.min("root").alias("r"), F.max("root").alias("s")).filter((F.col("texts") > reach + 1) & (F.col("r") < F.col("s")))
     blocks = open_keys.select("band", "key", F.ceil(F.col("texts") / block).cast("int").alias("blocks"))
-    left = checkpoint(rows.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    odd = _of_texts(left.select("node").distinct(), docs, hashed, few, named, parities, "binary")
-    dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(odd, "node").select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", F.col("n").cast("long").alias("n"), "root", F.col("of").alias("odd"))
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
         block_ = table.column("block").to_numpy()
@@ -197,7 +194,12 @@ def rest(rooted: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return checkpoint(dealt.groupBy("band", "key", "i", "j").applyInArrow(compared, "a long, b long").distinct())
+    with Folder(rooted.sparkSession, "rest") as own:
+        left = own.put(rows.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+        odd = _of_texts(own, left.select("node").distinct(), docs, hashed, few, named, parities, "binary")
+        dealt = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.join(odd, "node").select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", F.col("n").cast("long").alias("n"), "root", F.col("of").alias("odd"))
+        return folder.put(dealt.groupBy("band", "key", "i", "j").applyInArrow(compared, "a long, b long").distinct())
 
 
 def similar(banded: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], reach: int = REACH, few: int = FEW, named: DataFrame | None = None, further: tuple[int, ...] = FURTHER, block: int = BLOCK) -> DataFrame:
@@ -206,21 +208,29 @@ def similar(banded: DataFrame, docs: DataFrame, hashed: Callable[[str | None], l
     docs: node, text; or, with named (node and some key columns, a row for each node), these key columns and text.
     Without further the crowded keys are searched along their first order only.
     """
-    found, crowded = neighbours(banded.withColumn("root", F.col("node")), reach)
-    first = checkpoint(_verified(found, docs, hashed, few, named))
+    with Folder(banded.sparkSession, "similar") as folder:
+        return checkpoint(linked(folder, banded, docs, hashed, reach, few, named, further, block)[0])
+
+
+def linked(folder: Folder, banded: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], reach: int = REACH, few: int = FEW, named: DataFrame | None = None, further: tuple[int, ...] = FURTHER, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """similar()'s links, and (node, root) of their components, as tables of folder."""
+    found, crowded = neighbours(banded.withColumn("root", F.col("node")), reach, folder=folder)
+    first = _verified(folder, found, docs, hashed, few, named)
+    roots = components(first, folder)
     if not further or crowded.isEmpty():
-        return first
-    within = checkpoint(banded.join(crowded, "node"))
-    rooted = lambda links: within.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more, _ = neighbours(rooted(first), reach, further)
-    links_ = checkpoint(first.union(_verified(more, docs, hashed, few, named)))
-    left = rest(rooted(links_), docs, hashed, reach, few, named, block)
-    return links_ if left.isEmpty() else links_.union(_verified(left, docs, hashed, few, named))
+        return first, roots
+    within = folder.put(banded.join(crowded, "node"))
+    rooted = lambda roots: within.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _verified(folder, neighbours(rooted(roots), reach, further, folder)[0], docs, hashed, few, named)
+    roots = joined(roots, more, folder)
+    left = rest(folder, rooted(roots), docs, hashed, reach, few, named, block)
+    last = _verified(folder, left, docs, hashed, few, named)
+    return first.union(more).union(last), joined(roots, last, folder)
 
 
-def _of_texts(nodes: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], few: int, named: DataFrame | None, of: Callable[[np.ndarray], object], kind: str) -> DataFrame:
+def _of_texts(folder: Folder, nodes: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], few: int, named: DataFrame | None, of: Callable[[np.ndarray], object], kind: str) -> DataFrame:
     """node and of its shingle set, read from the nodes' texts again."""
-    nodes = checkpoint(nodes)
+    nodes = folder.put(nodes)
     wanted = nodes if named is None else nodes.join(named, "node")
     key = ["node"] if named is None else [c for c in named.columns if c != "node"]
     wanted = F.broadcast(wanted) if nodes.count() <= few else wanted
@@ -230,14 +240,17 @@ def _of_texts(nodes: DataFrame, docs: DataFrame, hashed: Callable[[str | None],
             found = [of(shingle_set(hashed(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary() if kind == "binary" else pa.list_(pa.int64()))], names=["node", "of"])
 
-    return checkpoint(texts(docs.select(*key, "text").join(wanted, key).select("node", "text")).dropDuplicates(["node"]).mapInArrow(sets, f"node long, of {kind}"))
+    return folder.put(texts(docs.select(*key, "text").join(wanted, key).select("node", "text")).dropDuplicates(["node"]).mapInArrow(sets, f"node long, of {kind}"))
 
 
-def _verified(candidates: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], few: int, named: DataFrame | None) -> DataFrame:
-    """The candidates of a similarity of LEAST or more."""
+def _verified(folder: Folder, candidates: DataFrame, docs: DataFrame, hashed: Callable[[str | None], list[int]], few: int, named: DataFrame | None) -> DataFrame:
+    """The candidates of a similarity of LEAST or more, a table of folder; the texts' sets go."""
+    if candidates.isEmpty():
+        return candidates
     nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    of = _of_texts(nodes, docs, hashed, few, named, lambda s: s.view(np.int64), "array<long>")
-    both = candidates.join(of.select(F.col("node").alias("a"), F.col("of").alias("s")), "a").join(of.select(F.col("node").alias("b"), F.col("of").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    judged = both.select("a", "b", common.alias("common"), (F.size("s") + F.size("t")).alias("sizes"))
-    return judged.filter(F.col("common") >= LEAST * (F.col("sizes") - F.col("common"))).select("a", "b")
+    with Folder(candidates.sparkSession, "verified") as own:
+        of = _of_texts(own, nodes, docs, hashed, few, named, lambda s: s.view(np.int64), "array<long>")
+        both = candidates.join(of.select(F.col("node").alias("a"), F.col("of").alias("s")), "a").join(of.select(F.col("node").alias("b"), F.col("of").alias("t")), "b")
+        common = F.size(F.array_intersect("s", "t"))
+        judged = both.select("a", "b", common.alias("common"), (F.size("s") + F.size("t")).alias("sizes"))
+        return folder.put(judged.filter(F.col("common") >= LEAST * (F.col("sizes") - F.col("common"))).select("a", "b"))
