@@ -108,25 +108,28 @@ def pagerank(pages: DataFrame, links: DataFrame, iterations: int = 20, damping:
 
     A page divides its score by its number of internal link rows, repeats and foreign targets
     included; a target receives once from each distinct source. Mass of pages without links is
-    lost. Sources that are no pages have no score.
+    lost. Sources that are no pages have no score. Pages are numbered first: every round reads all edges,
+    which are a fraction as numbers of what they are as URLs.
     """
     with Rounds(pages.sparkSession) as rounds:
-        nodes = pages.select("url").distinct()
-        internal = links.filter("internal").select(F.col("source_url").alias("src"), F.col("target_url").alias("dst"))
-        out = internal.groupBy("src").agg(F.count("*").alias("n")).select("src", "n", _keys(F.col("n")).alias("keys"))
-        edge = internal.distinct().join(nodes.withColumnRenamed("url", "dst"), "dst", "left_semi").join(out, "src")
+        named = rounds.stored(pages.select("url").distinct().withColumn("id", F.monotonically_increasing_id()))
+        internal = links.filter("internal").select(F.col("source_url").alias("from"), F.col("target_url").alias("to"))
+        pairs = rounds.stored(internal.groupBy("from", "to").agg(F.count("*").alias("n")))
+        sources = pairs.groupBy(F.col("from").alias("url")).agg(F.sum("n").alias("n")).join(named.hint("merge"), "url")
+        out = rounds.stored(sources.select(F.col("url").alias("from"), F.col("id").alias("src"), "n", _keys(F.col("n")).alias("keys")))
+        edge = pairs.select("from", "to").join(named.select(F.col("url").alias("to"), F.col("id").alias("dst")).hint("merge"), "to").join(out.hint("merge"), "from")
         salt = F.pmod(F.xxhash64("dst"), F.col("keys")).cast("int")
         edge = rounds.given(edge.select("src", salt.alias("salt"), "dst", (F.lit(damping) / F.col("n")).alias("w")), "src", "salt")
-        nodes = rounds.given(nodes.join(out.select(F.col("src").alias("url"), "keys"), "url", "left").select("url", F.coalesce("keys", F.lit(1)).alias("keys")), "url")
+        nodes = rounds.given(named.select("id").join(out.select(F.col("src").alias("id"), "keys").hint("merge"), "id", "left").select("id", F.coalesce("keys", F.lit(1)).alias("keys")), "id")
         total = nodes.count()
         rank = nodes.withColumn("pagerank", F.lit(1.0 / max(1, total)))
         for k in range(1, (iterations if total else 0) + 1):
-            score = rank.select(F.col("url").alias("src"), _salts(F.col("keys")).alias("salt"), "pagerank")
-            given = edge.join(score, ["src", "salt"]).groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
-            rank = nodes.join(given, "url", "left").select("url", "keys", ((1 - damping) / total + F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+            score = rank.select(F.col("id").alias("src"), _salts(F.col("keys")).alias("salt"), "pagerank")
+            given = edge.join(score, ["src", "salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
+            rank = nodes.join(given, "id", "left").select("id", "keys", ((1 - damping) / total + F.coalesce("got", F.lit(0.0))).alias("pagerank"))
             if k % CHECKPOINT_EVERY == 0 and k < iterations:
                 rank = checkpoint(rank)
-        return rounds.result(rank.select("url", "pagerank"))
+        return checkpoint(named.join(rounds.stored(rank.select("id", "pagerank")).hint("merge"), "id").select("url", "pagerank"))
 
 
 def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
@@ -183,7 +186,7 @@ def search(edges: DataFrame, starts: DataFrame, hits: DataFrame | None = None, w
         hit = None if hits is None else rounds.given(hits.select("grp", "url").distinct().withColumn("hit", F.lit(True)), "grp", "url")
         counted = None if within is None else rounds.given(within.select("grp", "url").distinct(), "grp", "url")
         most = F.lit((1 << 31) - 1 if max_pages is None else max_pages)
-        frontier, seen, active, depth = None, None, None, 0
+        frontier, seen, state, active, depth = None, None, None, None, 0
         rank = F.lit(9) if later is None else later
         while deep is not None:
             level = begun.filter(F.col("depth") == depth).select("grp", "url", "rank") if depth <= deep else None
@@ -207,9 +210,11 @@ def search(edges: DataFrame, starts: DataFrame, hits: DataFrame | None = None, w
             if (depth + 1) % CHECKPOINT_EVERY == 0:
                 seen = checkpoint(seen)
             if hits is not None or max_pages is not None:  # the groups so far, and which of them go on
-                state = seen.groupBy("grp").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("visited"), F.bool_or(F.col("hit") & (F.coalesce("seq", F.lit(0)) <= most)).alias("found"))
+                here = new.select("grp", F.coalesce("seq", F.lit(0)).alias("visited"), (F.col("hit") & (F.coalesce("seq", F.lit(0)) <= most)).alias("found"))
+                here = here if state is None else here.unionByName(state)
+                state = checkpoint(here.groupBy("grp").agg(F.max("visited").alias("visited"), F.bool_or("found").alias("found")))  # else each use would aggregate all levels again
                 active = state.select("grp", "visited", (~F.col("found") & (F.col("visited") <= most)).alias("goes_on"))
-                frontier = new.join(active.filter("goes_on"), "grp", "left_semi")
+                frontier = checkpoint(new.join(active.filter("goes_on"), "grp", "left_semi").select("grp", "url").repartition(rounds.partitions, "grp", "url"))
             else:
                 frontier = new
             depth += 1

@@ -28,9 +28,10 @@ def investigated_domains(referring: DataFrame, target: str) -> DataFrame:
 
 def _own_links(pages: DataFrame, links: DataFrame, relative: bool = False) -> DataFrame:
     """domain, source, target of links from readable pages to their own domain; relative: whatever is written without a host counts too."""
-    ok = pages.filter(readable(pages)).select(F.col("url").alias("source_url"), "domain")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # dealt by number: URLs compress so well that a task sized by its bytes would hold very many
+    ok = pages.filter(readable(pages)).select(F.col("url").alias("source_url"), "domain").repartition(parts, "source_url")
     to = urls.canonical_or_self(urls.without_fragment(urls.resolve("source_url", strip("url"))))
-    inner = links.filter(~urls.skipped(strip("url"), backlinks.SKIPPED)).join(ok.hint("merge"), "source_url")
+    inner = links.filter(~urls.skipped(strip("url"), backlinks.SKIPPED)).repartition(parts, "source_url").join(ok.hint("merge"), "source_url")
     inner = materialised(inner, "domain", "source_url", "url", to=to)
     own = urls.bare_domain("to") == F.col("domain")
     return inner.filter(own | urls.is_relative("url") if relative else own).select("domain", F.col("source_url").alias("source"), F.col("to").alias("target"))
