@@ -26,12 +26,16 @@ def investigated_domains(referring: DataFrame, target: str) -> DataFrame:
     return referring.select(name.alias("domain")).filter((F.col("domain") != "") & (F.col("domain") != urls.domain_of(F.lit(target)))).distinct()
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as the session has, the joins by these keys too: a task sized by its bytes would hold very many URLs, which compress so well."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _own_links(pages: DataFrame, links: DataFrame, relative: bool = False) -> DataFrame:
     """domain, source, target of links from readable pages to their own domain; relative: whatever is written without a host counts too."""
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # dealt by number: URLs compress so well that a task sized by its bytes would hold very many
-    ok = pages.filter(readable(pages)).select(F.col("url").alias("source_url"), "domain").repartition(parts, "source_url")
+    ok = _dealt(pages.filter(readable(pages)).select(F.col("url").alias("source_url"), "domain"), "source_url")
     to = urls.canonical_or_self(urls.without_fragment(urls.resolve("source_url", strip("url"))))
-    inner = links.filter(~urls.skipped(strip("url"), backlinks.SKIPPED)).repartition(parts, "source_url").join(ok.hint("merge"), "source_url")
+    inner = _dealt(links.filter(~urls.skipped(strip("url"), backlinks.SKIPPED)), "source_url").join(ok.hint("merge"), "source_url")
     inner = materialised(inner, "domain", "source_url", "url", to=to)
     own = urls.bare_domain("to") == F.col("domain")
     return inner.filter(own | urls.is_relative("url") if relative else own).select("domain", F.col("source_url").alias("source"), F.col("to").alias("target"))
@@ -54,7 +58,8 @@ def exhaustive(pages: DataFrame, links: DataFrame, domains: DataFrame, target: s
     known = pages.select("domain", "url", F.col("status_code").isNotNull().alias("fetched"), readable(pages).alias("html")).dropDuplicates(["domain", "url"])
     hits = known.filter("html").join(found.hint("merge"), "url", "left_semi").select(F.col("domain").alias("grp"), "url")
     reached, cut = graph.search(_own_links(pages, links).withColumnRenamed("domain", "grp"), starts, hits, None, max_pages, max_depth)
-    visits = reached.withColumnRenamed("grp", "domain").join(known.hint("merge"), ["domain", "url"], "left").join(found.hint("merge"), "url", "left")
+    visits = _dealt(reached.withColumnRenamed("grp", "domain"), "domain", "url").join(known.hint("merge"), ["domain", "url"], "left")
+    visits = _dealt(_dealt(visits, "url").join(found.hint("merge"), "url", "left"), "domain")  # a domain's are max_pages + 1 at most
     first = visits.filter(F.col("hit") & (F.col("seq") <= max_pages)).groupBy("domain").agg(F.min("seq").alias("hit_seq"), F.min_by(F.struct("url", "n"), "seq").alias("h"))
     until = visits.join(first.select("domain", "hit_seq").hint("merge"), "domain", "left").filter(F.col("seq") <= F.coalesce("hit_seq", F.lit(max_pages)))
     counts = until.groupBy("domain").agg(
@@ -62,7 +67,7 @@ def exhaustive(pages: DataFrame, links: DataFrame, domains: DataFrame, target: s
     )
     size = visits.groupBy("domain").agg(F.max("seq").alias("reached"))
     cut = cut.select(F.col("grp").alias("domain"), F.lit(True).alias("cut"))
-    out = domains
+    out = _dealt(domains, "domain")
     for part in (size, counts, first, cut):
         out = out.join(part.hint("merge"), "domain", "left")
     status = F.when(F.col("h").isNotNull(), "confirmed").when((F.col("reached") > max_pages) | F.col("cut"), "timeout").when(F.coalesce("pages_checked", F.lit(0)) == 0, "blocked").otherwise("not_found")
@@ -81,7 +86,7 @@ def trace(pages: DataFrame, links: DataFrame, domains: DataFrame, target: str, m
     per = links.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n_links"))
     hits = backlinks.page_hits(links, urls.domain_of(F.lit(target))).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_set("target_url")).alias("hits"))  # as many as a page's links
     fetched = pages.filter("status_code is not null").select("domain", "url", "status_code", "content_type")
-    out = reached.join(fetched.hint("merge"), ["domain", "url"]).join(per.hint("merge"), "url", "left").join(hits.hint("merge"), "url", "left")
+    out = _dealt(_dealt(reached, "domain", "url").join(fetched.hint("merge"), ["domain", "url"]), "url").join(per.hint("merge"), "url", "left").join(hits.hint("merge"), "url", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("domain", "url", "depth", "status_code", "content_type", zero("n_links"), zero("n_hits"), F.coalesce("hits", F.array().cast("array<string>")).alias("hits"))
 
