@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
+from sitelume.operators.links import parts_for
 
 DAMPING = 0.85
 CHECKPOINT_EVERY = 5
@@ -77,6 +78,11 @@ class Rounds:
         df.write.parquet(path)
         return path
 
+    def sized(self, pairs: int) -> None:
+        """Deal what follows to as many partitions as so many pairs need."""
+        self.partitions = parts_for(self.caller, pairs)
+        self.own.conf.set("spark.sql.shuffle.partitions", self.partitions)
+
     def stored(self, df: DataFrame) -> DataFrame:
         """A table of the caller's, computed once and read again where it is used more than once."""
         return self.caller.read.schema(df.schema).parquet(self._path(df))
@@ -139,6 +145,7 @@ def bfs(graph: DataFrame, starts: DataFrame, max_depth: int, max_pages: int | No
     """
     with Rounds(graph.sparkSession) as rounds:
         pairs = rounds.stored(graph.select("source", "target").distinct())
+        rounds.sized(pairs.count())  # from the files' footers
         hubs = checkpoint(pairs.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("source", _keys(F.col("n")).alias("keys")))
         any_hub = not hubs.isEmpty()
         if any_hub:

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelume.functions import urls
 from sitelume.functions.text import folded, materialised, strip, text
 
+PAIRS = 500_000  # link pairs of a task
+
+
+def parts_for(spark: SparkSession, pairs: int) -> int:
+    """The session's number of partitions, or more where a task would have more than PAIRS of so many pairs."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+
 
 def explode_links(pages: DataFrame) -> DataFrame:
     """source_url, pos, url, anchor, rel of the links within pages."""
@@ -21,13 +28,14 @@ def edges(links: DataFrame, start_url: str) -> DataFrame:
 
     Repeated pairs go first, as navigation repeats its links; the rest is dealt evenly by them. Pairs are
     dealt by number before they are made distinct: URLs compress so well that a task that is sized by its
-    bytes, or that reads a split of the input, would hold millions of pairs at once. The URL
+    bytes, or that reads a split of the input, would hold millions of pairs at once. The number follows the
+    links, which are counted first (a table's from its files' footers): a task's share doesn't grow with them. The URL
     work is then done pair by pair: for most URLs it is one match that finds them in normal form, which
     costs less than joining the pairs with their distinct URLs, and a target of very many pages, such as
     the home page, is no key of a join.
     """
     home = urlsplit(urls.normal_form(start_url)).hostname or ""
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(links.sparkSession, links.count())
     raw = links.filter(text("target_url") != "").select("source_url", "target_url").repartition(parts, "source_url", "target_url").distinct()
     rows = materialised(raw, source=urls.normalize("source_url"), ref=strip("target_url")).filter("source <> ''")
     both = materialised(rows, "source", target=urls.normalize(urls.resolve("source", "ref")))
