@@ -28,3 +28,14 @@ def test_rounds_of_a_traversal_have_as_many_partitions_as_its_pairs_need(spark,
     got = graph.bfs(pairs, spark.createDataFrame([("0",)], "url string"), 6)
     assert sorted((int(x.url), x.depth) for x in got.collect()) == [(k, -(-k // 10)) for k in range(40)]
     assert dealt and {x.rdd.getNumPartitions() for x in dealt} == {30}
+
+
+def test_degrees_behind_scores_come_from_tasks_of_so_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(links, "PAIRS", 50, raising=False)
+    rows = [(f"https://a.example/{k % 40}", f"https://a.example/{k % 70}") for k in range(1000)]
+    pages = spark.createDataFrame([(f"https://a.example/{k}",) for k in range(80)], "url string")
+    own = links.with_degrees(pages, links.edges(spark.createDataFrame(rows, "source_url string, target_url string"), "https://a.example/"))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 20), REPARTITION_BY_NUM") >= 2  # each deal of the pairs
+    want = {u: (sum(b == u for _, b in set(rows)), sum(a == u for a, _ in set(rows))) for (u,) in pages.collect()}
+    assert {x.url: (x.links_in, x.links_out) for x in own.collect()} == want
