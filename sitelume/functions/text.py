@@ -51,8 +51,8 @@ def words(c: Column | str) -> Column:
 
 
 def regex_words(c: Column | str) -> Column:
-    """Number of words of letters, digits, apostrophes and hyphens."""
-    return F.size(F.regexp_extract_all(text(c), F.lit(r"(?U)\b[\w'-]+\b"), F.lit(0)))
+    """Number of words of letters, numbers, marks and underscores, with apostrophes and hyphens between them."""
+    return F.size(F.regexp_extract_all(text(c), F.lit(r"[\pL\pN\pM_](?:[\pL\pN\pM_'-]*[\pL\pN\pM_])?"), F.lit(0)))
 
 
 def present(c: Column | str) -> Column:
